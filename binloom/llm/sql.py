@@ -1,5 +1,6 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
+from .decontaminate import Seeds
 from .quality_rules import RULES, STOP_WORDS
 
 _WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -60,4 +61,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-ORACLE = {"op4_line_dedup": OP4, "op5_quality_rules": OP5}
+_SEEDS = Seeds()
+
+
+def _mask_rows(table: str, key: str) -> str:
+    """Seeds as strings: one SELECT for each mask."""
+    def one(mask: str) -> str:
+        at = [i for i, bit in enumerate(mask) if bit == "1"]
+        word = " || ' ' || ".join(f"w[p + {i}]" for i in at)
+        return f"SELECT {key}, '{mask}' AS mask, p, {word} AS seed FROM (SELECT {key}, w, unnest(range(1, len(w) - {len(mask) - 2})) AS p FROM {table} WHERE len(w) >= {len(mask)})"
+
+    return " UNION ALL ".join(one(m) for m in _SEEDS.masks)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+ds AS ({_mask_rows("d", "doc_id")}),
+bs AS ({_mask_rows("b", "item_id")}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS g FROM ds JOIN bs USING (mask, seed)),
+same AS (
+  SELECT doc_id, item_id, g, least(len(b.w), {_SEEDS.window}) AS span,
+         list_transform(range(1, len(b.w) + 1), lambda q: CASE WHEN q + g >= 1 AND d.w[q + g] = b.w[q] THEN 1 ELSE 0 END) AS m
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+), shares AS (
+  SELECT doc_id, item_id, max(list_max(list_transform(range(1, len(m) - span + 2), lambda q: list_sum(m[q : q + span - 1]))) / span::DOUBLE) AS share
+  FROM same GROUP BY doc_id, item_id
+), found AS (SELECT doc_id, count(*) AS n_items, max(share) AS best_share FROM shares WHERE share >= {_SEEDS.min_match} GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(best_share, 0.0) AS best_share
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE = {"op4_line_dedup": OP4, "op5_quality_rules": OP5, "op6_decontamination": OP6}
