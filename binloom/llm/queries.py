@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_rules, token_output
+from . import decontaminate, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
 from .common import table
+from .labelled import fold
 from .sql import ORACLE  # noqa: F401
 
 
@@ -15,9 +17,22 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def _scored(model, spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fitted = model.fit(docs, labels, fold(F.col("doc_id"), folds) != held)
+    scored = model.score(docs, fitted)
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", "predicted")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity, spark, sf_dir, 5, 0)
+
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality_model, spark, sf_dir, 3, 1)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -41,6 +56,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_model": op2_quality_model,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
