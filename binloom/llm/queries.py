@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
+from . import decontaminate, html_text, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
 from .common import table
 from .labelled import fold
 from .sql import ORACLE  # noqa: F401
@@ -32,6 +32,10 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_model, spark, sf_dir, 3, 1)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -58,6 +62,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_model": op2_quality_model,
+    "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
