@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
+from . import decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
 from .common import table
 from .labelled import fold
 from .sql import ORACLE  # noqa: F401
@@ -55,6 +55,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(spark, table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -67,5 +71,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_token_output": op10_token_output,
 }
