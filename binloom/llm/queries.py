@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
+from . import chat, decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
 from .common import table
 from .labelled import fold
 from .sql import ORACLE  # noqa: F401
@@ -59,6 +59,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = chat.transcripts(table(spark, sf_dir, "conversations"))
+    model = chat.fit(raw.where(fold(F.col("conv_id"), 5) != 0))
+    return chat.recover(raw.select("conv_id", "part", "text"), model)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(spark, table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -72,5 +78,6 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_chat_format": op9_chat_format,
     "op10_token_output": op10_token_output,
 }
