@@ -357,3 +357,12 @@ def joined(spark: SparkSession, docs: DataFrame, s: Settings = Settings()) -> Da
     ids = named.join(least, "component").select("key", "component_id")
     out = rows.join(ids, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out
+
+
+def representatives(spark: SparkSession, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The documents of least doc_id in their components, with all their columns.
+
+    Texts without shingles and rows without a doc_id stay. Rows that repeat a doc_id are one document.
+    """
+    gone = stored(joined(spark, docs, s).where("component_id < doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(maybe_broadcast(gone, gone.count(), 24), "doc_id", "left_anti").select(*docs.columns)

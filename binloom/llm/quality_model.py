@@ -6,7 +6,7 @@ n-grams, each scaled by its log-count ratio, at unit length. The model is fitted
 bounded sample of labelled rows; a logistic curve fitted on rows left out of it turns margins into scores.
 
 Edge cases: null and empty texts have no n-grams and get the score of the intercept. A sample without both labels
-(an empty table too) gives every document its mean label, 0 if it has none. Rows with a null doc_id are left out;
+(an empty table too) gives every document its mean label, 0 if it has none. Rows with a null doc_id and
 repeated rows are scored one by one. Extra columns are ignored.
 """
 
@@ -165,7 +165,7 @@ def _margin(ids, model: Model) -> float:
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """doc_id, score, predicted for each row of ``docs``, from the whole texts."""
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    rows = docs.select("doc_id", "text")
     if model.weights is None:
         out = rows.select("doc_id", F.lit(model.constant).alias("score"))
     else:

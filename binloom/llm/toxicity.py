@@ -5,8 +5,8 @@ calibration from a third, so that none is judged by what it has seen. Each word
 (lexicon tier, second person, capitals, obfuscation); densities, proximities and rates come from those bytes.
 
 Edge cases: null and empty texts have all-zero features and get a score like any other. A sample without both
-labels (an empty table too) gives every document its mean label, 0 if it has none. Rows with a null doc_id are
-left out; repeated rows are scored one by one. Extra columns are ignored.
+labels (an empty table too) gives every document its mean label, 0 if it has none. Rows with a null doc_id and
+repeated rows are scored one by one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import maybe_broadcast, stored
 from .labelled import labelled_texts
 
 # Second-person pronouns of English, German, French and Spanish.
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """doc_id, score, predicted for each row of ``docs``, from the whole texts."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    rows = docs.select("doc_id", "text")
     if model.trees is None:
         out = rows.select("doc_id", F.lit(float(model.constant)).alias("score"))
     else:
@@ -222,3 +222,9 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
         # The isotonic steps tie many documents; a thousandth of the trees' own probability keeps their order.
         out = scored.select("doc_id", (0.999 * F.col("calibrated") + 0.001 * F.col("raw")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
+    """The documents that the model does not reject, with all their columns; rows without a doc_id stay."""
+    rejected = stored(score(docs, model, s).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "rejected")
+    return docs.join(maybe_broadcast(rejected, rejected.count(), 24), "doc_id", "left_anti").select(*docs.columns)
