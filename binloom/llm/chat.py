@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 ROLES = ("system", "user", "assistant")
+NEVER = -1e9
 STATES = tuple(f"{r}-{k}" for r in ROLES for k in ("first", "later"))
 # Names that speakers go by.
 ALIASES = {
@@ -132,8 +133,12 @@ def fit(parts: DataFrame, s: Settings = Settings()) -> Model:
     for r in counts.collect():  # at most a row for each cell of the tables
         tables[r.what][r.state, r.value] = r.n
     logs = {k: np.log((t + s.smoothing) / (t + s.smoothing).sum(1, keepdims=True)) for k, t in tables.items()}
-    first = tables["start"][:, 0] + s.smoothing
-    return Model(list(np.log(first / first.sum())), logs["move"].tolist(), {f: logs[f].tolist() for f in FEATURES})
+    first = np.log((tables["start"][:, 0] + s.smoothing) / (tables["start"][:, 0] + s.smoothing).sum())
+    for state, name in enumerate(STATES):  # a later line follows a line of its own turn
+        if name.endswith("later"):
+            first[state] = NEVER
+            logs["move"][[k for k in range(size) if k // 2 != state // 2], state] = NEVER
+    return Model(first.tolist(), logs["move"].tolist(), {f: logs[f].tolist() for f in FEATURES})
 
 
 # Decoding

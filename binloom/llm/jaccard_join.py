@@ -183,7 +183,7 @@ def shared_lists(docs: DataFrame, frequent, s: Settings) -> DataFrame:
     shared = stored(ends.where("low <> high").select("token"), "shared-tokens")
     n = shared.count()
     if not n:
-        return spark.createDataFrame([], "token long, key long, n int")
+        return spark.createDataFrame([], "token long, key long, n int, m long")
     if 8 * n <= BROADCAST_LIMIT:
         import numpy as np
 
