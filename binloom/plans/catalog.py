@@ -1,4 +1,703 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, with DuckDB SQL for each that SQL can express."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import sequence, text, udfs
+from ..operators import assignment, bins, evidence, filters, idmatch, markers, network, reconcile, taxonomy
+from ..sources import export, fasta, tables
+from . import derive as d
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6).alias(name) if name else F.round(c, 6)
+
+
+# Sequence statistics
+
+
+@query(f"""WITH {d.SEQUENCES}, n AS (SELECT contig_id, length(seq) AS len, len(seq) - length(translate(seq, 'G', '')) AS g, length(seq) - length(translate(seq, 'C', '')) AS c,
+  length(regexp_replace(seq, '[ACGT]', '', 'g')) AS other FROM seqs)
+SELECT contig_id, len AS length, round(CASE WHEN len = 0 THEN 0 ELSE (g + c) / len::DOUBLE END, 6) AS gc_content,
+       round(CASE WHEN g + c = 0 THEN 0 ELSE (g - c) / (g + c)::DOUBLE END, 6) AS gc_skew, other AS ambiguous FROM n""")
+def contig_stats(spark, sf):
+    s = F.col("seq")
+    rows = d.sequences(spark, sf)
+    return rows.select("contig_id", F.length(s).cast("long").alias("length"), r6(sequence.gc_content(s), "gc_content"), r6(sequence.gc_skew(s), "gc_skew"), sequence.ambiguous_bases(s).cast("long").alias("ambiguous"))
+
+
+@query(f"""WITH {d.SEQUENCES} SELECT contig_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS digest FROM seqs""")
+def reverse_complement(spark, sf):
+    return d.sequences(spark, sf).select("contig_id", F.md5(sequence.reverse_complement(F.col("seq"))).alias("digest"))
+
+
+_CODONS = ", ".join(f"('{c}', '{a}')" for c, a in sequence.codons().items())
+_FRAMES = f"""{d.SEQUENCES}, strands AS (
+  SELECT contig_id, 0 AS back, seq FROM seqs UNION ALL SELECT contig_id, 3, reverse(translate(seq, 'ACGT', 'TGCA')) FROM seqs
+), codons(codon, amino) AS (VALUES {_CODONS}), codon_rows AS (
+  SELECT contig_id, back + (p % 3) AS frame, p // 3 AS k, substr(seq, p + 1, 3) AS codon FROM (SELECT *, unnest(range(0, greatest(length(seq) - 2, 0))) AS p FROM strands)
+), frames AS (
+  SELECT contig_id, frame, string_agg(coalesce(amino, 'X'), '' ORDER BY k) AS aa FROM codon_rows LEFT JOIN codons USING (codon) GROUP BY ALL
+)"""
+
+
+@query(f"WITH {_FRAMES} SELECT contig_id, frame, length(aa) AS residues, md5(aa) AS digest FROM frames")
+def six_frame_translation(spark, sf):
+    rows = markers.frames_of(d.sequences(spark, sf)).where("aa <> ''")
+    return rows.select("contig_id", "frame", F.length("aa").alias("residues"), F.md5("aa").alias("digest"))
+
+
+@query(f"""WITH {_FRAMES}, parts AS (SELECT contig_id, length(unnest(string_split(aa, '*'))) AS n FROM frames)
+SELECT s.contig_id, round(coalesce(sum(n) FILTER (WHERE n >= 20) / nullif(sum(n), 0)::DOUBLE, 0), 6) AS coding_density FROM seqs s LEFT JOIN parts USING (contig_id) GROUP BY s.contig_id""")
+def coding_density(spark, sf):
+    rows = d.sequences(spark, sf).select("contig_id", udfs.contig_stats("seq").alias("s"))
+    return rows.select("contig_id", r6("s.coding_density", "coding_density"))
+
+
+_KMERS = f"""{d.SEQUENCES}, windows AS (SELECT contig_id, substr(seq, p, 4) AS k FROM (SELECT *, unnest(range(1, length(seq) - 2)) AS p FROM seqs WHERE length(seq) >= 4)),
+kmers AS (SELECT contig_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM windows WHERE NOT contains(k, 'N') GROUP BY ALL)"""
+
+
+@query(f"WITH {_KMERS} SELECT contig_id, kmer, round(n / sum(n) OVER (PARTITION BY contig_id)::DOUBLE, 6) AS frequency FROM kmers")
+def tetranucleotide_composition(spark, sf):
+    names = F.array(*[F.lit(k) for k in sequence.canonical_kmers()])
+    rows = d.sequences(spark, sf).select("contig_id", F.posexplode(udfs.contig_stats("seq")["composition"]).alias("k", "v")).where("v > 0")
+    return rows.select("contig_id", F.get(names, F.col("k")).alias("kmer"), r6("v", "frequency"))
+
+
+@query(f"WITH {_KMERS} SELECT kmer, sum(n)::BIGINT AS windows, count(*) AS contigs FROM kmers GROUP BY kmer")
+def canonical_kmers(spark, sf):
+    seq = F.col("seq")
+    n = F.length(seq) - 3
+    windows = F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(seq, i, F.lit(4))))
+    rows = d.sequences(spark, sf).select("contig_id", F.explode(windows).alias("k")).where(~F.col("k").contains("N"))
+    counts = rows.groupBy("contig_id", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("contig_id", sequence.canonical(F.col("k")).alias("kmer")).agg(F.sum("n").alias("n"))
+    return counts.groupBy("kmer").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("contigs"))
+
+
+_ORFS = f"""{_FRAMES}, runs AS (
+  SELECT contig_id, frame, n, r.aa AS part, sum(length(r.aa) + 1) OVER (PARTITION BY contig_id, frame ORDER BY i ROWS UNBOUNDED PRECEDING) - length(r.aa) - 1 AS off FROM (
+    SELECT contig_id, frame, length(seq) AS n, unnest(list_transform(string_split(translate(f.aa, 'X', '*'), '*'), lambda x: {{'aa': x}})) AS r, generate_subscripts(string_split(translate(f.aa, 'X', '*'), '*'), 1) AS i
+    FROM frames f JOIN seqs USING (contig_id))
+), orfs AS (
+  SELECT contig_id, CASE WHEN frame < 3 THEN '+' ELSE '-' END AS strand, frame % 3 AS frame,
+         CASE WHEN frame < 3 THEN frame + 3 * off ELSE n - frame % 3 - 3 * (off + length(part)) END::BIGINT AS "start",
+         CASE WHEN frame < 3 THEN frame + 3 * (off + length(part)) ELSE n - frame % 3 - 3 * off END::BIGINT AS "end"
+  FROM runs WHERE length(part) >= 50
+)"""
+
+
+def _orfs(spark, sf):
+    return d.sequences(spark, sf).select("contig_id", F.length("seq").alias("length"), F.explode(udfs.orf_ranges("seq", F.lit(50))).alias("o")).select("contig_id", "length", "o.*")
+
+
+@query(f"WITH {_ORFS} SELECT contig_id, strand, frame, \"start\", \"end\" FROM orfs")
+def orf_ranges(spark, sf):
+    return _orfs(spark, sf).drop("length")
+
+
+@query(f"""WITH {_ORFS}, marked AS (SELECT *, max("end") OVER (PARTITION BY contig_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM orfs),
+covered AS (SELECT contig_id, sum(greatest(0, "end" - greatest("start", coalesce(before, 0)))) AS covered, count(*) FILTER (WHERE strand = '+') AS forward, count(*) FILTER (WHERE strand = '-') AS backward FROM marked GROUP BY contig_id)
+SELECT contig_id, covered::BIGINT AS covered, forward, backward, round(covered / length(seq)::DOUBLE * 100, 6) AS percent FROM covered JOIN seqs USING (contig_id)""")
+def orf_coverage(spark, sf):
+    w = W.partitionBy("contig_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    rows = _orfs(spark, sf).withColumn("before", F.coalesce(F.max("end").over(w), F.lit(0)))
+    part = F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))
+    out = rows.groupBy("contig_id").agg(F.sum(part).alias("covered"), F.count_if(F.col("strand") == "+").alias("forward"), F.count_if(F.col("strand") == "-").alias("backward"), F.first("length").alias("length"))
+    return out.select("contig_id", "covered", "forward", "backward", r6(F.col("covered") / F.col("length") * 100, "percent"))
+
+
+_GROUPS = "".join(a for g in sequence.MURPHY10 for a in g)
+_DIGITS = "".join(str(i) for i, g in enumerate(sequence.MURPHY10) for _ in g)
+_SEEDS = f"""{_FRAMES}, segs AS (
+  SELECT contig_id, frame, s, sum(length(s) + 1) OVER (PARTITION BY contig_id, frame ORDER BY i ROWS UNBOUNDED PRECEDING) - length(s) - 1 AS off FROM (
+    SELECT contig_id, frame, unnest(string_split(translate(aa, 'X', '*'), '*')) AS s, generate_subscripts(string_split(translate(aa, 'X', '*'), '*'), 1) AS i FROM frames)
+), seeds AS (
+  SELECT contig_id, frame, (off + p)::INT AS frame_pos, translate(substr(s, p + 1, 9), '{_GROUPS}', '{_DIGITS}')::BIGINT AS code
+  FROM (SELECT *, unnest(range(0, length(s) - 8, greatest(4, ceil((length(s) - 8) / 150)::BIGINT))) AS p FROM segs WHERE length(s) >= 9)
+)"""
+
+
+@query(f"WITH {_SEEDS} SELECT contig_id, frame, count(*) AS seeds, sum(code)::BIGINT AS code_sum, sum(frame_pos)::BIGINT AS pos_sum FROM seeds GROUP BY ALL")
+def reduced_kmer_seeds(spark, sf):
+    rows = markers.seeds(markers.frames_of(d.sequences(spark, sf)))
+    return rows.groupBy("contig_id", "frame").agg(F.count(F.lit(1)).alias("seeds"), F.sum("code").alias("code_sum"), F.sum("frame_pos").alias("pos_sum"))
+
+
+# Tables and formats
+
+_BIN_TEXT = "CASE WHEN c_custkey % 2 = 0 THEN 'contig' || chr(9) || 'bin' || chr(13) || chr(10) ELSE '' END || c_name || chr(9) || c_mktsegment || chr(10) || '  ' || chr(10) || c_name || '_2' || chr(9) || ' ' || c_nationkey || chr(9) || 'x' || chr(10) || 'short' || chr(10)"
+
+
+def _bin_texts(spark, sf):
+    rows = d.table(spark, sf, "customer")
+    head = F.when(F.col("c_custkey") % 2 == 0, "contig\tbin\r\n").otherwise("")
+    return rows.select("c_custkey", F.concat(head, "c_name", F.lit("\t"), "c_mktsegment", F.lit("\n  \n"), "c_name", F.lit("_2\t "), F.col("c_nationkey").cast("string"), F.lit("\tx\nshort\n")).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT c_custkey, list_filter(string_split(replace({_BIN_TEXT}, chr(13), ''), chr(10)), lambda x: trim(x, ' ' || chr(9)) <> '') AS l FROM customer),
+r AS (SELECT c_custkey, generate_subscripts(l, 1) - 1 AS row_idx, string_split(unnest(l), chr(9)) AS f FROM t)
+SELECT c_custkey, row_idx::INT AS row_idx, trim(f[1]) AS contig_id, trim(f[2]) AS bin_id FROM r WHERE len(f) >= 2 AND trim(f[1]) <> '' AND trim(f[2]) <> '' AND NOT (row_idx = 0 AND lower(trim(f[1])) = 'contig')""")
+def parse_bin_table(spark, sf):
+    return tables.parse_bins(_bin_texts(spark, sf), "c_custkey")
+
+
+def _coverage_texts(spark, sf):
+    rows = d.table(spark, sf, "part")
+    head = F.when(F.col("p_partkey") % 2 == 0, "contigName\tcontigLen\ttotalAvgDepth\tone.bam\tone.bam-var\ttwo.bam\n").otherwise("")
+    cells = F.concat_ws("\t", "p_name", F.col("p_size").cast("string"), F.lit("7"), F.col("p_size").cast("string"), F.lit(""), F.lit("bad"))
+    plain = F.concat_ws("\t", "p_name", F.col("p_size").cast("string"), F.lit("1e2"), F.lit("0x10"))
+    return rows.select("p_partkey", F.concat(head, F.when(F.col("p_partkey") % 2 == 0, cells).otherwise(plain), F.lit("\n")).alias("text"))
+
+
+@query("""SELECT p_partkey, p_name AS contig_id, 'one.bam' AS sample, p_size::DOUBLE AS depth FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, p_name, 'two.bam', -1.0 FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, p_name, 'sample1', p_size::DOUBLE FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT p_partkey, p_name, 'sample2', 100.0 FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT p_partkey, p_name, 'sample3', 16.0 FROM part WHERE p_partkey % 2 = 1""")
+def parse_coverage(spark, sf):
+    rows = tables.parse_coverage(_coverage_texts(spark, sf), "p_partkey")
+    return rows.select("p_partkey", "contig_id", "sample", F.when(F.isnan("depth"), F.lit(-1.0)).otherwise(F.col("depth")).alias("depth"))
+
+
+@query("""SELECT 'bins' AS source, CASE WHEN c_custkey % 2 = 0 THEN 'unknown' ELSE 'unknown' END AS format, count(*) AS n FROM customer GROUP BY ALL
+UNION ALL SELECT 'coverage', CASE WHEN p_partkey % 2 = 0 THEN 'unknown' ELSE 'coverage' END, count(*) FROM part GROUP BY ALL
+UNION ALL SELECT 'pairs', 'contig-bin', count(*) FROM orders""")
+def sniff_format(spark, sf):
+    pairs = d.table(spark, sf, "orders").select(F.lit("pairs").alias("source"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("text"))
+    rows = _bin_texts(spark, sf).select(F.lit("bins").alias("source"), "text").unionAll(_coverage_texts(spark, sf).select(F.lit("coverage"), "text")).unionAll(pairs)
+    return rows.groupBy("source", tables.sniff(F.col("text")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Repair of ids
+
+
+def _broken(spark, sf):
+    rows = d.assignments(spark, sf)
+    part = F.concat("contig_id", F.lit(".concoct_part_"), (F.col("row_idx") % 3).cast("string"))
+    a = rows.where("tool = 'A'").withColumn("contig_id", part)
+    b = rows.where("tool = 'B'").select("tool", "row_idx", F.col("bin_id").alias("contig_id"), F.col("contig_id").alias("bin_id"))
+    return a.unionByName(b).unionByName(rows.where("tool = 'C'"))
+
+
+_BROKEN = f"""{d.ASSIGNMENTS}, broken AS (
+  SELECT tool, row_idx, contig_id || '.concoct_part_' || (row_idx % 3) AS contig_id, bin_id FROM assignments WHERE tool = 'A'
+  UNION ALL SELECT tool, row_idx, bin_id, contig_id FROM assignments WHERE tool = 'B' UNION ALL SELECT * FROM assignments WHERE tool = 'C'
+), known AS (SELECT DISTINCT 'contig_' || doc_id AS id FROM documents), rates AS (
+  SELECT tool, avg((contig_id IN (SELECT id FROM known))::INT) AS exact_rate, avg((regexp_replace(contig_id, '\\.concoct_part_\\d+$', '') IN (SELECT id FROM known))::INT) AS suffix_rate,
+         avg((bin_id IN (SELECT id FROM known))::INT) AS swap_rate FROM broken GROUP BY tool
+)"""
+
+
+@query(f"WITH {_BROKEN} SELECT tool, 'exact' AS strategy, round(exact_rate, 6) AS rate FROM rates UNION ALL SELECT tool, 'suffix', round(suffix_rate, 6) FROM rates UNION ALL SELECT tool, 'swap', round(swap_rate, 6) FROM rates")
+def match_rate(spark, sf):
+    return idmatch.match_rates(_broken(spark, sf), d.contigs(spark, sf).select("contig_id")).withColumn("rate", r6("rate"))
+
+
+@query(f"""WITH {_BROKEN} SELECT tool, CASE WHEN exact_rate >= 0.9 THEN 'exact' WHEN greatest(suffix_rate, swap_rate) > exact_rate AND greatest(suffix_rate, swap_rate) >= 0.9
+  THEN CASE WHEN suffix_rate >= swap_rate THEN 'suffix' ELSE 'swap' END ELSE 'none' END AS strategy,
+  round(exact_rate, 6) AS before, round(CASE WHEN exact_rate < 0.9 AND greatest(suffix_rate, swap_rate) > exact_rate THEN greatest(suffix_rate, swap_rate) ELSE exact_rate END, 6) AS after FROM rates""")
+def repair_strategy(spark, sf):
+    rows = idmatch.strategies(_broken(spark, sf), d.contigs(spark, sf).select("contig_id"))
+    return rows.select("tool", "strategy", r6("before", "before"), r6("after", "after"))
+
+
+@query(f"""WITH {_BROKEN}, fixed AS (
+  SELECT tool, row_idx, regexp_replace(contig_id, '\\.concoct_part_\\d+$', '') AS contig_id, bin_id FROM broken WHERE tool = 'A'
+  UNION ALL SELECT tool, row_idx, bin_id, contig_id FROM broken WHERE tool = 'B' UNION ALL SELECT tool, row_idx, contig_id, bin_id FROM broken WHERE tool = 'C')
+SELECT tool, row_idx, contig_id, bin_id FROM fixed""")
+def repaired_tables(spark, sf):
+    return idmatch.repaired(_broken(spark, sf), d.contigs(spark, sf).select("contig_id"))[0].select("tool", "row_idx", "contig_id", "bin_id")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL)
+SELECT o_custkey AS contig_id, (list(o_orderpriority ORDER BY n DESC, f))[1] AS bin_id, count(*) AS distinct_bins FROM c GROUP BY ALL""")
+def majority_collapse(spark, sf):
+    rows = d.table(spark, sf, "orders").select(F.lit("x").alias("tool"), F.col("o_custkey").alias("contig_id"), F.col("o_orderpriority").alias("bin_id"), F.col("o_orderkey").alias("row_idx"))
+    return idmatch.majority(rows).select("contig_id", "bin_id", "distinct_bins")
+
+
+# Bins
+
+_TOOL_A = "(SELECT contig_id, bin_id FROM assignments WHERE tool = 'A')"
+_BINS = f"{d.CONTIGS}, {d.ASSIGNMENTS}, {d.HITS}, {d.SUMMARY.format(source=_TOOL_A)}"
+
+
+def _tool_a(spark, sf):
+    return d.assignments(spark, sf).where("tool = 'A'")
+
+
+def _summary(spark, sf):
+    return bins.bin_summary(_tool_a(spark, sf), d.contigs(spark, sf), d.marker_hits(spark, sf))
+
+
+@query(f"""WITH {_BINS} SELECT bin_id, contig_count, total_length, n50, l50, round(mean_gc, 6) AS mean_gc, families_found, round(completeness, 6) AS completeness,
+  round(redundancy, 6) AS redundancy, round(raw_completeness, 6) AS raw_completeness, tier FROM tiers""")
+def bin_summary(spark, sf):
+    rows = _summary(spark, sf)
+    return rows.withColumns({c: r6(c) for c in ("mean_gc", "completeness", "redundancy", "raw_completeness")})
+
+
+@query(f"WITH {_BINS} SELECT bin_id, n50, l50 FROM half")
+def n50_l50(spark, sf):
+    rows = _tool_a(spark, sf).join(d.contigs(spark, sf), "contig_id").select("bin_id", "length")
+    return bins.n50_l50(rows, "bin_id")
+
+
+@query(f"WITH {_BINS} SELECT tier, count(*) AS n_bins, sum(contig_count)::BIGINT AS contigs FROM tiers GROUP BY tier")
+def mimag_tiers(spark, sf):
+    return _summary(spark, sf).groupBy("tier").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("contig_count").alias("contigs"))
+
+
+@query("""WITH p AS (SELECT 'contig_' || p_partkey AS contig_id, p_brand AS bin_id FROM part) SELECT contig_id, bin_id FROM p WHERE contig_id NOT IN (SELECT 'contig_' || doc_id FROM documents)""")
+def unmatched_contigs(spark, sf):
+    rows = d.table(spark, sf, "part").select(F.concat(F.lit("contig_"), "p_partkey").alias("contig_id"), F.col("p_brand").alias("bin_id"))
+    return bins.unmatched(rows, d.contigs(spark, sf))
+
+
+@query(f"""WITH {d.ASSIGNMENTS}, {d.HITS}, r AS (SELECT DISTINCT bin_id, contig_id, family FROM assignments JOIN hits USING (contig_id) WHERE tool = 'A')
+SELECT bin_id, contig_id, family, count(*) OVER (PARTITION BY bin_id, family) = 1 AS is_unique FROM r""")
+def marker_contribution(spark, sf):
+    return bins.marker_contributions(_tool_a(spark, sf), d.marker_hits(spark, sf))
+
+
+@query(f"""WITH {d.CONTIGS}, {d.HITS}, r AS (SELECT *, sum(length) OVER () AS total, sum(length) OVER (ORDER BY length DESC, contig_id ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY length DESC, contig_id) AS r FROM contigs),
+h AS (SELECT * FROM hits WHERE contig_id IN (SELECT contig_id FROM contigs))
+SELECT (SELECT count(*) FROM contigs) AS contig_count, (SELECT sum(length)::BIGINT FROM contigs) AS total_length, (SELECT round(avg(gc_content), 6) FROM contigs) AS mean_gc,
+  (SELECT count(DISTINCT contig_id) FROM h) AS with_markers, (SELECT count(DISTINCT family) FROM h) AS families,
+  (SELECT arg_min(length, r) FROM r WHERE upto >= total / 2) AS n50, (SELECT min(r) FROM r WHERE upto >= total / 2) AS l50""")
+def assembly_summary(spark, sf):
+    return bins.assembly_summary(d.contigs(spark, sf), d.marker_hits(spark, sf)).withColumn("mean_gc", r6("mean_gc"))
+
+
+@query(f"""WITH {d.ASSIGNMENTS}, per AS (SELECT tool, bin_id, count(*) AS n FROM assignments WHERE lower(bin_id) NOT IN ('unbinned', 'none', 'na') GROUP BY ALL)
+SELECT a.tool, count(*) AS n_rows, any_value(p.n_bins) AS n_bins, any_value(p.pct) AS singleton_pct, any_value(p.pct) >= 50 AS fragmented
+FROM assignments a JOIN (SELECT tool, count(*) AS n_bins, count(*) FILTER (WHERE n = 1) / count(*)::DOUBLE * 100 AS pct FROM per GROUP BY tool) p USING (tool) GROUP BY a.tool""")
+def tool_card(spark, sf):
+    return bins.tool_card(d.assignments(spark, sf))
+
+
+@query(f"""WITH {_BINS}, r AS (SELECT bin_id, completeness - redundancy AS net FROM tiers WHERE contig_count >= 2)
+(SELECT 'good' AS kind, bin_id, round(net, 6) AS net FROM r ORDER BY net DESC, bin_id LIMIT 1) UNION ALL (SELECT 'bad', bin_id, round(net, 6) FROM r ORDER BY net, bin_id LIMIT 1)""")
+def good_and_bad_bins(spark, sf):
+    return evidence.good_and_bad(_summary(spark, sf)).withColumn("net", r6("net"))
+
+
+# Reconciliation
+
+
+@query(f"WITH {d.PAIRS} SELECT tool_a, bin_a, tool_b, bin_b, shared, round(jaccard, 6) AS jaccard FROM pairs")
+def jaccard_pairs(spark, sf):
+    return reconcile.overlaps(reconcile.votes_cast(d.assignments(spark, sf))).withColumn("jaccard", r6("jaccard"))
+
+
+@query(f"WITH {d.BEST} SELECT tool_a, bin_a, tool_b, bin_b, shared, round(jaccard, 6) AS jaccard FROM best")
+def reciprocal_best(spark, sf):
+    rows = reconcile.overlaps(reconcile.votes_cast(d.assignments(spark, sf)))
+    return reconcile.reciprocal_best(rows).withColumn("jaccard", r6("jaccard"))
+
+
+@query(f"WITH RECURSIVE {d.MAGS} SELECT mag_id, tool, bin_id, contig_count FROM mag_bins")
+def mag_members(spark, sf):
+    return reconcile.Reconciliation(d.assignments(spark, sf)).members
+
+
+@query(f"""WITH RECURSIVE {d.MAGS}, k AS (SELECT mag_id, count(*) FILTER (WHERE kind = 'core') AS core, count(*) FILTER (WHERE kind = 'disputed') AS disputed FROM stands GROUP BY mag_id)
+SELECT mag_id, n_members, tools, core, disputed, (row_number() OVER (ORDER BY split_part(mag_id, '_', 2)::INT))::INT AS rank FROM mags JOIN k USING (mag_id)""")
+def putative_mags(spark, sf):
+    return reconcile.Reconciliation(d.assignments(spark, sf)).mags
+
+
+@query(f"WITH RECURSIVE {d.MAGS} SELECT contig_id, total_votes, round(agreement, 6) AS agreement, distinct_groups, majority_mag FROM agreed")
+def contig_agreement(spark, sf):
+    return reconcile.Reconciliation(d.assignments(spark, sf)).agreement.withColumn("agreement", r6("agreement"))
+
+
+@query(f"WITH RECURSIVE {d.MAGS} SELECT mag_id, contig_id, kind FROM stands")
+def core_and_disputed(spark, sf):
+    return reconcile.Reconciliation(d.assignments(spark, sf)).standing
+
+
+@query(f"WITH RECURSIVE {d.MAGS} SELECT contig_id, round(agreement, 6) AS agreement, total_votes, distinct_groups, (row_number() OVER (ORDER BY agreement, total_votes DESC, contig_id))::INT AS rank FROM agreed WHERE agreement < 1")
+def disputed_ranked(spark, sf):
+    return reconcile.disputed_ranked(reconcile.Reconciliation(d.assignments(spark, sf)).agreement).withColumn("agreement", r6("agreement"))
+
+
+# Working assignment
+
+
+def _state(spark, sf, rec):
+    base = assignment.initial(d.assignments(spark, sf), rec.agreement, 3)
+    return assignment.fold(base, d.edit_targets(d.edits(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {d.STATE} SELECT contig_id, bin_id FROM state")
+def assignment_fold(spark, sf):
+    return _state(spark, sf, reconcile.Reconciliation(d.assignments(spark, sf)))
+
+
+@query(f"WITH {d.EDITS} SELECT contig_id, arg_max(bin_id, seq) AS bin_id, max(seq) AS seq FROM edits GROUP BY contig_id")
+def edit_stream_latest(spark, sf):
+    from ..operators.graph import checkpointed
+    from ..streaming import edits as stream
+
+    rows = spark.readStream.schema(d.table(spark, sf, "events").schema).parquet(_stream_path(sf, "events"))
+    edits = rows.select(F.col("event_id").alias("seq"), F.concat(F.lit("contig_"), "user_id").alias("contig_id"), F.col("event_type").alias("bin_id"))
+    checkpointed(spark.range(1))  # names the shared folder
+    import uuid
+
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/edits-{uuid.uuid4().hex}"
+    stream.keep_state(edits, f"{base}/changes", f"{base}/log")
+    return stream.current_state(spark.read.parquet(f"{base}/changes").select("contig_id", "bin_id", "seq"))
+
+
+def _stream_path(sf: str, name: str) -> str:
+    """A folder for the stream's file source: the table may be one file or a folder of parts."""
+    return f"{sf}/{name}.parquet*"
+
+
+@query(f"WITH {d.ASSIGNMENTS} SELECT contig_id, CASE bin_id WHEN 'src1' THEN 'src2' ELSE bin_id END AS bin_id FROM assignments WHERE tool = 'A'")
+def merge_bins(spark, sf):
+    return assignment.merge(_tool_a(spark, sf).select("contig_id", "bin_id"), "src1", "src2")
+
+
+@query(f"WITH {d.ASSIGNMENTS} SELECT contig_id, CASE bin_id WHEN 'src3' THEN 'excluded' ELSE bin_id END AS bin_id FROM assignments WHERE tool = 'A'")
+def exclude_contigs(spark, sf):
+    rows = _tool_a(spark, sf).select("contig_id", "bin_id")
+    return assignment.exclude(rows, rows.where("bin_id = 'src3'"))
+
+
+@query(f"WITH {d.ASSIGNMENTS} SELECT DISTINCT bin_id FROM assignments WHERE tool = 'A'")
+def list_bins(spark, sf):
+    return assignment.list_bins(_tool_a(spark, sf))
+
+
+@query(f"WITH RECURSIVE {d.STATE} SELECT contig_id, bin_id FROM state WHERE bin_id <> 'MAG_2'")
+def exportable_assignment(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    return assignment.exportable(_state(spark, sf, rec), spark.createDataFrame([("MAG_2",)], "mag_id string"))
+
+
+# Filters
+
+
+@query(f"WITH {d.CONTIGS} SELECT contig_id FROM contigs WHERE length >= 1000 AND gc_content * 100 >= 40 AND gc_content * 100 <= 60")
+def contig_filter(spark, sf):
+    f = filters.ContigFilter(length=(1000, None), gc_percent=(40, 60))
+    return filters.filter_contigs(d.contigs(spark, sf), d.assignments(spark, sf), None, f).select("contig_id")
+
+
+@query(f"WITH {d.CONTIGS}, {d.ASSIGNMENTS} SELECT contig_id, length FROM contigs WHERE contig_id IN (SELECT contig_id FROM assignments WHERE tool = 'B' AND bin_id = 'src0')")
+def bin_filter(spark, sf):
+    return filters.in_bin(d.contigs(spark, sf), d.assignments(spark, sf), "B", "src0").select("contig_id", "length")
+
+
+@query("SELECT 'contig_' || p_partkey AS contig_id FROM part WHERE p_partkey NOT IN (SELECT doc_id FROM documents)")
+def unbinned_filter(spark, sf):
+    rows = d.table(spark, sf, "part").select(F.concat(F.lit("contig_"), "p_partkey").alias("contig_id"))
+    return filters.in_no_bin(rows, d.assignments(spark, sf))
+
+
+@query(f"WITH {d.ASSIGNMENTS} SELECT DISTINCT contig_id FROM assignments WHERE contains(lower(contig_id), 'src1') OR contains(lower(bin_id), 'src1')")
+def text_search(spark, sf):
+    return filters.search(d.contigs(spark, sf), d.assignments(spark, sf), " SRC1 ").select("contig_id")
+
+
+@query(f"WITH RECURSIVE {d.MAGS} SELECT contig_id FROM agreed WHERE agreement * 100 <= 70")
+def agreement_filter(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    f = filters.ContigFilter(max_agreement_percent=70)
+    return filters.filter_contigs(d.contigs(spark, sf), d.assignments(spark, sf), rec.agreement, f).select("contig_id")
+
+
+@query(f"WITH {d.ASSIGNMENTS} SELECT DISTINCT tool, bin_id FROM assignments")
+def bin_options(spark, sf):
+    return filters.bin_options(d.assignments(spark, sf))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT doc_id FROM documents)")
+def referenced_contigs(spark, sf):
+    rows = d.table(spark, sf, "part").select(F.concat(F.lit("contig_"), "p_partkey").alias("contig_id"), "p_partkey", "p_name")
+    return filters.referenced(rows, d.assignments(spark, sf)).select("p_partkey", "p_name")
+
+
+# Evidence and MAGs
+
+_LIVE = f"{d.STATE}, {d.CONTIGS}, {d.HITS}, live_rows AS (SELECT contig_id, bin_id FROM state WHERE bin_id IN (SELECT mag_id FROM mags)), {d.SUMMARY.format(source='live_rows')}"
+_MAG_SUMMARY = f"""{_LIVE}, linked AS (
+  SELECT DISTINCT v.mag_id, v.contig_id, s.kind IS NOT NULL AS core, t.bin_id FROM votes v JOIN mags USING (mag_id)
+  LEFT JOIN (SELECT * FROM stands WHERE kind = 'core') s ON s.mag_id = v.mag_id AND s.contig_id = v.contig_id LEFT JOIN state t ON t.contig_id = v.contig_id
+), mag_counts AS (
+  SELECT mag_id, count(*) FILTER (WHERE core) AS core_count, count(*) FILTER (WHERE NOT core AND bin_id = mag_id) AS held_here,
+         count(*) FILTER (WHERE NOT core AND bin_id <> mag_id AND bin_id <> 'excluded') AS held_elsewhere, count(*) FILTER (WHERE NOT core AND bin_id IS NULL) AS unresolved,
+         count(*) FILTER (WHERE NOT core AND bin_id = 'excluded') AS excluded, count(*) FILTER (WHERE NOT core) AS disputed_count, count(*) AS in_network FROM linked GROUP BY mag_id
+), mag_summary AS (
+  SELECT m.mag_id, tools, core_count, held_here, held_elsewhere, unresolved, excluded, disputed_count, in_network, coalesce(t.contig_count, 0) AS live_contigs,
+         coalesce(t.total_length, 0) AS live_length, coalesce(t.n50, 0) AS live_n50, coalesce(t.completeness, 0) AS completeness, coalesce(t.redundancy, 0) AS redundancy, coalesce(t.tier, 'low') AS tier
+  FROM mags m JOIN mag_counts c USING (mag_id) LEFT JOIN tiers t ON t.bin_id = m.mag_id
+)"""
+
+
+def _mag_summary(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    return evidence.mag_summary(rec.mags, rec.votes, rec.standing, _state(spark, sf, rec), d.contigs(spark, sf), d.marker_hits(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_MAG_SUMMARY} SELECT * REPLACE (round(completeness, 6) AS completeness, round(redundancy, 6) AS redundancy) FROM mag_summary""")
+def mag_summary(spark, sf):
+    return _mag_summary(spark, sf).withColumns({"completeness": r6("completeness"), "redundancy": r6("redundancy")})
+
+
+@query(f"WITH RECURSIVE {_MAG_SUMMARY} SELECT mag_id, tier, core_count FROM mag_summary WHERE core_count >= 5 AND tier <> 'high' AND list_contains(string_split(tools, ','), 'A')")
+def mag_filter(spark, sf):
+    f = filters.MagFilter(core=(5, None), tiers_off=("high",), tool="A")
+    return filters.filter_mags(_mag_summary(spark, sf), f).select("mag_id", "tier", "core_count")
+
+
+_PAIRED = f"""{d.MAGS}, {d.CONTIGS}, {d.COVERAGE}, cand AS (
+  SELECT DISTINCT v.contig_id, v.mag_id FROM votes v JOIN mags USING (mag_id) JOIN agreed a USING (contig_id) WHERE a.distinct_groups > 1
+), core_rows AS (SELECT s.mag_id, c.contig_id, c.gc_content, v.mean_depth FROM stands s JOIN contigs c USING (contig_id) LEFT JOIN coverage v USING (contig_id) WHERE kind = 'core'),
+core_means AS (SELECT mag_id, count(*) AS core_count, avg(gc_content) AS gc, avg(mean_depth) AS depth FROM core_rows GROUP BY mag_id)"""
+
+
+def _pairs(spark, sf, rec):
+    return evidence.candidates(rec.votes, rec.mags, rec.agreement)
+
+
+@query(f"""WITH RECURSIVE {_PAIRED} SELECT p.contig_id, p.mag_id, coalesce(core_count, 0) AS core_count, round(100 * gc_content - 100 * gc, 6) AS gc_diff,
+  round(CASE WHEN depth > 0 THEN mean_depth / depth END, 6) AS coverage_ratio FROM cand p JOIN contigs c USING (contig_id) LEFT JOIN coverage v USING (contig_id) LEFT JOIN core_means m USING (mag_id)""")
+def contig_evidence(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    rows = evidence.coverage_attached(d.contigs(spark, sf).withColumn("coding_density", F.lit(0.0)), d.coverage(spark, sf))
+    out = evidence.evidence(_pairs(spark, sf, rec), rec.standing, rows)
+    return out.select("contig_id", "mag_id", "core_count", r6("gc_diff", "gc_diff"), r6("coverage_ratio", "coverage_ratio"))
+
+
+@query(f"""WITH RECURSIVE {d.MAGS}, {d.HITS}, cand AS (SELECT DISTINCT v.contig_id, v.mag_id FROM votes v JOIN mags USING (mag_id) JOIN agreed a USING (contig_id) WHERE a.distinct_groups > 1),
+held AS (SELECT DISTINCT mag_id, family FROM stands JOIN hits USING (contig_id) WHERE kind = 'core')
+SELECT c.contig_id, c.mag_id, h.family, d.family IS NOT NULL AS redundant FROM cand c JOIN hits h USING (contig_id) LEFT JOIN held d ON d.mag_id = c.mag_id AND d.family = h.family""")
+def marker_status(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    return evidence.marker_status(_pairs(spark, sf, rec), rec.standing, d.marker_hits(spark, sf))
+
+
+_VECTORS = f"""freq AS (SELECT contig_id, kmer, n / sum(n) OVER (PARTITION BY contig_id)::DOUBLE AS v FROM kmers),
+names AS (SELECT DISTINCT kmer FROM kmers), vectors AS (SELECT c.contig_id, k.kmer, coalesce(f.v, 0) AS v FROM (SELECT contig_id FROM seqs) c CROSS JOIN names k LEFT JOIN freq f ON f.contig_id = c.contig_id AND f.kmer = k.kmer)"""
+_KMER_PART = _KMERS.removeprefix(d.SEQUENCES + ", ")
+
+
+@query(f"""WITH RECURSIVE {d.MAGS}, {d.SEQUENCES}, {_KMER_PART}, {_VECTORS},
+cand AS (SELECT DISTINCT v.contig_id, v.mag_id FROM votes v JOIN mags USING (mag_id) JOIN agreed a USING (contig_id) WHERE a.distinct_groups > 1),
+own AS (SELECT mag_id, contig_id, kmer, v FROM stands JOIN vectors USING (contig_id) WHERE kind = 'core'), centre AS (SELECT mag_id, kmer, avg(v) AS c FROM own GROUP BY ALL),
+away AS (SELECT mag_id, contig_id, sqrt(sum((v - c) ** 2)) AS dist FROM own JOIN centre USING (mag_id, kmer) GROUP BY ALL),
+spread AS (SELECT mag_id, avg(dist) AS m, stddev_pop(dist) AS s, count(*) AS n FROM away GROUP BY mag_id),
+asked AS (SELECT c.contig_id, c.mag_id, sqrt(sum((v - e.c) ** 2)) AS dist FROM cand c JOIN vectors x USING (contig_id) JOIN centre e ON e.mag_id = c.mag_id AND e.kmer = x.kmer GROUP BY ALL)
+SELECT c.contig_id, c.mag_id, round(CASE WHEN coalesce(n, 0) < 2 THEN NULL WHEN s < 1e-12 THEN 0 ELSE (dist - m) / s END, 4) AS z FROM cand c LEFT JOIN asked a USING (contig_id, mag_id) LEFT JOIN spread USING (mag_id)""")
+def composition_z(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    rows = d.sequences(spark, sf).select("contig_id", udfs.contig_stats("seq")["composition"].alias("composition"))
+    out = evidence.composition_z(_pairs(spark, sf, rec), rec.standing, rows)
+    return out.withColumn("z", F.round("z", 4))
+
+
+_LEAVES = f"""{d.STATE}, contested AS (SELECT contig_id FROM agreed WHERE distinct_groups > 1), known AS (SELECT DISTINCT contig_id, mag_id FROM votes WHERE mag_id IN (SELECT mag_id FROM mags)),
+weights AS (SELECT a.mag_id, v.mag_id AS rival, count(*) AS weight FROM known a JOIN contested USING (contig_id) JOIN (SELECT contig_id, mag_id FROM votes WHERE mag_id IN (SELECT mag_id FROM mags)) v USING (contig_id) WHERE a.mag_id <> v.mag_id GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY mag_id ORDER BY weight DESC, rival) AS place FROM weights),
+shown AS (SELECT mag_id, rival AS hub FROM placed WHERE place <= 40 UNION ALL SELECT mag_id, mag_id FROM mags),
+linked AS (SELECT a.mag_id, a.contig_id, count(*) AS n_hubs FROM known a JOIN (SELECT DISTINCT contig_id, mag_id AS hub FROM votes) h USING (contig_id) JOIN shown s ON s.mag_id = a.mag_id AND s.hub = h.hub GROUP BY ALL),
+leaves AS (SELECT l.mag_id, l.contig_id, n_hubs, CASE WHEN n_hubs = 1 THEN 'core' WHEN t.bin_id IS NULL THEN 'tied' WHEN t.bin_id = 'excluded' THEN 'excluded' WHEN t.bin_id = l.mag_id THEN 'held-here' ELSE 'held-elsewhere' END AS state
+  FROM linked l JOIN contested USING (contig_id) LEFT JOIN state t USING (contig_id) WHERE n_hubs > 1)"""
+
+
+@query(f"WITH RECURSIVE {_LEAVES} SELECT mag_id, contig_id, state, n_hubs FROM leaves")
+def mag_neighbourhood(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    return network.leaves(rec.votes, rec.mags, rec.agreement, _state(spark, sf, rec))
+
+
+@query(f"WITH RECURSIVE {_LEAVES} SELECT mag_id, rival, weight, place::INT AS place FROM placed")
+def mag_rivals(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    return network.rivals(rec.votes, rec.mags, rec.agreement)
+
+
+@query()
+def force_layout(spark, sf):
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    shown = network.limited(network.leaves(rec.votes, rec.mags, rec.agreement, _state(spark, sf, rec)))
+    return network.force_layout(network.ring_layout(shown), network.edges(shown, rec.votes, rec.mags))
+
+
+@query(f"WITH {d.CONTIGS}, {d.COVERAGE} SELECT c.contig_id, length, round(mean_depth, 6) AS mean_depth FROM contigs c LEFT JOIN coverage USING (contig_id)")
+def coverage_attach(spark, sf):
+    rows = evidence.coverage_attached(d.contigs(spark, sf), d.coverage(spark, sf))
+    return rows.select("contig_id", "length", r6("mean_depth", "mean_depth"))
+
+
+@query(f"""WITH {d.ASSIGNMENTS}, l AS (SELECT 'contig_' || doc_id AS contig_id, lang AS label FROM documents), r AS (SELECT bin_id, contig_id, label FROM assignments JOIN l USING (contig_id) WHERE tool = 'A'),
+top AS (SELECT bin_id, label AS majority FROM (SELECT bin_id, label, row_number() OVER (PARTITION BY bin_id ORDER BY count(*) DESC, label) AS k FROM r GROUP BY bin_id, label) WHERE k = 1)
+SELECT r.bin_id, contig_id, label, majority FROM r JOIN top USING (bin_id) WHERE label <> majority""")
+def taxon_mismatch(spark, sf):
+    labels = d.table(spark, sf, "documents").select(F.concat(F.lit("contig_"), "doc_id").alias("contig_id"), F.col("lang").alias("label"))
+    return evidence.majority_mismatch(_tool_a(spark, sf), labels)
+
+
+# Marker search: the benchmark's passages are the references
+
+
+def _refs(spark, sf):
+    rows = d.table(spark, sf, "benchmark")
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    seq = sequence.translate_frame(F.translate(letters, d.LETTERS, d.BASES), 0)
+    return rows.select(F.col("item_id").alias("ref_id"), F.concat(F.lit("COG"), F.lpad((F.col("item_id") % 40).cast("string"), 4, "0")).alias("family"), F.col("item_id").alias("tax_id"), F.regexp_replace(seq, r"\*", "X").alias("residues")).withColumn("len", F.length("residues"))
+
+
+_REFS = f"""refseqs AS (SELECT item_id AS ref_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{d.LETTERS}', '{d.BASES}') AS s FROM benchmark),
+refaa AS (SELECT ref_id, string_agg(coalesce(CASE amino WHEN '*' THEN 'X' ELSE amino END, 'X'), '' ORDER BY k) AS aa FROM (
+  SELECT ref_id, k, substr(s, 3 * k + 1, 3) AS codon FROM (SELECT *, unnest(range(0, length(s) // 3)) AS k FROM refseqs)) LEFT JOIN codons USING (codon) GROUP BY ref_id),
+refseg AS (SELECT ref_id, s, sum(length(s) + 1) OVER (PARTITION BY ref_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(s) - 1 AS off FROM (SELECT ref_id, unnest(string_split(aa, 'X')) AS s, generate_subscripts(string_split(aa, 'X'), 1) AS i FROM refaa)),
+refhits AS (SELECT ref_id, (off + p)::INT AS ref_pos, translate(substr(s, p + 1, 9), '{_GROUPS}', '{_DIGITS}')::BIGINT AS code FROM (SELECT *, unnest(range(0, length(s) - 8)) AS p FROM refseg WHERE length(s) >= 9))"""
+_DIAGONALS = f"""{_SEEDS}, {_REFS}, kept AS (SELECT * FROM refhits QUALIFY count(*) OVER (PARTITION BY code) <= 20),
+diagonals AS (SELECT contig_id, frame, ref_id, frame_pos - ref_pos AS diagonal, count(*) AS n, min(frame_pos) AS frame_pos FROM seeds JOIN kept USING (code) GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {_FRAMES}, {_REFS} SELECT code, ref_id, ref_pos FROM refhits")
+def seed_index(spark, sf):
+    return markers.seed_index(_refs(spark, sf), min_hits=1, max_hits=1000)
+
+
+@query(f"WITH {_DIAGONALS} SELECT contig_id, frame, ref_id, diagonal, n, frame_pos FROM diagonals")
+def diagonal_two_hit(spark, sf):
+    refs = _refs(spark, sf)
+    frames = markers.frames_of(d.sequences(spark, sf))
+    return markers.diagonals(markers.seeds(frames), markers.seed_index(refs, min_hits=1))
+
+
+@query()
+def marker_extensions(spark, sf):
+    refs = _refs(spark, sf)
+    frames = markers.frames_of(d.sequences(spark, sf))
+    found = markers.diagonals(markers.seeds(frames), markers.seed_index(refs, min_hits=1))
+    return markers.extensions(found, frames, refs)
+
+
+@query()
+def marker_calls(spark, sf):
+    refs = _refs(spark, sf)
+    return markers.search(d.sequences(spark, sf), refs, markers.seed_index(refs, min_hits=1), markers.Search(min_representatives=1))
+
+
+@query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+picks AS (SELECT DISTINCT l_suppkey, floor(j * (n / 20::DOUBLE))::BIGINT AS i FROM (SELECT DISTINCT l_suppkey, n FROM r WHERE n > 20), range(20) t(j))
+SELECT l_suppkey, l_orderkey, l_linenumber FROM r WHERE n >= 3 AND (n <= 20 OR (l_suppkey, i) IN (SELECT (l_suppkey, i) FROM picks))""")
+def index_key_cap(spark, sf):
+    rows = d.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    return markers.thinned(rows, "l_suppkey", ("l_orderkey", "l_linenumber"), 3, 20)
+
+
+@query("""WITH r AS (SELECT l_partkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem)
+SELECT l_partkey, v AS l_extendedprice FROM r WHERE i = least(n - 1, floor(n * 0.1))""")
+def percentile_floor(spark, sf):
+    return markers.percentile_floor(d.table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice", 0.1)
+
+
+def _proteins(spark, sf):
+    rows = d.table(spark, sf, "part")
+    return rows.select(F.col("p_brand").alias("family"), F.col("p_partkey").cast("string").alias("header"), F.concat("p_name", F.lit(" "), "p_type").alias("seq"))
+
+
+@query()
+def minhash_clusters(spark, sf):
+    return markers.greedy_clusters(_proteins(spark, sf))
+
+
+@query()
+def cluster_report(spark, sf):
+    return markers.cluster_report(markers.greedy_clusters(_proteins(spark, sf)))
+
+
+# Files and exports
+
+
+@query("""WITH f AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS len, 60 AS b, CASE WHEN o_orderkey % 2 = 0 THEN 61 ELSE 62 END AS w, o_orderkey % 5 <> 0 AS u FROM orders)
+SELECT o_orderkey, CASE WHEN u AND len > 0 THEN len // b * w + CASE WHEN len % b > 0 THEN len % b + w - b ELSE 0 END END AS bytes FROM f""")
+def byte_span(spark, sf):
+    key = F.col("o_orderkey")
+    rows = d.table(spark, sf, "orders")
+    length = F.floor("o_totalprice").cast("long")
+    return rows.select("o_orderkey", sequence.byte_span(length, F.lit(60), F.when(key % 2 == 0, 61).otherwise(62), key % 5 != 0).alias("bytes"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[",\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)""")
+def csv_fields(spark, sf):
+    return d.table(spark, sf, "conversations").select("conv_id", "turn", text.csv_field(F.col("text")).alias("field"))
+
+
+@query(f"""WITH {d.SEQUENCES} SELECT contig_id, md5(rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS digest FROM seqs""")
+def wrap_sequence(spark, sf):
+    return d.sequences(spark, sf).select("contig_id", F.md5(sequence.wrapped(F.col("seq"))).alias("digest"))
+
+
+@query()
+def summary_csv(spark, sf):
+    return export.summary_lines(_summary(spark, sf))
+
+
+@query("""SELECT 'contig_' || doc_id AS contig_id, length(s) AS length, length(s) > 0 AS spanned, md5(s) AS digest FROM (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents)""")
+def fasta_records(spark, sf):
+    rows = d.table(spark, sf, "documents")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    body = F.concat(F.lit("contig_"), "doc_id", F.lit(" made of text\r\n"), sequence.wrapped(letters), F.lit("\n"))
+    parsed = fasta.parse_records(rows.select(F.lit("memory").alias("file"), F.col("doc_id").alias("ord"), F.lit(1).cast("long").alias("at"), body.alias("body")))
+    return parsed.select(F.col("id").alias("contig_id"), F.length("seq").alias("length"), fasta.span("fai").isNotNull().alias("spanned"), F.md5("seq").alias("digest"))
+
+
+# Taxonomy: parts below their types, types below their first word, all below one root
+
+
+def _tree(spark, sf):
+    keys = d.table(spark, sf, "part").select(F.col("p_partkey").alias("tax_id"))
+    up = keys.select("tax_id", F.floor(F.col("tax_id") / 2).cast("long").alias("parent"), F.lit("species").alias("rank"))
+    return up.select("tax_id", F.when(F.col("tax_id") <= 1, F.col("tax_id")).otherwise(F.col("parent")).alias("parent"), "rank")
+
+
+_TREE = "tree AS (SELECT p_partkey AS tax_id, CASE WHEN p_partkey <= 1 THEN p_partkey ELSE p_partkey // 2 END AS parent FROM part)"
+_CHAINS = f"""{_TREE}, chains AS (SELECT tax_id, 0 AS depth, tax_id AS ancestor FROM tree
+  UNION ALL SELECT c.tax_id, c.depth + 1, t.parent FROM chains c JOIN tree t ON t.tax_id = c.ancestor WHERE t.parent <> t.tax_id)"""
+
+
+@query(f"WITH RECURSIVE {_CHAINS} SELECT tax_id, depth, ancestor FROM chains")
+def lineage_closure(spark, sf):
+    tree = _tree(spark, sf)
+    return taxonomy.lineage(tree.select("tax_id"), tree)
+
+
+_GROUPED = "groups AS (SELECT p_brand AS grp, p_partkey AS tax_id FROM part)"
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, {_GROUPED}, sizes AS (SELECT grp, count(*) AS members FROM groups GROUP BY grp), shared AS (SELECT grp, ancestor, count(*) AS n, min(depth) AS depth FROM groups JOIN chains USING (tax_id) GROUP BY ALL)
+SELECT grp, (list(ancestor ORDER BY depth, ancestor))[1] AS ancestor, any_value(members) AS members FROM shared JOIN sizes USING (grp) WHERE n = members GROUP BY grp""")
+def lowest_common_ancestor(spark, sf):
+    tree = _tree(spark, sf)
+    groups = d.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("tax_id"))
+    return taxonomy.common_ancestor(groups, taxonomy.lineage(tree.select("tax_id"), tree))
