@@ -3,7 +3,8 @@
 Documents with the same shingle set form one class; only classes are joined. Two sets whose Jaccard similarity
 reaches the threshold share a shingle among the first n - T + 1 of each in any common order (T = least overlap of a
 set of n). The order puts frequent shingles last, so that the rest, the short inverted lists, name few classes.
-Classes that share such a shingle meet in a task, lists with the same members being searched once. There, each
+Classes that share such a shingle meet in a task, lists with the same members being searched once, and without members that differ from all others in
+too many bits of a parity bitmap. There, each
 class is a query over the others' inverted lists: the short lists are merged, the long ones are left out and probed
 by binary search for what the short ones found often enough (DivideSkip), and what reaches the overlap is a link.
 
@@ -33,7 +34,7 @@ class Settings:
     percent: int = 85  # Jaccard similarity, in hundredths
     frequent: int = 64  # documents from which a shingle counts as frequent
     frequent_most: int = 1_000_000  # frequent shingles that are put last, at most (the most frequent ones)
-    window: int = 3_000_000  # shingles that a task counts at once
+    window: int = 1_000_000  # shingles that a task counts at once
     block: int = 256  # classes searched together
     pivots: int = 8
 
@@ -46,7 +47,7 @@ class WordHashes(dict):
 
         out = xxhash.xxh64(word).intdigest().to_bytes(8, "little")
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = out
         return out
@@ -96,90 +97,118 @@ def prefix(x, frequent, percent: int):
     return np.concatenate((x[~last], x[last]))[:p]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+def packed(x) -> bytes:
+    """Six bytes for each of the sorted hashes: their upper 48 bits."""
+    import numpy as np
+
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(b: bytes):
+    import numpy as np
+
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
+def _sliced(batches, rows: int = 512):
+    """Batches cut small, so that a worker holds few texts and sets as objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def profiled(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n, key) of each row; further rows without a doc_id: key is a shingle that n classes of a task share."""
+    """(doc_id, n, key, tokens) of each row, the only pass over the texts.
+
+    Further rows without tokens: ``key`` is a shingle that n classes of a task share.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         hashes, held, size, seen = WordHashes(), [], 0, set()
-        kinds = (pa.int64(), pa.int32(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
         def out(*cols):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n", "key", "tokens"])
 
         def counted():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             many = n > 1
-            return out([None] * int(many.sum()), n[many].astype(np.int32), tokens[many])
+            none = [None] * int(many.sum())
+            return out(none, n[many].astype(np.int32), tokens[many], none)
 
-        for b in batches:
-            ids, ns, keys = b.column(0).to_pylist(), [], []
+        for b in _sliced(batches):
+            ids, ns, keys, sets = b.column(0).to_pylist(), [], [], []
             for t in b.column(1).to_pylist():
                 x = shingle_set(t, s.words, hashes)
                 ns.append(len(x))
                 keys.append(k := set_key(x))
+                sets.append(packed(x))
                 if k not in seen:
                     seen.add(k)
-                    held.append(x)
+                    held.append(x >> 16 << 16)
                     size += len(x)
                     if size > s.window:
                         yield counted()
                         held, size, seen = [], 0, set()
-            yield out(ids, ns, keys)
+            yield out(ids, ns, keys, sets)
         if held:
             yield counted()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n int, key long")
+    rows = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n int, key long, tokens binary")
 
 
 def frequent_shingles(profile: DataFrame, s: Settings):
     """Sorted array of at most ``s.frequent_most`` shingles. Results do not depend on it, only the work does."""
     import numpy as np
 
-    counted = profile.where("doc_id is null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= s.frequent)
+    counted = profile.where("tokens is null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= s.frequent)
     rows = counted.orderBy(F.desc("n"), "key").limit(s.frequent_most).select("key").toArrow()
     return np.sort(np.asarray(rows.column(0), dtype=np.int64))
 
 
-def postings(docs: DataFrame, frequent, s: Settings, only=None) -> DataFrame:
+def postings(profile: DataFrame, frequent, s: Settings, only=None) -> DataFrame:
     """(token, key, n): the prefix of each row. ``only``: a broadcast sorted array of the tokens that count."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        hashes, last = WordHashes(), frequent.value
-        for b in batches:
-            tokens, keys, ns, many = [], [], [], []
-            for t in b.column(0).to_pylist():
-                x = shingle_set(t, s.words, hashes)
-                if len(x):
-                    p = prefix(x, last, s.percent)
-                    if only is not None:
-                        p = p[only.value[np.minimum(np.searchsorted(only.value, p), len(only.value) - 1)] == p]
-                    tokens.append(p)
-                    keys.append(set_key(x))
-                    ns.append(len(x))
-                    many.append(len(p))
+        last = frequent.value
+        for b in _sliced(batches):
+            tokens, many = [], []
+            for t in b.column(2).to_pylist():
+                p = prefix(unpacked(t), last, s.percent)
+                if only is not None:
+                    p = p[only.value[np.minimum(np.searchsorted(only.value, p), len(only.value) - 1)] == p]
+                tokens.append(p)
+                many.append(len(p))
             if sum(many):
-                cols = (np.concatenate(tokens), np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(ns, np.int32), many))
+                cols = (np.concatenate(tokens), np.repeat(np.asarray(b.column(0)), many), np.repeat(np.asarray(b.column(1)), many))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "key", "n"])
 
-    return _texts(docs).select("text").mapInArrow(run, "token long, key long, n int")
+    return profile.where("tokens is not null and n > 0").select("key", "n", "tokens").mapInArrow(run, "token long, key long, n int")
 
 
-def shared_lists(docs: DataFrame, frequent, s: Settings) -> DataFrame:
-    """(token, key, n): the inverted lists with two classes at least, one for each set of members."""
-    spark = docs.sparkSession
+def _once(lists: DataFrame) -> DataFrame:
+    """(token, key, n, m): of the lists with the same members, the one of the least token. m: its members."""
+    member = F.xxhash64("key", "n")
+    sums = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("y"))
+    first = sums.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
+    return stored(lists.join(first, "token").select("token", "key", "n", "m"), "lists")
+
+
+def shared_lists(profile: DataFrame, frequent, s: Settings) -> DataFrame:
+    """(token, key, n, m): the inverted lists with two classes at least, one for each set of members."""
+    spark = profile.sparkSession
     sc = spark.sparkContext
     last = sc.broadcast(frequent)  # at most ``frequent_most`` longs
-    ends = postings(docs, last, s).groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    ends = postings(profile, last, s).groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = stored(ends.where("low <> high").select("token"), "shared-tokens")
     n = shared.count()
     if not n:
@@ -188,14 +217,90 @@ def shared_lists(docs: DataFrame, frequent, s: Settings) -> DataFrame:
         import numpy as np
 
         only = sc.broadcast(np.sort(np.asarray(shared.toArrow().column(0), dtype=np.int64)))
-        rows = postings(docs, last, s, only)
+        rows = postings(profile, last, s, only)
     else:
-        rows = postings(docs, last, s).join(shared, "token", "left_semi")
+        rows = postings(profile, last, s).join(shared, "token", "left_semi")
     lists = stored(rows.groupBy("token", "key", "n").agg(F.count(F.lit(1)).alias("copies")).drop("copies"), "lists")
-    member = F.xxhash64("key", "n")
-    sums = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("y"))
-    first = sums.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
-    return stored(lists.join(first, "token"), "lists")
+    return _once(lists)
+
+
+def sketch(x):
+    """Parity bitmap: bit h(token) of the set flips for each token. At least as many tokens differ as bits do."""
+    import numpy as np
+
+    bits = 1 << max(8, (2 * max(1, len(x)) - 1).bit_length())
+    at = (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little")
+
+
+def plausible(sizes, bitmaps: list, percent: int):
+    """Which sets may reach the similarity with another, by size and parity bitmap. No pair that does is missed."""
+    import numpy as np
+
+    m = len(sizes)
+    alive = np.zeros(m, bool)
+    width = np.array([len(b) for b in bitmaps])
+    rows = {w: np.flatnonzero(width == w) for w in set(width.tolist())}
+    words = {w: np.stack([bitmaps[i] for i in k]).view(np.uint64) for w, k in rows.items()}
+
+    def fold(b):
+        return b[: len(b) // 2] ^ b[len(b) // 2 :]
+
+    for i in range(m):
+        n = int(sizes[i])
+        for w, mine in ((width[i], bitmaps[i]), (width[i] // 2, fold(bitmaps[i]))):
+            k = rows.get(int(w))
+            if k is None:
+                continue
+            other = sizes[k]
+            near = (100 * other >= percent * n) & (percent * other <= 100 * n) & (k != i)
+            if not near.any() or alive[i] and alive[k[near]].all():
+                continue
+            differ = np.bitwise_count(words[int(w)][near] ^ mine.view(np.uint64)).sum(1)
+            fits = differ * (100 + percent) <= (100 - percent) * (other[near] + n)
+            if fits.any():
+                alive[i] = True
+                alive[k[near][fits]] = True
+    return alive
+
+
+def _grouped(batches, columns: int):
+    """(group, rows) of a sorted partition; the group is the first column."""
+    held, current = [], None
+    for b in _sliced(batches):
+        for row in zip(*(c.to_pylist() for c in b.columns[:columns]), strict=True):
+            if row[0] != current and held:
+                yield current, held
+                held = []
+            current = row[0]
+            held.append(row)
+    if held:
+        yield current, held
+
+
+def likely_lists(lists: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The lists that one task can search, without members that no other member can be similar to."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in _sliced(batches):
+            maps = [sketch(unpacked(t)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], names=["key", "bits"])
+
+    def keep(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for token, rows in _grouped(batches, 4):
+            got = plausible(np.array([r[2] for r in rows]), [np.frombuffer(r[3], np.uint8) for r in rows], s.percent)
+            if got.any():
+                keys, ns = zip(*((r[1], r[2]) for r, k in zip(rows, got, strict=True) if k), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([token] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(ns, pa.int32())], names=["token", "key", "n"])
+
+    bitmaps = sets.mapInArrow(run, "key long, bits binary")
+    rows = lists.select("token", "key", "n").join(bitmaps, "key").select("token", "key", "n", "bits")
+    return rows.repartition("token").sortWithinPartitions("token", "key").mapInArrow(keep, "token long, key long, n int")
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -257,7 +362,6 @@ def _searched(groups: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of classes. ``groups``: (grp, key, ask, tokens) with a bounded number of rows for each grp."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         held: dict[int, tuple] = {}
@@ -271,7 +375,7 @@ def _searched(groups: DataFrame, percent: int) -> DataFrame:
             got = search([held[k][0] for k in keys], percent, None if all(asks) else asks)
             return [keys[i] for i, _ in got], [keys[j] for _, j in got]
 
-        for b in batches:
+        for b in _sliced(batches):
             a, z = [], []
             for grp, key, ask, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if grp != current:
@@ -279,7 +383,7 @@ def _searched(groups: DataFrame, percent: int) -> DataFrame:
                     a += p
                     z += q
                     held, current = {}, grp
-                held[key] = (np.frombuffer(tokens, np.int64), ask or key in held and held[key][1])
+                held[key] = (unpacked(tokens), ask or key in held and held[key][1])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
         p, q = links()
@@ -289,29 +393,21 @@ def _searched(groups: DataFrame, percent: int) -> DataFrame:
     return ranged.select("grp", "key", "ask", "tokens").mapInArrow(run, "a long, b long")
 
 
-def class_sets(docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """(key, tokens) of the classes in ``reps`` (doc_id, key), from the text of one document of each."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t, s.words, hashes).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["key", "tokens"])
-
-    rows = _texts(docs).join(reps, "doc_id").select("key", "text")
-    return rows.mapInArrow(run, "key long, tokens binary")
-
-
-def class_links(docs: DataFrame, profile: DataFrame, s: Settings = Settings()) -> DataFrame:
+def class_links(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b): links between classes (by key) that span the components of the similarity graph."""
-    spark = docs.sparkSession
-    lists = shared_lists(docs, frequent_shingles(profile, s), s)
-    active = lists.select("key").distinct()
-    reps = stored(profile.where("doc_id is not null").join(active, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "representatives")
-    sets = class_sets(docs, maybe_broadcast(reps, reps.count(), 48), s)
-    few, many = lists.where(F.col("m") <= s.block), lists.where(F.col("m") > s.block)
+    lists = shared_lists(profile, frequent_shingles(profile, s), s)
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """(key, tokens) of classes, from one row of each."""
+        rows = profile.where("tokens is not null and n > 0")
+        reps = stored(rows.select("doc_id", "n", "key").join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "representatives")
+        found = rows.select("doc_id", "key", "tokens").join(maybe_broadcast(reps, reps.count(), 48), ["doc_id", "key"])
+        return found.select("key", "tokens")
+
+    short = lists.where(F.col("m") <= s.block)
+    few = _once(stored(likely_lists(short, sets_of(short.select("key")), s), "likely"))
+    many = lists.where(F.col("m") > s.block)
+    sets = sets_of(few.select("key").unionByName(many.select("key")))
     # Long lists: blocks by hash, each with the same few pivots, which are those of least hash.
     blocks = F.ceil(F.col("m") / (s.block // 2)).cast("int")
     block = F.pmod(F.xxhash64("key", "token"), blocks).cast("int")
@@ -347,9 +443,9 @@ def class_links(docs: DataFrame, profile: DataFrame, s: Settings = Settings()) -
 
 def joined(spark: SparkSession, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of each document."""
-    profile = stored(profiled(docs, s), "shingles")
-    rows = profile.where("doc_id is not null").select("doc_id", "n", "key")
-    label = components(class_links(docs, profile, s))
+    profile = stored(profiled(docs, s), "shingles", compression="none")
+    rows = profile.where("tokens is not null").select("doc_id", "n", "key")
+    label = components(class_links(profile, s))
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("docs"))
     named = classes.join(label, classes.key == label.node, "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     named = stored(named, "classes")
