@@ -3,8 +3,8 @@
 Documents with the same shingle set form one class; only classes are joined. Two sets whose Jaccard similarity
 reaches the threshold share a shingle among the first n - T + 1 of each in any common order (T = least overlap of a
 set of n). The order puts frequent shingles last, so that the rest, the short inverted lists, name few classes.
-Classes that share such a shingle meet in a task, lists with the same members being searched once, and without members that differ from all others in
-too many bits of a parity bitmap. There, each
+Classes that share such a shingle meet in a task: lists without the members that differ from all others in too many bits of a parity bitmap, and what
+such lists connect together, if one task can hold it. There, each
 class is a query over the others' inverted lists: the short lists are merged, the long ones are left out and probed
 by binary search for what the short ones found often enough (DivideSkip), and what reaches the overlap is a link.
 
@@ -32,7 +32,7 @@ from .components import components
 class Settings:
     words: int = 4  # of a shingle
     percent: int = 85  # Jaccard similarity, in hundredths
-    frequent: int = 64  # documents from which a shingle counts as frequent
+    frequent: int = 16  # documents, in tasks that have two at least, from which a shingle counts as frequent
     frequent_most: int = 1_000_000  # frequent shingles that are put last, at most (the most frequent ones)
     window: int = 1_000_000  # shingles that a task counts at once
     block: int = 256  # classes searched together
@@ -393,6 +393,17 @@ def _searched(groups: DataFrame, percent: int) -> DataFrame:
     return ranged.select("grp", "key", "ask", "tokens").mapInArrow(run, "a long, b long")
 
 
+def _clusters(lists: DataFrame, s: Settings) -> DataFrame:
+    """(grp, key): classes that lists connect, once each; where these are too many for a task, the lists one by one."""
+    ends = lists.groupBy("token").agg(F.min("key").alias("low"))
+    label = components(lists.join(ends, "token").select("key", "low"), "key", "low")
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    small = label.join(sizes.where(F.col("size") <= s.block), "component").select(F.xxhash64("component", F.lit("cluster")).alias("grp"), F.col("node").alias("key"))
+    big = label.join(sizes.where(F.col("size") > s.block), "component").select(F.col("node").alias("key"))
+    rest = lists.join(big, "key", "left_semi").select(F.xxhash64("token").alias("grp"), "key")
+    return stored(small.unionByName(rest), "clusters")
+
+
 def class_links(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b): links between classes (by key) that span the components of the similarity graph."""
     lists = shared_lists(profile, frequent_shingles(profile, s), s)
@@ -418,7 +429,7 @@ def class_links(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
     pivots = top.select("token", "blocks", F.explode("p.key").alias("key"))
     spread = pivots.select("token", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     grouped = (
-        few.select(F.xxhash64("token").alias("grp"), "key")
+        _clusters(few, s)
         .unionByName(long.select(F.xxhash64("token", "block").alias("grp"), "key"))
         .unionByName(spread.select(F.xxhash64("token", "block").alias("grp"), "key"))
     )
