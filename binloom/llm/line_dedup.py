@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, indices, let, strip_ws
+from .common import ascii_lower, indices, let, maybe_broadcast, stored, strip_ws
 
 #: Pieces that the rows of one key are split into.
 SALTS = 64
@@ -51,7 +51,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     ``stop`` of the last range is null: it reaches to the end of the text. ``row`` is xxhash64(text).
     """
     lines = long_lines(docs, min_chars)
-    lost = lines.join(repeated_keys(lines, min_docs), ["h1", "h2"]).where("doc_id <> last_doc")
+    keys = stored(repeated_keys(lines, min_docs), "line-keys")
+    lost = lines.join(maybe_broadcast(keys, keys.count(), 64), ["h1", "h2"]).where("doc_id <> last_doc")
     drop = lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("d"))
     runs = F.transform(
         indices(F.size("d") + 1),
