@@ -33,6 +33,7 @@ class Settings:
     words: int = 4  # of a shingle
     percent: int = 85  # Jaccard similarity, in hundredths
     frequent: int = 16  # documents, in tasks that have two at least, from which a shingle counts as frequent
+    often: int = 24  # rows that have a shingle in their prefix, from which it counts as frequent too
     frequent_most: int = 1_000_000  # frequent shingles that are put last, at most (the most frequent ones)
     window: int = 1_000_000  # shingles that a task counts at once
     block: int = 256  # classes searched together
@@ -195,6 +196,16 @@ def postings(profile: DataFrame, frequent, s: Settings, only=None) -> DataFrame:
     return profile.where("tokens is not null and n > 0").select("key", "n", "tokens").mapInArrow(run, "token long, key long, n int")
 
 
+def often_listed(profile: DataFrame, frequent, s: Settings):
+    """``frequent`` with the shingles whose lists are long under it, counted over all rows, at most ``frequent_most``."""
+    import numpy as np
+
+    last = profile.sparkSession.sparkContext.broadcast(frequent)
+    counted = postings(profile, last, s).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= s.often)
+    rows = counted.orderBy(F.desc("n"), "token").limit(s.frequent_most).select("token").toArrow()
+    return np.union1d(frequent, np.asarray(rows.column(0), dtype=np.int64))
+
+
 def _once(lists: DataFrame) -> DataFrame:
     """(token, key, n, m): of the lists with the same members, the one of the least token. m: its members."""
     member = F.xxhash64("key", "n")
@@ -225,10 +236,13 @@ def shared_lists(profile: DataFrame, frequent, s: Settings) -> DataFrame:
 
 
 def sketch(x):
-    """Parity bitmap: bit h(token) of the set flips for each token. At least as many tokens differ as bits do."""
+    """Parity bitmap: bit h(token) of the set flips for each token. At least as many tokens differ as bits do.
+
+    With half a bit for each token, unrelated sets still differ in more bits than similar ones may.
+    """
     import numpy as np
 
-    bits = 1 << max(8, (2 * max(1, len(x)) - 1).bit_length())
+    bits = 1 << max(7, (max(1, len(x) // 2) - 1).bit_length())
     at = (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & (bits - 1)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little")
 
@@ -406,7 +420,7 @@ def _clusters(lists: DataFrame, s: Settings) -> DataFrame:
 
 def class_links(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b): links between classes (by key) that span the components of the similarity graph."""
-    lists = shared_lists(profile, frequent_shingles(profile, s), s)
+    lists = shared_lists(profile, often_listed(profile, frequent_shingles(profile, s), s), s)
 
     def sets_of(keys: DataFrame) -> DataFrame:
         """(key, tokens) of classes, from one row of each."""
