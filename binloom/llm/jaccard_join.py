@@ -433,18 +433,21 @@ def class_links(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
     few = _once(stored(likely_lists(short, sets_of(short.select("key")), s), "likely"))
     many = lists.where(F.col("m") > s.block)
     sets = sets_of(few.select("key").unionByName(many.select("key")))
-    # Long lists: blocks by hash, each with the same few pivots, which are those of least hash.
+    # Long lists: blocks by hash, each with the same few pivots, which are those of least hash. A class is searched
+    # in the longest of its lists first; what that leaves apart is found below, in all of them.
     blocks = F.ceil(F.col("m") / (s.block // 2)).cast("int")
     block = F.pmod(F.xxhash64("key", "token"), blocks).cast("int")
     long = stored(many.select("token", "key", "n", "m", blocks.alias("blocks"), block.alias("block")), "long-lists")
+    chosen = long.groupBy("key").agg(F.max(F.struct("m", "token")).alias("list")).select(F.col("list.token").alias("token"), "key", F.col("list.m").alias("m"))
+    chosen = chosen.select("token", "key", blocks.alias("blocks"), block.alias("block"))
     first = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key"))), 1, s.pivots)
-    per_block = long.groupBy("token", "block").agg(first.alias("p"), F.max("blocks").alias("blocks"))
+    per_block = chosen.groupBy("token", "block").agg(first.alias("p"), F.max("blocks").alias("blocks"))
     top = per_block.groupBy("token").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, s.pivots).alias("p"), F.max("blocks").alias("blocks"))
     pivots = top.select("token", "blocks", F.explode("p.key").alias("key"))
     spread = pivots.select("token", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     grouped = (
         _clusters(few, s)
-        .unionByName(long.select(F.xxhash64("token", "block").alias("grp"), "key"))
+        .unionByName(chosen.select(F.xxhash64("token", "block").alias("grp"), "key"))
         .unionByName(spread.select(F.xxhash64("token", "block").alias("grp"), "key"))
     )
     links = stored(_searched(grouped.withColumn("ask", F.lit(True)).join(sets, "key"), s.percent), "links")
@@ -462,7 +465,8 @@ def class_links(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
     asked = named.select("token", "key", "block").join(wanted, "token")
     pair = F.xxhash64("token", "chunk", "block").alias("grp")
     second = asking.select(pair, "key", F.lit(True).alias("ask")).unionByName(asked.select(pair, "key", F.lit(False).alias("ask")))
-    more = _searched(second.join(sets, "key"), s.percent)
+    second = stored(second, "asked")
+    more = _searched(second.join(sets_of(second.select("key")), "key"), s.percent)
     return stored(links.unionByName(more), "links")
 
 
