@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -316,6 +317,46 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.verdicts(df.where("false"), bench).count() == 0
 
 
+def test_masks_meet_every_accepted_overlap():
+    seeds = decontaminate.Seeds()
+    masks = [[i for i, bit in enumerate(m) if bit == "1"] for m in seeds.masks]
+    for n in range(seeds.min_words, seeds.window + 1):
+        most = max(k for k in range(n) if (n - k) / n >= seeds.min_match)
+        for changed in itertools.combinations(range(n), most):
+            same = set(range(n)).difference(changed)
+            assert any(all(q + k in same for k in m) for m in masks for q in range(n - m[-1])), (n, changed)
+
+
+def overlaps_by_hand(text, item, window=16, share=0.75, least=8):
+    """The best share over every window of the item on every diagonal; 0 below the threshold."""
+    w, x = (t.lower().split() for t in (text or "", item or ""))
+    span, best = min(len(x), window), 0.0
+    for d in range(-len(x) + 1, len(w)) if len(x) >= least else ():
+        same = [0 <= i + d < len(w) and w[i + d] == y for i, y in enumerate(x)]
+        best = max(best, max(sum(same[q : q + span]) for q in range(len(x) - span + 1)) / span)
+    return best if best >= share else 0.0
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(17)
+    items = {i: prose(rng, n) for i, n in enumerate([7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 24, 30, 8, 12, 16, 16])}
+    texts = []
+    for x in items.values():
+        w = x.split()
+        for at in range(4):  # every fourth word changed, at each offset
+            texts.append([v if k % 4 != at else "changed" for k, v in enumerate(w)])
+        for _ in range(14):  # words changed at random, about as many as the threshold allows
+            cut = set(rng.sample(range(len(w)), rng.choice([len(w) // 4, len(w) // 4 + 1, max(len(w) // 4 - 1, 0)])))
+            texts.append([v if k not in cut else "changed" for k, v in enumerate(w)])
+        texts += [w[2:], w[:-3], w[4:], w[:12] + ["changed"] * 4]  # text that ends inside the item
+    rows = [(i, " ".join([*prose(rng, i % 5 * 3).split(), *t, *prose(rng, i % 3 * 4).split()])) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.best_share) for r in decontaminate.verdicts(documents(spark, rows), bench).collect()}
+    shares = {i: [s for x in items.values() if (s := overlaps_by_hand(t, x))] for i, t in rows}
+    assert got == {i: (len(s), max(s, default=0.0)) for i, s in shares.items()}
+    assert {sum(bool(s) for s in shares.values()) > 150, any(not s for s in shares.values())} == {True}
+
+
 # HTML
 
 
