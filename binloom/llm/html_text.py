@@ -3,13 +3,16 @@
 Each page is read as text lines (the text of its blocks), each with a zone: inside an article or main element,
 elsewhere in the body, or in an element that never holds main text (menus, forms, scripts, comment lists ...).
 Pages are range-sorted by host and URL path, over all tasks; each is paired with its neighbours of the same host,
-their lines are aligned by longest common subsequence, and shared lines are deleted. Two exceptions keep articles
-whole: lines inside the article element of a page outrank the differencing, and so does the body of neighbours
-without one that share most of their text, which are copies of one page. Only line hashes are sorted and shuffled.
+and their lines are aligned by longest common subsequence. The differencing decides on all pages, with the article
+element as evidence: a shared line goes, but inside the article of both pages only if one of the further neighbours
+holds it too. A pair that shares more than it leaves over may be copies of one page: there a line goes if a further
+neighbour holds it that does not hold most of what the pair shares, or, outside articles, one that is a third page
+with lines of its own. A page without a neighbour has only the evidence: its article, if it has one, is its text.
+Only line hashes are sorted and shuffled.
 
 Edge cases: null and empty html give an empty text. Unclosed and stray tags, comments and broken character
 references are read as browsers do. A null URL pairs with no page. Rows that repeat a page (page_id and html) are
-not differenced against each other. Extra columns are ignored. An empty table gives an empty result.
+not differenced against each other, nor are neighbours of equal lines. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ SPACE = re.compile(r"\s+")
 
 ARTICLE, BODY = 1, 0
 Line = tuple[str, int]
+#: Further neighbours that are looked at on each side of a pair, and pages that a decision reaches on each side.
+FURTHER = 2
+REACH = FURTHER + 1
 
 
 def _chrome(attributes: str, name: str) -> bool:
@@ -149,19 +155,48 @@ def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return p[::-1], q[::-1]
 
 
-def _shared(x: dict, y: dict, most: float) -> tuple[list[int], list[int]]:
-    """Lines that neighbours lose, as positions in x and y."""
-    if x["host"] is None or x["host"] != y["host"] or x["page_id"] == y["page_id"] and x["row"] == y["row"]:
-        return [], []
+def _shared(x: dict, y: dict, further: list[dict]) -> set[int]:
+    """Positions of the lines that x shares with its neighbour y and loses."""
     p, q = common_lines(x["lines"], y["lines"])
     size = sum(x["sizes"][i] for i in p)
-    copies = size > most * min(sum(x["sizes"]), sum(y["sizes"]))
-
-    def lost(page: dict, k: list[int]) -> list[int]:
-        whole = copies and not any(page["main"])
-        return [] if whole else [i for i in k if not page["main"][i]]
-
-    return lost(x, p), lost(y, q)
+    copies = size > min(sum(x["sizes"]), sum(y["sizes"])) - size
+    alone = len(p) < min(len(x["lines"]), len(y["lines"]))
+    held = [set(n["lines"]) for n in further]
+    like = [2 * sum(x["sizes"][i] for i in p if x["lines"][i] in h) > size for h in held]
+    third = [alone and not h <= {x["lines"][i] for i in p} for h in held]
+
+    def goes(i: int, j: int) -> bool:
+        article = x["main"][i] and y["main"][j]
+        seen = [n for n, h in enumerate(held) if x["lines"][i] in h]
+        if copies:
+            return any(not like[n] or third[n] and not article for n in seen)
+        return bool(seen) or not article
+
+    return {i for i, j in zip(p, q, strict=True) if goes(i, j)}
+
+
+def _lost(run: list[dict], i: int) -> list[int]:
+    """Positions of the lines that page ``i`` of a run of URL neighbours loses."""
+    x, lost, met = run[i], set(), False
+    same = [k for k in range(max(i - REACH, 0), min(i + REACH + 1, len(run))) if run[k]["host"] == x["host"] is not None and run[k]["lines"]]
+    for j in (i - 1, i + 1):
+        if j in same:
+            lo, hi = min(i, j) - FURTHER, max(i, j) + FURTHER
+            lost |= _shared(x, run[j], [run[k] for k in same if lo <= k <= hi and k not in (i, j)])
+            met = True
+    if not met and any(x["main"]):
+        return [k for k, main in enumerate(x["main"]) if not main]
+    return sorted(lost)
+
+
+def _append(run: list[dict], page: dict) -> bool:
+    """Add a page to a run, with its row; pages of equal lines next to each other are one. False where it was there."""
+    key = (page["page_id"], page["row"])
+    if run and run[-1]["host"] == page["host"] and (page["lines"] is None or run[-1]["lines"] == page["lines"] and run[-1]["main"] == page["main"]):
+        run[-1]["rows"].append(key)
+        return False
+    run.append(page | {"rows": [key]})
+    return True
 
 
 PROFILE = "page_id long, row long, host string, path string, lines array<long>, sizes array<int>, main array<boolean>"
@@ -187,55 +222,61 @@ def profiles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.xxhash64("html").alias("row"), "url", "html").mapInArrow(run, PROFILE)
 
 
-def lost_lines(pages: DataFrame, most: float = 0.5) -> DataFrame:
+def lost_lines(pages: DataFrame) -> DataFrame:
     """(page_id, row, lost): the positions of the lines that a page shares with its nearest URLs and loses."""
     fields = PROFILE + ", part int, place int, lost array<int>"
 
     def sweep(batches):
-        """Neighbours within a task; the first and last page come out whole, to meet those of the next tasks."""
+        """Decides the pages within a task; the first and last come out whole, to meet those of the next tasks."""
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, names = TaskContext.get().partitionId(), None
-        first = last = None
-        lost: list[int] = []
+        part, run, n, done = TaskContext.get().partitionId(), [], 0, []
+        schema = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("main", pa.list_(pa.bool_())), ("part", pa.int32()), ("place", pa.int32()), ("lost", pa.list_(pa.int32()))])
+        names = schema.names[2:7]
 
-        def row(page: dict, lost: list[int], place: int) -> dict:
-            whole = page if place >= 0 else dict.fromkeys(page) | {k: page[k] for k in ("page_id", "row")}
-            return whole | {"part": part, "place": place, "lost": sorted(set(lost))}
+        def decide(i: int) -> None:
+            if lost := _lost(run, i):
+                done.extend(dict.fromkeys(names) | {"page_id": k, "row": r, "part": part, "place": -1, "lost": lost} for k, r in run[i]["rows"])
 
-        def out(rows: list[dict]):
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+        def edge(i: int, place: int) -> None:
+            for at, (k, r) in enumerate(run[i]["rows"]):
+                shown = {c: run[i][c] if at == 0 or c == "host" else None for c in names}
+                done.append(shown | {"page_id": k, "row": r, "part": part, "place": place, "lost": []})
 
-        schema = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("main", pa.list_(pa.bool_())), ("part", pa.int32()), ("place", pa.int32()), ("lost", pa.list_(pa.int32()))])
+        # ``n`` pages so far; the last is still open to rows of equal lines, those before it are closed.
         for b in batches:
-            done = []
             for page in b.to_pylist():
-                if first is None:
-                    first = page
-                if last is not None:
-                    p, q = _shared(last, page, most)
-                    if lost + p:
-                        done.append(row(last, lost + p, -1))
-                    lost = q
-                last = page
+                if not _append(run, page):
+                    continue
+                n += 1
+                if 2 <= n <= 2 * REACH + 1:
+                    edge(-2, n - 2)
+                if n - 2 - REACH >= REACH:
+                    decide(len(run) - 2 - REACH)
+                del run[: -2 * REACH - 2]
             if done:
-                yield out(done)
-        if last is not None:
-            yield out([row(first, [], 0), row(last, lost, 1)])
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+                done.clear()
+        base = n - len(run)
+        if n - 1 - REACH >= REACH:
+            decide(n - 1 - REACH - base)
+        for place in range(max(n - 2 * REACH, min(n - 1, 2 * REACH), 0), n):
+            edge(place - base, place)
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     ranged = profiles(pages).repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
     swept = stored(ranged.mapInArrow(sweep, fields), "page-lines")
-    # Two pages of each task, in task order: the last of one and the first of the next are neighbours too.
-    edges = swept.where("place >= 0").orderBy("part", "place").toLocalIterator()
-    met, before = [], None
-    for e in edges:
-        e = e.asDict()
-        if e["place"] == 0 and before is not None:
-            p, q = _shared(before, e, most)
-            met += [(before["page_id"], before["row"], p)] * bool(p) + [(e["page_id"], e["row"], q)] * bool(q)
-        if e["place"] == 1:
-            before = e
+    # Up to 4 x REACH pages of each task, in task order; those within REACH of its ends are decided here.
+    run: list[dict] = []
+    for e in swept.where("place >= 0").orderBy("part", "place", F.col("lines").isNull()).toLocalIterator():
+        _append(run, e.asDict())
+    size = {e["part"]: e["place"] + 1 for e in run}
+    met = []
+    for i, e in enumerate(run):
+        if not REACH <= e["place"] < size[e["part"]] - REACH and (lost := _lost(run, i)):
+            met += [(k, r, lost) for k, r in e["rows"]]
     kept = swept.where(F.size("lost") > 0).select("page_id", "row", "lost")
     kept = kept.unionByName(pages.sparkSession.createDataFrame(met, "page_id long, row long, lost array<int>"))
     return kept.groupBy("page_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lost")))).alias("lost"))
@@ -243,8 +284,7 @@ def lost_lines(pages: DataFrame, most: float = 0.5) -> DataFrame:
 
 def main_text(lines: list[Line], lost: list[int] | None) -> str:
     gone = set(lost or ())
-    article = any(z == ARTICLE for _, z in lines)
-    return "\n\n".join(t for i, (t, z) in enumerate(lines) if i not in gone and (z == ARTICLE or not article))
+    return "\n\n".join(t for i, (t, _) in enumerate(lines) if i not in gone)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -400,6 +400,35 @@ def test_shared_lines_of_nearest_urls_go(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_differencing_decides_inside_articles(spark):
+    rng = random.Random(18)
+    line, note = "Sign up here to read our texts every day", "Printed with the kind leave of the owner"
+    own = {i: [prose(rng, 12) for _ in range(4)] for i in range(30)}
+    article = lambda *x: "<body><article>" + "".join(f"<p>{t}</p>" for t in x) + "</article>"
+    html = {i: article(own[i][0], line, *own[i][1:]) + f"<div>{note}</div>" for i in range(30)}
+    want = {i: own[i] for i in range(30)}
+    long = [prose(rng, 40) for _ in range(5)]
+    for i in (7, 8):  # near copies: what only they share stays, what the host shares goes
+        html[i], want[i] = article(*long, line, own[i][0]) + f"<div>{note}</div>", [*long, own[i][0]]
+    heavy = [prose(rng, 30) for _ in range(6)]  # more than half of each page, without an article
+    html |= {100 + i: "<body>" + "".join(f"<p>{t}</p>" for t in [*heavy, own[i][0]]) for i in range(20)}
+    want |= {100 + i: [own[i][0]] for i in range(20)}
+    html |= {200: article(*long), 201: article(*long), 202: article(own[0][0]) + f"<p>{note}</p>"}
+    want |= {200: long, 201: long, 202: [own[0][0]]}
+    host = lambda i: f"h{i // 100}" if i < 200 else "twins" if i < 202 else "alone"
+    rows = [(i, f"http://{host(i)}.org/{i:03d}", h) for i, h in html.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in ("1", "4", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would read small partitions as one
+        try:
+            got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert got == {i: "\n\n".join(t) for i, t in want.items()}
+
+
 # Classifiers
 
 
