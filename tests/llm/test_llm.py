@@ -513,6 +513,59 @@ def test_pipeline_stages(spark):
     check_packing(packed.collect(), 2048)
 
 
+def leaks_by_hand(text, items, window=16, share=0.75, least=8):
+    """Whether a window of an item agrees with the text in place, over all diagonals with words enough in common."""
+    where = defaultdict(list)
+    for k, v in enumerate((text or "").encode().lower().split()):
+        where[v].append(k)
+    for x in items:
+        item = (x or "").encode().lower().split()
+        span, same = min(len(item), window), defaultdict(set)
+        for i, v in enumerate(item):
+            for k in where.get(v, ()):
+                same[k - i].add(i)
+        if len(item) >= least and any(sum(q + k in at for k in range(span)) >= share * span for at in same.values() if len(at) >= share * span for q in range(len(item) - span + 1)):
+            return True
+    return False
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs, bench, labels = (table(spark, n) for n in ("documents", "benchmark", "labels"))
+    rng, items = random.Random(19), [r.text for r in bench.collect()]
+    line = prose(rng, 8)
+    near = prose(rng, 80).split()
+    leak = " ".join(w if k % 4 != 1 else "changed" for k, w in enumerate(max(items, key=len).split()))
+    extra = [f"{prose(rng, 30)}\n{line}\n{prose(rng, 30)}" for _ in range(4)]
+    extra += [" ".join(near), " ".join([*near[:40], "other", *near[41:]]), f"{prose(rng, 20)} {leak} {prose(rng, 20)}"]
+    first = docs.limit(1).drop("doc_id", "text")
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(extra)], "doc_id long, text string").crossJoin(first)
+    docs = docs.unionByName(more.select(*docs.columns))
+    for name, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    docs, got = cp.table(spark, str(tmp_path), "documents"), []
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.stored(stage(spark, docs, str(tmp_path)), name)
+        got.append(sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()))
+    accepted, lines, copies, leaks = got
+    want = sorted((i, t) for i, _, _, t in dedup_by_hand(accepted))
+    assert lines == want != accepted
+    sets = {i: shingles(t, 5) for i, t in want}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+    while moved := [(a, b) for a, b in pairs if root[a] != root[b]]:
+        for a, b in moved:
+            root[a] = root[b] = min(root[a], root[b])
+    want = [(i, t) for i, t in want if root[i] == i]
+    assert copies == want != lines
+    want = [(i, t) for i, t in want if not leaks_by_hand(t, items)]
+    assert leaks == want != copies
+    assert 10**6 + 6 in dict(copies) and 10**6 + 6 not in dict(leaks)
+    assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == {i for i, t in want if t}
+
+
 def test_hashes_of_kept_text(spark):
     from binloom.llm.queries import op4_line_dedup
 
