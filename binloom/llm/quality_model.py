@@ -47,8 +47,6 @@ def shape(word: str) -> str:
             out.append("a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "Aa" if run[0].isupper() else "aA")
         else:
             out.append("0" if run[0].isdigit() else run[:3])
-        if len(out) == 8:
-            break
     return "".join(out)
 
 

@@ -460,6 +460,11 @@ def test_no_labels_give_a_constant(spark, model):
     assert {r.score for r in model.score(docs, model.fit(docs, labels, F.lit(True))).collect()} == {0.0}
 
 
+def test_shapes_cover_long_chunks():
+    assert quality_model.shape("ab/" * 10) == "a/" * 10
+    assert quality_model.shape("a1" * 5 + "B") != quality_model.shape("a1" * 5 + "?")
+
+
 # Chat
 
 
