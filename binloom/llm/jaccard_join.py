@@ -1,30 +1,35 @@
 """N-gram Jaccard join by T-occurrence search over word shingles.
 
-Documents with the same shingle set form one class; only classes are joined. Two sets whose Jaccard similarity
-reaches the threshold share a shingle among the first n - T + 1 of each in any common order (T = least overlap of a
-set of n). The order puts frequent shingles last, so that the rest, the short inverted lists, name few classes.
-Classes that share such a shingle meet in a task: lists without the members that differ from all others in too many bits of a parity bitmap, and what
-such lists connect together, if one task can hold it. There, each
-class is a query over the others' inverted lists: the short lists are merged, the long ones are left out and probed
-by binary search for what the short ones found often enough (DivideSkip), and what reaches the overlap is a link.
+Documents with the same shingle set form one class; only classes are joined. A set x of n shingles shares at least T
+of them with any similar set, so all but T - 1 of its inverted lists, the short ones, name each partner (DivideSkip
+with a count of one): the T - 1 long lists are left to probing. An order of the shingles with the frequent ones last
+says which lists are short. Of two similar sets the smaller also finds the larger by fewer lists, so that a list
+counts only if it is among those of some member (``indexed``).
+
+The members of a short list meet in a task, without those that differ from all others in too many bits of a parity
+bitmap, together with what such lists connect, if one task can hold it. There, each class is a query over the others'
+inverted lists: the short lists are merged, and what they find often enough is looked up in the long ones by binary
+search; what reaches the overlap is a link.
 
 Links that join what is joined already are not written: a list of m classes gives at most m - 1. A list too long
 for a task is cut into blocks, each searched together with a few pivots; then the classes that are not in the
 list's main component are searched against all blocks. No list is dropped and no link between components is missed.
 
 Edge cases: null, empty and blank texts have no shingles, link with nothing and form components of their own. A
-text with fewer words than a shingle is one shingle. Rows with a null doc_id are left out. Rows that repeat a doc_id
-are one document with the union of links. Extra columns are ignored. An empty table gives an empty result.
+text with fewer words than a shingle is one shingle. Very long texts are sets like others; a task holds few of them
+at once. Rows with a null doc_id are left out. Rows that repeat a doc_id are one document with the union of links.
+Texts with the same set are one class, whatever their order. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, maybe_broadcast, stored
+from .common import BROADCAST_LIMIT, discard, maybe_broadcast, small_batches, stored
 from .components import components
 
 
@@ -33,11 +38,15 @@ class Settings:
     words: int = 4  # of a shingle
     percent: int = 85  # Jaccard similarity, in hundredths
     frequent: int = 16  # documents, in tasks that have two at least, from which a shingle counts as frequent
-    often: int = 24  # rows that have a shingle in their prefix, from which it counts as frequent too
+    often: int = 24  # classes that have a shingle in their prefix, from which it counts as frequent too
     frequent_most: int = 1_000_000  # frequent shingles that are put last, at most (the most frequent ones)
     window: int = 1_000_000  # shingles that a task counts at once
-    block: int = 256  # classes searched together
+    room: int = 1 << 19  # shingles searched together; each set counts for SET_ROOM more
     pivots: int = 8
+    send: int = BROADCAST_LIMIT  # bytes of shingles that tasks are sent; more are joined
+
+
+SET_ROOM = 128
 
 
 class WordHashes(dict):
@@ -74,11 +83,12 @@ def shingle_set(text: bytes | None, width: int, hashes: WordHashes):
     return np.unique((x ^ (x >> np.uint64(32))).view(np.int64))
 
 
-def set_key(x) -> int:
-    """64-bit hash of a sorted set; with the size it names a class."""
+def set_keys(x) -> tuple[int, int]:
+    """128-bit hash of a sorted set, which with its size names a class."""
     import xxhash
 
-    return int.from_bytes(xxhash.xxh3_64(x.tobytes()).digest(), "little", signed=True)
+    d = xxhash.xxh3_128(x.tobytes()).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -91,13 +101,24 @@ def prefix(x, frequent, percent: int):
     import numpy as np
 
     p = len(x) - least_overlap(len(x), percent) + 1
-    if not len(frequent):
-        return x[:p]
-    at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-    last = frequent[at] == x
+    last = _among(x, frequent)
     return np.concatenate((x[~last], x[last]))[:p]
 
 
+def indexed(n: int, percent: int) -> int:
+    """So many first shingles of a set of n name all similar sets that are no smaller, by the prefixes of those."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _among(x, known):
+    """Which of ``x`` are in the sorted array ``known``."""
+    import numpy as np
+
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def packed(x) -> bytes:
     """Six bytes for each of the sorted hashes: their upper 48 bits."""
     import numpy as np
@@ -113,15 +134,15 @@ def unpacked(b: bytes):
     return out.view(np.int64).ravel()
 
 
-def _sliced(batches, rows: int = 512):
-    """Batches cut small, so that a worker holds few texts and sets as objects."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+def _weight(n: str = "n") -> Column:
+    return F.sum(F.col(n) + SET_ROOM)
+
+
+# Sets and classes
 
 
 def profiled(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n, key, tokens) of each row, the only pass over the texts.
+    """(doc_id, n, key, key2, tokens) of each row, the only pass over the texts.
 
     Further rows without tokens: ``key`` is a shingle that n classes of a task share.
     """
@@ -131,23 +152,23 @@ def profiled(docs: DataFrame, s: Settings) -> DataFrame:
         import pyarrow as pa
 
         hashes, held, size, seen = WordHashes(), [], 0, set()
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
         def out(*cols):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n", "key", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n", "key", "key2", "tokens"])
 
         def counted():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             many = n > 1
             none = [None] * int(many.sum())
-            return out(none, n[many].astype(np.int32), tokens[many], none)
+            return out(none, n[many].astype(np.int32), tokens[many], none, none)
 
-        for b in _sliced(batches):
+        for b in batches:
             ids, ns, keys, sets = b.column(0).to_pylist(), [], [], []
-            for t in b.column(1).to_pylist():
-                x = shingle_set(t, s.words, hashes)
+            for t in b.column(1):
+                x = shingle_set(t.as_py(), s.words, hashes)
                 ns.append(len(x))
-                keys.append(k := set_key(x))
+                keys.append(k := set_keys(x))
                 sets.append(packed(x))
                 if k not in seen:
                     seen.add(k)
@@ -156,12 +177,31 @@ def profiled(docs: DataFrame, s: Settings) -> DataFrame:
                     if size > s.window:
                         yield counted()
                         held, size, seen = [], 0, set()
-            yield out(ids, ns, keys, sets)
+            yield out(ids, ns, [k[0] for k in keys], [k[1] for k in keys], sets)
         if held:
             yield counted()
 
     rows = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n int, key long, tokens binary")
+    return rows.mapInArrow(run, "doc_id long, n int, key long, key2 long, tokens binary")
+
+
+def membership(profile: DataFrame) -> DataFrame:
+    """(doc_id, n, key, id) of each row with shingles; id is the class, by its least doc_id."""
+    rows = profile.where("tokens is not null and n > 0").select("doc_id", "n", "key", "key2")
+    least = rows.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("id"))
+    return stored(rows.join(least, ["key", "key2", "n"]).select("doc_id", "n", "key", "id"), "members")
+
+
+def class_sets(profile: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, tokens): one row for each class."""
+    copies = members.where("doc_id <> id").select("doc_id", "key").distinct()
+    n = copies.count()
+    rows = profile.where("tokens is not null and n > 0").join(maybe_broadcast(copies, n, 48), ["doc_id", "key"], "left_anti")
+    sets = rows.select(F.col("doc_id").alias("id"), "n", "tokens")
+    return sets if 48 * n <= BROADCAST_LIMIT else stored(sets, "classes", compression="none")
+
+
+# Inverted lists
 
 
 def frequent_shingles(profile: DataFrame, s: Settings):
@@ -173,66 +213,126 @@ def frequent_shingles(profile: DataFrame, s: Settings):
     return np.sort(np.asarray(rows.column(0), dtype=np.int64))
 
 
-def postings(profile: DataFrame, frequent, s: Settings, only=None) -> DataFrame:
-    """(token, key, n): the prefix of each row. ``only``: a broadcast sorted array of the tokens that count."""
+def prefixes(classes: DataFrame, last, s: Settings) -> DataFrame:
+    """(token, index): the prefix of each class; which of it is indexed."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        last = frequent.value
-        for b in _sliced(batches):
-            tokens, many = [], []
-            for t in b.column(2).to_pylist():
-                p = prefix(unpacked(t), last, s.percent)
-                if only is not None:
-                    p = p[only.value[np.minimum(np.searchsorted(only.value, p), len(only.value) - 1)] == p]
-                tokens.append(p)
-                many.append(len(p))
-            if sum(many):
-                cols = (np.concatenate(tokens), np.repeat(np.asarray(b.column(0)), many), np.repeat(np.asarray(b.column(1)), many))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "key", "n"])
+        for b in batches:
+            got = [prefix(unpacked(t), last.value, s.percent) for t in b.column(1).to_pylist()]
+            if got:
+                index = [np.arange(len(p)) < indexed(n, s.percent) for p, n in zip(got, b.column(0).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.concatenate(index))], names=["token", "index"])
 
-    return profile.where("tokens is not null and n > 0").select("key", "n", "tokens").mapInArrow(run, "token long, key long, n int")
+    return classes.select("n", "tokens").mapInArrow(run, "token long, index boolean")
 
 
-def often_listed(profile: DataFrame, frequent, s: Settings):
-    """``frequent`` with the shingles whose lists are long under it, counted over all rows, at most ``frequent_most``."""
+def often_listed(classes: DataFrame, frequent, s: Settings):
+    """``frequent`` with the shingles whose lists are long under it, counted over all classes, at most ``frequent_most``."""
     import numpy as np
 
-    last = profile.sparkSession.sparkContext.broadcast(frequent)
-    counted = postings(profile, last, s).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= s.often)
+    last = classes.sparkSession.sparkContext.broadcast(frequent)
+    counted = prefixes(classes, last, s).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= s.often)
     rows = counted.orderBy(F.desc("n"), "token").limit(s.frequent_most).select("token").toArrow()
     return np.union1d(frequent, np.asarray(rows.column(0), dtype=np.int64))
 
 
-def _once(lists: DataFrame) -> DataFrame:
-    """(token, key, n, m): of the lists with the same members, the one of the least token. m: its members."""
-    member = F.xxhash64("key", "n")
-    sums = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("y"))
-    first = sums.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
-    return stored(lists.join(first, "token").select("token", "key", "n", "m"), "lists")
-
-
-def shared_lists(profile: DataFrame, frequent, s: Settings) -> DataFrame:
-    """(token, key, n, m): the inverted lists with two classes at least, one for each set of members."""
-    spark = profile.sparkSession
-    sc = spark.sparkContext
-    last = sc.broadcast(frequent)  # at most ``frequent_most`` longs
-    ends = postings(profile, last, s).groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    shared = stored(ends.where("low <> high").select("token"), "shared-tokens")
-    n = shared.count()
-    if not n:
-        return spark.createDataFrame([], "token long, key long, n int, m long")
-    if 8 * n <= BROADCAST_LIMIT:
+def postings(classes: DataFrame, last, s: Settings, only=None, bits: bool = False) -> DataFrame:
+    """(token, id, n, blocks, bits): the lists that each class is in.
+
+    ``only``: broadcast arrays, the sorted tokens that count and their blocks; other tokens are left out. ``bits``:
+    with the parity bitmap of the class for lists of no blocks.
+    """
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        only = sc.broadcast(np.sort(np.asarray(shared.toArrow().column(0), dtype=np.int64)))
-        rows = postings(profile, last, s, only)
-    else:
-        rows = postings(profile, last, s).join(shared, "token", "left_semi")
-    lists = stored(rows.groupBy("token", "key", "n").agg(F.count(F.lit(1)).alias("copies")).drop("copies"), "lists")
-    return _once(lists)
+        for b in batches:
+            tokens, rows, blocks, maps = [], [], [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                x = unpacked(t)
+                p = prefix(x, last.value, s.percent)
+                k = np.zeros(len(p), np.int32)
+                if only is not None:
+                    p = p[_among(p, only.value[0])]
+                    k = only.value[1][np.searchsorted(only.value[0], p)]
+                tokens.append(p)
+                rows.append(np.full(len(p), i))
+                blocks.append(k)
+                mine = sketch(x).tobytes() if bits and (k == 0).any() else None
+                maps += [mine if few else None for few in k == 0]
+            if maps:
+                at = pa.array(np.concatenate(rows))
+                cols = [pa.array(np.concatenate(tokens)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(blocks)), pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["token", "id", "n", "blocks", "bits"])
+
+    return classes.select("id", "n", "tokens").mapInArrow(run, "token long, id long, n int, blocks int, bits binary")
+
+
+def _joined(run, rows: int):
+    """``run`` with its batches put together to so many rows."""
+
+    def out(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for b in run(batches):
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return out
+
+
+def _sent(tokens: DataFrame, blocks: Column | None = None):
+    """Broadcast arrays of the sorted ``token`` column and its blocks, for ``postings``; the caller has proven the size."""
+    import numpy as np
+
+    got = tokens.select("token", (F.lit(0) if blocks is None else blocks).cast("int").alias("blocks")).toArrow()
+    order = np.argsort(token := np.asarray(got.column(0), dtype=np.int64))
+    return tokens.sparkSession.sparkContext.broadcast((token[order], np.asarray(got.column(1), dtype=np.int32)[order]))
+
+
+def _once(lists: DataFrame, *also: str) -> DataFrame:
+    """(token, m, weight): of the lists with the same members, the one of the least token. m: its members."""
+    member = F.xxhash64("id")
+    aggs = (F.count(F.lit(1)).alias("m"), _weight().alias("weight"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("y"))
+    sums = lists.groupBy("token").agg(*aggs)
+    return sums.where("m > 1").groupBy("m", "weight", "x", "y").agg(F.min("token").alias("token")).select("token", "m", "weight")
+
+
+def shared_lists(classes: DataFrame, frequent, s: Settings) -> DataFrame:
+    """(token, id, n, blocks, bits): the inverted lists of two classes at least, one for each set of members.
+
+    ``blocks`` is 0 for lists that one task can search, whose rows have the parity ``bits`` of their class.
+    """
+    last = classes.sparkSession.sparkContext.broadcast(frequent)  # at most ``frequent_most`` longs
+    counts = prefixes(classes, last, s).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("index").alias("index"))
+    shared = stored(counts.where("n > 1 and index").select("token"), "shared-tokens")
+    few = 12 * shared.count() <= s.send
+    rows = postings(classes, last, s, _sent(shared)) if few else postings(classes, last, s).join(shared, "token", "left_semi")
+    once = stored(_once(rows), "first-lists")
+    discard(shared)
+    blocks = F.when(F.col("weight") <= s.room, 0).otherwise(F.ceil(F.col("weight") / (s.room // 2))).cast("int")
+    if 12 * once.count() <= s.send:
+        return postings(classes, last, s, _sent(once, blocks), bits=True)
+
+    def sketched(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(unpacked(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "bits"])
+
+    maps = classes.select("id", "tokens").mapInArrow(sketched, "id long, bits binary")
+    lists = postings(classes, last, s).drop("blocks", "bits").join(once.select("token", blocks.alias("blocks")), "token")
+    return lists.join(maps, "id").select("token", "id", "n", "blocks", F.when(F.col("blocks") == 0, F.col("bits")).alias("bits"))
 
 
 def sketch(x):
@@ -278,49 +378,47 @@ def plausible(sizes, bitmaps: list, percent: int):
     return alive
 
 
-def _grouped(batches, columns: int):
-    """(group, rows) of a sorted partition; the group is the first column."""
+def likely_lists(lists: DataFrame, s: Settings) -> DataFrame:
+    """(token, id, n, blocks, block): lists that one task can search, without the members that no other member can be
+    similar to, as block -1; others as they are, dealt into blocks."""
+
+    def keep(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(rows):
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["token", "id", "n", "blocks", "block"])
+
+        for (_, block), rows in _grouped(batches, 6, cut=lambda k: k[1] >= 0):
+            if block < 0:
+                got = plausible(np.array([r[2] for r in rows]), [np.frombuffer(r[5], np.uint8) for r in rows], s.percent)
+                rows = [r for r, k in zip(rows, got, strict=True) if k]
+            if rows:
+                yield out([r[:5] for r in rows])
+
+    block = F.when(F.col("blocks") == 0, -1).otherwise(F.pmod(F.xxhash64("id", "token"), F.greatest("blocks", F.lit(1)))).cast("int")
+    rows = lists.select("token", "id", "n", "blocks", block.alias("block"), "bits")
+    dealt = rows.repartition("token", "block").sortWithinPartitions("token", "block", "id")
+    return stored(dealt.select("token", "id", "n", "blocks", "block", "bits").mapInArrow(_joined(keep, 4096), "token long, id long, n int, blocks int, block int"), "likely")
+
+
+def _grouped(batches, columns: int, cut):
+    """((token, block), rows) of a sorted partition; groups that ``cut`` names come in pieces."""
     held, current = [], None
-    for b in _sliced(batches):
+    for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns[:columns]), strict=True):
-            if row[0] != current and held:
+            key = (row[0], row[4])
+            if held and (key != current or cut(key) and len(held) >= 512):
                 yield current, held
                 held = []
-            current = row[0]
+            current = key
             held.append(row)
     if held:
         yield current, held
 
 
-def likely_lists(lists: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The lists that one task can search, without members that no other member can be similar to."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in _sliced(batches):
-            maps = [sketch(unpacked(t)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], names=["key", "bits"])
-
-    def keep(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for token, rows in _grouped(batches, 4):
-            got = plausible(np.array([r[2] for r in rows]), [np.frombuffer(r[3], np.uint8) for r in rows], s.percent)
-            if got.any():
-                keys, ns = zip(*((r[1], r[2]) for r, k in zip(rows, got, strict=True) if k), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([token] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(ns, pa.int32())], names=["token", "key", "n"])
-
-    bitmaps = sets.mapInArrow(run, "key long, bits binary")
-    rows = lists.select("token", "key", "n").join(bitmaps, "key").select("token", "key", "n", "bits")
-    return rows.repartition("token").sortWithinPartitions("token", "key").mapInArrow(keep, "token long, key long, n int")
-
-
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = i = parent[parent[i]]
-    return i
+# Search
 
 
 def search(sets: list, percent: int, asks: list[bool] | None = None) -> list[tuple[int, int]]:
@@ -339,149 +437,146 @@ def search(sets: list, percent: int, asks: list[bool] | None = None) -> list[tup
     tokens, owner = tokens[by], owner[by]
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     heads, ends = tokens[starts], np.append(starts[1:], len(tokens))
-    parent, links = list(range(m)), []
+    place = np.repeat(np.arange(len(heads)) * m, ends - starts) + owner  # ascending: list, then owner
+    component, links, recent = np.arange(m), [], -1
     for q in range(m):
         if asks is not None and not asks[order[q]]:
             continue
-        n = int(size[q])
+        n, x = int(size[q]), sets[order[q]]
         lo = int(np.searchsorted(size, least_overlap(n, percent)))
         hi = q if asks is None else int(np.searchsorted(size, 100 * n // percent, side="right"))
-        if hi <= lo or len({_find(parent, i) for i in (*range(lo, hi), q)}) == 1:
+
+        def join(y, both, q=q, n=n):
+            if 100 * both >= percent * (n + int(size[y]) - both):
+                component[component == component[y]] = component[q]
+                links.append((order[q], order[int(y)]))
+
+        if lo <= recent < hi and recent != q and component[recent] != component[q]:
+            join(recent, int(_among(x, sets[order[recent]]).sum()))  # most often what was joined last joins this one
+        if hi <= lo or (component[lo:hi] == component[q]).all():
+            recent = q
             continue
-        k = np.searchsorted(heads, sets[order[q]])
+        k = np.searchsorted(heads, x)
         a, z = starts[k], ends[k]
-        need = least_overlap(n, percent) if lo == 0 or size[lo] >= n else -(-percent * (n + int(size[lo])) // (100 + percent))
-        need = min(need, least_overlap(n, percent))
+        need = -(-percent * (n + int(size[lo])) // (100 + percent))
         long = max(0, need - max(1, need // 16))  # lists left to probing
         split = np.argsort(z - a, kind="stable")
         short, rest = split[: n - long], split[n - long :]
-        merged = np.concatenate([owner[a[i] : z[i]] for i in short])
-        count = np.bincount(merged[(merged >= lo) & (merged < hi)], minlength=hi)[:hi]
-        found = np.flatnonzero(count >= need - long)
-        for y in found:
-            if y == q or _find(parent, int(y)) == _find(parent, q):
-                continue
-            # Binary probes of the long lists, largest set of tokens at once.
-            other = sets[order[y]]
-            probe = sets[order[q]][rest]
-            at = np.minimum(np.searchsorted(other, probe), len(other) - 1)
-            both = int(count[y]) + int((other[at] == probe).sum())
-            if 100 * both >= percent * (n + len(other) - both):
-                parent[_find(parent, int(y))] = _find(parent, q)
-                links.append((order[q], order[int(y)]))
+        # The short lists are merged: a sort of sorted runs.
+        merged, count = np.unique(np.concatenate([owner[a[i] : z[i]] for i in short]), return_counts=True)
+        fits = (merged >= lo) & (merged < hi) & (count >= need - long) & (merged != q)
+        merged, count = merged[fits], count[fits]
+        for i in np.argsort(-count, kind="stable"):
+            y = merged[i]
+            if component[y] != component[q]:
+                # Binary probes of the long lists for y.
+                wanted = k[rest] * m + y
+                at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+                join(y, int(count[i]) + int((place[at] == wanted).sum()))
+        if (component == component[q]).sum() > 1:
+            recent = q
     return links
 
 
 def _searched(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of classes. ``groups``: (grp, key, ask, tokens) with a bounded number of rows for each grp."""
+    """Links (a, b) of classes. ``groups``: (grp, id, ask, tokens) with bounded room for each grp."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[int, tuple] = {}
+        held: dict[tuple, list] = {}
         current = None
 
         def links():
-            keys = list(held)
-            asks = [held[k][1] for k in keys]
-            if len(keys) < 2 or not any(asks):
-                return [], []
-            got = search([held[k][0] for k in keys], percent, None if all(asks) else asks)
-            return [keys[i] for i, _ in got], [keys[j] for _, j in got]
-
-        for b in _sliced(batches):
-            a, z = [], []
-            for grp, key, ask, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            asks = [v[1] for v in held.values()]
+            if len(held) < 2 or not any(asks):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+            ids = [k[0] for k in held]
+            got = search([v[0] for v in held.values()], percent, None if all(asks) else asks)
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], pa.int64()), pa.array([ids[j] for _, j in got], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for grp, id, ask, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if grp != current:
-                    p, q = links()
-                    a += p
-                    z += q
+                    yield links()
                     held, current = {}, grp
-                held[key] = (unpacked(tokens), ask or key in held and held[key][1])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-        p, q = links()
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["a", "b"])
+                mine = held.setdefault((id, hash(tokens)), [None, False])
+                mine[0] = unpacked(tokens) if mine[0] is None else mine[0]
+                mine[1] |= ask
+        yield links()
 
-    ranged = groups.repartition("grp").sortWithinPartitions("grp", "key")
-    return ranged.select("grp", "key", "ask", "tokens").mapInArrow(run, "a long, b long")
+    dealt = groups.repartition("grp").sortWithinPartitions("grp", "id")
+    return dealt.select("grp", "id", "ask", "tokens").mapInArrow(_joined(run, 4096), "a long, b long")
 
 
 def _clusters(lists: DataFrame, s: Settings) -> DataFrame:
-    """(grp, key): classes that lists connect, once each; where these are too many for a task, the lists one by one."""
-    ends = lists.groupBy("token").agg(F.min("key").alias("low"))
-    label = components(lists.join(ends, "token").select("key", "low"), "key", "low")
-    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    small = label.join(sizes.where(F.col("size") <= s.block), "component").select(F.xxhash64("component", F.lit("cluster")).alias("grp"), F.col("node").alias("key"))
-    big = label.join(sizes.where(F.col("size") > s.block), "component").select(F.col("node").alias("key"))
-    rest = lists.join(big, "key", "left_semi").select(F.xxhash64("token").alias("grp"), "key")
-    return stored(small.unionByName(rest), "clusters")
-
-
-def class_links(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(a, b): links between classes (by key) that span the components of the similarity graph."""
-    lists = shared_lists(profile, often_listed(profile, frequent_shingles(profile, s), s), s)
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        """(key, tokens) of classes, from one row of each."""
-        rows = profile.where("tokens is not null and n > 0")
-        reps = stored(rows.select("doc_id", "n", "key").join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "representatives")
-        found = rows.select("doc_id", "key", "tokens").join(maybe_broadcast(reps, reps.count(), 48), ["doc_id", "key"])
-        return found.select("key", "tokens")
-
-    short = lists.where(F.col("m") <= s.block)
-    few = _once(stored(likely_lists(short, sets_of(short.select("key")), s), "likely"))
-    many = lists.where(F.col("m") > s.block)
-    sets = sets_of(few.select("key").unionByName(many.select("key")))
+    """(grp, id): classes that lists connect, once each; where these are too many for a task, the lists one by one."""
+    ends = lists.groupBy("token").agg(F.min("id").alias("low"))
+    label = components(lists.join(ends, "token").select("id", "low"), "id", "low")
+    sized = label.join(lists.select(F.col("id").alias("node"), "n").distinct(), "node")
+    sizes = sized.groupBy("component").agg(_weight().alias("weight"))
+    small = label.join(sizes.where(F.col("weight") <= s.room), "component").select(F.xxhash64("component", F.lit("cluster")).alias("grp"), F.col("node").alias("id"))
+    big = label.join(sizes.where(F.col("weight") > s.room), "component").select(F.col("node").alias("id"))
+    rest = lists.join(big, "id", "left_semi").select(F.xxhash64("token").alias("grp"), "id")
+    return small.unionByName(rest)
+
+
+def _with_sets(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(grp, id, ask, tokens) of (grp, id, ask)."""
+    groups = stored(groups.distinct(), "groups")
+    return classes.select("id", "tokens").join(maybe_broadcast(groups, groups.count(), 48), "id")
+
+
+def class_links(classes: DataFrame, profile: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(a, b): links between classes that span the components of the similarity graph."""
+    frequent = often_listed(classes, frequent_shingles(profile, s), s)
+    likely = likely_lists(shared_lists(classes, frequent, s), s)
+    short, long = likely.where("block < 0").select("token", "id", "n"), likely.where("block >= 0")
+    few = stored(short.join(_once(short).select("token"), "token", "left_semi"), "few-lists")
     # Long lists: blocks by hash, each with the same few pivots, which are those of least hash. A class is searched
     # in the longest of its lists first; what that leaves apart is found below, in all of them.
-    blocks = F.ceil(F.col("m") / (s.block // 2)).cast("int")
-    block = F.pmod(F.xxhash64("key", "token"), blocks).cast("int")
-    long = stored(many.select("token", "key", "n", "m", blocks.alias("blocks"), block.alias("block")), "long-lists")
-    chosen = long.groupBy("key").agg(F.max(F.struct("m", "token")).alias("list")).select(F.col("list.token").alias("token"), "key", F.col("list.m").alias("m"))
-    chosen = chosen.select("token", "key", blocks.alias("blocks"), block.alias("block"))
-    first = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key"))), 1, s.pivots)
+    chosen = long.groupBy("id").agg(F.max_by(F.struct("token", "block", "blocks"), F.struct("blocks", "token")).alias("l")).select("l.*", "id")
+    first = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("id").alias("h"), "id"))), 1, s.pivots)
     per_block = chosen.groupBy("token", "block").agg(first.alias("p"), F.max("blocks").alias("blocks"))
     top = per_block.groupBy("token").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, s.pivots).alias("p"), F.max("blocks").alias("blocks"))
-    pivots = top.select("token", "blocks", F.explode("p.key").alias("key"))
-    spread = pivots.select("token", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pivots = top.select("token", "blocks", F.explode("p.id").alias("id"))
+    spread = pivots.select("token", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     grouped = (
         _clusters(few, s)
-        .unionByName(chosen.select(F.xxhash64("token", "block").alias("grp"), "key"))
-        .unionByName(spread.select(F.xxhash64("token", "block").alias("grp"), "key"))
+        .unionByName(chosen.select(F.xxhash64("token", "block").alias("grp"), "id"))
+        .unionByName(spread.select(F.xxhash64("token", "block").alias("grp"), "id"))
     )
-    links = stored(_searched(grouped.withColumn("ask", F.lit(True)).join(sets, "key"), s.percent), "links")
+    links = stored(_searched(_with_sets(grouped.withColumn("ask", F.lit(True)), classes), s.percent), "links")
     if long.isEmpty():
         return links
     # What is not in its list's main component yet asks all blocks of the list, in chunks.
     label = components(links)
-    named = stored(long.join(label, long.key == label.node, "left").select("token", "key", "blocks", "block", F.coalesce("component", "key").alias("component")), "long-lists")
+    named = stored(long.join(label, long.id == label.node, "left").select("token", "id", "blocks", "block", F.coalesce("component", "id").alias("component")), "long-lists")
     sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     rest = named.join(main, "token").where("component <> main")
-    chunk = rest.select("token", "key", "blocks", F.col("block").alias("chunk"))
-    asking = chunk.select("token", "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    wanted = chunk.select("token", "chunk").distinct()
-    asked = named.select("token", "key", "block").join(wanted, "token")
+    chunk = rest.select("token", "id", "blocks", F.col("block").alias("chunk"))
+    asking = chunk.select("token", "id", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = named.select("token", "id", "block").join(chunk.select("token", "chunk").distinct(), "token")
     pair = F.xxhash64("token", "chunk", "block").alias("grp")
-    second = asking.select(pair, "key", F.lit(True).alias("ask")).unionByName(asked.select(pair, "key", F.lit(False).alias("ask")))
-    second = stored(second, "asked")
-    more = _searched(second.join(sets_of(second.select("key")), "key"), s.percent)
-    return stored(links.unionByName(more), "links")
+    second = asking.select(pair, "id", F.lit(True).alias("ask")).unionByName(asked.select(pair, "id", F.lit(False).alias("ask")))
+    more = stored(_searched(_with_sets(second, classes), s.percent), "links")
+    return links.unionByName(more)
 
 
 def joined(spark: SparkSession, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of each document."""
-    profile = stored(profiled(docs, s), "shingles", compression="none")
-    rows = profile.where("tokens is not null").select("doc_id", "n", "key")
-    label = components(class_links(profile, s))
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("docs"))
-    named = classes.join(label, classes.key == label.node, "left").select("key", "least", F.coalesce("component", "key").alias("component"))
-    named = stored(named, "classes")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "component").select("key", "component_id")
-    out = rows.join(ids, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    with small_batches(spark):
+        profile = stored(profiled(docs, s), "shingles", compression="none")
+        members = membership(profile)
+        blank = stored(profile.where("tokens is not null and n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")), "blank")
+        links = class_links(class_sets(profile, members), profile, s)
+        # A doc_id of several sets joins their classes.
+        repeated = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").select("doc_id", "a")
+        label = components(links.unionByName(members.join(repeated, "doc_id").select("a", F.col("id").alias("b"))))
+    discard(profile)
+    named = members.join(label, members.id == label.node, "left")
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")).unionByName(blank)
 
 
 def representatives(spark: SparkSession, docs: DataFrame, s: Settings = Settings()) -> DataFrame:

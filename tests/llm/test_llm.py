@@ -257,7 +257,7 @@ def near_rows(seed, groups=8, size=14, words=60):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(frequent=3, block=6, pivots=2, window=500)])
+@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(frequent=3, often=4, room=1400, pivots=2, window=500), jaccard_join.Settings(room=900, send=0)])
 def test_jaccard_join_matches_brute_force(spark, settings):
     rows = near_rows(6) + [(None, "no id")]
     got = jaccard_join.joined(spark, documents(spark, rows), settings)
@@ -269,21 +269,38 @@ def test_jaccard_join_of_nothing(spark):
     assert [tuple(r) for r in jaccard_join.joined(spark, documents(spark, [(1, None)])).collect()] == [(1, 0, 1)]
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen"
+    rows = [(5, a), (5, b), (7, a), (3, b), (9, "else"), (9, "else")]
+    got = sorted(tuple(r) for r in jaccard_join.joined(spark, documents(spark, rows)).collect())
+    assert got == [(3, 2, 3), (5, 2, 3), (5, 5, 3), (7, 5, 3), (9, 1, 9), (9, 1, 9)]
+
+
+@pytest.mark.parametrize("asking", [False, True])
 @pytest.mark.parametrize("seed", range(10))
-def test_search_finds_every_component(seed):
+def test_search_finds_every_component(seed, asking):
+    rng = random.Random(seed)
     rows = near_rows(seed, groups=3, size=12, words=40)
     hashes = jaccard_join.WordHashes()
     sets = [x for _, t in rows if len(x := jaccard_join.shingle_set((t or "").encode(), 4, hashes))]
+    asks = [rng.random() < 0.3 for _ in sets] if asking else [True] * len(sets)
     parent = list(range(len(sets)))
-    for a, b in jaccard_join.search(sets, 85):
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in jaccard_join.search(sets, 85, asks if asking else None):
         x, y = set(sets[a].tolist()), set(sets[b].tolist())
         assert 100 * len(x & y) >= 85 * len(x | y)
-        parent[jaccard_join._find(parent, a)] = jaccard_join._find(parent, b)
+        assert find(a) != find(b)
+        parent[find(a)] = find(b)
     for a in range(len(sets)):
         for b in range(a):
             x, y = set(sets[a].tolist()), set(sets[b].tolist())
-            if 100 * len(x & y) >= 85 * len(x | y):
-                assert jaccard_join._find(parent, a) == jaccard_join._find(parent, b)
+            if (asks[a] or asks[b]) and 100 * len(x & y) >= 85 * len(x | y):
+                assert find(a) == find(b)
 
 
 def test_components_of_chains_and_stars(spark):
