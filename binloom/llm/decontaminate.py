@@ -10,7 +10,8 @@ The masks are lossless for that rule: whichever words of a run of 8 to 16 differ
 one of the masks fits the words that agree, so no overlap the rule accepts is missed. The tests go through all
 patterns. Other values of ``window``, ``min_match`` or ``min_words`` need masks found for them.
 
-Edge cases: null and empty texts and items match nothing; items below ``min_words`` words match nothing. Rows with a
+Edge cases: a very long text is looked at whole, its words as rows. Of equal shares the larger counts once.
+Null and empty texts and items match nothing; items below ``min_words`` words match nothing. Rows with a
 null doc_id are reported clean. Rows that repeat a doc_id share one verdict. Repeated items count once by item_id.
 Extra columns are ignored. An empty benchmark leaves every document clean.
 """
@@ -77,7 +78,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> D
     """(doc_id, item_id, share): the verified overlaps of documents with benchmark items."""
     b = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     found = stored(hits(docs, b, seeds), "hits")
-    items = b.select("item_id", text_words().alias("item"))
+    bytes_ = b.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    items = maybe_broadcast(b.select("item_id", text_words().alias("item")), bytes_, 4)
     per_doc = found.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
     wanted = found.select("doc_id").distinct()
     texts = docs.join(maybe_broadcast(wanted, found.count(), 16), "doc_id", "left_semi").select("doc_id", text_words().alias("w"))

@@ -3,16 +3,17 @@
 Each page is read as text lines (the text of its blocks), each with a zone: inside an article or main element,
 elsewhere in the body, or in an element that never holds main text (menus, forms, scripts, comment lists ...).
 Pages are range-sorted by host and URL path, over all tasks; each is paired with its neighbours of the same host,
-and their lines are aligned by longest common subsequence. The differencing decides on all pages, with the article
-element as evidence: a shared line goes, but inside the article of both pages only if one of the further neighbours
-holds it too. A pair that shares more than it leaves over may be copies of one page: there a line goes if a further
-neighbour holds it that does not hold most of what the pair shares, or, outside articles, one that is a third page
-with lines of its own. A page without a neighbour has only the evidence: its article, if it has one, is its text.
+and their lines are aligned by longest common subsequence. A shared line goes. Inside the article
+of both pages it goes only if all further neighbours, three at least, hold it too (copies of the page do not count):
+the host repeats it on page after page, where articles that quote the same passage stand apart. A pair that shares more than it
+leaves over may be copies of one page: there a line goes if a further neighbour holds it that does not hold most of
+what the pair shares, or that is a third page with lines of its own. A page without a neighbour has only the evidence: its article, if it has one, is its text.
 Only line hashes are sorted and shuffled.
 
 Edge cases: null and empty html give an empty text. Unclosed and stray tags, comments and broken character
 references are read as browsers do. A null URL pairs with no page. Rows that repeat a page (page_id and html) are
-not differenced against each other, nor are neighbours of equal lines. Extra columns are ignored. An empty table gives an empty result.
+not differenced against each other, nor are neighbours of equal lines. Pages of equal URLs are neighbours in the order
+of page_id. A very long page is one row of html and one of line hashes. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,8 +48,10 @@ SPACE = re.compile(r"\s+")
 ARTICLE, BODY = 1, 0
 Line = tuple[str, int]
 #: Further neighbours that are looked at on each side of a pair, and pages that a decision reaches on each side.
-FURTHER = 2
+FURTHER = 3
 REACH = FURTHER + 1
+#: Further neighbours that have to hold a line of an article for it to go.
+SURE = 3
 
 
 def _chrome(attributes: str, name: str) -> bool:
@@ -168,9 +171,12 @@ def _shared(x: dict, y: dict, further: list[dict]) -> set[int]:
     def goes(i: int, j: int) -> bool:
         article = x["main"][i] and y["main"][j]
         seen = [n for n, h in enumerate(held) if x["lines"][i] in h]
+        if article:
+            others = [n for n in range(len(held)) if not (copies and like[n])]
+            return len(others) >= SURE and set(others) <= set(seen)
         if copies:
-            return any(not like[n] or third[n] and not article for n in seen)
-        return bool(seen) or not article
+            return any(not like[n] or third[n] for n in seen)
+        return True
 
     return {i for i, j in zip(p, q, strict=True) if goes(i, j)}
 

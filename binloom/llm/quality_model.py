@@ -7,7 +7,8 @@ bounded sample of labelled rows; a logistic curve fitted on rows left out of it
 
 Edge cases: null and empty texts have no n-grams and get the score of the intercept. A sample without both labels
 (an empty table too) gives every document its mean label, 0 if it has none. Rows with a null doc_id and
-repeated rows are scored one by one. Extra columns are ignored.
+repeated rows are scored one by one, equal texts alike. A very long text is one row and one set of slots, at most
+``slots`` of them. Labelled rows of equal hash are taken in the order of doc_id. Extra columns are ignored.
 """
 
 from __future__ import annotations

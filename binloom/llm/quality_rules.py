@@ -1,6 +1,7 @@
 """Quality rules: a threshold table compiled into one projection, without user functions.
 
 Edge cases: a null or blank text has no words, all counts are 0 and it fails the base rule.
+A very long text is one row, whose words are one array. A metric that equals a threshold passes.
 Repeated rows are judged one by one. Extra columns are ignored. An empty table gives an empty result.
 """
 

@@ -6,7 +6,7 @@ local_start columns take version 2 delta encoding. ``manifest/`` has one row for
 before it and its doc_id range. A reader that wants some documents prunes files by the manifest, row groups and
 pages by doc_id, and reads metadata columns without the lists.
 
-Edge cases: a null or empty text is just the end id. Rows with a null doc_id have no place in the order and are
+Edge cases: a null or empty text is just the end id. A very long text is one row with all its ids. Rows with a null doc_id have no place in the order and are
 left out. Rows that repeat a doc_id all stay, ordered by text. Extra columns are ignored. An empty table writes no
 rows.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,11 +75,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     files = _files(spark, path).groupBy("file").agg(
         F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
-    # One row for each file. Part files are numbered in range order.
-    before = F.coalesce(F.sum("n_tokens").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # One row for each file.
+    before = F.coalesce(F.sum("n_tokens").over(W.orderBy(part_number(F.col("file"))).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files.withColumn("start", before).write.parquet(f"{path}/manifest")
 
 
+def part_number(file: Column) -> Column:
+    """Part files are numbered in range order; beyond five digits, their names do not sort as text."""
+    return F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOKENS).parquet(f"{path}/tokens").withColumn("file", F.col("_metadata.file_name"))
 

@@ -6,7 +6,8 @@ calibration from a third, so that none is judged by what it has seen. Each word
 
 Edge cases: null and empty texts have all-zero features and get a score like any other. A sample without both
 labels (an empty table too) gives every document its mean label, 0 if it has none. Rows with a null doc_id and
-repeated rows are scored one by one. Extra columns are ignored.
+repeated rows are scored one by one, equal texts alike. A very long text is one row, read word by word into a byte
+for each. Labelled rows of equal hash are taken in the order of doc_id. Extra columns are ignored.
 """
 
 from __future__ import annotations

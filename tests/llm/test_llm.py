@@ -63,8 +63,13 @@ def test_line_dedup_matches_brute_force(spark):
     rows = [(i, "\n".join(rng.choice(common) + rng.choice(["", " ", "\t\r"]) if rng.random() < 0.5 else prose(rng, 5) for _ in range(rng.randrange(0, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (None, common[0]), (7, rows[7][1]), (102, "\n".join([common[1]] * 50)), (103, common[1].upper()), (104, "\n\n")]
     df = documents(spark, rows)
-    got = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
-    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=repr) == dedup_by_hand(rows)
+    for send in (1 << 20, 0):
+        bitmaps = line_dedup.keep_bitmaps(df, send=send)
+        got = line_dedup.kept(df, bitmaps).select("doc.doc_id", "n_lines", "n_dropped", "text")
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=repr) == dedup_by_hand(rows)
+    out = line_dedup.apply_bitmaps(df, bitmaps)
+    assert out.columns == df.columns
+    assert {(r.keep, r.row, r.n_lines) for r in out.collect()} == {("k", "r", 7)}
 
 
 def test_line_dedup_of_nothing(spark):
@@ -264,6 +269,12 @@ def test_jaccard_join_matches_brute_force(spark, settings):
     assert sorted(tuple(r) for r in got.collect()) == join_by_hand(rows)
 
 
+def test_part_files_are_numbered_not_spelled(spark):
+    names = [f"part-{n:05d}-c000.snappy.parquet" for n in (7, 99_999, 100_000, 1_000_000)]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "file string")
+    assert [r.file for r in df.orderBy(token_output.part_number(F.col("file"))).collect()] == names != sorted(names)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.joined(spark, documents(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard_join.joined(spark, documents(spark, [(1, None)])).collect()] == [(1, 0, 1)]
@@ -518,6 +529,31 @@ def test_chat_markers_and_edges(spark):
 # Pipeline
 
 
+def test_pipeline_stages_keep_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, an empty table and columns of clashing names in each stage."""
+    import corpus_pipeline as cp
+
+    for name in ("benchmark", "labels"):
+        table(spark, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    rng = random.Random(29)
+    text = prose(rng, 60)
+    rows = [(1, text, "a"), (1, text, None), (2, None, None), (3, "", "b"), (4, text, "c"), (None, text, "d"), (5, "one", None), (6, "word " * 30_000, "e"), (7, None, None)]
+    names = ["n_lines", "n_dropped", "keep", "row", "doc", "_id", "_row", "n", "key", "id", "tokens", "item_id", "diagonal", "score", "predicted", "component_id", "length", "rank", "_salt"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{c} int" for c in names)
+    odd = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema)
+    for (name, stage), gone in zip(cp.STAGES[:-1], ([], [], [4], []), strict=True):
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes, name
+        got = sorted(((r.doc_id, r.text or "", r.lang, *r[3:]) for r in out.collect()), key=repr)
+        want = sorted(((i, t or "", x, *range(len(names))) for i, t, x in rows if i not in gone), key=repr)
+        assert got == want, name
+        assert stage(spark, odd.where("false"), str(tmp_path)).count() == 0, name
+    packed = cp.pack(spark, odd, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in packed if r.piece == 0) == [1, 1, 2, 3, 4, 5, 6, 7]
+    check_packing(packed, 2048)
+    assert cp.pack(spark, odd.where("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
