@@ -1,7 +1,11 @@
 """Corpus preparation: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the docs
-of the next. All but the last return the columns of ``documents``.
+of the next. All but the last return the columns of ``documents``, with their names and types, whatever they are.
+
+Edge cases: rows with a null doc_id, and null, empty and very long texts pass every filter unless their text is
+rejected; packing leaves rows without a doc_id out. Line dedup returns a null text as empty. Repeated rows stay as
+they are. Nulls in other columns are kept. An empty table gives an empty result in each stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from binloom.llm.common import stored, table
+from binloom.llm.common import discard, stored, table
 from binloom.llm.queries import word_tokenizer
 
 #: The near-duplicate stage works on five-word shingles at a similarity of 0.8.
@@ -59,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*read)
+        read = [docs]
     return docs
