@@ -41,7 +41,7 @@ class Settings:
     often: int = 24  # classes that have a shingle in their prefix, from which it counts as frequent too
     frequent_most: int = 1_000_000  # frequent shingles that are put last, at most (the most frequent ones)
     window: int = 1_000_000  # shingles that a task counts at once
-    room: int = 1 << 19  # shingles searched together; each set counts for SET_ROOM more
+    room: int = 1 << 18  # shingles searched together; each set counts for SET_ROOM more
     pivots: int = 8
     send: int = BROADCAST_LIMIT  # bytes of shingles that tasks are sent; more are joined
 
@@ -280,8 +280,9 @@ def _joined(run, rows: int):
 
         held, n = [], 0
         for b in run(batches):
-            held.append(b)
-            n += b.num_rows
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
             if n >= rows:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, n = [], 0

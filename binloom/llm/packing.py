@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, shared_dir
+from .common import maybe_broadcast, shared_dir, small_batches
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -106,7 +106,8 @@ def match(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = shared_dir(spark, "pieces")
-    pieces(docs, tokenizer, capacity, end_id).write.parquet(path)
+    with small_batches(spark):
+        pieces(docs, tokenizer, capacity, end_id).write.parquet(path)
     parts, by_length = ranked(spark.read.schema(PIECES).parquet(path))
     sizes = {r["length"]: r["n"] for r in by_length.collect()}  # at most ``capacity`` rows
     plan = match(sizes, capacity)

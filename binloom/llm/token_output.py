@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 from .tokens import encoder
 
 TOKENS = "doc_id long, local_start long, n_tokens long, tokens array<int>"
@@ -70,8 +70,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """Encode every whole text and write the folder. Only texts are shuffled, once, into doc_id order."""
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_encode(tokenizer, end_id), TOKENS).write.options(**layout.options()).parquet(f"{path}/tokens")
     spark = docs.sparkSession
+    with small_batches(spark):
+        ranged.mapInArrow(_encode(tokenizer, end_id), TOKENS).write.options(**layout.options()).parquet(f"{path}/tokens")
     files = _files(spark, path).groupBy("file").agg(
         F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import maybe_broadcast, small_batches, stored
 from .labelled import labelled_texts
 
 # Second-person pronouns of English, German, French and Spanish.
@@ -190,10 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame, train, s: Settings = Settings()) ->
     from pyspark.ml.regression import IsotonicRegression
 
     sample = stored(labelled_texts(docs, labels, "toxic", train, s.sample), "toxic-sample")
-    model = Model(lexicon=learn_lexicon(sample.where(F.col("u") < s.parts[0]), s))
+    with small_batches(docs.sparkSession):
+        model = Model(lexicon=learn_lexicon(sample.where(F.col("u") < s.parts[0]), s))
     model.constant = sample.agg(F.avg("label")).first()[0] or 0.0
     rest = sample.where(F.col("u") >= s.parts[0]).select("doc_id", "label", "u", "text")
-    rows = stored(dense_features(rest, model.lexicon, s.near).coalesce(4), "toxic-features")
+    with small_batches(docs.sparkSession):
+        rows = stored(dense_features(rest, model.lexicon, s.near).coalesce(4), "toxic-features")
     rows = rows.select("doc_id", "u", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
     grow, tune = rows.where(F.col("u") < s.parts[1]), rows.where(F.col("u") >= s.parts[1])
     if grow.agg(F.count_distinct("label")).first()[0] < 2 or tune.isEmpty():
@@ -227,5 +229,6 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """The documents that the model does not reject, with all their columns; rows without a doc_id stay."""
-    rejected = stored(score(docs, model, s).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "rejected")
+    with small_batches(docs.sparkSession):
+        rejected = stored(score(docs, model, s).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "rejected")
     return docs.join(maybe_broadcast(rejected, rejected.count(), 24), "doc_id", "left_anti").select(*docs.columns)
