@@ -41,12 +41,13 @@ class Settings:
     often: int = 24  # classes that have a shingle in their prefix, from which it counts as frequent too
     frequent_most: int = 1_000_000  # frequent shingles that are put last, at most (the most frequent ones)
     window: int = 1_000_000  # shingles that a task counts at once
-    room: int = 1 << 18  # shingles searched together; each set counts for SET_ROOM more
+    room: int = 1 << 19  # shingles searched together; each set counts for SET_ROOM more
     pivots: int = 8
     send: int = BROADCAST_LIMIT  # bytes of shingles that tasks are sent; more are joined
 
 
 SET_ROOM = 128
+PROBED = 64  # candidates looked up in the long lists at once
 
 
 class WordHashes(dict):
@@ -467,13 +468,16 @@ def search(sets: list, percent: int, asks: list[bool] | None = None) -> list[tup
         merged, count = np.unique(np.concatenate([owner[a[i] : z[i]] for i in short]), return_counts=True)
         fits = (merged >= lo) & (merged < hi) & (count >= need - long) & (merged != q)
         merged, count = merged[fits], count[fits]
-        for i in np.argsort(-count, kind="stable"):
-            y = merged[i]
-            if component[y] != component[q]:
-                # Binary probes of the long lists for y.
-                wanted = k[rest] * m + y
-                at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
-                join(y, int(count[i]) + int((place[at] == wanted).sum()))
+        left = np.argsort(-count, kind="stable")
+        while len(left := left[component[merged[left]] != component[q]]):
+            now, left = left[:PROBED], left[PROBED:]
+            # Binary probes of the long lists for some candidates.
+            wanted = k[rest] * m + merged[now][:, None]
+            at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+            both = count[now] + (place[at] == wanted).sum(1)
+            for y, c in zip(merged[now].tolist(), both.tolist(), strict=True):
+                if component[y] != component[q]:
+                    join(y, c)
         if (component == component[q]).sum() > 1:
             recent = q
     return links
