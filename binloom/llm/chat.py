@@ -1,15 +1,20 @@
 """Chat formatting: a hidden Markov model over line features recovers speakers, then turns are rendered alike.
 
-A transcript comes in pieces (conv_id, part, text) of raw lines, with or without speaker markers. Each line is in
-one of six states, the first or a later line of a turn of a system, user or assistant. Transitions and emissions
-are counted on labelled lines. Viterbi's best path is found in blocks of parts: a block's max-plus matrix says how
-well it leads from each state before it to each state at its end, matrices are multiplied along a conversation, in
-levels, and with the states at its ends known, each block is decoded for itself. So the path is the best one over
-the whole conversation, while no task holds more than a block of text.
-
-Edge cases: a null or empty text is one empty line. A null conv_id is a conversation like any other; null parts
-come first. Parts that repeat a number follow each other by text. Extra columns are ignored. An empty table gives
-an empty result; without labelled lines all states weigh alike.
+A transcript comes in pieces (conv_id, part, text) of raw lines, with or without speaker markers; where the pieces are
+cut says nothing about turns. Each line is in one of six states, the first or a later line of a turn of a system, user
+or assistant. Transitions and emissions are counted on labelled lines.
+
+Parts are range-sorted once, and each task cuts its own into blocks of few parts, numbered in order over all tasks. A
+conversation within one block is decoded there. For others, a block's max-plus matrix says how well it leads from each
+state before it to each state at its end, matrices are multiplied along a conversation, in levels, and with the states
+at its ends known, each block is decoded for itself. So Viterbi's path is the best one over the whole conversation,
+while no task holds more than a block of text, whatever share of the rows one conversation has.
+
+Edge cases: a null or empty text is one empty line. A null conv_id is a conversation like any other; null parts come
+first. Parts that repeat a number follow each other by text. A very long text is a block of its own. Of paths that
+score alike, the one of the earlier states counts. A turn of more than ``turn`` blocks comes in several rows, of which
+the first opens it. Extra columns are ignored. An empty table gives an empty result; without labelled lines all states
+weigh alike.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import maybe_broadcast, small_batches, stored
 
 ROLES = ("system", "user", "assistant")
 NEVER = -1e9
@@ -40,10 +46,12 @@ FEATURES = {"marker": 4, "style": 3, "before": 3, "size": 5, "question": 2, "mar
 
 @dataclass(frozen=True)
 class Settings:
-    block: int = 64  # parts decoded together
+    block: int = 64  # parts decoded together, at most
+    chars: int = 1 << 18  # characters from which a block takes no further part
     level: int = 1024  # matrices multiplied together
+    turn: int = 1024  # blocks whose share of a turn is put into one row
     smoothing: float = 0.5
-    sample: int = 200_000  # labelled parts that are counted, at most
+    sample: int = 200_000  # labelled parts that are counted, about, at most
 
 
 @dataclass
@@ -66,41 +74,105 @@ def line_features(line: str, before: str | None) -> tuple[int, ...]:
     )
 
 
-def _logs(lines: list[str], before: str | None, model: Model):
+class Scores(dict):
+    """features -> log probabilities by state."""
+
+    def __init__(self, model: Model):
+        import numpy as np
+
+        self.emit = [np.array(model.emit[f]) for f in FEATURES]
+
+    def __missing__(self, features: tuple[int, ...]):
+        out = self[features] = sum(e[:, v] for e, v in zip(self.emit, features, strict=True))
+        return out
+
+
+BEFORE = (None, "", "x")
+
+
+def _logs(lines: list[str], before: int, scores: Scores):
+    """``before``: 0 where no line is before these, 1 where a blank one is, 2 where another is."""
     import numpy as np
 
-    out = np.zeros((len(lines), len(STATES)))
-    for i, line in enumerate(lines):
-        for f, v in zip(FEATURES, line_features(line, lines[i - 1] if i else before), strict=True):
-            out[i] += [model.emit[f][s][v] for s in range(len(STATES))]
-    return out
+    last = [BEFORE[before], *lines[:-1]]
+    return np.array([scores[line_features(x, y)] for x, y in zip(lines, last, strict=True)])
+
 
+def _lines(parts) -> list[tuple[int | None, int, str]]:
+    return [(p["part"], i, x) for p in parts for i, x in enumerate((p["text"] or "").split("\n"))]
 
-def _blocks(batches, columns: int):
-    """Rows of a sorted partition, block by block."""
-    held, current = [], None
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns[:columns]), strict=True):
-            if row[:2] != current:
-                if held:
-                    yield current, held
-                held, current = [], row[:2]
-            held.append(row)
-    if held:
-        yield current, held
 
+def _batch(rows: list[tuple], schema):
+    import pyarrow as pa
 
-def _sorted(parts: DataFrame, s: Settings, *more: str) -> DataFrame:
-    block = F.floor(F.coalesce("part", F.lit(0)) / s.block).cast("long").alias("block")
-    rows = parts.select("conv_id", block, "part", "text", *more)
-    return rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text")
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+# Blocks
+
+BLOCKS = "pid int, k long, conv_id long, whole boolean, before int, tail int, parts array<struct<part:long,text:string>>"
+
+
+def blocks(parts: DataFrame, s: Settings) -> DataFrame:
+    """(seq, conv_id, whole, before, parts): consecutive parts of a conversation; seq ascends along it, without gaps.
+
+    ``whole``: the block is all of its conversation. ``before``: see ``_logs``.
+    """
+
+    def cut(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        pid, k, size, last = TaskContext.get().partitionId(), 0, 0, None
+        schema = pa.schema([("pid", pa.int32()), ("k", pa.int64()), ("conv_id", pa.int64()), ("whole", pa.bool_()), ("before", pa.int32()), ("tail", pa.int32()), ("parts", pa.list_(pa.struct([("part", pa.int64()), ("text", pa.string())])))])
+        held: list[dict] = []
+        starts, conv = False, None
+
+        def block(ended: bool):
+            nonlocal k, last
+            tail = 2 if (held[-1]["text"] or "").rpartition("\n")[2].strip() else 1
+            before = 0 if starts else -1 if last is None else last
+            row = (pid, k, conv, starts and ended, before, tail, list(held))
+            k, last = k + 1, tail
+            held.clear()
+            return _batch([row], schema)
+
+        for b in batches:
+            for c, part, text in zip(*(x.to_pylist() for x in b.columns[:3]), strict=True):
+                if held and (c != conv or len(held) >= s.block or size >= s.chars):
+                    yield block(c != conv)
+                    size, starts = 0, c != conv
+                elif not held and k == 0:
+                    starts = False  # the first of the task may go on from the task before
+                conv = c
+                held.append({"part": part, "text": text})
+                size += len(text or "")
+        if held:
+            yield block(False)
+
+    rows = parts.select("conv_id", "part", "text")
+    ranged = rows.repartitionByRange("conv_id", "part", "text").sortWithinPartitions("conv_id", "part", "text")
+    cuts = stored(ranged.mapInArrow(cut, BLOCKS), "chat-blocks")
+    # One row for each task: how many blocks it has, and what its first block follows.
+    ends = cuts.groupBy("pid").agg(F.max("k").alias("k"), F.min_by(F.struct("conv_id"), "k").alias("first"), F.max_by(F.struct("conv_id", "tail"), "k").alias("last"))
+    known, base, last = [], 0, None
+    for r in sorted(ends.collect(), key=lambda r: r.pid):
+        known.append((r.pid, base, last.tail if last is not None and last.conv_id == r.first.conv_id else 0))
+        base, last = base + r.k + 1, r["last"]
+    tasks = cuts.sparkSession.createDataFrame(known, "pid int, base long, follows int")
+    before = F.when(F.col("before") < 0, F.col("follows")).otherwise(F.col("before")).alias("before")
+    return cuts.join(F.broadcast(tasks), "pid").select((F.col("base") + F.col("k")).alias("seq"), "conv_id", "whole", before, "parts")
 
 
 # Training
 
 
 def fit(parts: DataFrame, s: Settings = Settings()) -> Model:
-    """Count a model on (conv_id, part, text, roles, firsts): the role of each line and whether it opens a turn."""
+    """Count a model on (conv_id, part, text, roles, firsts): the role of each line and whether it opens a turn.
+
+    Of more than ``s.sample`` parts, runs of parts are taken by hash.
+    """
     import numpy as np
 
     def count(batches):
@@ -111,23 +183,28 @@ def fit(parts: DataFrame, s: Settings = Settings()) -> Model:
         def add(*k):
             sums[k] = sums.get(k, 0) + 1
 
-        for _, rows in _blocks(batches, 6):
-            last, before = None, None
-            for _, _, _, text, roles, firsts in rows:
+        place, last, before = None, None, None
+        for b in batches:
+            for conv, block, text, roles, firsts in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
+                if place != (conv, block):
+                    place, last, before = (conv, block), None, None if block == 0 else "x"
                 for line, role, first in zip((text or "").split("\n"), roles, firsts, strict=True):
                     state = 2 * ROLES.index(role) + (not first)
-                    if last is None:
-                        add("start", state, 0)
-                    else:
+                    if last is not None:
                         add("move", last, state)
+                    elif block == 0:
+                        add("start", state, 0)
                     for f, v in zip(FEATURES, line_features(line, before), strict=True):
                         add(f, state, v)
                     last, before = state, line
-        cols = list(zip(*((*k, n) for k, n in sums.items()), strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["what", "state", "value", "n"])
-
-    sample = parts.orderBy(F.xxhash64("conv_id"), "conv_id", "part").limit(s.sample)
-    counts = _sorted(sample, s, "roles", "firsts").mapInArrow(count, "what string, state int, value int, n long").groupBy("what", "state", "value").agg(F.sum("n").alias("n"))
+        yield _batch([(*k, n) for k, n in sums.items()], pa.schema([("what", pa.string()), ("state", pa.int32()), ("value", pa.int32()), ("n", pa.int64())]))
+
+    block = F.floor(F.coalesce("part", F.lit(0)) / s.block).cast("long")
+    n = parts.count()
+    taken = F.pmod(F.xxhash64("conv_id", block), F.lit(1 << 20)) < int(min(1.0, s.sample / max(1, n)) * (1 << 20))
+    sample = parts.where(taken).select("conv_id", block.alias("block"), "text", "roles", "firsts", "part")
+    dealt = sample.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text")
+    counts = dealt.mapInArrow(count, "what string, state int, value int, n long").groupBy("what", "state", "value").agg(F.sum("n").alias("n"))
     size = len(STATES)
     tables = {"start": np.zeros((size, 1)), "move": np.zeros((size, size))} | {f: np.zeros((size, n)) for f, n in FEATURES.items()}
     for r in counts.collect():  # at most a row for each cell of the tables
@@ -144,12 +221,17 @@ def fit(parts: DataFrame, s: Settings = Settings()) -> Model:
 # Decoding
 
 
-def _transfer(logs, move):
-    """Max-plus matrix of a block: from the state before it to the state of its last line."""
+def _transfer(logs, move, opens: bool):
+    """Max-plus matrix of a block: from the state before it to the state of its last line.
+
+    A block that opens its conversation has no state before it: there, from the state of its first line.
+    """
     import numpy as np
 
     m = np.full((len(STATES), len(STATES)), -np.inf)
     np.fill_diagonal(m, 0.0)
+    if opens:
+        m, logs = m + logs[0], logs[1:]
     for e in logs:
         m = (m[:, :, None] + move[None]).max(1) + e
     return m
@@ -200,111 +282,135 @@ def _unrolled(mats: list, entry, start, leave: int | None) -> list[tuple[int | N
     return [(entry if k == 0 else ends[k - 1], e) for k, e in enumerate(ends)]
 
 
-MATRIX = "conv_id long, block long, m array<double>"
-ENDS = "conv_id long, block long, entry int, leave int"
+MATRIX = "seq long, conv_id long, m array<double>"
+ENDS = "conv_id long, seq long, entry int, leave int"
 
 
 def _ends(mats: DataFrame, model: Model, s: Settings) -> DataFrame:
-    """(conv_id, block, entry, leave): the best path's states around each block."""
+    """(conv_id, seq, entry, leave): the best path's states around each block."""
     size = len(STATES)
 
-    def batch(rows, names, kinds):
-        import pyarrow as pa
-
-        cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+    def groups(batches):
+        """Rows of a sorted partition, by conversation and level."""
+        held, current = [], None
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and r[:2] != current:
+                    yield held
+                    held = []
+                current = r[:2]
+                held.append(r)
+        if held:
+            yield held
 
     def multiply(batches):
         import numpy as np
         import pyarrow as pa
 
-        for (conv, up), rows in _blocks(batches, 4):
-            m = None
-            for r in rows:
-                x = np.array(r[3]).reshape(size, size)
-                m = x if m is None else _times(m, x)
-            yield batch([(conv, up, m.ravel().tolist())], ["conv_id", "block", "m"], [pa.int64(), pa.int64(), pa.list_(pa.float64())])
+        for rows in groups(batches):
+            m = np.array(rows[0][3]).reshape(size, size)
+            for r in rows[1:]:
+                m = _times(m, np.array(r[3]).reshape(size, size))
+            yield _batch([(rows[0][1], rows[0][0], m.ravel().tolist())], pa.schema([("seq", pa.int64()), ("conv_id", pa.int64()), ("m", pa.list_(pa.float64()))]))
 
     def unroll(batches):
         import numpy as np
         import pyarrow as pa
 
-        for (conv, _), rows in _blocks(batches, 6):
-            first = np.array(model.start)
-            got = _unrolled([np.array(r[3]).reshape(size, size) for r in rows], rows[0][4], first, rows[0][5])
-            yield batch([(conv, r[2], e, x) for r, (e, x) in zip(rows, got, strict=True)], ["conv_id", "block", "entry", "leave"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
-
-    up = F.floor(F.col("block") / s.level).alias("up")
-    grouped = mats.select("conv_id", up, "block", "m")
-    if (mats.agg(F.max("block")).first()[0] or 0) >= s.level:
-        above = stored(grouped.repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "block").mapInArrow(multiply, MATRIX), "matrices")
-        known = _ends(above, model, s).select("conv_id", F.col("block").alias("up"), "entry", "leave")
-        join = grouped.conv_id.eqNullSafe(known.conv_id) & (grouped.up == known.up)
-        grouped = grouped.join(known, join, "left").select(grouped.conv_id, grouped.up, "block", "m", "entry", "leave")
-    else:
+        for rows in groups(batches):
+            got = _unrolled([np.array(r[3]).reshape(size, size) for r in rows], rows[0][4], np.array(model.start), rows[0][5])
+            yield _batch([(r[0], r[2], *x) for r, x in zip(rows, got, strict=True)], pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32())]))
+
+    up = F.floor(F.col("seq") / s.level)
+    grouped = mats.select("conv_id", up.alias("up"), "seq", "m")
+    if grouped.groupBy("conv_id").agg(F.min("up").alias("a"), F.max("up").alias("z")).where("a < z").isEmpty():
         grouped = grouped.withColumns({"entry": F.lit(None).cast("int"), "leave": F.lit(None).cast("int")})
-    return stored(grouped.repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "block").mapInArrow(unroll, ENDS), "block-ends")
+    else:
+        above = stored(grouped.repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "seq").mapInArrow(multiply, MATRIX), "matrices")
+        known = _ends(above, model, s).withColumnsRenamed({"conv_id": "_conv", "seq": "_up"})
+        grouped = grouped.join(known, (F.col("up") == F.col("_up")) & F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv", "_up")
+    return stored(grouped.repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "seq").mapInArrow(unroll, ENDS), "block-ends")
+
+
+RUNS = "conv_id long, seq long, i int, part long, line int, n_lines int, role string, opens boolean, text string"
 
 
 def recover(parts: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
-    """(conv_id, part, line, n_lines, role, opens, text): the runs of lines of one turn, in canonical form.
+    """(conv_id, part, line, n_lines, role, opens, text): the turns in canonical form.
 
-    ``part`` and ``line`` place the run's first line. A run that ``opens`` a turn starts with the canonical header;
-    a turn that goes on over the edge of a block has further runs. In order, the texts make the transcript.
+    ``part`` and ``line`` place the turn's first line. In order, the texts make the transcript.
     """
-    size = len(STATES)
 
     def matrices(batches):
         import numpy as np
         import pyarrow as pa
 
-        move = np.array(model.move)
-        for (conv, block), rows in _blocks(batches, 5):
-            logs = _logs([x for r in rows for x in (r[3] or "").split("\n")], rows[0][4], model)
-            m = _transfer(logs, move)
-            if block == 0:  # before the first line there is no state: its scores stand in for every move
-                m = np.where(np.eye(size, dtype=bool), 0.0, -np.inf)
-                m = m + logs[0]
-                for e in logs[1:]:
-                    m = (m[:, :, None] + move[None]).max(1) + e
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([block], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "block", "m"])
+        move, scores = np.array(model.move), Scores(model)
+        schema = pa.schema([("seq", pa.int64()), ("conv_id", pa.int64()), ("m", pa.list_(pa.float64()))])
+        for b in batches:
+            for seq, conv, before, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                logs = _logs([x for _, _, x in _lines(parts)], before, scores)
+                yield _batch([(seq, conv, _transfer(logs, move, before == 0).ravel().tolist())], schema)
 
     def decode(batches):
         import numpy as np
         import pyarrow as pa
 
-        move = np.array(model.move)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-        names = ["conv_id", "part", "line", "n_lines", "role", "opens", "text"]
-        for (conv, _), rows in _blocks(batches, 7):
-            place = [(r[2], i, x) for r in rows for i, x in enumerate((r[3] or "").split("\n"))]
-            path = _path(_logs([x for _, _, x in place], rows[0][6], model), move, rows[0][4], model.start, rows[0][5])
-            runs: list[list] = []
-            for (part, i, line), state in zip(place, path, strict=True):
-                role, first = ROLES[state // 2], state % 2 == 0
-                if first or not runs or runs[-1][4] != role:
-                    runs.append([conv, part, i, 0, role, first, []])
-                runs[-1][3] += 1
-                runs[-1][6].append(MARKER.sub("", line, count=1) if first else line)
-            out = [(*r[:6], render(r[4], r[5], r[6])) for r in runs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    cut = stored(_sorted(parts, s), "chat-blocks")
-    # Whether the line before a block is blank: "" or "x"; null if there is none.
-    end = F.max_by("text", F.struct(F.coalesce("part", F.lit(-1)), F.coalesce("text", F.lit("")))).alias("end")
-    tail = F.substring(F.trim(F.substring_index(F.coalesce("end", F.lit("")), "\n", -1)), 1, 1)
-    tails = cut.groupBy("conv_id", "block").agg(end).select(F.col("conv_id").alias("_c"), (F.col("block") + 1).alias("_b"), tail.alias("before"))
-    blocks = cut.join(tails, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")), "left").drop("_c", "_b")
-    again = blocks.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text")
-    ends = _ends(stored(again.mapInArrow(matrices, MATRIX), "matrices"), model, s)
-    joined = blocks.join(ends.withColumnsRenamed({"conv_id": "_c", "block": "_b"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
-    rows = joined.select("conv_id", "block", "part", "text", "entry", "leave", "before").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text")
-    return rows.mapInArrow(decode, "conv_id long, part long, line int, n_lines int, role string, opens boolean, text string")
-
-
-def render(role: str, opens: bool, lines: list[str]) -> str:
-    body = "\n".join(lines).strip("\n")
-    return f"<|{role}|>\n{body}\n" if opens else f"{body}\n"
+        move, scores = np.array(model.move), Scores(model)
+        schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("i", pa.int32()), ("part", pa.int64()), ("line", pa.int32()), ("n_lines", pa.int32()), ("role", pa.string()), ("opens", pa.bool_()), ("text", pa.string())])
+        for b in batches:
+            for seq, conv, before, parts, entry, leave in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                place = _lines(parts)
+                path = _path(_logs([x for _, _, x in place], before, scores), move, entry, model.start, leave)
+                runs: list[list] = []
+                for (part, at, line), state in zip(place, path, strict=True):
+                    role, first = ROLES[state // 2], state % 2 == 0
+                    if first or not runs:
+                        runs.append([conv, seq, len(runs), part, at, 0, role, first, []])
+                    runs[-1][5] += 1
+                    runs[-1][8].append(MARKER.sub("", line, count=1) if first else line)
+                yield _batch([(*r[:8], "\n".join(r[8])) for r in runs], schema)
+
+    with small_batches(parts.sparkSession, 256):
+        cut = blocks(parts, s)
+        within = cut.where("whole").select("conv_id", "seq", "before", "parts")
+        across = cut.where("not whole").select("conv_id", "seq", "before", "parts")
+        ends = _ends(stored(across.select("seq", "conv_id", "before", "parts").mapInArrow(matrices, MATRIX), "matrices"), model, s).drop("conv_id")
+        known = across.join(maybe_broadcast(ends, ends.count(), 32), "seq")
+        columns = [F.col(c) for c in ("seq", "conv_id", "before", "parts", "entry", "leave")]
+        split = stored(known.select(*columns).mapInArrow(decode, RUNS), "chat-runs")
+        alone = F.lit(None).cast("int")
+        turns = stored(within.withColumns({"entry": alone, "leave": alone}).select(*columns).mapInArrow(decode, RUNS), "chat-turns")
+    return _rendered(turns).unionByName(_rendered(_whole_turns(split, s)))
+
+
+def _whole_turns(runs: DataFrame, s: Settings) -> DataFrame:
+    """Runs of lines put together to turns: those that open none belong to the last turn that a block before opens."""
+    opened = runs.groupBy("conv_id", "seq").agg(F.max(F.when(F.col("opens"), F.struct("seq", "i"))).alias("turn"))
+    opened = opened.withColumn("up", F.floor(F.col("seq") / s.level))
+    # In two levels, so that a task sees a small part of a long conversation's blocks, and few rows of the levels.
+    inside = W.partitionBy("conv_id", "up").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    levels = opened.groupBy("conv_id", "up").agg(F.max("turn").alias("turn"))
+    above = levels.select("conv_id", "up", F.max("turn").over(W.partitionBy("conv_id").orderBy("up").rowsBetween(W.unboundedPreceding, -1)).alias("above"))
+    carried = opened.withColumn("inside", F.max("turn").over(inside)).join(above.withColumnsRenamed({"conv_id": "_c", "up": "_u"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_u")))
+    carried = carried.select(F.col("seq").alias("_seq"), F.coalesce("inside", "above").alias("carried"))
+    mine = F.when(F.col("opens"), F.struct("seq", "i")).otherwise(F.col("carried")).alias("turn")
+    placed = runs.join(carried, F.col("seq") == F.col("_seq")).select("*", mine)
+    piece = F.floor((F.col("seq") - F.col("turn.seq")) / s.turn).alias("piece")
+    order = F.struct("seq", "i")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "i", "text"))), lambda x: x["text"]), "\n")
+    first = [F.min_by(c, order).alias(c) for c in ("part", "line", "role")]
+    grouped = placed.groupBy("conv_id", "turn", piece).agg(*first, F.sum("n_lines").cast("int").alias("n_lines"), F.max("opens").alias("opens"), texts.alias("text"))
+    return grouped
+
+
+def _rendered(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", "part", "line", "n_lines", "role", "opens", rendered(F.col("role"), F.col("opens"), F.col("text")).alias("text"))
+
+
+def rendered(role: Column, opens: Column, body: Column) -> Column:
+    head = F.when(opens, F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.lit(""))
+    return F.concat(head, F.btrim(body, F.lit("\n")), F.lit("\n"))
 
 
 # Raw transcripts of labelled conversations
@@ -320,17 +426,17 @@ STYLES = (
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, text, roles, firsts): turns as raw lines, each conversation in a style chosen by its id."""
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
+    """(conv_id, part, text, roles, firsts): turns as bare lines, each conversation in a style chosen by its id."""
     mark = F.lit("")
     for k, names in enumerate(STYLES):
         for role, text in names.items():
-            mark = F.when((style == k) & (F.col("role") == role), F.lit(text)).otherwise(mark)
-    text = F.concat(mark, F.coalesce("text", F.lit("")), F.lit("\n"))
+            mark = F.when((style("conv_id") == k) & (F.col("role") == role), F.lit(text)).otherwise(mark)
+    text = F.concat(mark, F.coalesce("text", F.lit("")))
     n = F.size(F.split(text, "\n"))
     rows = conversations.select("conv_id", F.col("turn").alias("part"), text.alias("text"), F.coalesce("role", F.lit("user")).alias("role"), n.alias("n"))
-    return rows.select("conv_id", "part", "text", F.array_repeat("role", F.col("n")).alias("roles"), _firsts("n").alias("firsts"))
+    firsts = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i == 1)
+    return rows.select("conv_id", "part", "text", F.array_repeat("role", F.col("n")).alias("roles"), firsts.alias("firsts"))
 
 
-def _firsts(n: str) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.col(n)), lambda i: i == 1)
+def style(conv_id: str) -> Column:
+    return F.pmod(F.xxhash64(conv_id), F.lit(len(STYLES)))

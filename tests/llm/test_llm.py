@@ -503,27 +503,78 @@ def roles_of(parts, model, settings):
     return out
 
 
-def test_chat_roles_do_not_depend_on_blocks(spark):
-    raw = chat.transcripts(table(spark, "conversations")).cache()
-    model = chat.fit(raw)
-    whole = roles_of(raw, model, chat.Settings(block=10_000))
-    assert whole == roles_of(raw, model, chat.Settings(block=1, level=2))
+def truth_of(raw):
     truth = defaultdict(list)
     for r in sorted(raw.collect(), key=lambda r: (r.conv_id, r.part)):
         truth[r.conv_id] += r.roles
-    pairs = [(a, b) for c in truth for a, b in zip(truth[c], whole[c], strict=True)]
-    assert sum(a == b for a, b in pairs) >= 0.95 * len(pairs)
+    return truth
+
+
+def test_chat_roles_and_turns_do_not_depend_on_blocks(spark):
+    raw = chat.transcripts(table(spark, "conversations")).cache()
+    model = chat.fit(raw)
+    key = lambda r: (r.conv_id, r.part, r.line)
+    whole = sorted(chat.recover(raw, model).collect(), key=key)
+    small = chat.Settings(block=1, level=2)
+    assert len({r.text for r in whole}) > 10 and all(r.opens for r in whole)
+    pieces = sorted(chat.recover(raw.repartition(5), model, small).collect(), key=key)
+    assert roles_of(raw, model, small) == roles_of(raw, model, chat.Settings())
+    assert pieces == whole
+    # The same lines, several turns in one part, or one line in each.
+    rows = [(r.conv_id, r.part, x) for r in raw.collect() for x in r.text.split("\n")]
+    lines = spark.createDataFrame([(c, k, x) for k, (c, _, x) in enumerate(sorted(rows, key=lambda r: r[:2]))], "conv_id long, part long, text string")
+    joined = defaultdict(list)
+    for c, p, x in sorted(rows, key=lambda r: r[:2]):
+        joined[c, p // 3].append(x)
+    parts = spark.createDataFrame([(c, p, "\n".join(x)) for (c, p), x in joined.items()], "conv_id long, part long, text string")
+    texts = [[r.text for r in sorted(chat.recover(df, model, small).collect(), key=key)] for df in (lines, parts)]
+    assert texts[1] == [r.text for r in whole]
+    assert "".join(texts[0]).replace("\n", "") == "".join(texts[1]).replace("\n", "")
+
+
+def test_chat_accuracy_on_held_out_conversations(spark):
+    """Marked lines are right throughout. Bare lines tell roles by their lengths alone."""
+    raw = chat.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).withColumn("style", chat.style("conv_id")).cache()
+    held = labelled.fold(F.col("conv_id"), 5) == 0
+    model = chat.fit(raw.where(~held))
+    right = {}
+    for bare in (False, True):
+        some = raw.where(held & ((F.col("style") == 4) == bare))
+        got, want = roles_of(some, model, chat.Settings()), truth_of(some)
+        pairs = [(a, b) for c in want for a, b in zip(want[c], got[c], strict=True)]
+        right[bare] = sum(a == b for a, b in pairs) / len(pairs)
+    assert right[False] == 1.0 and right[True] >= 0.6, right
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_viterbi_is_the_best_of_all_paths(seed):
+    rng = np.random.default_rng(seed)
+    n, size = int(rng.integers(1, 6)), len(chat.STATES)
+    logs, move, start = rng.normal(size=(n, size)), rng.normal(size=(size, size)), rng.normal(size=size)
+
+    def value(path, entry):
+        first = start[path[0]] if entry is None else move[entry, path[0]]
+        return first + sum(logs[k, x] for k, x in enumerate(path)) + sum(move[a, b] for a, b in itertools.pairwise(path))
+
+    for entry, leave in ((None, None), (2, None), (None, 3), (1, 4)):
+        paths = [p for p in itertools.product(range(size), repeat=n) if leave is None or p[-1] == leave]
+        best = max(paths, key=lambda p: value(p, entry))
+        assert chat._path(logs, move, entry, start, leave) == list(best)
+        ends = chat._unrolled([chat._transfer(e, move, entry is None and k == 0) for k, e in enumerate(np.array_split(logs, min(n, 2)))], entry, start, leave)
+        assert [x[1] for x in ends][-1] == best[-1] and ends[0][0] == entry
 
 
 def test_chat_markers_and_edges(spark):
     raw = chat.transcripts(table(spark, "conversations"))
     model = chat.fit(raw)
-    rows = [(1, 0, "User: hi there\nhow are you?\n\nAssistant: fine"), (2, 0, None), (None, 0, "### Human:\nq\n### Assistant:\na"), (1, 1, "Human: again"), (1, 1, "Human: again")]
+    rows = [(1, 0, "User: hi there\nhow are you?\n\nAssistant: fine"), (2, 0, None), (None, 0, "### Human:\nq\n### Assistant:\na"), (1, 1, "Human: again"), (1, 1, "Human: again"), (3, None, "Q: x"), (3, None, "A: " + "y\n" * 5000)]
     df = spark.createDataFrame([(c, p, t, "z") for c, p, t in rows], "conv_id long, part long, text string, role string")
     got = chat.recover(df, model).orderBy("part", "line").collect()
     assert [(r.role, r.opens) for r in got if r.conv_id == 1][:3] == [("user", True), ("assistant", True), ("user", True)]
     assert [r.text for r in got if r.conv_id is None] == ["<|user|>\nq\n", "<|assistant|>\na\n"]
+    assert sum(r.n_lines for r in got if r.conv_id == 3) == 5002 and sum(r.n_lines for r in got if r.conv_id == 2) == 1
     assert chat.recover(df.where("false"), model).count() == 0
+    assert chat.fit(raw.where("false")).start[0] == chat.fit(raw.where("false")).start[2]
 
 
 # Pipeline
