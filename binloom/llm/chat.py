@@ -51,7 +51,7 @@ class Settings:
     level: int = 1024  # matrices multiplied together
     turn: int = 1024  # blocks whose share of a turn is put into one row
     smoothing: float = 0.5
-    sample: int = 200_000  # labelled parts that are counted, about, at most
+    sample: int = 20_000  # labelled parts that are counted, about, at most
 
 
 @dataclass
