@@ -144,6 +144,22 @@ def reduced_kmers(amino: str, k: int, cap: int = 0, stride: int = 1) -> list[tup
     return out
 
 
+def seed_arrays(amino: str, k: int, cap: int = 0, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """``reduced_kmers`` as arrays of codes and positions."""
+    codes, places = [], []
+    powers = 10 ** np.arange(k - 1, -1, -1, dtype=np.int64)
+    for m in re.finditer(f"[{RESIDUES}]+", amino):
+        windows = m.end() - m.start() - k + 1
+        if windows > 0:
+            step = max(stride, -(-windows // cap)) if cap else stride
+            digits = np.frombuffer(m[0].translate(_GROUPS).encode(), np.uint8) - ord("0")
+            codes.append(np.lib.stride_tricks.sliding_window_view(digits, k)[::step] @ powers)
+            places.append(np.arange(m.start(), m.start() + windows, step))
+    if not codes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(codes), np.concatenate(places).astype(np.int32)
+
+
 def _best_run(line: np.ndarray, floor: int | None, drop: int) -> tuple[int, int]:
     """Best sum of a prefix of ``line`` and its length. ``floor``: the score of taking nothing, None if one must be taken."""
     run = np.cumsum(line)

@@ -33,7 +33,7 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def _count(seq: Column, letters: str) -> Column:
-    return F.regexp_count(seq, F.lit(f"[{letters}]"))
+    return F.length(seq) - F.length(F.translate(seq, letters, ""))
 
 
 def gc_content(seq: Column) -> Column:

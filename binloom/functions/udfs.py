@@ -24,6 +24,16 @@ def contig_stats(seq):
     return pd.DataFrame([stats(s or "") for s in seq], columns=["length", "gc_content", "gc_skew", "ambiguous", "coding_density", "composition"])
 
 
+@F.pandas_udf(StringType())
+def translate_frame(seq, frame):
+    """Frames 0 to 2 forward, 3 to 5 of the reverse complement."""
+    import pandas as pd
+
+    from .kernels import frames
+
+    return pd.Series([frames(s or "")[int(k)] for s, k in zip(seq, frame, strict=True)])
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def six_frames(seq):
     import pandas as pd
@@ -78,4 +88,5 @@ def register(spark: SparkSession) -> None:
     """The functions as SQL names."""
     for f in (contig_stats, six_frames, orf_ranges, reduced_kmers, extend_ungapped, extend_gapped):
         spark.udf.register(f.__name__, f)
+    spark.udf.register("translate_frame", translate_frame)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION revcomp(s STRING) RETURNS STRING RETURN reverse(translate(regexp_replace(s, '[^ATCGURYSWKMBVDHNatcguryswkmbvdhn]', 'N'), 'ATCGURYSWKMBVDHNatcguryswkmbvdhn', 'TAGCAYRSWMKVBHDNtagcayrswmkvbhdn'))")

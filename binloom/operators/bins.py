@@ -73,6 +73,14 @@ def bin_summary(assignment: DataFrame, contigs: DataFrame, hits: DataFrame, reca
     return out.withColumn("tier", tier(F.col("completeness"), F.col("redundancy"), tiers))
 
 
+def preferred_hits(built_in: DataFrame, supplied: DataFrame | None) -> DataFrame:
+    """(contig_id, family): hits that came with the data, and those found here for contigs without any."""
+    if supplied is None:
+        return built_in.select("contig_id", "family")
+    rest = built_in.join(supplied.select("contig_id").distinct(), "contig_id", "left_anti")
+    return supplied.select("contig_id", "family").unionByName(rest.select("contig_id", "family"))
+
+
 def unmatched(assignment: DataFrame, contigs: DataFrame) -> DataFrame:
     """Assignment rows whose contig is not in the assembly; repeated rows stay."""
     return assignment.join(contigs.select("contig_id").distinct(), "contig_id", "left_anti")

@@ -13,6 +13,11 @@ Range = tuple[float | None, float | None]
 OPEN: Range = (None, None)
 
 
+def raw_table(contigs: DataFrame) -> DataFrame:
+    """Contigs by length, longest first, equal ones in file order (``ord``)."""
+    return contigs.orderBy(F.desc("length"), "ord")
+
+
 def within(c: Column, bounds: Range) -> Column:
     """Inclusive; an open side passes, and so does NaN."""
     low, high = bounds

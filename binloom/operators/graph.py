@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own where it is unset and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="binloom-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names, or in one of our own where it is unset."""
+    """Cut the lineage in the folder that spark.checkpoint.dir names. Only a session on one machine may leave it unset."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="binloom-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

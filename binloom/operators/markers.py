@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import fnv1a, header_family, header_taxon
-from ..functions.udfs import extend_gapped, extend_ungapped, reduced_kmers, six_frames
+from ..functions.udfs import extend_gapped, extend_ungapped, six_frames
+from .ranks import ranked
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,7 @@ class Search:
     band: int = 16
     # Families whose override beats the caller's own values.
     overrides: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SINGLE_REPRESENTATIVE, 1))
+    margins: dict[str, int] = field(default_factory=dict)  # of families, in place of min_margin
 
 
 # Families that one representative is enough for.
@@ -36,15 +38,35 @@ SINGLE_REPRESENTATIVE = ("COG0495", "COG0525", "COG0012", "COG0016", "COG0018",
 def ref_seqs(records: DataFrame) -> DataFrame:
     """(ref_id, family, tax_id, residues, len) from (header, seq); ids in header order."""
     rows = records.select(header_family(F.col("header")).alias("family"), header_taxon(F.col("header")).alias("tax_id"), F.col("seq").alias("residues"), "header")
-    return rows.select((F.row_number().over(W.orderBy("header", "residues")) - 1).alias("ref_id"), "family", "tax_id", "residues", F.length("residues").alias("len"))
+    return ranked(rows, "header", "residues").select((F.col("rank") - 1).cast("int").alias("ref_id"), "family", "tax_id", "residues", F.length("residues").alias("len"))
 
 
 def seed_index(refs: DataFrame, k: int = 9, min_hits: int = 3, max_hits: int = 20) -> DataFrame:
     """(code, ref_id, ref_pos): windows of the references; rare codes go, frequent ones are thinned evenly."""
-    hits = refs.select("ref_id", F.explode(reduced_kmers(F.col("residues"), F.lit(k), F.lit(0), F.lit(1))).alias("w")).select("w.code", "ref_id", F.col("w.pos").alias("ref_pos"))
+    hits = _seeded(refs.select("ref_id", "residues"), k, 0, 1).select("code", "ref_id", F.col("pos").alias("ref_pos"))
     return thinned(hits, "code", ("ref_id", "ref_pos"), min_hits, max_hits)
 
 
+def _seeded(rows: DataFrame, k: int, cap: int, stride: int) -> DataFrame:
+    """The columns of ``rows`` but the last, which holds residues, with (code, pos) of each window."""
+    names = rows.columns[:-1]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions.kernels import seed_arrays
+
+        for b in batches:
+            got = [seed_arrays(a or "", k, cap, stride) for a in b.column(len(names)).to_pylist()]
+            if got:
+                at = pa.array(np.repeat(np.arange(len(got)), [len(c) for c, _ in got]))
+                cols = [b.column(i).take(at) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([c for c, _ in got])), pa.array(np.concatenate([p for _, p in got]))], names=[*names, "code", "pos"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in rows.dtypes[:-1]), "code long, pos int"]))
+
+
 def thinned(rows: DataFrame, key: str, order: tuple[str, ...], least: int, most: int) -> DataFrame:
     """Keys with ``least`` rows or more; of more than ``most`` rows, those at floor(j * total / most) in order."""
     w = W.partitionBy(key)
@@ -74,8 +96,7 @@ def frames_of(contigs: DataFrame) -> DataFrame:
 
 def seeds(frames: DataFrame, s: Search = Search()) -> DataFrame:
     """(contig_id, frame, frame_pos, code)."""
-    w = reduced_kmers(F.col("aa"), F.lit(s.k), F.lit(s.seeds), F.lit(s.stride))
-    return frames.select("contig_id", "frame", F.explode(w).alias("w")).select("contig_id", "frame", F.col("w.pos").alias("frame_pos"), "w.code")
+    return _seeded(frames.select("contig_id", "frame", "aa"), s.k, s.seeds, s.stride).withColumnRenamed("pos", "frame_pos")
 
 
 def diagonals(seeded: DataFrame, index: DataFrame) -> DataFrame:
@@ -112,7 +133,9 @@ def calls(extended: DataFrame, s: Search = Search()) -> DataFrame:
     rows = fam.withColumn("rival", F.greatest(rival, F.lit(0)))
     over = F.create_map(*[F.lit(x) for kv in s.overrides.items() for x in kv]) if s.overrides else None
     least = F.coalesce(F.try_element_at(over, F.col("family")), F.lit(s.min_representatives)) if over is not None else F.lit(s.min_representatives)
-    return rows.where((F.col("score") - F.col("rival") >= s.min_margin) & (F.col("representatives") >= least)).drop("rival")
+    gaps = F.create_map(*[F.lit(x) for kv in s.margins.items() for x in kv]) if s.margins else None
+    margin = F.coalesce(F.try_element_at(gaps, F.col("family")), F.lit(s.min_margin)) if gaps is not None else F.lit(s.min_margin)
+    return rows.where((F.col("score") - F.col("rival") >= margin) & (F.col("representatives") >= least)).drop("rival")
 
 
 def search(contigs: DataFrame, refs: DataFrame, index: DataFrame, s: Search = Search()) -> DataFrame:
@@ -125,6 +148,47 @@ def resolved(defaults: Search, shipped: dict | None = None, caller: dict | None
     return replace(defaults, **(shipped or {}), **(caller or {})) if not set(shipped or {}) & set(caller or {}) else replace(replace(defaults, **shipped), **caller)
 
 
+# Names of the parameters in a thresholds file.
+THRESHOLD_NAMES = {
+    "xDrop": "drop", "minScore": "min_score", "minCoverage": "min_coverage", "minMargin": "min_margin",
+    "minRepresentatives": "min_representatives", "minSeedStride": "stride", "maxSeedsPerSegment": "seeds",
+}
+
+
+def read_thresholds(spark: SparkSession, path: str, defaults: Search = Search()) -> Search:
+    """Parameters from a thresholds file (JSON): defaults, and overrides of families."""
+    import json
+
+    found = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+    families = found.get("familyOverrides") or {}
+    values = {THRESHOLD_NAMES[k]: v for k, v in (found.get("defaultParams") or {}).items() if k in THRESHOLD_NAMES}
+    least = {f: v["minRepresentatives"] for f, v in families.items() if "minRepresentatives" in v}
+    return replace(defaults, **values, overrides=least, margins={f: v["minMargin"] for f, v in families.items() if "minMargin" in v})
+
+
+def calibrated(s: Search, found: DataFrame) -> Search:
+    """``s`` with what ``calibration`` found, a row for each family at most."""
+    rows = found.collect()
+    least = {r.family: int(r.min_representatives) for r in rows if r.min_representatives is not None}
+    gaps = {r.family: int(r.min_margin) for r in rows if r.min_margin is not None}
+    return replace(s, overrides=s.overrides | least, margins=s.margins | gaps)
+
+
+def held_out_margins(held: DataFrame, refs: DataFrame, index: DataFrame, s: Search = Search(), size: int = 150) -> DataFrame:
+    """(family, representatives, margin) of held-out sequences (header, family, seq of bases), ``size`` a family at most."""
+    sample = even_sample(held.select("header", "family", "seq"), "family", ("header",), size)
+    contigs = sample.select(F.col("header").alias("contig_id"), "seq")
+    frames = frames_of(contigs)
+    open_ = replace(s, min_margin=-(10**9), min_representatives=1, overrides={}, margins={})
+    extended = extensions(diagonals(seeds(frames, s), index), frames, refs, s)
+    called = calls(extended, open_).select(F.col("contig_id").alias("header"), "family", "representatives", "score")
+    ok = extended.where((F.col("score") >= s.min_score) & (F.col("coverage") >= s.min_coverage)).select(F.col("contig_id").alias("header"), F.col("family").alias("other"), F.col("score").alias("rival"))
+    own = sample.select("header", "family").join(called, ["header", "family"])
+    rival = own.select("header", "family").join(ok, "header").where("other <> family").groupBy("header", "family").agg(F.max("rival").alias("rival"))
+    out = own.join(rival, ["header", "family"], "left")
+    return out.select("family", "representatives", (F.col("score") - F.coalesce("rival", F.lit(0))).alias("margin"))
+
+
 def minhash(records: DataFrame, k: int = 5, hashes: int = 24) -> DataFrame:
     """Records with ``sig``: per hash, the least FNV-1a value over the k-mers of ``seq``."""
     n = F.length("seq") - k + 1

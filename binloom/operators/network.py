@@ -74,56 +74,165 @@ def neighbourhood_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("mag_id").agg(F.count(F.lit(1)).alias("leaves"), *[F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in states])
 
 
-def ring_layout(shown: DataFrame, width: float = 400, height: float = 400) -> DataFrame:
-    """Leaves with x, y on rings around the centre: held here innermost, contested midway, the rest outside."""
-    radius = F.lit(min(width, height) / 2) * F.when(F.col("state") == "core", 0.18).when(F.col("state") == "held-here", 0.55).otherwise(0.85)
-    w = W.partitionBy("mag_id", "state")
-    angle = 2 * 3.141592653589793 * (F.row_number().over(w.orderBy("contig_id")) - 1) / F.count(F.lit(1)).over(w)
-    return shown.withColumns({"x": F.lit(width / 2) + radius * F.cos(angle), "y": F.lit(height / 2) + radius * F.sin(angle)})
-
-
-def petal_layout(shown: DataFrame, links: DataFrame, width: float = 400, height: float = 400, spread: float = 0.8) -> DataFrame:
-    """Leaves in the sector of their first rival hub; those without one share the first sector."""
-    hub = links.where("hub <> mag_id").groupBy("mag_id", "contig_id").agg(F.min("hub").alias("hub"))
-    rows = shown.join(hub, ["mag_id", "contig_id"], "left").fillna("", ["hub"])
-    sector = F.dense_rank().over(W.partitionBy("mag_id").orderBy("hub")) - 1
-    rows = rows.withColumn("sector", sector)
-    w = W.partitionBy("mag_id", "hub")
-    share = 2 * 3.141592653589793 / (F.max("sector").over(W.partitionBy("mag_id")) + 1)
-    place = (F.row_number().over(w.orderBy("contig_id")) - 0.5) / F.count(F.lit(1)).over(w) - 0.5
-    angle = share * (F.col("sector") + place * spread)
-    return rows.withColumns({"x": F.lit(width / 2) + 0.35 * width * F.cos(angle), "y": F.lit(height / 2) + 0.35 * height * F.sin(angle)})
-
-
-def force_layout(placed: DataFrame, links: DataFrame, rounds: int = 150, width: float = 400, height: float = 400) -> DataFrame:
-    """Fruchterman-Reingold from the ring: at most NODES leaves of one MAG in a group. Same input, same places."""
-
-    def settle(key, leaf, link):
+def hubs(votes: DataFrame, mags: DataFrame, agreed: DataFrame, most: int = HUBS) -> DataFrame:
+    """(mag_id, hub): each MAG, and the rivals that are shown around it."""
+    shown = rivals(votes, mags, agreed).where(F.col("place") <= most).select("mag_id", F.col("rival").alias("hub"))
+    return shown.unionAll(mags.select("mag_id", "mag_id"))
+
+
+def hidden_counts(contenders: DataFrame, rows: DataFrame, mags: DataFrame, most_hubs: int = HUBS, most: int = NODES) -> DataFrame:
+    """(mag_id, hidden_hubs, hidden_leaves): what the limits leave out of a MAG's network."""
+    over = contenders.groupBy("mag_id").agg(F.greatest(F.count(F.lit(1)) - most_hubs, F.lit(0)).alias("hidden_hubs"))
+    rest = rows.groupBy("mag_id").agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("hidden_leaves"))
+    return mags.select("mag_id").join(over, "mag_id", "left").join(rest, "mag_id", "left").fillna(0, ["hidden_hubs", "hidden_leaves"])
+
+
+# Layouts: (mag_id, contig_id, angle, x, y) of the leaves, (mag_id, hub, angle, x, y) of the hubs
+
+
+@dataclass(frozen=True)
+class Canvas:
+    width: float = 400
+    height: float = 400
+    # The least margin and its share of the side; radii and spans of the rings as shares.
+    margin: float = 24
+    margin_share: float = 0.08
+    centre: float = 0.18
+    middle: float = 0.55
+    near_hub: float = 0.85
+    petal_hubs: float = 0.28
+    near_span: float = 0.5
+    span: float = 0.8
+
+    @property
+    def radius(self) -> float:
+        side = min(self.width, self.height)
+        return max(1.0, side / 2 - max(self.margin, side * self.margin_share))
+
+
+TURN = 2 * 3.141592653589793
+
+
+def _round(angle, radius, c: Canvas) -> dict:
+    return {"angle": angle, "x": F.lit(c.width / 2) + radius * F.cos(angle), "y": F.lit(c.height / 2) + radius * F.sin(angle)}
+
+
+def _spoke(key: str, *by: str):
+    """Angles of things by rank, the first at the top."""
+    w = W.partitionBy(*by)
+    return TURN * (F.row_number().over(w.orderBy(key)) - 1) / F.count(F.lit(1)).over(w) - TURN / 4
+
+
+def ring_hubs(around: DataFrame, c: Canvas = Canvas()) -> DataFrame:
+    """The MAG itself in the centre, the other hubs on the outer ring."""
+    outer = around.where("hub <> mag_id").withColumns(_round(_spoke("hub", "mag_id"), F.lit(c.radius), c))
+    own = around.where("hub = mag_id").withColumns({"angle": F.lit(0.0), "x": F.lit(float(c.width / 2)), "y": F.lit(float(c.height / 2))})
+    return outer.unionByName(own)
+
+
+def _fan(rows: DataFrame, span, *by: str):
+    """Offsets from the middle of an arc, evenly over its span; a single leaf takes the middle."""
+    w = W.partitionBy(*by)
+    n = F.count(F.lit(1)).over(w)
+    t = F.when(n == 1, 0.5).otherwise((F.row_number().over(w.orderBy("contig_id")) - 1) / (n - 1))
+    return (t - 0.5) * span
+
+
+def _linked(shown: DataFrame, links: DataFrame, around: DataFrame) -> DataFrame:
+    """(mag_id, contig_id, hub): the shown hubs of each shown leaf."""
+    rows = links.select("mag_id", "contig_id", "hub").distinct().join(around.select("mag_id", "hub"), ["mag_id", "hub"], "left_semi")
+    return rows.join(shown.select("mag_id", "contig_id"), ["mag_id", "contig_id"], "left_semi")
+
+
+def ring_layout(shown: DataFrame, links: DataFrame, around: DataFrame, c: Canvas = Canvas()) -> DataFrame:
+    """Contended leaves on a middle ring, in the sector of their least other hub; a hub's own leaves close to it."""
+    own = _linked(shown, links, around).groupBy("mag_id", "contig_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("hub") != F.col("mag_id"), F.col("hub"))).alias("hub"))
+    spokes = ring_hubs(around, c).where("hub <> mag_id").select("mag_id", "hub", F.col("angle").alias("middle"))
+    sectors = spokes.groupBy("mag_id").agg((TURN / F.count(F.lit(1))).alias("sector"))
+    rows = own.join(spokes, ["mag_id", "hub"], "left").join(sectors, "mag_id", "left").withColumn("contended", F.col("n") > 1)
+    share = F.when(F.col("contended"), c.span).otherwise(c.near_span)
+    fan = _fan(rows, F.col("sector") * share, "mag_id", "hub", "contended")
+    angle = F.when(F.col("hub").isNull(), _spoke("contig_id", "mag_id", "hub", "contended")).otherwise(F.col("middle") + fan)
+    radius = c.radius * F.when(F.col("hub").isNull(), c.centre).when(F.col("contended"), c.middle).otherwise(c.near_hub)
+    return rows.withColumns({"a": angle, "r": radius}).withColumns(_round(F.col("a"), F.col("r"), c)).select("mag_id", "contig_id", "angle", "x", "y")
+
+
+def petal_hubs(around: DataFrame, c: Canvas = Canvas()) -> DataFrame:
+    """All hubs on an inner ring."""
+    return around.withColumns(_round(_spoke("hub", "mag_id"), F.lit(c.radius * c.petal_hubs), c))
+
+
+def petal_layout(shown: DataFrame, links: DataFrame, around: DataFrame, c: Canvas = Canvas()) -> DataFrame:
+    """Leaves on the outer ring, in the sector of their least hub."""
+    own = _linked(shown, links, around).groupBy("mag_id", "contig_id").agg(F.min("hub").alias("hub"))
+    spokes = petal_hubs(around, c).select("mag_id", "hub", F.col("angle").alias("middle"))
+    sectors = spokes.groupBy("mag_id").agg((TURN / F.count(F.lit(1)) * c.span).alias("span"))
+    rows = own.join(spokes, ["mag_id", "hub"]).join(sectors, "mag_id")
+    angle = F.col("middle") + _fan(rows, F.col("span"), "mag_id", "hub")
+    return rows.withColumn("a", angle).withColumns(_round(F.col("a"), F.lit(c.radius), c)).select("mag_id", "contig_id", "angle", "x", "y")
+
+
+@dataclass(frozen=True)
+class Springs:
+    # Rounds, spring length, cooling, pull to the centre and border of the embedder.
+    rounds: int = 150
+    length: float = 0.9
+    start: float = 0.1
+    cooling: float = 0.97
+    pull: float = 0.01
+    border: float = 10
+
+
+def settled(places, links, c: Canvas, s: Springs):
+    """Places of nodes after all rounds: all repel each other, linked ones attract, all are drawn to the centre."""
+    import numpy as np
+
+    p, least, centre = places.astype(float), 0.01, np.array([c.width / 2, c.height / 2])
+    k = np.sqrt(c.width * c.height / max(1, len(p))) * s.length
+    heat = min(c.width, c.height) * s.start
+    for _ in range(s.rounds):
+        d = p[:, None] - p[None]
+        dist = np.hypot(d[..., 0], d[..., 1])
+        dist[dist == 0] = least
+        move = (d * (k * k / dist**2)[..., None]).sum(1)
+        if len(links):
+            d = p[links[:, 0]] - p[links[:, 1]]
+            pull = d * (np.hypot(d[:, 0], d[:, 1]) / k)[:, None]
+            np.add.at(move, links[:, 0], -pull)
+            np.add.at(move, links[:, 1], pull)
+        size = np.hypot(move[:, 0], move[:, 1])
+        size[size == 0] = least
+        p = p + move * (np.minimum(size, heat) / size)[:, None]
+        p = np.clip(p + (centre - p) * s.pull, s.border, np.array([c.width, c.height]) - s.border)
+        heat *= s.cooling
+    return p
+
+
+def force_layout(shown: DataFrame, links: DataFrame, around: DataFrame, c: Canvas = Canvas(), s: Springs = Springs()) -> DataFrame:
+    """Springs from the ring on: at most NODES leaves and HUBS hubs of one MAG in a group. Same input, same places."""
+
+    def settle(key, node, link):
         import numpy as np
         import pandas as pd
 
-        leaf = leaf.sort_values("contig_id")
-        names = leaf.contig_id.tolist()
-        hubs = sorted(set(link.hub))
-        at = {n: i for i, n in enumerate([*names, *hubs])}
-        ring = 2 * np.pi * np.arange(len(hubs)) / max(1, len(hubs))
-        p = np.concatenate((leaf[["x", "y"]].to_numpy(float), np.stack([width / 2 + 0.4 * width * np.cos(ring), height / 2 + 0.4 * height * np.sin(ring)], 1)))
-        k = np.sqrt(width * height / max(1, len(p)))
-        e = np.array([(at[a], at[b]) for a, b in zip(link.contig_id, link.hub, strict=True) if a in at], dtype=int).reshape(-1, 2)
-        for r in range(rounds):
-            d = p[:, None] - p[None]
-            dist = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
-            move = (d / dist[..., None] * (k * k / dist)[..., None]).sum(1)
-            if len(e):
-                pull = p[e[:, 0]] - p[e[:, 1]]
-                pull = pull * np.sqrt((pull**2).sum(-1, keepdims=True)) / k
-                np.add.at(move, e[:, 0], -pull)
-                np.add.at(move, e[:, 1], pull)
-            size = np.maximum(np.sqrt((move**2).sum(-1, keepdims=True)), 0.01)
-            p = np.clip(p + move / size * np.minimum(size, 0.1 * width * (1 - r / rounds)), 0, [width, height])
-        n = len(names)
-        return pd.DataFrame({"mag_id": [key[0]] * n, "contig_id": names, "x": p[:n, 0], "y": p[:n, 1]})
-
-    a = placed.select("mag_id", "contig_id", "x", "y").groupBy("mag_id")
-    b = links.select("mag_id", "contig_id", "hub").toDF("mag_id", "contig_id", "hub").groupBy("mag_id")
+        node = node.sort_values(["leaf", "name_"], kind="stable").reset_index(drop=True)
+        at = {(leaf, n): i for i, (leaf, n) in enumerate(zip(node.leaf, node.name_, strict=True))}
+        link = link.sort_values(["contig_id", "hub"])
+        pairs = np.array([(at[True, a], at[False, b]) for a, b in zip(link.contig_id, link.hub, strict=True)], dtype=int).reshape(-1, 2)
+        p = settled(node[["x", "y"]].to_numpy(), pairs, c, s)
+        out = pd.DataFrame({"mag_id": key[0], "contig_id": node.name_, "x": p[:, 0], "y": p[:, 1]})
+        return out[node.leaf.to_numpy()]
+
+    leaf = ring_layout(shown, links, around, c).select("mag_id", F.lit(True).alias("leaf"), F.col("contig_id").alias("name_"), "x", "y")
+    nodes = leaf.unionByName(ring_hubs(around, c).select("mag_id", F.lit(False).alias("leaf"), F.col("hub").alias("name_"), "x", "y"))
+    a = nodes.groupBy("mag_id")
+    b = _linked(shown, links, around).select("mag_id", "contig_id", "hub").toDF("mag_id", "contig_id", "hub").groupBy("mag_id")
     return a.cogroup(b).applyInPandas(settle, "mag_id string, contig_id string, x double, y double")
+
+
+LAYOUTS = {"ring": ring_layout, "petal": petal_layout, "force": force_layout}
+
+
+def layout(name: str, shown: DataFrame, links: DataFrame, around: DataFrame, c: Canvas = Canvas()) -> DataFrame:
+    """The layout of that name; the ring for any other."""
+    return LAYOUTS.get(name, ring_layout)(shown, links, around, c).select("mag_id", "contig_id", "x", "y")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import checkpointed, components
+from .ranks import ranked
 
 # Labels that say a contig has no bin.
 UNBINNED = ("unbinned", "none", "na", "n/a", "unassigned", "unclustered")
@@ -74,8 +75,7 @@ def mags(cast: DataFrame, grouped: DataFrame) -> DataFrame:
     """(mag_id, tool, bin_id, contig_count): all groups get an id, by distinct contigs down, then least member."""
     members = cast.join(grouped, ["tool", "bin_id"])
     sizes = members.groupBy("grp").agg(F.count_distinct("contig_id").alias("n"))
-    # One row for each group of bins.
-    named = sizes.select("grp", F.concat(F.lit("MAG_"), F.row_number().over(W.orderBy(F.desc("n"), "grp"))).alias("mag_id"))
+    named = ranked(sizes, F.desc("n"), "grp").select("grp", F.concat(F.lit("MAG_"), F.col("rank")).alias("mag_id"))
     per_bin = members.groupBy("grp", "tool", "bin_id").agg(F.count(F.lit(1)).alias("contig_count"))
     return per_bin.join(named, "grp").select("mag_id", "tool", "bin_id", "contig_count")
 
@@ -109,13 +109,13 @@ def putative_mags(members: DataFrame, stands: DataFrame) -> DataFrame:
     counts = stands.groupBy("mag_id").agg(F.count_if(F.col("kind") == "core").alias("core"), F.count_if(F.col("kind") == "disputed").alias("disputed"))
     per = members.groupBy("mag_id").agg(F.count(F.lit(1)).alias("n_members"), F.array_join(F.sort_array(F.collect_list("tool")), ",").alias("tools"))
     number = F.substring_index("mag_id", "_", -1).cast("int")
-    return per.join(counts, "mag_id").withColumn("rank", F.row_number().over(W.orderBy(number)))
+    return ranked(per.join(counts, "mag_id"), number)
 
 
 def disputed_ranked(agreed: DataFrame) -> DataFrame:
     """Contigs on which tools differ, ties too, the most split first."""
-    order = W.orderBy("agreement", F.desc("total_votes"), "contig_id")
-    return agreed.where("agreement < 1").select("contig_id", "agreement", "total_votes", "distinct_groups").withColumn("rank", F.row_number().over(order))
+    rows = agreed.where("agreement < 1").select("contig_id", "agreement", "total_votes", "distinct_groups")
+    return ranked(rows, "agreement", F.desc("total_votes"), "contig_id")
 
 
 class Reconciliation:

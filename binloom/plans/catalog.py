@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence, text, udfs
+from ..operators.graph import checkpointed
 from ..operators import assignment, bins, evidence, filters, idmatch, markers, network, reconcile, taxonomy
 from ..sources import export, fasta, tables
 from . import derive as d
@@ -357,15 +358,14 @@ def assignment_fold(spark, sf):
 
 @query(f"WITH {d.EDITS} SELECT contig_id, arg_max(bin_id, seq) AS bin_id, max(seq) AS seq FROM edits GROUP BY contig_id")
 def edit_stream_latest(spark, sf):
-    from ..operators.graph import checkpointed
+    import uuid
+
+    from ..operators.graph import shared_folder
     from ..streaming import edits as stream
 
     rows = spark.readStream.schema(d.table(spark, sf, "events").schema).parquet(_stream_path(sf, "events"))
     edits = rows.select(F.col("event_id").alias("seq"), F.concat(F.lit("contig_"), "user_id").alias("contig_id"), F.col("event_type").alias("bin_id"))
-    checkpointed(spark.range(1))  # names the shared folder
-    import uuid
-
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/edits-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/edits-{uuid.uuid4().hex}"
     stream.keep_state(edits, f"{base}/changes", f"{base}/log")
     return stream.current_state(spark.read.parquet(f"{base}/changes").select("contig_id", "bin_id", "seq"))
 
@@ -483,13 +483,20 @@ def _pairs(spark, sf, rec):
     return evidence.candidates(rec.votes, rec.mags, rec.agreement)
 
 
-@query(f"""WITH RECURSIVE {_PAIRED} SELECT p.contig_id, p.mag_id, coalesce(core_count, 0) AS core_count, round(100 * gc_content - 100 * gc, 6) AS gc_diff,
-  round(CASE WHEN depth > 0 THEN mean_depth / depth END, 6) AS coverage_ratio FROM cand p JOIN contigs c USING (contig_id) LEFT JOIN coverage v USING (contig_id) LEFT JOIN core_means m USING (mag_id)""")
+_CODING = f"""{_FRAMES.removeprefix(d.SEQUENCES + ", ")}, aa_parts AS (SELECT contig_id, length(unnest(string_split(aa, '*'))) AS n FROM frames),
+coding AS (SELECT s.contig_id, coalesce(sum(n) FILTER (WHERE n >= 20) / nullif(sum(n), 0)::DOUBLE, 0) AS coding FROM seqs s LEFT JOIN aa_parts USING (contig_id) GROUP BY s.contig_id),
+core_coding AS (SELECT s.mag_id, avg(coding) AS mean_coding FROM stands s JOIN coding USING (contig_id) WHERE kind = 'core' GROUP BY s.mag_id)"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRED}, {_CODING} SELECT p.contig_id, p.mag_id, coalesce(core_count, 0) AS core_count, round(100 * gc_content - 100 * gc, 6) AS gc_diff, round(100 * coding - 100 * mean_coding, 6) AS coding_diff,
+  round(CASE WHEN depth > 0 THEN mean_depth / depth END, 6) AS coverage_ratio FROM cand p JOIN contigs c USING (contig_id) JOIN coding USING (contig_id) LEFT JOIN coverage v USING (contig_id) LEFT JOIN core_means m USING (mag_id)
+  LEFT JOIN core_coding USING (mag_id)""")
 def contig_evidence(spark, sf):
     rec = reconcile.Reconciliation(d.assignments(spark, sf))
-    rows = evidence.coverage_attached(d.contigs(spark, sf).withColumn("coding_density", F.lit(0.0)), d.coverage(spark, sf))
+    stats = d.sequences(spark, sf).select("contig_id", udfs.contig_stats("seq").alias("s")).select("contig_id", "s.gc_content", "s.coding_density")
+    rows = evidence.coverage_attached(checkpointed(stats), d.coverage(spark, sf))
     out = evidence.evidence(_pairs(spark, sf, rec), rec.standing, rows)
-    return out.select("contig_id", "mag_id", "core_count", r6("gc_diff", "gc_diff"), r6("coverage_ratio", "coverage_ratio"))
+    return out.select("contig_id", "mag_id", "core_count", r6("gc_diff", "gc_diff"), r6("coding_diff", "coding_diff"), r6("coverage_ratio", "coverage_ratio"))
 
 
 @query(f"""WITH RECURSIVE {d.MAGS}, {d.HITS}, cand AS (SELECT DISTINCT v.contig_id, v.mag_id FROM votes v JOIN mags USING (mag_id) JOIN agreed a USING (contig_id) WHERE a.distinct_groups > 1),
@@ -540,11 +547,51 @@ def mag_rivals(spark, sf):
     return network.rivals(rec.votes, rec.mags, rec.agreement)
 
 
+_NETWORK = f"""{_LEAVES}, top AS (SELECT mag_id, contig_id FROM (SELECT l.mag_id, l.contig_id, row_number() OVER (PARTITION BY l.mag_id ORDER BY l.contig_id) AS k
+  FROM linked l JOIN agreed a USING (contig_id) WHERE a.distinct_groups = 1 OR l.n_hubs > 1) WHERE k <= 300),
+lh AS (SELECT DISTINCT l.mag_id, l.contig_id, h.hub FROM top l JOIN (SELECT DISTINCT contig_id, mag_id AS hub FROM votes) h USING (contig_id) JOIN shown s ON s.mag_id = l.mag_id AND s.hub = h.hub)"""
+
+
+def _network(spark, sf):
+    """Leaves in any state, edges and hubs around each MAG."""
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    shown = network.limited(network.leaves(rec.votes, rec.mags, rec.agreement, _state(spark, sf, rec), network.View(uncontended=True)))
+    return shown, network.edges(shown, rec.votes, rec.mags), network.hubs(rec.votes, rec.mags, rec.agreement)
+
+
+@query(f"""WITH RECURSIVE {_NETWORK}, sec AS (SELECT mag_id, hub, 2 * pi() * (row_number() OVER (PARTITION BY mag_id ORDER BY hub) - 1) / count(*) OVER (PARTITION BY mag_id) - pi() / 2 AS middle,
+  2 * pi() / count(*) OVER (PARTITION BY mag_id) AS sector FROM shown WHERE hub <> mag_id),
+own AS (SELECT mag_id, contig_id, count(*) AS n, min(hub) FILTER (WHERE hub <> mag_id) AS hub FROM lh GROUP BY ALL),
+fan AS (SELECT *, count(*) OVER w AS many, row_number() OVER (w ORDER BY contig_id) - 1 AS i FROM own LEFT JOIN sec USING (mag_id, hub) WINDOW w AS (PARTITION BY mag_id, hub, n > 1)),
+placed_leaves AS (SELECT mag_id, contig_id, CASE WHEN hub IS NULL THEN 2 * pi() * i / many - pi() / 2
+  ELSE middle + (CASE WHEN many = 1 THEN 0.5 ELSE i / (many - 1)::DOUBLE END - 0.5) * sector * CASE WHEN n > 1 THEN 0.8 ELSE 0.5 END END AS angle,
+  168 * CASE WHEN hub IS NULL THEN 0.18 WHEN n > 1 THEN 0.55 ELSE 0.85 END AS r FROM fan)
+SELECT mag_id, contig_id, round(200 + r * cos(angle), 4) AS x, round(200 + r * sin(angle), 4) AS y FROM placed_leaves""")
+def ring_layout(spark, sf):
+    return network.layout("ring", *_network(spark, sf)).withColumns({c: F.round(c, 4) for c in "xy"})
+
+
+@query(f"""WITH RECURSIVE {_NETWORK}, inner_ring AS (SELECT mag_id, hub, 2 * pi() * (row_number() OVER (PARTITION BY mag_id ORDER BY hub) - 1) / count(*) OVER (PARTITION BY mag_id) - pi() / 2 AS middle,
+  2 * pi() / count(*) OVER (PARTITION BY mag_id) * 0.8 AS span FROM shown),
+own AS (SELECT mag_id, contig_id, min(hub) AS hub FROM lh GROUP BY ALL),
+fan AS (SELECT *, count(*) OVER w AS many, row_number() OVER (w ORDER BY contig_id) - 1 AS i FROM own JOIN inner_ring USING (mag_id, hub) WINDOW w AS (PARTITION BY mag_id, hub)),
+placed_leaves AS (SELECT mag_id, contig_id, middle + (CASE WHEN many = 1 THEN 0.5 ELSE i / (many - 1)::DOUBLE END - 0.5) * span AS angle FROM fan)
+SELECT mag_id, contig_id, round(200 + 168 * cos(angle), 4) AS x, round(200 + 168 * sin(angle), 4) AS y FROM placed_leaves""")
+def petal_layout(spark, sf):
+    return network.layout("petal", *_network(spark, sf)).withColumns({c: F.round(c, 4) for c in "xy"})
+
+
 @query()
 def force_layout(spark, sf):
+    return network.layout("force", *_network(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_LEAVES}, every AS (SELECT mag_id, count(*) AS n FROM linked JOIN agreed a USING (contig_id) WHERE a.distinct_groups = 1 OR n_hubs > 1 GROUP BY mag_id), r AS (SELECT mag_id, count(*) AS n FROM placed GROUP BY mag_id)
+SELECT mag_id, greatest(coalesce(r.n, 0) - 1, 0)::BIGINT AS hidden_hubs, greatest(coalesce(every.n, 0) - 30, 0)::BIGINT AS hidden_leaves FROM mags LEFT JOIN r USING (mag_id) LEFT JOIN every USING (mag_id)""")
+def hidden_counts(spark, sf):
     rec = reconcile.Reconciliation(d.assignments(spark, sf))
-    shown = network.limited(network.leaves(rec.votes, rec.mags, rec.agreement, _state(spark, sf, rec)))
-    return network.force_layout(network.ring_layout(shown), network.edges(shown, rec.votes, rec.mags))
+    rows = network.leaves(rec.votes, rec.mags, rec.agreement, _state(spark, sf, rec), network.View(uncontended=True))
+    return network.hidden_counts(network.rivals(rec.votes, rec.mags, rec.agreement), rows, rec.mags, 1, 30)
 
 
 @query(f"WITH {d.CONTIGS}, {d.COVERAGE} SELECT c.contig_id, length, round(mean_depth, 6) AS mean_depth FROM contigs c LEFT JOIN coverage USING (contig_id)")
@@ -576,20 +623,23 @@ refaa AS (SELECT ref_id, string_agg(coalesce(CASE amino WHEN '*' THEN 'X' ELSE a
   SELECT ref_id, k, substr(s, 3 * k + 1, 3) AS codon FROM (SELECT *, unnest(range(0, length(s) // 3)) AS k FROM refseqs)) LEFT JOIN codons USING (codon) GROUP BY ref_id),
 refseg AS (SELECT ref_id, s, sum(length(s) + 1) OVER (PARTITION BY ref_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(s) - 1 AS off FROM (SELECT ref_id, unnest(string_split(aa, 'X')) AS s, generate_subscripts(string_split(aa, 'X'), 1) AS i FROM refaa)),
 refhits AS (SELECT ref_id, (off + p)::INT AS ref_pos, translate(substr(s, p + 1, 9), '{_GROUPS}', '{_DIGITS}')::BIGINT AS code FROM (SELECT *, unnest(range(0, length(s) - 8)) AS p FROM refseg WHERE length(s) >= 9))"""
-_DIAGONALS = f"""{_SEEDS}, {_REFS}, kept AS (SELECT * FROM refhits QUALIFY count(*) OVER (PARTITION BY code) <= 20),
+_THINNED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ref_id, ref_pos) - 1 AS i, count(*) OVER (PARTITION BY code) AS n FROM refhits),
+picks AS (SELECT DISTINCT code, floor(j * (n / {most}::DOUBLE))::BIGINT AS i FROM (SELECT DISTINCT code, n FROM numbered WHERE n > {most}), range({most}) t(j)),
+kept AS (SELECT code, ref_id, ref_pos FROM numbered WHERE n >= {least} AND (n <= {most} OR (code, i) IN (SELECT (code, i) FROM picks)))"""
+_DIAGONALS = f"""{_SEEDS}, {_REFS}, {_THINNED.format(least=1, most=2)},
 diagonals AS (SELECT contig_id, frame, ref_id, frame_pos - ref_pos AS diagonal, count(*) AS n, min(frame_pos) AS frame_pos FROM seeds JOIN kept USING (code) GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-@query(f"WITH {_FRAMES}, {_REFS} SELECT code, ref_id, ref_pos FROM refhits")
+@query(f"WITH {_FRAMES}, {_REFS}, {_THINNED.format(least=2, most=3)} SELECT code, ref_id, ref_pos FROM kept")
 def seed_index(spark, sf):
-    return markers.seed_index(_refs(spark, sf), min_hits=1, max_hits=1000)
+    return markers.seed_index(_refs(spark, sf), min_hits=2, max_hits=3)
 
 
 @query(f"WITH {_DIAGONALS} SELECT contig_id, frame, ref_id, diagonal, n, frame_pos FROM diagonals")
 def diagonal_two_hit(spark, sf):
     refs = _refs(spark, sf)
     frames = markers.frames_of(d.sequences(spark, sf))
-    return markers.diagonals(markers.seeds(frames), markers.seed_index(refs, min_hits=1))
+    return markers.diagonals(markers.seeds(frames), markers.seed_index(refs, min_hits=1, max_hits=2))
 
 
 @query()
@@ -657,17 +707,40 @@ def wrap_sequence(spark, sf):
     return d.sequences(spark, sf).select("contig_id", F.md5(sequence.wrapped(F.col("seq"))).alias("digest"))
 
 
-@query()
+@query(f"""WITH {_BINS} SELECT bin_id, bin_id || ',' || contig_count || ',' || total_length || ',' || n50 || ',' || printf('%.2f', mean_gc * 100) || ',' || printf('%.2f', completeness) || ','
+  || printf('%.2f', redundancy) || ',,' || tier AS line FROM tiers""")
 def summary_csv(spark, sf):
     return export.summary_lines(_summary(spark, sf))
 
 
+def _fasta_texts(spark, sf):
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    return d.documents(spark, sf).select("doc_id", letters.alias("letters"))
+
+
+@query("""WITH f AS (SELECT doc_id, doc_id // 500 AS g, 'contig_' || doc_id || ' made of text' AS head, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS n FROM documents),
+s AS (SELECT *, length(head) + 3 + n + CASE WHEN n > 0 THEN (n - 1) // 60 ELSE 0 END AS bytes FROM f)
+SELECT 'contig_' || doc_id AS contig_id, n::BIGINT AS length, (sum(bytes) OVER (PARTITION BY g ORDER BY doc_id) - bytes + length(head) + 2)::BIGINT AS "offset",
+       CASE WHEN n > 0 THEN least(n, 60)::BIGINT END AS line_bases, CASE WHEN n > 0 THEN least(n, 60)::BIGINT + 1 END AS line_width FROM s""")
+def fasta_index(spark, sf):
+    """The tables' letters as FASTA files, written and scanned by their bytes."""
+    import uuid
+
+    from ..operators.graph import shared_folder
+
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    value = F.concat(F.lit(">contig_"), "doc_id", F.lit(" made of text\n"), sequence.wrapped(F.col("letters")))
+    files = _fasta_texts(spark, sf).select(F.floor(F.col("doc_id") / 500).alias("g"), "doc_id", value.alias("value"))
+    files.repartition("g").sortWithinPartitions("g", "doc_id").select("g", "value").write.partitionBy("g").text(path)
+    rows = fasta.read_fasta(spark, f"{path}/g=*")
+    return rows.select(F.col("id").alias("contig_id"), "fai.length", "fai.offset", "fai.line_bases", "fai.line_width")
+
+
 @query("""SELECT 'contig_' || doc_id AS contig_id, length(s) AS length, length(s) > 0 AS spanned, md5(s) AS digest FROM (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents)""")
 def fasta_records(spark, sf):
-    rows = d.table(spark, sf, "documents")
-    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
-    body = F.concat(F.lit("contig_"), "doc_id", F.lit(" made of text\r\n"), sequence.wrapped(letters), F.lit("\n"))
+    rows = _fasta_texts(spark, sf)
+    body = F.concat(F.lit("contig_"), "doc_id", F.lit(" made of text\r\n"), sequence.wrapped(F.col("letters")), F.lit("\n"))
     parsed = fasta.parse_records(rows.select(F.lit("memory").alias("file"), F.col("doc_id").alias("ord"), F.lit(1).cast("long").alias("at"), body.alias("body")))
     return parsed.select(F.col("id").alias("contig_id"), F.length("seq").alias("length"), fasta.span("fai").isNotNull().alias("spanned"), F.md5("seq").alias("digest"))
 

@@ -13,10 +13,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a file with fewer row groups than the session has cores, dealt over all cores; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= 4 * cores:
+        return rows
+    filled = rows.select(F.spark_partition_id()).distinct().count()  # reads footers only
+    return rows.repartition(cores, key) if filled < cores else rows
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text) over all cores, for work on each text."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """(contig_id, doc_id, seq): a document's letters, told as bases."""
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    return table(spark, sf, "documents").select(F.concat(F.lit("contig_"), F.col("doc_id")).alias("contig_id"), "doc_id", F.translate(letters, LETTERS, BASES).alias("seq"))
+    return documents(spark, sf).select(F.concat(F.lit("contig_"), F.col("doc_id")).alias("contig_id"), "doc_id", F.translate(letters, LETTERS, BASES).alias("seq"))
 
 
 SEQUENCES = f"""seqs AS (

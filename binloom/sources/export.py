@@ -17,7 +17,9 @@ def assignment_lines(assignment: DataFrame) -> DataFrame:
     return assignment.select(_line(F.col("contig_id"), F.col("bin_id")).alias("line"))
 
 
+# The columns of an assignment.
 ASSIGNMENT_HEADER = "contig_id,bin_id"
+# The columns of the summary, in the order of the format.
 SUMMARY_HEADER = "bin_id,contig_count,total_length_bp,n50_bp,mean_gc_pct,completeness_pct,redundancy_pct,tool_agreement_fraction,mimag_tier"
 
 
@@ -28,7 +30,7 @@ def summary_lines(summary: DataFrame) -> DataFrame:
     return summary.select(
         "bin_id",
         _line(
-            F.col("bin_id"), F.col("contig_count"), F.col("total_length"), F.col("n50"), to_fixed(F.col("mean_gc") * 100, two),
+            F.col("bin_id"), F.col("contig_count"), F.col("total_length"), F.col("n50"), F.when(F.col("mean_gc").isNotNull(), to_fixed(F.col("mean_gc") * 100, two)),
             to_fixed(F.col("completeness"), two), to_fixed(F.col("redundancy"), two), agreement, F.col("tier"),
         ).alias("line"),
     )

@@ -8,12 +8,73 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import byte_span
 
-FAI = "struct<offset:long,length:long,line_bases:long,line_width:long,uniform:boolean>"
+def peeked(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, kind) of the files that ``path`` names: 'gzip' by its magic bytes, 'fasta' if it starts with >, or 'other'.
 
-
-
-
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    Two bytes of each file are read, whatever its name says.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for found in fs.globStatus(at) or ():
+        for status in fs.listStatus(found.getPath()) if found.isDirectory() else (found,):
+            if status.isFile() and not status.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(status.getPath())
+                head = [stream.read(), stream.read()]
+                stream.close()
+                out.append((status.getPath().toString(), "gzip" if head == [0x1F, 0x8B] else "fasta" if head[0] == ord(">") else "other"))
+    return sorted(out)
+
+
+def looks_like_fasta(spark: SparkSession, path: str) -> bool:
+    """Compressed files are taken for FASTA; others start with >."""
+    return all(kind != "other" for _, kind in peeked(spark, path))
+
+
+def read_any_fasta(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
+    """``read_fasta`` of files of any name: compressed ones that are not named *.gz are unpacked, one in a task."""
+    kinds = peeked(spark, path)
+    odd = [f for f, kind in kinds if kind == "gzip" and not f.endswith(".gz")]
+    rest = [f for f, _ in kinds if f not in odd]
+    out = [read_fasta(spark, rest, trim)] if rest else []
+    if odd:
+        raw = spark.read.format("binaryFile").load(odd).select(F.col("path").alias("file"), "content")
+        # A compressed file has no places to read from: offsets count in the unpacked text.
+        out.append(parse_records(raw.mapInArrow(_unpacked, "file string, ord long, at long, body string"), trim))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _unpacked(batches):
+    """Records of compressed files, as they come out of the decompressor."""
+    import gzip
+    import io
+
+    import pyarrow as pa
+
+    for b in batches:
+        for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            held, at, start, n = [], 0, None, 0
+            for line in io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))):
+                if line.startswith(b">"):
+                    if start is not None:
+                        yield _record(file, n, start, held)
+                        n += 1
+                    held, start = [line[1:]], at + 1
+                elif start is not None:
+                    held.append(line)
+                at += len(line)
+            if start is not None:
+                yield _record(file, n, start, held)
+
+
+def _record(file: str, n: int, at: int, lines: list[bytes]):
+    import pyarrow as pa
+
+    body = b"".join(lines).removesuffix(b"\n").decode("utf-8", "replace")
+    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([body])], names=["file", "ord", "at", "body"])
+
+
+def read_fasta(spark: SparkSession, path: str | list[str], trim: bool = False) -> DataFrame:
     """(file, id, header, seq, fai, ord): one row for each record of plain or *.gz files, in any number of splits.
 
     The id is the header up to white space, trimmed. Text before the first header and blank lines are skipped; one
@@ -34,21 +95,27 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     body = F.when(first, F.regexp_extract("value", r"(?s)(?:^|.*?\n)>(.*)", 1)).otherwise(F.col("value"))
     lead = F.when(first, F.octet_length("value") - F.octet_length(body)).otherwise(F.lit(0))
     rows = placed.where(~first | F.col("value").rlike(r"(?s)(?:^|\n)>")).select("file", "ord", (at + lead).alias("at"), body.alias("body"))
-    return parse_records(rows)
+    return parse_records(rows, trim)
+
+
+def _without_return(line: Column) -> Column:
+    return F.when(F.endswith(line, F.lit("\r")), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)
 
 
-def parse_records(rows: DataFrame) -> DataFrame:
-    """Records from (file, ord, at, body): the text after the header mark and the byte it starts at."""
+def parse_records(rows: DataFrame, trim: bool = False) -> DataFrame:
+    """Records from (file, ord, at, body): the text after the header mark and the byte it starts at.
+
+    ``trim``: lines lose white space at both ends, as reference sets are read; else one carriage return.
+    """
     lines = F.split("body", "\n")
-    cut = rows.select("file", "ord", "at", F.regexp_replace(lines[0], "\r$", "").alias("header"), F.octet_length(lines[0]).alias("head"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("raw"))
-    bare = F.transform("raw", lambda x: F.regexp_replace(x, "\r$", ""))
-    kept = F.filter(F.arrays_zip(bare.alias("text"), F.col("raw")), lambda x: F.length(x["text"]) > 0)
-    cut = cut.withColumn("kept", kept)
-    sizes = F.transform("kept", lambda x: F.length(x["text"]))
-    first, width = F.get(sizes, F.lit(0)), F.octet_length(F.get("kept", F.lit(0))["raw"]) + 1
-    n = F.size("kept")
-    even = F.forall(F.slice(sizes, 1, F.greatest(n - 1, F.lit(0))), lambda x: x == first) & (F.coalesce(F.element_at(F.when(n > 0, sizes), -1), F.lit(0)) <= F.coalesce(first, F.lit(0)))
-    seq = F.array_join(F.transform("kept", lambda x: x["text"]), "")
+    clean = (lambda x: F.btrim(x)) if trim else _without_return
+    cut = rows.select("file", "ord", "at", _without_return(lines[0]).alias("header"), F.octet_length(lines[0]).alias("head"), lines.alias("lines"))
+    cut = cut.withColumn("raw", F.filter("lines", lambda x, i: (i > 0) & (x != "") & (x != "\r"))).withColumn("kept", F.filter(F.transform("raw", clean), lambda x: x != ""))
+    cut = cut.withColumn("sizes", F.transform("kept", lambda x: F.length(x))).withColumn("seq", F.array_join("kept", ""))
+    first, width = F.get("sizes", F.lit(0)), F.octet_length(F.get("raw", F.lit(0))) + 1
+    n = F.size("sizes")
+    even = F.forall(F.slice("sizes", 1, F.greatest(n - 1, F.lit(0))), lambda x: x == first) & (F.coalesce(F.element_at(F.when(n > 0, F.col("sizes")), -1), F.lit(0)) <= F.coalesce(first, F.lit(0)))
+    seq = F.col("seq")
     fai = F.struct(
         (F.col("at") + F.col("head") + 1).cast("long").alias("offset"),
         F.length(seq).cast("long").alias("length"),
@@ -77,9 +144,27 @@ def extraction_plan(groups: DataFrame, records: DataFrame) -> DataFrame:
     return joined.select("grp", "id", "pos", F.col("r.fai.offset").alias("offset"), "bytes", F.col("bytes").isNull().alias("skipped"))
 
 
-def write_bins(members: DataFrame, records: DataFrame, path: str, width: int = 60) -> None:
-    """One folder of FASTA text for each bin_id; members are (bin_id, id)."""
-    from ..functions.sequence import wrapped
+def contig_sequence(records: DataFrame, contig_id: str) -> DataFrame:
+    """(id, header, seq) of one contig: no row if there is none, a null seq if its lines are uneven."""
+    found = records.where(F.col("id") == contig_id)
+    return found.select("id", "header", F.when(span("fai").isNotNull(), F.col("seq")).alias("seq"))
+
 
-    rows = members.join(records, "id")
-    rows.select("bin_id", F.concat(F.lit(">"), "header", F.lit("\n"), wrapped(F.col("seq"), width)).alias("value")).write.partitionBy("bin_id").text(path)
+def bin_texts(members: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((bin_id, id, value), (bin_id, id)): records with their lines as they were, and the members left out.
+
+    Records whose lines are uneven and ids that the assembly lacks are left out, as they have no span of bytes.
+    """
+    rows = members.join(records.select("id", "header", "seq", "fai"), "id", "left").withColumn("fits", span("fai").isNotNull())
+    width, end = F.col("fai.line_bases").cast("int"), F.when(F.col("fai.line_width") - F.col("fai.line_bases") > 1, F.lit("\r\n")).otherwise(F.lit("\n"))
+    starts = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / width).cast("int"))
+    lines = F.array_join(F.transform(starts, lambda k: F.substr("seq", k * width + 1, width)), "\n")
+    text = F.concat(F.lit(">"), "header", F.lit("\n"), F.replace(lines, F.lit("\n"), end), F.when(end == "\r\n", F.lit("\r")).otherwise(F.lit("")))
+    return rows.where("fits").select("bin_id", "id", text.alias("value")), rows.where("not fits").select("bin_id", "id")
+
+
+def write_bins(members: DataFrame, records: DataFrame, path: str) -> DataFrame:
+    """One folder of FASTA text for each bin_id; members are (bin_id, id). Returns the members left out."""
+    texts, skipped = bin_texts(members, records)
+    texts.select("bin_id", "value").write.partitionBy("bin_id").text(path)
+    return skipped

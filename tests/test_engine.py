@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binloom.functions import kernels, sequence, text, udfs
-from binloom.operators import assignment, bins, evidence, filters, idmatch, markers, taxonomy
+from binloom.operators import assignment, bins, evidence, filters, idmatch, markers, network, taxonomy
 from binloom.sources import export, fasta, tables
 from binloom.streaming import edits as stream
 
@@ -181,8 +181,28 @@ def test_bin_fasta_sink_and_plan(spark, tmp_path):
     groups = spark.createDataFrame([("g", "contig1", 0), ("g", "odd", 1), ("g", "none", 2)], "grp string, id string, pos int")
     plan = {r.id: (r.bytes, r.skipped) for r in fasta.extraction_plan(groups, records).collect()}
     assert plan == {"contig1": (27, False), "odd": (None, True), "none": (None, True)}
-    fasta.write_bins(spark.createDataFrame([("b1", "contig1"), ("b2", "contig2")], "bin_id string, id string"), records, str(tmp_path / "bins"), 10)
+    skipped = fasta.write_bins(spark.createDataFrame([("b1", "contig1"), ("b2", "contig2")], "bin_id string, id string").unionByName(spark.createDataFrame([("b1", "odd"), ("b1", "none")], "bin_id string, id string")), records, str(tmp_path / "bins"))
     assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "bins/bin_id=b1")).collect()) == ">contig1 first one\nACGTACGTAC\nGTACGTACGT\nACGT"
+    assert sorted(r.id for r in skipped.collect()) == ["none", "odd"]
+    crlf = spark.read.option("lineSep", "\n").text(str(tmp_path / "bins/bin_id=b2")).collect()
+    assert [r.value for r in crlf] == [">contig2", "ACGTNNNN\r", "ACGTacgt\r"]
+    one = [tuple(r) for k in ("contig1", "odd", "gone") for r in fasta.contig_sequence(records, k).collect()]
+    assert one == [("contig1", "contig1 first one", "ACGTACGTACGTACGTACGTACGT"), ("odd", "odd", None)]
+
+
+def test_fasta_of_any_name(spark, tmp_path):
+    with gzip.open(tmp_path / "packed", "wb") as f:
+        f.write(SAMPLE)
+    (tmp_path / "plain.txt").write_bytes(b">x one\n  ACGT \n AC\n")
+    (tmp_path / "note.txt").write_bytes(b"no sequences")
+    (tmp_path / "nil").write_bytes(b"")
+    kinds = {f.rsplit("/", 1)[-1]: k for f, k in fasta.peeked(spark, str(tmp_path))}
+    assert kinds == {"packed": "gzip", "plain.txt": "fasta", "note.txt": "other", "nil": "other"}
+    assert fasta.looks_like_fasta(spark, str(tmp_path / "packed")) and not fasta.looks_like_fasta(spark, str(tmp_path / "n*"))
+    rows = {r.id: r for r in fasta.read_any_fasta(spark, str(tmp_path / "p*"), trim=True).collect()}
+    assert rows["x"].seq == "ACGTAC" and rows["contig1"].seq == "ACGT" * 6 and rows["contig1"].fai.offset == SAMPLE.index(b"ACGT")
+    assert set(rows) == {"contig1", "contig2", "odd", "empty", "last", "x"}
+    assert {r.id: r.seq for r in fasta.read_any_fasta(spark, str(tmp_path / "plain.txt")).collect()} == {"x": "  ACGT  AC"}
 
 
 # Tables
@@ -385,3 +405,94 @@ def test_lineage_and_ancestors(spark, tmp_path):
     assert sorted((r.tax_id, r.depth, r.ancestor) for r in chains.collect()) == sorted([(4, 0, 4), (4, 1, 3), (4, 2, 2), (4, 3, 1), (5, 0, 5), (5, 1, 3), (5, 2, 2), (5, 3, 1), (77, 0, 4), (77, 1, 3), (77, 2, 2), (77, 3, 1)])
     groups = spark.createDataFrame([("g", 4), ("g", 5)], "grp string, tax_id long")
     assert taxonomy.common_ancestor(groups, chains).first().ancestor == 3
+
+
+# Networks, ranks and thresholds
+
+
+def _around(spark):
+    hubs = spark.createDataFrame([("A", h) for h in "ABC"], "mag_id string, hub string")
+    links = spark.createDataFrame([("A", c, h) for c, hs in (("c1", "AB"), ("c2", "A"), ("c3", "B"), ("c4", "ABC"), ("c5", "A")) for h in hs], "mag_id string, contig_id string, hub string")
+    return links.select("mag_id", "contig_id").distinct(), links, hubs
+
+
+def test_ring_and_petal(spark):
+    import math
+
+    shown, links, hubs = _around(spark)
+    place = lambda rows, key: {r[key]: (r.x, r.y) for r in rows.collect()}
+    away = lambda p: math.hypot(p[0] - 200, p[1] - 200)
+    ring, spokes = place(network.ring_layout(shown, links, hubs), "contig_id"), place(network.ring_hubs(hubs), "hub")
+    assert spokes["A"] == (200, 200) and spokes["B"] == pytest.approx((200, 32)) and spokes["C"] == pytest.approx((200, 368))
+    assert {c: round(away(p) / 168, 6) for c, p in ring.items()} == {"c1": 0.55, "c2": 0.18, "c3": 0.85, "c4": 0.55, "c5": 0.18}
+    assert ring["c3"] == pytest.approx((200, 200 - 168 * 0.85)) and ring["c2"] == pytest.approx((200, 200 - 168 * 0.18))
+    assert len(set(ring.values())) == 5
+    petal, inner = place(network.petal_layout(shown, links, hubs), "contig_id"), place(network.petal_hubs(hubs), "hub")
+    assert {round(away(p) / 168, 6) for p in petal.values()} == {1.0} and {round(away(p) / 168, 6) for p in inner.values()} == {0.28}
+    assert petal["c3"] == pytest.approx((200 + 168 * math.cos(math.pi / 6), 200 + 168 * math.sin(math.pi / 6)))
+    assert network.layout("nonsense", shown, links, hubs).orderBy("contig_id").collect() == network.layout("ring", shown, links, hubs).orderBy("contig_id").collect()
+
+
+def test_springs_match_a_plain_loop(spark):
+    import math
+
+    shown, links, hubs = _around(spark)
+    c, s = network.Canvas(), network.Springs(rounds=7)
+    at = {("h", r.hub): [r.x, r.y] for r in network.ring_hubs(hubs).collect()} | {("l", r.contig_id): [r.x, r.y] for r in network.ring_layout(shown, links, hubs).collect()}
+    ties = [(("l", r.contig_id), ("h", r.hub)) for r in links.collect()]
+    k, heat = math.sqrt(400 * 400 / len(at)) * 0.9, 40.0
+    for _ in range(7):
+        move = {n: [0.0, 0.0] for n in at}
+        for n in at:
+            for o in at:
+                if n != o:
+                    d = [at[n][i] - at[o][i] for i in (0, 1)]
+                    dist = math.hypot(*d) or 0.01
+                    for i in (0, 1):
+                        move[n][i] += d[i] / dist * k * k / dist
+        for a, b in ties:
+            d = [at[a][i] - at[b][i] for i in (0, 1)]
+            for i in (0, 1):
+                move[a][i] -= d[i] * math.hypot(*d) / k
+                move[b][i] += d[i] * math.hypot(*d) / k
+        for n, m in move.items():
+            size = math.hypot(*m) or 0.01
+            for i in (0, 1):
+                x = at[n][i] + m[i] / size * min(size, heat)
+                at[n][i] = min(390, max(10, x + (200 - x) * 0.01))
+        heat *= 0.97
+    got = {r.contig_id: (r.x, r.y) for r in network.force_layout(shown, links, hubs, c, s).collect()}
+    assert set(got) == {n for kind, n in at if kind == "l"}
+    assert all(got[n] == pytest.approx(at["l", n], abs=1e-6) for n in got)
+    assert all(10 <= v <= 390 for p in got.values() for v in p)
+
+
+def test_ranks_over_partitions(spark):
+    from binloom.operators.ranks import ranked
+
+    rows = spark.createDataFrame([(i * 37 % 101, i) for i in range(500)], "v int, i int").repartition(7)
+    got = ranked(rows, F.desc("v"), "i").orderBy("rank").collect()
+    assert [(r.v, r.i) for r in got] == sorted([(i * 37 % 101, i) for i in range(500)], key=lambda x: (-x[0], x[1]))
+    assert [r["rank"] for r in got] == list(range(1, 501)) and ranked(rows.where("false"), "v").count() == 0
+
+
+def test_thresholds_and_calibration(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"defaultParams": {"minScore": 40, "xDrop": 12, "minMargin": 7}, "familyOverrides": {"F1": {"minRepresentatives": 1}, "F2": {"minMargin": 3}}}')
+    s = markers.read_thresholds(spark, str(tmp_path / "t.json"))
+    assert (s.min_score, s.drop, s.min_margin, s.min_coverage, s.overrides, s.margins) == (40, 12, 7, 0.3, {"F1": 1}, {"F2": 3})
+    rows = [("c", f, r, score, 0.9, i) for i, (f, r, score) in enumerate((("F2", 1, 60), ("F2", 2, 58), ("F3", 3, 57)))]
+    ext = spark.createDataFrame([(c, f, i, i, score, cov, 0) for c, f, r, score, cov, i in rows], "contig_id string, family string, ref_id int, tax_id int, score int, coverage double, frame int")
+    assert [r.family for r in markers.calls(ext, s).collect()] == ["F2"]
+    assert markers.calls(ext, markers.Search(min_score=40)).count() == 0
+    found = markers.calibration(spark.createDataFrame([("F3", 1, 4)] * 20 + [("F4", 9, 90)] * 20, "family string, representatives int, margin int"))
+    c = markers.calibrated(markers.Search(overrides={}), found)
+    assert (c.overrides, c.margins) == ({"F3": 1}, {"F3": 3})
+
+
+def test_supplied_hits_and_raw_table(spark):
+    built = spark.createDataFrame([("a", "F1"), ("b", "F2")], "contig_id string, family string")
+    given = spark.createDataFrame([("b", "F9"), ("c", "F3")], "contig_id string, family string")
+    assert sorted(tuple(r) for r in bins.preferred_hits(built, given).collect()) == [("a", "F1"), ("b", "F9"), ("c", "F3")]
+    assert bins.preferred_hits(built, None).count() == 2
+    rows = spark.createDataFrame([("x", 5, 0), ("y", 9, 1), ("z", 5, 2)], "contig_id string, length int, ord int")
+    assert [r.contig_id for r in filters.raw_table(rows).collect()] == ["y", "x", "z"]
