@@ -145,19 +145,31 @@ def reduced_kmers(amino: str, k: int, cap: int = 0, stride: int = 1) -> list[tup
 
 
 def seed_arrays(amino: str, k: int, cap: int = 0, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """``reduced_kmers`` as arrays of codes and positions."""
-    codes, places = [], []
-    powers = 10 ** np.arange(k - 1, -1, -1, dtype=np.int64)
-    for m in re.finditer(f"[{RESIDUES}]+", amino):
-        windows = m.end() - m.start() - k + 1
-        if windows > 0:
-            step = max(stride, -(-windows // cap)) if cap else stride
-            digits = np.frombuffer(m[0].translate(_GROUPS).encode(), np.uint8) - ord("0")
-            codes.append(np.lib.stride_tricks.sliding_window_view(digits, k)[::step] @ powers)
-            places.append(np.arange(m.start(), m.start() + windows, step))
-    if not codes:
+    """``reduced_kmers`` as arrays of codes and positions, over all runs at once."""
+    digits = _digit_table()[np.frombuffer(amino.encode("latin-1", "replace"), np.uint8)]
+    good = np.concatenate(([False], digits >= 0, [False]))
+    edges = np.flatnonzero(good[1:] != good[:-1])
+    starts, windows = edges[::2], edges[1::2] - edges[::2] - k + 1
+    starts, windows = starts[windows > 0], windows[windows > 0]
+    if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(codes), np.concatenate(places).astype(np.int32)
+    step = np.maximum(stride, -(-windows // cap)) if cap else np.full(len(windows), stride)
+    taken = -(-windows // step)
+    nth = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+    at = np.repeat(starts, taken) + nth * np.repeat(step, taken)
+    codes = np.zeros(len(at), np.int64)
+    for j in range(k):
+        codes = codes * 10 + digits[at + j]
+    return codes, at.astype(np.int32)
+
+
+@lru_cache(1)
+def _digit_table() -> np.ndarray:
+    """The digit of each residue's group, -1 for anything else."""
+    out = np.full(256, -1, np.int8)
+    for a in RESIDUES:
+        out[ord(a)] = int(_GROUPS[ord(a)])
+    return out
 
 
 def _best_run(line: np.ndarray, floor: int | None, drop: int) -> tuple[int, int]:
