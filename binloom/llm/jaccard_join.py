@@ -58,7 +58,7 @@ class WordHashes(dict):
 
         out = xxhash.xxh64(word).intdigest().to_bytes(8, "little")
         if len(word) <= 64:
-            if len(self) >= 200_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = out
         return out
