@@ -15,7 +15,8 @@ from functools import lru_cache
 
 
 #: Chunks and runs that a worker remembers; it starts anew beyond.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
+REMEMBERED_RUNS = 300_000
 
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -35,12 +36,15 @@ class Runs(dict):
     def __init__(self, tokenizer):
         self.model, self.letters = tokenizer.model, _byte_letters()
 
-    def __missing__(self, run: str) -> bytes:
+    def once(self, run: str) -> bytes:
         word = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(word)]
-        if len(self) >= REMEMBERED:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= REMEMBERED_RUNS:
             self.clear()
-        out = self[run] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self[run] = self.once(run)
         return out
 
 
@@ -51,7 +55,8 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if self.plain and PLAIN.fullmatch(chunk) and "<|" not in chunk:
             runs = RUNS.findall(chunk.lower())
-            out = b"".join([self.runs[r] for r in runs]) if len(runs) > 1 else self.runs[runs[0]]
+            # A chunk of one run is remembered as a chunk.
+            out = b"".join([self.runs[r] for r in runs]) if len(runs) > 1 else self.runs.get(runs[0]) or self.runs.once(runs[0])
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
