@@ -29,13 +29,15 @@ from .tokens import encoder
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Pieces of one length are ranked in so many parts, so that no task holds all copies of a text.
 SALTS = 64
+#: Chunks that a worker remembers: after other stages its memory is less free than that of a worker which only encodes.
+REMEMBERED = 150_000
 
 
 def _cut(tokenizer: str, capacity: int, end_id: int):
     def cut(batches):
         import pyarrow as pa
 
-        enc, end, step = encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
+        enc, end, step = encoder(tokenizer, REMEMBERED), end_id.to_bytes(4, "little"), 4 * capacity
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

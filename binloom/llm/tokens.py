@@ -14,9 +14,8 @@ import struct
 from functools import lru_cache
 
 
-#: Chunks and runs that a worker remembers; it starts anew beyond.
+#: Chunks that a worker remembers, and two thirds as many runs; it starts anew beyond.
 REMEMBERED = 450_000
-REMEMBERED_RUNS = 300_000
 
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -33,8 +32,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Runs(dict):
-    def __init__(self, tokenizer):
-        self.model, self.letters = tokenizer.model, _byte_letters()
+    def __init__(self, tokenizer, most: int):
+        self.model, self.letters, self.most = tokenizer.model, _byte_letters(), most
 
     def once(self, run: str) -> bytes:
         word = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
@@ -42,15 +41,15 @@ class Runs(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBERED_RUNS:
+        if len(self) >= self.most:
             self.clear()
         out = self[run] = self.once(run)
         return out
 
 
 class Chunks(dict):
-    def __init__(self, tokenizer, plain: bool):
-        self.tokenizer, self.runs, self.plain = tokenizer, Runs(tokenizer), plain
+    def __init__(self, tokenizer, plain: bool, most: int):
+        self.tokenizer, self.runs, self.plain, self.most = tokenizer, Runs(tokenizer, 2 * most // 3), plain, most
 
     def __missing__(self, chunk: str) -> bytes:
         if self.plain and PLAIN.fullmatch(chunk) and "<|" not in chunk:
@@ -61,19 +60,19 @@ class Chunks(dict):
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = out
         return out
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = self._white_space_is_dropped()
-        self.chunks = Chunks(self.tokenizer, self.by_chunk)
+        self.chunks = Chunks(self.tokenizer, self.by_chunk, remembered)
 
     def _white_space_is_dropped(self) -> bool:
         probe = "it's a  b2é,\n x<|y --"
@@ -92,8 +91,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One per worker process, file and number of chunks."""
+    return Encoder(path, remembered)
 
 
