@@ -526,6 +526,41 @@ def composition_z(spark, sf):
     return out.withColumn("z", F.round("z", 4))
 
 
+_OUTLIERS = f"""{d.SEQUENCES}, {d.ASSIGNMENTS}, {_KMER_PART}, {_VECTORS}, coverage AS (SELECT 'contig_' || doc_id AS contig_id, n_chars / 1000::DOUBLE AS mean_depth FROM documents),
+bin_members AS (SELECT DISTINCT bin_id, contig_id FROM assignments JOIN seqs USING (contig_id) WHERE tool = 'A'),
+bin_vectors AS (SELECT bin_id, contig_id, kmer, v FROM bin_members JOIN vectors USING (contig_id)),
+bin_centres AS (SELECT bin_id, kmer, avg(v) AS c FROM bin_vectors GROUP BY ALL),
+away AS (SELECT bin_id, contig_id, sqrt(sum((v - c) ** 2)) AS dist FROM bin_vectors JOIN bin_centres USING (bin_id, kmer) GROUP BY ALL),
+placed AS (SELECT away.*, mean_depth FROM away LEFT JOIN coverage USING (contig_id)),
+spread AS (SELECT bin_id, avg(dist) AS m, stddev_pop(dist) AS s, avg(mean_depth) AS cm, stddev_pop(mean_depth) AS cs, count(mean_depth) = count(*) AS covered, count(*) AS n FROM placed GROUP BY bin_id),
+outliers AS (SELECT bin_id, contig_id, CASE WHEN n < 2 THEN NULL WHEN s < 1e-12 THEN 0 ELSE (dist - m) / s END AS composition_z,
+  CASE WHEN NOT covered OR n < 2 THEN NULL WHEN cs < 1e-12 THEN 0 ELSE abs(mean_depth - cm) / cs END AS coverage_z FROM placed JOIN spread USING (bin_id))"""
+
+
+def _outliers(spark, sf):
+    rows = d.sequences(spark, sf).select("contig_id", udfs.contig_stats("seq")["composition"].alias("composition"))
+    docs = d.table(spark, sf, "documents")  # n_chars is told as depth, so that all contigs have one
+    depths = docs.select(F.col("doc_id").alias("row_idx"), F.concat(F.lit("contig_"), "doc_id").alias("contig_id"), F.array(F.col("n_chars") / 1000).alias("depths"))
+    return evidence.outliers(_tool_a(spark, sf), evidence.coverage_attached(checkpointed(rows), depths))
+
+
+@query(f"""WITH {_OUTLIERS} SELECT bin_id, contig_id, round(composition_z, 4) AS composition_z, round(coverage_z, 4) AS coverage_z, round(greatest(composition_z, coverage_z), 4) AS z FROM outliers""")
+def contig_outliers(spark, sf):
+    return _outliers(spark, sf).withColumns({c: F.round(c, 4) for c in ("composition_z", "coverage_z", "z")})
+
+
+@query(f"""WITH {d.CONTIGS}, {d.ASSIGNMENTS}, {_KMER_PART}, {_VECTORS}, bin_members AS (SELECT DISTINCT bin_id, contig_id FROM assignments JOIN seqs USING (contig_id) WHERE tool = 'A'),
+bin_centres AS (SELECT bin_id, kmer, avg(v) AS v FROM bin_members JOIN vectors USING (contig_id) GROUP BY ALL),
+bin_gc AS (SELECT bin_id, avg(gc_content) AS gc FROM bin_members JOIN contigs USING (contig_id) GROUP BY bin_id),
+far AS (SELECT a.bin_id AS bin_a, b.bin_id AS bin_b, sqrt(sum((a.v - b.v) ** 2)) AS distance FROM bin_centres a JOIN bin_centres b ON a.kmer = b.kmer AND a.bin_id < b.bin_id GROUP BY ALL)
+SELECT bin_a, bin_b, round(distance, 6) AS distance, round(abs(x.gc - y.gc), 6) AS gc_diff FROM far JOIN bin_gc x ON x.bin_id = bin_a JOIN bin_gc y ON y.bin_id = bin_b WHERE distance <= 0.02 AND abs(x.gc - y.gc) <= 0.02""")
+def similar_bins(spark, sf):
+    s = udfs.contig_stats("seq")
+    rows = d.sequences(spark, sf).select("contig_id", s["composition"].alias("composition"), s["gc_content"].alias("gc_content"))
+    out = evidence.similar_bins(_tool_a(spark, sf), checkpointed(rows))
+    return out.withColumns({"distance": r6("distance"), "gc_diff": r6("gc_diff")})
+
+
 _LEAVES = f"""{d.STATE}, contested AS (SELECT contig_id FROM agreed WHERE distinct_groups > 1), known AS (SELECT DISTINCT contig_id, mag_id FROM votes WHERE mag_id IN (SELECT mag_id FROM mags)),
 weights AS (SELECT a.mag_id, v.mag_id AS rival, count(*) AS weight FROM known a JOIN contested USING (contig_id) JOIN (SELECT contig_id, mag_id FROM votes WHERE mag_id IN (SELECT mag_id FROM mags)) v USING (contig_id) WHERE a.mag_id <> v.mag_id GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY mag_id ORDER BY weight DESC, rival) AS place FROM weights),
@@ -608,6 +643,14 @@ def taxon_mismatch(spark, sf):
     return evidence.majority_mismatch(_tool_a(spark, sf), labels)
 
 
+@query(f"""WITH {_OUTLIERS}, l AS (SELECT 'contig_' || doc_id AS contig_id, lang AS label FROM documents), r AS (SELECT bin_id, contig_id, label FROM bin_members JOIN l USING (contig_id)),
+top AS (SELECT bin_id, label AS majority FROM (SELECT bin_id, label, row_number() OVER (PARTITION BY bin_id ORDER BY count(*) DESC, label) AS k FROM r GROUP BY bin_id, label) WHERE k = 1)
+SELECT bin_id, contig_id, count(*) AS flags FROM (SELECT bin_id, contig_id FROM outliers WHERE composition_z > 2 UNION ALL SELECT bin_id, contig_id FROM outliers WHERE coverage_z > 2
+  UNION ALL SELECT bin_id, contig_id FROM r JOIN top USING (bin_id) WHERE label <> majority) GROUP BY ALL""")
+def contig_flags(spark, sf):
+    return evidence.flag_counts(_outliers(spark, sf), taxon_mismatch(spark, sf)).withColumn("flags", F.col("flags").cast("long"))
+
+
 # Marker search: the benchmark's passages are the references
 
 
@@ -664,6 +707,14 @@ def index_key_cap(spark, sf):
     return markers.thinned(rows, "l_suppkey", ("l_orderkey", "l_linenumber"), 3, 20)
 
 
+@query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+picks AS (SELECT DISTINCT l_suppkey, floor(j * (n / 150::DOUBLE))::BIGINT AS i FROM (SELECT DISTINCT l_suppkey, n FROM r WHERE n > 150), range(150) t(j))
+SELECT l_suppkey, l_orderkey, l_linenumber FROM r WHERE n <= 150 OR (l_suppkey, i) IN (SELECT (l_suppkey, i) FROM picks)""")
+def even_sample(spark, sf):
+    rows = d.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    return markers.even_sample(rows, "l_suppkey", ("l_orderkey", "l_linenumber"), 150)
+
+
 @query("""WITH r AS (SELECT l_partkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem)
 SELECT l_partkey, v AS l_extendedprice FROM r WHERE i = least(n - 1, floor(n * 0.1))""")
 def percentile_floor(spark, sf):
@@ -713,6 +764,11 @@ def summary_csv(spark, sf):
     return export.summary_lines(_summary(spark, sf))
 
 
+@query(f"WITH {d.ASSIGNMENTS} SELECT contig_id || ',' || bin_id AS line FROM assignments WHERE tool = 'A'")
+def assignment_csv(spark, sf):
+    return export.assignment_lines(_tool_a(spark, sf))
+
+
 def _fasta_texts(spark, sf):
     letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
     return d.documents(spark, sf).select("doc_id", letters.alias("letters"))
@@ -774,3 +830,12 @@ def lowest_common_ancestor(spark, sf):
     tree = _tree(spark, sf)
     groups = d.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("tax_id"))
     return taxonomy.common_ancestor(groups, taxonomy.lineage(tree.select("tax_id"), tree))
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, {_GROUPED}, sizes AS (SELECT grp, count(*) AS m FROM groups GROUP BY grp), held AS (SELECT grp, tax_id, ancestor, depth FROM groups JOIN chains USING (tax_id)),
+shared AS (SELECT grp, ancestor FROM held JOIN sizes USING (grp) WHERE m > 1 GROUP BY grp, ancestor HAVING count(*) = any_value(m))
+SELECT grp, tax_id, min(depth) AS distance FROM held JOIN shared USING (grp, ancestor) GROUP BY grp, tax_id""")
+def lineage_distance(spark, sf):
+    tree = _tree(spark, sf)
+    groups = d.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("tax_id"))
+    return taxonomy.distance_to_group(groups, taxonomy.lineage(tree.select("tax_id"), tree))
