@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
+from . import alignment, chat, decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
 from .common import table
 from .labelled import fold
 from .sql import ORACLE  # noqa: F401
@@ -69,6 +69,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(spark, table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_model": op2_quality_model,
@@ -80,4 +86,5 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_token_output": op10_token_output,
+    "op12_token_alignment": op12_token_alignment,
 }
