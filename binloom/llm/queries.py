@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_output, toxicity
+from . import alignment, chat, decontaminate, html_text, jaccard_join, line_dedup, max_sketch, packing, quality_model, quality_rules, token_output, toxicity
 from .common import table
 from .labelled import fold
 from .sql import ORACLE  # noqa: F401
@@ -75,6 +75,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_model": op2_quality_model,
@@ -87,4 +91,5 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_token_output": op10_token_output,
     "op12_token_alignment": op12_token_alignment,
+    "op13_ranked_search": op13_ranked_search,
 }

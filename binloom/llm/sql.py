@@ -94,4 +94,26 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_it
 FROM documents LEFT JOIN found USING (doc_id)
 """
 
-ORACLE = {"op4_line_dedup": OP4, "op5_quality_rules": OP5, "op6_decontamination": OP6}
+
+def _terms(key: str, table: str) -> str:
+    """A row for each term of each text."""
+    return f"SELECT {key}, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table} WHERE {key} IS NOT NULL"
+
+
+OP13 = f"""
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM ({_terms("doc_id", "documents")}) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM ({_terms("item_id", "benchmark")}) GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term), s
+), scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLE = {"op4_line_dedup": OP4, "op5_quality_rules": OP5, "op6_decontamination": OP6, "op13_ranked_search": OP13}
