@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, html_text, jaccard_join, line_dedup, max_sketch, packing, quality_model, quality_rules, token_output, toxicity
+from . import alignment, chat, decontaminate, html_text, jaccard_join, language_crf, line_dedup, max_sketch, packing, quality_model, quality_rules, token_output, toxicity
 from .common import table
 from .labelled import fold
 from .sql import ORACLE  # noqa: F401
@@ -69,6 +69,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(spark, table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    labelled = language_crf.predict(docs, language_crf.fit(docs, ~held_out))
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,6 +97,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_token_output": op10_token_output,
+    "op11_language_id": op11_language_id,
     "op12_token_alignment": op12_token_alignment,
     "op13_ranked_search": op13_ranked_search,
 }
