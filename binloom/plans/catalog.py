@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence, text, udfs
-from ..operators.graph import checkpointed
+from ..operators.graph import checkpointed, shared_folder
 from ..operators import assignment, bins, evidence, filters, idmatch, markers, network, reconcile, taxonomy
-from ..sources import export, fasta, tables
+from ..sources import export, fasta, indexed, tables
 from . import derive as d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,7 +359,7 @@ def assignment_fold(spark, sf):
 
 @query(f"WITH {d.EDITS} SELECT contig_id, arg_max(bin_id, seq) AS bin_id, max(seq) AS seq FROM edits GROUP BY contig_id")
 def edit_stream_latest(spark, sf):
-    import uuid
+
 
     from ..operators.graph import shared_folder
     from ..streaming import edits as stream
@@ -774,20 +775,26 @@ def _fasta_texts(spark, sf):
     return d.documents(spark, sf).select("doc_id", letters.alias("letters"))
 
 
+def _written_fasta(spark, sf):
+    """The tables' letters as FASTA files in the shared folder; their path."""
+    path = _new_folder(spark, "fasta")
+    value = F.concat(F.lit(">contig_"), "doc_id", F.lit(" made of text\n"), sequence.wrapped(F.col("letters")))
+    files = _fasta_texts(spark, sf).select(F.floor(F.col("doc_id") / 500).alias("g"), "doc_id", value.alias("value"))
+    files.repartition("g").sortWithinPartitions("g", "doc_id").select("g", "value").write.partitionBy("g").text(path)
+    return path
+
+
+def _new_folder(spark, label):
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 @query("""WITH f AS (SELECT doc_id, doc_id // 500 AS g, 'contig_' || doc_id || ' made of text' AS head, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS n FROM documents),
 s AS (SELECT *, length(head) + 3 + n + CASE WHEN n > 0 THEN (n - 1) // 60 ELSE 0 END AS bytes FROM f)
 SELECT 'contig_' || doc_id AS contig_id, n::BIGINT AS length, (sum(bytes) OVER (PARTITION BY g ORDER BY doc_id) - bytes + length(head) + 2)::BIGINT AS "offset",
        CASE WHEN n > 0 THEN least(n, 60)::BIGINT END AS line_bases, CASE WHEN n > 0 THEN least(n, 60)::BIGINT + 1 END AS line_width FROM s""")
 def fasta_index(spark, sf):
     """The tables' letters as FASTA files, written and scanned by their bytes."""
-    import uuid
-
-    from ..operators.graph import shared_folder
-
-    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
-    value = F.concat(F.lit(">contig_"), "doc_id", F.lit(" made of text\n"), sequence.wrapped(F.col("letters")))
-    files = _fasta_texts(spark, sf).select(F.floor(F.col("doc_id") / 500).alias("g"), "doc_id", value.alias("value"))
-    files.repartition("g").sortWithinPartitions("g", "doc_id").select("g", "value").write.partitionBy("g").text(path)
+    path = _written_fasta(spark, sf)
     rows = fasta.read_fasta(spark, f"{path}/g=*")
     return rows.select(F.col("id").alias("contig_id"), "fai.length", "fai.offset", "fai.line_bases", "fai.line_width")
 
@@ -801,6 +808,35 @@ def fasta_records(spark, sf):
     return parsed.select(F.col("id").alias("contig_id"), F.length("seq").alias("length"), fasta.span("fai").isNotNull().alias("spanned"), F.md5("seq").alias("digest"))
 
 
+@query(f"""WITH {d.ASSIGNMENTS}, texts AS (
+  SELECT 'contig_' || doc_id AS id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents
+), whole AS (
+  SELECT id, length(s) > 0 AS spanned, length(s) + (length(s) - 1) // 60 + 1 AS bytes,
+         '>' || id || ' made of text' || chr(10) || rtrim(regexp_replace(s, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) || chr(10) AS value FROM texts
+)
+SELECT bin_id, id AS contig_id, CASE WHEN spanned THEN md5(value) END AS digest, NOT spanned AS skipped
+FROM assignments JOIN whole ON id = contig_id WHERE tool = 'A'""")
+def bin_fasta(spark, sf):
+    """Every bin of a tool as FASTA text, read from written files by the spans of an index."""
+    path, index = _written_fasta(spark, sf), _new_folder(spark, "fasta-index")
+    indexed.write_index(fasta.read_fasta(spark, f"{path}/g=*"), index)
+    groups = _tool_a(spark, sf).select(F.col("bin_id").alias("grp"), F.col("contig_id").alias("id"), F.col("row_idx").alias("pos"))
+    texts, skipped = indexed.extracted(groups, spark.read.parquet(index))
+    rows = texts.select("grp", "id", F.md5(F.col("value").cast("binary")).alias("digest"), F.lit(False).alias("skipped"))
+    rows = rows.unionByName(skipped.select("grp", "id", F.lit(None).cast("string").alias("digest"), F.lit(True).alias("skipped")))
+    return rows.select(F.col("grp").alias("bin_id"), F.col("id").alias("contig_id"), "digest", "skipped")
+
+
+@query("""SELECT 'contig_' || doc_id AS contig_id, CASE WHEN length(s) > 0 THEN md5(s) END AS digest, CASE WHEN length(s) > 0 THEN length(s) + (length(s) - 1) // 60 + 1 ELSE 0 END::BIGINT AS bytes
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents)""")
+def sequence_spans(spark, sf):
+    """All sequences of written files by the data source that seeks; the bytes it read for each."""
+    path, index = _written_fasta(spark, sf), _new_folder(spark, "fasta-index")
+    indexed.write_index(fasta.read_fasta(spark, f"{path}/g=*"), index)
+    rows = indexed.sequences(spark, index)
+    return rows.select(F.col("id").alias("contig_id"), F.md5("seq").alias("digest"), "bytes")
+
+
 # Taxonomy: parts below their types, types below their first word, all below one root
 
 

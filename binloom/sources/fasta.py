@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import byte_span
+from .blocks import Running, from_splits, split_starts
 
-def peeked(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(file, kind) of the files that ``path`` names: 'gzip' by its magic bytes, 'fasta' if it starts with >, or 'other'.
 
-    Two bytes of each file are read, whatever its name says.
+def listed(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """(file, kind, size) of the files that ``path`` names: 'blocked' if its members tell their size, 'gzip' by its magic
+    bytes, 'fasta' if it starts with >, or 'other'.
+
+    At most 18 bytes of each file are read, whatever its name says.
     """
+    from .indexed import is_blocked
+
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     out = []
@@ -20,28 +27,40 @@ def peeked(spark: SparkSession, path: str) -> list[tuple[str, str]]:
         for status in fs.listStatus(found.getPath()) if found.isDirectory() else (found,):
             if status.isFile() and not status.getPath().getName().startswith(("_", ".")):
                 stream = fs.open(status.getPath())
-                head = [stream.read(), stream.read()]
+                head = bytes(b for b in (stream.read() for _ in range(18)) if b >= 0)
                 stream.close()
-                out.append((status.getPath().toString(), "gzip" if head == [0x1F, 0x8B] else "fasta" if head[0] == ord(">") else "other"))
+                kind = "blocked" if is_blocked(head) else "gzip" if head.startswith(b"\x1f\x8b") else "fasta" if head.startswith(b">") else "other"
+                out.append((status.getPath().toString(), kind, status.getLen()))
     return sorted(out)
 
 
+def peeked(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, kind): 'gzip', 'fasta' or 'other'."""
+    return [(f, "gzip" if kind == "blocked" else kind) for f, kind, _ in listed(spark, path)]
+
+
 def looks_like_fasta(spark: SparkSession, path: str) -> bool:
     """Compressed files are taken for FASTA; others start with >."""
-    return all(kind != "other" for _, kind in peeked(spark, path))
+    return all(kind != "other" for _, kind, _ in listed(spark, path))
 
 
 def read_any_fasta(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
-    """``read_fasta`` of files of any name: compressed ones that are not named *.gz are unpacked, one in a task."""
-    kinds = peeked(spark, path)
-    odd = [f for f, kind in kinds if kind == "gzip" and not f.endswith(".gz")]
-    rest = [f for f, _ in kinds if f not in odd]
+    """``read_fasta`` of files of any name. Block-compressed files are unpacked by many tasks; other compressed ones
+    that are not named *.gz by one each."""
+    from .indexed import read_blocked
+
+    files = listed(spark, path)
+    blocked = [(f, size) for f, kind, size in files if kind == "blocked"]
+    odd = [f for f, kind, _ in files if kind == "gzip" and not f.endswith(".gz")]
+    rest = [f for f, kind, _ in files if kind != "blocked" and f not in odd]
     out = [read_fasta(spark, rest, trim)] if rest else []
+    if blocked:
+        out.append(read_blocked(spark, blocked, trim))
     if odd:
         raw = spark.read.format("binaryFile").load(odd).select(F.col("path").alias("file"), "content")
         # A compressed file has no places to read from: offsets count in the unpacked text.
-        out.append(parse_records(raw.mapInArrow(_unpacked, "file string, ord long, at long, body string"), trim))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+        out.append(parse_records(raw.mapInArrow(_unpacked, "file string, ord long, at long, body binary"), trim))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _unpacked(batches):
@@ -70,8 +89,8 @@ def _unpacked(batches):
 def _record(file: str, n: int, at: int, lines: list[bytes]):
     import pyarrow as pa
 
-    body = b"".join(lines).removesuffix(b"\n").decode("utf-8", "replace")
-    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([body])], names=["file", "ord", "at", "body"])
+    body = b"".join(lines).removesuffix(b"\n")
+    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([body], pa.binary())], names=["file", "ord", "at", "body"])
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], trim: bool = False) -> DataFrame:
@@ -79,52 +98,90 @@ def read_fasta(spark: SparkSession, path: str | list[str], trim: bool = False) -
 
     The id is the header up to white space, trimmed. Text before the first header and blank lines are skipped; one
     carriage return at a line's end is dropped. ``fai`` holds byte offsets: records are as long as their text and
-    the separator, so a record's place is the sum of what lies before it, in its split and in the splits before.
+    the separator, so a record's place is the sum of what lies before it, in its split and in the splits before. A
+    first scan sums the sizes of each split, a second counts on and parses in one pass; no sequence is shuffled.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
-    sized = raw.withColumn("bytes", F.octet_length("value").cast("long") + 2)
-    blocks = sized.groupBy("file", "block").agg(F.sum("bytes").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("file", "block", before.alias("block_at"))
-    inside = F.coalesce(F.sum("bytes").over(W.partitionBy("file", "block").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("inside", inside).join(F.broadcast(starts), ["file", "block"])
-    # The first record keeps its own mark, the later ones lost theirs to the separator.
-    at = F.col("block_at") + F.col("inside")
-    first = at == 0
-    body = F.when(first, F.regexp_extract("value", r"(?s)(?:^|.*?\n)>(.*)", 1)).otherwise(F.col("value"))
-    lead = F.when(first, F.octet_length("value") - F.octet_length(body)).otherwise(F.lit(0))
-    rows = placed.where(~first | F.col("value").rlike(r"(?s)(?:^|\n)>")).select("file", "ord", (at + lead).alias("at"), body.alias("body"))
-    return parse_records(rows, trim)
-
-
-def _without_return(line: Column) -> Column:
-    return F.when(F.endswith(line, F.lit("\r")), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    raw = from_splits(spark.read.option("lineSep", "\n>").text(path))
+    sized = raw.select(F.col("value").cast("binary").alias("value"), "file", "block", F.monotonically_increasing_id().alias("ord"))
+    starts = split_starts(raw, F.octet_length("value").cast("long") + 2)
 
+    def run(batches):
+        import numpy as np
+
+        running = Running()
+        for b in batches:
+            values = b.column(0).to_pylist()
+            at = running.before(b.column(1), b.column(2), np.fromiter((len(v) + 2 for v in values), np.int64, len(values))) if values else []
+            rows = []
+            for value, file, block, n, k in zip(values, b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), at, strict=True):
+                # The first record keeps its own mark, the later ones lost theirs to the separator.
+                first = block == 0 and k == 0
+                if not first or value.startswith(b">"):
+                    rows.append((file, block, n, *parsed(value[1:] if first else value, int(k) + first, trim)))
+            yield from _batches(rows, "file", "block", "ord")
+
+    parts = sized.mapInArrow(run, f"file string, block long, ord long, {PARSED}")
+    # A row for each split.
+    placed = parts.join(F.broadcast(starts), ["file", "block"])
+    fai = F.struct((F.col("fai.offset") + F.col("block_at")).alias("offset"), *(F.col(f"fai.{c}") for c in ("length", "line_bases", "line_width", "uniform")))
+    return placed.select("file", "id", "header", "seq", fai.alias("fai"), "ord")
 
-def parse_records(rows: DataFrame, trim: bool = False) -> DataFrame:
-    """Records from (file, ord, at, body): the text after the header mark and the byte it starts at.
+
+#: An id goes up to white space.
+ID = re.compile(r"[^ \t\n\x0b\f\r]*")
+FAI = "struct<offset:bigint,length:bigint,line_bases:bigint,line_width:bigint,uniform:boolean>"
+PARSED = f"id string, header string, seq string, fai {FAI}"
+
+
+def parsed(body: bytes, at: int, trim: bool = False) -> tuple[str, str, str, tuple]:
+    """(id, header, seq, fai entry) of a record: the text after the header mark and the byte it starts at.
 
     ``trim``: lines lose white space at both ends, as reference sets are read; else one carriage return.
     """
-    lines = F.split("body", "\n")
-    clean = (lambda x: F.btrim(x)) if trim else _without_return
-    cut = rows.select("file", "ord", "at", _without_return(lines[0]).alias("header"), F.octet_length(lines[0]).alias("head"), lines.alias("lines"))
-    cut = cut.withColumn("raw", F.filter("lines", lambda x, i: (i > 0) & (x != "") & (x != "\r"))).withColumn("kept", F.filter(F.transform("raw", clean), lambda x: x != ""))
-    cut = cut.withColumn("sizes", F.transform("kept", lambda x: F.length(x))).withColumn("seq", F.array_join("kept", ""))
-    first, width = F.get("sizes", F.lit(0)), F.octet_length(F.get("raw", F.lit(0))) + 1
-    n = F.size("sizes")
-    even = F.forall(F.slice("sizes", 1, F.greatest(n - 1, F.lit(0))), lambda x: x == first) & (F.coalesce(F.element_at(F.when(n > 0, F.col("sizes")), -1), F.lit(0)) <= F.coalesce(first, F.lit(0)))
-    seq = F.col("seq")
-    fai = F.struct(
-        (F.col("at") + F.col("head") + 1).cast("long").alias("offset"),
-        F.length(seq).cast("long").alias("length"),
-        F.when(even, first).cast("long").alias("line_bases"),
-        F.when(even, width).cast("long").alias("line_width"),
-        even.alias("uniform"),
-    )
-    name = F.regexp_extract(F.trim("header"), r"^(\S*)", 1)
-    return cut.select("file", name.alias("id"), "header", seq.alias("seq"), fai.alias("fai"), "ord")
+    import numpy as np
+
+    head, _, rest = body.partition(b"\n")
+    header = head.removesuffix(b"\r").decode("utf-8", "replace")
+    name = ID.match(header.strip(" "))[0]
+    if trim or b"\r" in rest or not rest.isascii():
+        raw = [x for x in rest.decode("utf-8", "replace").split("\n") if x not in ("", "\r")]
+        kept = [x for x in (y.strip(" ") if trim else y.removesuffix("\r") for y in raw) if x]
+        sizes, seq = np.array([len(x) for x in kept], np.int64), "".join(kept)
+        width = len(raw[0].encode()) + 1 if raw else None
+    else:
+        # Plain lines: sizes from the line ends, and the sequence in one pass.
+        ends = np.flatnonzero(np.frombuffer(rest, np.uint8) == 10)
+        sizes = np.diff(np.concatenate(([-1], ends, [len(rest)]))) - 1
+        sizes, seq = sizes[sizes > 0], rest.replace(b"\n", b"").decode()
+        width = int(sizes[0]) + 1 if len(sizes) else None
+    first = int(sizes[0]) if len(sizes) else None
+    even = bool(len(sizes) == 0 or ((sizes[:-1] == first).all() and sizes[-1] <= first))
+    return name, header, seq, (at + len(head) + 1, len(seq), first if even else None, width if even else None, even)
+
+
+def _batches(rows: list[tuple], *keys: str):
+    """Record batches of keys and parsed records."""
+    import pyarrow as pa
+
+    if rows:
+        *columns, fai = zip(*rows, strict=True)
+        kinds = [pa.string() if k == "file" else pa.int64() for k in keys] + [pa.string()] * 3
+        entry = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("line_bases", pa.int64()), ("line_width", pa.int64()), ("uniform", pa.bool_())])
+        names = ("offset", "length", "line_bases", "line_width", "uniform")
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array([dict(zip(names, f, strict=True)) for f in fai], entry)], names=[*keys, "id", "header", "seq", "fai"])
+
+
+def parse_records(rows: DataFrame, trim: bool = False) -> DataFrame:
+    """Records from (file, ord, at, body): the text after the header mark and the byte it starts at."""
+
+    def run(batches):
+        for b in batches:
+            columns = (c.to_pylist() for c in b.columns)
+            yield from _batches([(file, n, *parsed(body, at, trim)) for file, n, at, body in zip(*columns, strict=True)], "file", "ord")
+
+    out = rows.select("file", F.col("ord").cast("long"), F.col("at").cast("long"), F.col("body").cast("binary")).mapInArrow(run, f"file string, ord long, {PARSED}")
+    return out.select("file", "id", "header", "seq", "fai", "ord")
 
 
 def contig_ids(records: DataFrame) -> DataFrame:
