@@ -190,6 +190,72 @@ def sniff_format(spark, sf):
     return rows.groupBy("source", tables.sniff(F.col("text")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _written_lines(spark, rows, label):
+    """Rows (g, i, line) as one text file for each g, in the order of i; the folder."""
+    path = _new_folder(spark, label)
+    rows.repartition("g").sortWithinPartitions("g", "i").select("g", F.col("line").alias("value")).write.partitionBy("g").text(path)
+    return path
+
+
+def _table_lines(spark, sf):
+    """Lines of one table for each nation (contig-bin) and for each brand (coverage): (g, i, line); 0 is the header."""
+    c, p = d.table(spark, sf, "customer"), d.table(spark, sf, "part")
+    g = F.col("c_nationkey")
+    mark = F.when(g % 3 == 0, ",").otherwise("\t")
+    bins = c.select(g.cast("string").alias("g"), F.col("c_custkey").alias("i"), F.concat("c_name", mark, "c_mktsegment", F.when(F.col("c_custkey") % 50 == 0, "\r").otherwise("")).alias("line"))
+    head = c.select(g).distinct().where(g % 2 == 0).select(g.cast("string").alias("g"), F.lit(-1).cast("long").alias("i"), F.concat(F.lit("Contig_ID"), mark, F.lit("bin")).alias("line"))
+    b, key = F.col("p_brand"), F.col("p_partkey")
+    named = F.substr(b, F.lit(-1), F.lit(1)).cast("int") % 2 == 0
+    cells = [F.concat(F.lit("part_"), key), F.lit("9"), F.lit("1"), F.col("p_retailprice").cast("string"), F.lit("3"), F.concat(F.col("p_size"), F.lit("e1"))]
+    plain = [F.concat(F.lit("part_"), key), F.concat(F.lit("0x"), F.hex("p_size")), F.when(key % 9 == 0, "").otherwise(F.col("p_retailprice").cast("string"))]
+    cover = p.select(b.alias("g"), key.alias("i"), F.when(named, F.concat_ws("\t", *cells)).otherwise(F.concat_ws("\t", *plain)).alias("line"))
+    title = p.select(b).distinct().where(named).select(b.alias("g"), F.lit(-1).cast("long").alias("i"), F.lit("contigName\tcontigLen\ttotalAvgDepth\tone.bam\tone.bam-var\ttwo.bam").alias("line"))
+    return bins.unionByName(head), cover.unionByName(title)
+
+
+def _group_of(rows):
+    """Tables by the folder their file is in."""
+    # Escaped as a folder, then as a path.
+    return rows.withColumn("g", F.url_decode(F.regexp_extract(F.url_decode("file"), "/g=([^/]*)/", 1)))
+
+
+@query("""WITH r AS (SELECT c_nationkey::VARCHAR AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 + CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 0 END AS row_idx, c_name, c_mktsegment FROM customer)
+SELECT g, row_idx::BIGINT AS row_idx, c_name AS contig_id, c_mktsegment AS bin_id FROM r""")
+def scanned_bin_tables(spark, sf):
+    """Tables written as files and read in any splits, with row numbers from sums over the splits."""
+    lines = tables.read_lines(spark, f"{_written_lines(spark, _table_lines(spark, sf)[0], 'bins')}/g=*")
+    told = _group_of(tables.heads(lines)).withColumn("label", F.col("g"))
+    return tables.bins_of(lines, told.where("format = 'contig-bin'")).select(F.col("label").alias("g"), "row_idx", "contig_id", "bin_id")
+
+
+@query("""WITH t AS (SELECT p_brand AS g, p_partkey, right(p_brand, 1)::INT % 2 = 0 AS named, p_retailprice, p_size, '0x' || hex(p_size) AS h, p_size || 'e1' AS e FROM part)
+SELECT g, 'part_' || p_partkey AS contig_id, 'one.bam' AS sample, p_retailprice AS depth FROM t WHERE named UNION ALL SELECT g, 'part_' || p_partkey, 'two.bam', e::DOUBLE FROM t WHERE named
+UNION ALL SELECT g, 'part_' || p_partkey, 'sample1', (h::INT)::DOUBLE FROM t WHERE NOT named
+UNION ALL SELECT g, 'part_' || p_partkey, 'sample2', CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_retailprice END FROM t WHERE NOT named""")
+def scanned_coverage_tables(spark, sf):
+    lines = tables.read_lines(spark, f"{_written_lines(spark, _table_lines(spark, sf)[1], 'coverage')}/g=*")
+    told = _group_of(tables.heads(lines)).withColumn("label", F.col("g"))
+    return tables.coverage_of(lines, told.where("format = 'coverage'")).select(F.col("label").alias("g"), "contig_id", "sample", "depth")
+
+
+@query("""WITH w AS (SELECT conv_id AS g, turn, string_split(text, chr(10)) AS l FROM conversations WHERE text IS NOT NULL),
+u AS (SELECT g, turn, generate_subscripts(l, 1) AS k, unnest(l) AS line FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn, k) AS i FROM u WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+t AS (SELECT g, list(line ORDER BY i) FILTER (WHERE i <= 20) AS f FROM r GROUP BY g),
+m AS (SELECT g, f, CASE WHEN len(string_split(f[1], chr(9))) >= len(string_split(f[1], ',')) THEN chr(9) ELSE ',' END AS mark FROM t),
+c AS (SELECT g, list_transform(f, lambda x: list_transform(string_split(x, mark), lambda y: trim(y, ' ' || chr(9) || chr(13)))) AS c, greatest(len(string_split(f[1], chr(9))), len(string_split(f[1], ','))) AS cols FROM m),
+n AS (SELECT *, len(list_filter(c[1][2:], lambda y: y <> '' AND try_cast(y AS DOUBLE) IS NULL)) > 0 AS named,
+  lower(c[1][1]) IN ('contig', 'contigid', 'contig_id', 'contigname', 'contig_name', 'scaffold', 'scaffoldid', 'scaffold_id', 'sequence', 'sequence_id', 'sequenceid', 'name') AS titled FROM c),
+k AS (SELECT g, cols, CASE WHEN named THEN c[2:10] ELSE c[1:10] END AS a, CASE WHEN titled THEN c[2:] ELSE c END AS b FROM n),
+j AS (SELECT g, cols, len(a) > 0 AND len(list_filter(a, lambda x: len(x) < 2 OR x[1] = '' OR len(list_filter(x[2:], lambda y: y <> '' AND try_cast(y AS DOUBLE) IS NULL)) > 0)) = 0 AS cover,
+  len(b) > 0 AND len(list_filter(b, lambda x: len(x) <> 2 OR x[1] = '' OR x[2] = '')) = 0 AS pairs FROM k)
+SELECT CASE WHEN cols >= 3 AND cover THEN 'coverage' WHEN pairs THEN 'contig-bin' WHEN cover THEN 'coverage' ELSE 'unknown' END AS format, count(*) AS n FROM j GROUP BY ALL""")
+def sniffed_texts(spark, sf):
+    """Formats that the conversations' texts would be taken for, told of each by its first lines."""
+    rows = d.table(spark, sf, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
+    return rows.groupBy(tables.sniff(F.array_join("r.text", "\n")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Repair of ids
 
 

@@ -24,20 +24,24 @@ class Review:
         refs: DataFrame | None = None,
         index: DataFrame | None = None,
         search: markers.Search | None = None,
+        supplied: DataFrame | None = None,
         min_jaccard: float = reconcile.MIN_JACCARD,
         recall: float = bins.RECALL,
     ):
-        self.spark, self.refs, self.index = spark, refs, index
+        self.spark, self.refs, self.index, self.supplied = spark, refs, index, supplied
         self.search, self.min_jaccard, self.recall = search or markers.Search(), min_jaccard, recall
-        self.records = fasta.read_fasta(spark, assembly)
-        self.texts = tables.read_texts(spark, files).withColumn("format", tables.sniff(F.col("text")))
+        if not fasta.looks_like_fasta(spark, assembly):
+            raise ValueError(f"no FASTA: {assembly}")
+        self.records = fasta.read_any_fasta(spark, assembly)
+        self.lines = tables.read_lines(spark, files)
+        self.heads = checkpointed(tables.heads(self.lines))
         self.edits: DataFrame | None = None
 
     @cached_property
     def raw_tables(self) -> DataFrame:
         """(tool, row_idx, contig_id, bin_id) as read."""
-        rows = tables.parse_bins(self.texts.where("format = 'contig-bin'").withColumnRenamed("label", "tool"), "tool")
-        return rows.select("tool", "row_idx", "contig_id", "bin_id")
+        rows = tables.bins_of(self.lines, self.heads.where("format = 'contig-bin'"))
+        return rows.select(F.col("label").alias("tool"), "row_idx", "contig_id", "bin_id")
 
     @cached_property
     def repair(self) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +55,8 @@ class Review:
     @cached_property
     def coverage(self) -> DataFrame:
         """(contig_id, row_idx, depths) of the first coverage table by path."""
-        first = self.texts.where("format = 'coverage'").orderBy("path").limit(1)
-        rows = tables.parse_coverage(first)
+        first = self.heads.where("format = 'coverage'").orderBy("file").limit(1)
+        rows = tables.coverage_of(self.lines, first)
         depths = F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "depth"))), lambda x: x["depth"])
         return rows.groupBy("row_idx", "contig_id").agg(depths.alias("depths"))
 
@@ -66,7 +70,13 @@ class Review:
 
     @cached_property
     def hits(self) -> DataFrame:
-        """(contig_id, family, ...) of marker genes; none without references."""
+        """(contig_id, family, ...) of marker genes: those supplied (contig_id, family) come first, then the search's."""
+        if self.supplied is not None:
+            return bins.preferred_hits(self._searched, self.supplied)
+        return self._searched
+
+    @cached_property
+    def _searched(self) -> DataFrame:
         if self.refs is None:
             return self.spark.createDataFrame([], "contig_id string, family string")
         index = self.index if self.index is not None else markers.seed_index(self.refs, self.search.k)
@@ -104,8 +114,10 @@ class Review:
         r = self.reconciliation
         return network.leaves(r.votes, r.mags, r.agreement, self.state, view)
 
-    def export(self, path: str) -> None:
-        """Assignment and summary as CSV text, and one FASTA folder for each bin."""
-        export.write_lines(export.assignment_lines(self.state.orderBy("contig_id")), export.ASSIGNMENT_HEADER, f"{path}/assignment")
-        export.write_lines(export.summary_lines(self.summary()), export.SUMMARY_HEADER, f"{path}/summary", "bin_id")
-        fasta.write_bins(self.state.select("bin_id", F.col("contig_id").alias("id")), self.records, f"{path}/bins")
+    def export(self, path: str, excluded_mags: DataFrame | None = None) -> DataFrame:
+        """Assignment and summary as CSV text without the contigs of excluded MAGs (mag_id), and one FASTA folder for
+        each bin of the whole state. Returns (bin_id, id) of members that no sequence could be written of."""
+        kept = self.state if excluded_mags is None else assignment.exportable(self.state, excluded_mags)
+        export.write_lines(export.assignment_lines(kept.orderBy("contig_id")), export.ASSIGNMENT_HEADER, f"{path}/assignment")
+        export.write_lines(export.summary_lines(bins.bin_summary(kept, self.contigs, self.hits, self.recall)), export.SUMMARY_HEADER, f"{path}/summary", "bin_id")
+        return fasta.write_bins(self.state.select("bin_id", F.col("contig_id").alias("id")), self.records, f"{path}/bins")

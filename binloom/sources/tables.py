@@ -1,4 +1,4 @@
-"""Contig-to-bin and coverage tables: parsing and format detection on whole texts, as columns."""
+"""Contig-to-bin and coverage tables: parsing and format detection, of texts in columns and of files in any splits."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_label, full_trim, to_number
+from .blocks import from_splits, placed
 
 # Names of the first column that mark a header.
 HEADER_NAMES = (
@@ -31,19 +32,19 @@ def _cells(lines: Column, mark: Column) -> Column:
 
 
 def read_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, label, text) of each file; a label that occurs again gets a number."""
+    """(path, label, text) of each file, whole; for files of any size there is ``read_lines``."""
     rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    from pyspark.sql import Window as W
-
-    named = rows.withColumn("base", file_label(F.col("path")))
-    nth = F.row_number().over(W.partitionBy("base").orderBy("path"))
-    return named.select("path", F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), nth, F.lit(")"))).alias("label"), "text")
+    return _labelled(rows, "path").select("path", "label", "text")
 
 
 def parse_bins(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, row_idx, contig_id, bin_id) from ``text``; short and blank rows and a header are dropped."""
     rows = texts.select(*keys, lines_of(F.col("text")).alias("lines"))
-    rows = rows.select(*keys, F.posexplode(_cells(F.col("lines"), delimiter(F.col("lines")))).alias("row_idx", "cells"))
+    return _bin_rows(rows.select(*keys, F.posexplode(_cells(F.col("lines"), delimiter(F.col("lines")))).alias("row_idx", "cells")), *keys)
+
+
+def _bin_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of (keys, row_idx, cells)."""
     contig, bin_id = full_trim(F.get("cells", F.lit(0))), full_trim(F.get("cells", F.lit(1)))
     rows = rows.select(*keys, "row_idx", contig.alias("contig_id"), bin_id.alias("bin_id"))
     header = (F.col("row_idx") == 0) & F.lower("contig_id").isin(*HEADER_NAMES)
@@ -56,7 +57,12 @@ def parse_coverage(texts: DataFrame, *keys: str) -> DataFrame:
     rows = rows.select(*keys, _cells(F.col("lines"), delimiter(F.col("lines"))).alias("rows"))
     first = F.get("rows", F.lit(0))
     rows = rows.withColumn("head", first).withColumn("named", _names(first))
-    out = rows.select(*keys, "head", "named", F.posexplode("rows").alias("row_idx", "cells")).where(~F.col("named") | (F.col("row_idx") > 0))
+    return _coverage_rows(rows.select(*keys, "head", "named", F.posexplode("rows").alias("row_idx", "cells")), *keys)
+
+
+def _coverage_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of (keys, head, named, row_idx, cells): the file's first cells and whether they are names."""
+    out = rows.where(~F.col("named") | (F.col("row_idx") > 0))
     out = out.select(*keys, "row_idx", "head", "named", full_trim(F.col("cells")[0]).alias("contig_id"), F.posexplode("cells").alias("col", "cell"))
     title = full_trim(F.get("head", F.col("col")))
     sample = F.when(F.col("named"), title).otherwise(F.concat(F.lit("sample"), F.col("col")))
@@ -66,6 +72,54 @@ def parse_coverage(texts: DataFrame, *keys: str) -> DataFrame:
     return out.where(is_sample).select(*keys, "row_idx", "contig_id", "sample", F.col("col").alias("sample_idx"), to_number(F.col("cell")).alias("depth"))
 
 
+# Files in any number of splits
+
+#: Lines that tell a file's format; its first tells the delimiter and the header.
+FIRST_LINES = 20
+
+
+def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(file, row_idx, line): the lines of each file that are not blank, numbered from 0, in as many tasks as splits."""
+    raw = from_splits(spark.read.option("lineSep", "\n").text(paths))
+    line = F.when(F.endswith("value", F.lit("\r")), F.substr("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    rows = raw.select(line.alias("line"), "file", "block").where(full_trim(F.col("line")) != "")
+    return placed(rows, F.lit(1)).select("file", F.col("at").alias("row_idx"), "line")
+
+
+def heads(lines: DataFrame) -> DataFrame:
+    """(file, label, format, mark, head, named): what the first lines tell, a row for each file that has any."""
+    first = lines.where(F.col("row_idx") < FIRST_LINES).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("r"))
+    rows = first.select("file", F.col("r.line").alias("lines"))
+    cells = F.get(_cells(F.col("lines"), delimiter(F.col("lines"))), F.lit(0))
+    told = rows.select("file", sniff_lines(F.col("lines")).alias("format"), delimiter(F.col("lines")).alias("mark"), cells.alias("head"), _names(cells).alias("named"))
+    return _labelled(told, "file").select("file", "label", "format", "mark", "head", "named")
+
+
+def _labelled(files: DataFrame, path: str) -> DataFrame:
+    """Files with ``label``, from their names; a label that occurs again gets a number, in the order of paths."""
+    from pyspark.sql import Window as W
+
+    named = files.withColumn("base", file_label(F.col(path)))
+    nth = F.row_number().over(W.partitionBy("base").orderBy(path))
+    return named.withColumn("label", F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), nth, F.lit(")")))).drop("base")
+
+
+def _told(lines: DataFrame, told: DataFrame) -> DataFrame:
+    """Lines with what is told of their files, and their cells."""
+    rows = lines.join(F.broadcast(told), "file")  # a row for each file
+    return rows.withColumn("cells", F.when(F.col("mark") == "\t", F.split("line", "\t")).otherwise(F.split("line", ",")))
+
+
+def bins_of(lines: DataFrame, told: DataFrame) -> DataFrame:
+    """(label, row_idx, contig_id, bin_id) of the files of ``told``."""
+    return _bin_rows(_told(lines, told), "label")
+
+
+def coverage_of(lines: DataFrame, told: DataFrame) -> DataFrame:
+    """(label, row_idx, contig_id, sample, sample_idx, depth) of the files of ``told``."""
+    return _coverage_rows(_told(lines, told), "label")
+
+
 def _data_rows(lines: Column, most: int) -> Column:
     """Cells of the first lines, without a header: a first line with a cell, after the first, that is no number."""
     cells = _cells(F.slice(lines, 1, most), delimiter(lines))
@@ -97,7 +151,11 @@ def is_coverage(lines: Column) -> Column:
 
 def sniff(text: Column) -> Column:
     """'coverage', 'contig-bin' or 'unknown'; a two-column numeric table is contig-bin."""
-    lines = lines_of(text)
+    return sniff_lines(lines_of(text))
+
+
+def sniff_lines(lines: Column) -> Column:
+    """``sniff`` of an array of lines that are not blank; the first 20 are enough."""
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     columns = 1 + F.greatest(F.regexp_count(first, F.lit("\t")), F.regexp_count(first, F.lit(",")))
     coverage = is_coverage(lines)

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from binloom.sources import fasta, indexed
+from binloom.sources import fasta, indexed, tables
 
 
 def written(rng, n, width=20, odd=True):
@@ -121,3 +121,50 @@ def test_index_groups_without_wanted_ids_are_left_out(spark, tmp_path):
     assert got == {i: s or None for i, s in want.items()}
     read = indexed.sequences(spark, f"{tmp_path}/index", ["c7", "c9"]).agg(F.sum("bytes")).first()[0]
     assert read < len(data) / 20
+
+
+# Tables
+
+
+@pytest.mark.parametrize("split", [7, None])
+def test_split_tables_equal_whole_ones(spark, tmp_path, split):
+    rng = random.Random(7)
+    texts = {
+        "one.tsv": "contig\tbin\r\n" + "".join(f"c{i}\tb{rng.randint(0, 3)}\r\n" + "\n \t\n" * (i % 5 == 0) for i in range(8)) + "short\nx\t\n\ty\nlast\tb9",
+        "two.csv": "".join(f"k{i},b,extra,{i}\n" for i in range(5)),
+        "cov.txt": "contigName,contigLen,totalAvgDepth,s1.bam,s1.bam-var,s2.bam\n" + "".join(f"c{i},9,7,{i / 2},1,0x1F\n" for i in range(4)) + "c99,1,2\n",
+        "plain.cov": "".join(f"c{i}\t{i}e1\t\t\n" for i in range(22)),
+        "prose": "some words\nand more\n",
+        "nil": "\n\n",
+    }
+    for k, v in texts.items():
+        (tmp_path / k).write_text(v, newline="")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = tables.read_lines(spark, str(tmp_path))
+        told = tables.heads(lines)
+        formats = {r.label: r.format for r in told.collect()}
+        got_bins = sorted(map(tuple, tables.bins_of(lines, told.where("format = 'contig-bin'")).collect()))
+        got_cov = sorted(((r.label, r.row_idx, r.contig_id, r.sample, r.sample_idx, str(r.depth)) for r in tables.coverage_of(lines, told.where("format = 'coverage'")).collect()))
+        if split == 7:
+            assert lines.rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = tables.read_texts(spark, str(tmp_path)).withColumn("format", tables.sniff(F.col("text")))
+    assert formats == {r.label: r.format for r in whole.where("label <> 'nil'").collect()}
+    assert {k: v for k, v in formats.items() if v != "unknown"} == {"one": "contig-bin", "cov": "coverage", "plain": "coverage"}
+    assert got_bins == sorted(map(tuple, tables.parse_bins(whole.where("format = 'contig-bin'"), "label").collect())) != []
+    want = tables.parse_coverage(whole.where("format = 'coverage'"), "label").collect()
+    assert got_cov == sorted((r.label, r.row_idx, r.contig_id, r.sample, r.sample_idx, str(r.depth)) for r in want) != []
+
+
+def test_labels_of_files_that_share_a_name(spark, tmp_path):
+    for k in ("a", "b"):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "bins.tsv").write_text(f"c\t{k}\n")
+    lines = tables.read_lines(spark, f"{tmp_path}/*/bins.tsv")
+    rows = tables.bins_of(lines, tables.heads(lines)).collect()
+    assert sorted((r.label, r.bin_id) for r in rows) == [("bins", "a"), ("bins (2)", "b")]
