@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import fnv1a, header_family, header_taxon
+from ..functions.sequence import header_family, header_taxon
 from ..functions.udfs import extend_gapped, extend_ungapped, six_frames
 from .ranks import ranked
 
@@ -189,50 +189,6 @@ def held_out_margins(held: DataFrame, refs: DataFrame, index: DataFrame, s: Sear
     return out.select("family", "representatives", (F.col("score") - F.coalesce("rival", F.lit(0))).alias("margin"))
 
 
-def minhash(records: DataFrame, k: int = 5, hashes: int = 24) -> DataFrame:
-    """Records with ``sig``: per hash, the least FNV-1a value over the k-mers of ``seq``."""
-    n = F.length("seq") - k + 1
-    kmers = F.array_distinct(F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("seq"), i, F.lit(k)))))
-    none = F.lit(0xFFFFFFFF)
-
-    def least(seed: int):
-        return F.coalesce(F.array_min(F.transform("kmers", lambda x: fnv1a(x, seed))), none)
-
-    sig = F.array(*[least((h * 2654435761) & 0xFFFFFFFF) for h in range(hashes)])
-    return records.withColumn("kmers", kmers).withColumn("sig", sig).drop("kmers")
-
-
-def greedy_clusters(records: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(family, header, representative): longest first, each joins the first representative similar enough.
-
-    The order decides, so a family is one group; families are bounded by the reference set, not by assemblies.
-    """
-
-    def cluster(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.assign(n=-pdf.seq.str.len()).sort_values(["n", "header"], kind="stable")
-        reps, names, out = [], [], []
-        for header, sig in zip(pdf.header, pdf.sig, strict=True):
-            near = np.flatnonzero((np.array(reps) == sig).mean(1) >= threshold) if reps else []
-            if len(near):
-                out.append((header, names[near[0]]))
-            else:
-                reps.append(sig)
-                names.append(header)
-                out.append((header, header))
-        return pd.DataFrame(out, columns=["header", "representative"]).assign(family=pdf.family.iloc[0])[["family", "header", "representative"]]
-
-    return minhash(records).select("family", "header", "seq", "sig").groupBy("family").applyInPandas(cluster, "family string, header string, representative string")
-
-
-def cluster_report(clusters: DataFrame) -> DataFrame:
-    """Per family and in TOTAL: sequences, clusters and the share kept."""
-    rows = clusters.rollup("family").agg(F.count(F.lit(1)).alias("originals"), F.count_if(F.col("header") == F.col("representative")).alias("clusters"))
-    return rows.select(F.coalesce("family", F.lit("TOTAL")).alias("family"), "originals", "clusters", (F.col("clusters") / F.col("originals")).alias("kept"))
-
-
 def calibration(margins: DataFrame, s: Search = Search(), share: float = 0.1, slack: float = 0.8) -> DataFrame:
     """(family, min_representatives, min_margin): values below the defaults that held-out sequences ask for.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence, text, udfs
 from ..operators.graph import checkpointed, shared_folder
-from ..operators import assignment, bins, evidence, filters, idmatch, markers, network, reconcile, taxonomy
+from ..operators import assignment, bins, clusters, evidence, filters, idmatch, markers, network, reconcile, taxonomy
 from ..sources import export, fasta, indexed, tables
 from . import derive as d
 
@@ -793,14 +793,33 @@ def _proteins(spark, sf):
     return rows.select(F.col("p_brand").alias("family"), F.col("p_partkey").cast("string").alias("header"), F.concat("p_name", F.lit(" "), "p_type").alias("seq"))
 
 
-@query()
+# Signatures by a fold over the letters, similar pairs, and the greedy choice record by record.
+_CLUSTERS = """recs AS (SELECT p_brand AS family, p_partkey::VARCHAR AS header, p_name || ' ' || p_type AS seq FROM part),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY length(seq) DESC, header) AS i FROM recs),
+kmers AS (SELECT DISTINCT family, i, substr(seq, p, 5) AS k FROM (SELECT *, unnest(range(1, length(seq) - 3)) AS p FROM ordered WHERE length(seq) >= 5)),
+words AS (SELECT DISTINCT k FROM kmers),
+hashed AS (SELECT k, h, list_reduce(list_prepend(xor(2166136261, (h * 2654435761) % 4294967296)::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296) AS v
+  FROM words, range(24) t(h)),
+sig AS (SELECT family, i, h, min(v) AS v FROM kmers JOIN hashed USING (k) GROUP BY ALL),
+pairs AS (SELECT b.family, b.i, a.i AS j FROM sig a JOIN sig b ON a.family = b.family AND a.h = b.h AND a.v = b.v AND a.i < b.i GROUP BY ALL HAVING count(*) >= 12),
+near AS (SELECT family, i, list(j ORDER BY j) AS near FROM pairs GROUP BY ALL),
+steps AS (
+  SELECT family, 1::BIGINT AS i, [1::BIGINT] AS reps, 1::BIGINT AS rep FROM ordered WHERE i = 1
+  UNION ALL SELECT s.family, s.i + 1, CASE WHEN m.r IS NULL THEN list_append(s.reps, s.i + 1) ELSE s.reps END, coalesce(m.r, s.i + 1)
+  FROM steps s JOIN ordered o ON o.family = s.family AND o.i = s.i + 1 LEFT JOIN near n ON n.family = o.family AND n.i = o.i,
+  LATERAL (SELECT list_filter(coalesce(n.near, []), lambda x: list_contains(s.reps, x))[1] AS r) m
+), clustered AS (SELECT o.family, o.header, r.header AS representative FROM steps s JOIN ordered o USING (family, i) JOIN ordered r ON r.family = s.family AND r.i = s.rep)"""
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT family, header, representative FROM clustered")
 def minhash_clusters(spark, sf):
-    return markers.greedy_clusters(_proteins(spark, sf))
+    return clusters.greedy_clusters(_proteins(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLUSTERS} SELECT coalesce(family, 'TOTAL') AS family, count(*) AS originals, count(*) FILTER (WHERE header = representative) AS clusters,
+  round(count(*) FILTER (WHERE header = representative) / count(*)::DOUBLE, 6) AS kept FROM clustered GROUP BY ROLLUP (family)""")
 def cluster_report(spark, sf):
-    return markers.cluster_report(markers.greedy_clusters(_proteins(spark, sf)))
+    return clusters.cluster_report(clusters.greedy_clusters(_proteins(spark, sf))).withColumn("kept", r6("kept"))
 
 
 # Files and exports

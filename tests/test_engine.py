@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binloom.functions import kernels, sequence, text, udfs
-from binloom.operators import assignment, bins, evidence, filters, idmatch, markers, network, taxonomy
+from binloom.operators import assignment, bins, clusters, evidence, filters, idmatch, markers, network, taxonomy
 from binloom.sources import export, fasta, tables
 from binloom.streaming import edits as stream
 
@@ -386,9 +386,9 @@ def test_clusters_and_hash(spark):
     rng = random.Random(3)
     a, b = protein(rng), protein(rng)
     rows = spark.createDataFrame([("F", "a", a), ("F", "a2", a[:-3]), ("F", "b", b)], "family string, header string, seq string")
-    got = {r.header: r.representative for r in markers.greedy_clusters(rows).collect()}
+    got = {r.header: r.representative for r in clusters.greedy_clusters(rows).collect()}
     assert got == {"a": "a", "a2": "a", "b": "b"}
-    report = {r.family: (r.originals, r.clusters) for r in markers.cluster_report(markers.greedy_clusters(rows)).collect()}
+    report = {r.family: (r.originals, r.clusters) for r in clusters.cluster_report(clusters.greedy_clusters(rows)).collect()}
     assert report == {"F": (3, 2), "TOTAL": (3, 2)}
 
 
