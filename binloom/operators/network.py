@@ -31,20 +31,28 @@ def rivals(votes: DataFrame, mags: DataFrame, agreed: DataFrame) -> DataFrame:
     return weights.withColumn("place", F.row_number().over(W.partitionBy("mag_id").orderBy(F.desc("weight"), "rival")))
 
 
-def leaves(votes: DataFrame, mags: DataFrame, agreed: DataFrame, state: DataFrame, view: View = View(), hubs: int = HUBS) -> DataFrame:
-    """(mag_id, contig_id, state, n_hubs): the contigs shown around each MAG and how they stand."""
+def around(votes: DataFrame, mags: DataFrame, agreed: DataFrame, state: DataFrame, hubs: int = HUBS) -> DataFrame:
+    """(mag_id, contig_id, fate, connected, state, n_hubs): contigs that some view of a MAG may show, each once.
+
+    ``fate`` tells why one of the MAG's own contigs is shown or hidden: 'uncontended', 'low' if all its rivals are
+    beyond the hubs, 'resolved' if it has a holder, else 'tied'; null for contigs of other MAGs. ``connected`` counts
+    the shown rivals that have the contig.
+    """
     shown = rivals(votes, mags, agreed).where(F.col("place") <= hubs).select("mag_id", F.col("rival").alias("hub"))
     shown = shown.unionAll(mags.select("mag_id", "mag_id"))
-    own = votes.select("mag_id", "contig_id").distinct().join(mags.select("mag_id"), "mag_id", "left_semi")
     hub_votes = votes.select("contig_id", F.col("mag_id").alias("hub")).distinct()
-    if view.connected:
-        own = own.unionByName(shown.join(hub_votes, "hub").select("mag_id", "contig_id")).distinct()
-    linked = own.join(hub_votes, "contig_id").join(shown, ["mag_id", "hub"], "left_semi")
-    counted = linked.groupBy("mag_id", "contig_id").agg(F.count(F.lit(1)).alias("n_hubs"))
-    rows = counted.join(agreed.select("contig_id", "distinct_groups"), "contig_id").join(state, "contig_id", "left")
-    contended = F.col("distinct_groups") > 1
-    here = (F.col("n_hubs") > 1) & (F.col("bin_id").isNull() | F.lit(view.resolved))
-    rows = rows.where(F.when(contended, here).otherwise(F.lit(view.uncontended)) | F.lit(view.connected))
+    # Around each MAG: the contigs of all its hubs, itself among them.
+    linked = shown.join(hub_votes, "hub").groupBy("mag_id", "contig_id").agg(
+        F.count(F.lit(1)).alias("n_hubs"), F.count_if(F.col("hub") == F.col("mag_id")).alias("own"), F.count_if(F.col("hub") != F.col("mag_id")).alias("connected")
+    )
+    rows = linked.join(agreed.select("contig_id", "distinct_groups"), "contig_id").join(state.select("contig_id", "bin_id"), "contig_id", "left")
+    fate = (
+        F.when(F.col("own") == 0, F.lit(None).cast("string"))
+        .when(F.col("distinct_groups") <= 1, "uncontended")
+        .when(F.col("n_hubs") == 1, "low")
+        .when(F.col("bin_id").isNotNull(), "resolved")
+        .otherwise("tied")
+    )
     kind = (
         F.when(F.col("n_hubs") == 1, "core")
         .when(F.col("bin_id").isNull(), "tied")
@@ -52,7 +60,52 @@ def leaves(votes: DataFrame, mags: DataFrame, agreed: DataFrame, state: DataFram
         .when(F.col("bin_id") == F.col("mag_id"), "held-here")
         .otherwise("held-elsewhere")
     )
-    return rows.select("mag_id", "contig_id", kind.alias("state"), "n_hubs")
+    return rows.select("mag_id", "contig_id", fate.alias("fate"), "connected", kind.alias("state"), "n_hubs")
+
+
+def _own(view: View):
+    """Whether a view shows an own contig by its fate."""
+    return F.coalesce((F.col("fate") == "tied") | ((F.col("fate") == "resolved") & view.resolved) | ((F.col("fate") == "uncontended") & view.uncontended), F.lit(False))
+
+
+def viewed(found: DataFrame, view: View = View()) -> DataFrame:
+    """(mag_id, contig_id, state, n_hubs): what a view shows of ``around``; with ``connected``, all contigs of rivals too."""
+    shown = _own(view) | (F.lit(view.connected) & (F.col("connected") > 0))
+    return found.where(shown).select("mag_id", "contig_id", "state", "n_hubs")
+
+
+def leaves(votes: DataFrame, mags: DataFrame, agreed: DataFrame, state: DataFrame, view: View = View(), hubs: int = HUBS) -> DataFrame:
+    """(mag_id, contig_id, state, n_hubs): the contigs shown around each MAG and how they stand."""
+    return viewed(around(votes, mags, agreed, state, hubs), view)
+
+
+def view_totals(found: DataFrame, contenders: DataFrame, mags: DataFrame, view: View = View(), most_hubs: int = HUBS, most: int = NODES) -> DataFrame:
+    """A row for each MAG: what a view shows, and what it hides for which reason.
+
+    (mag_id, hubs, all_hubs, hidden_hubs, leaves, all_leaves, truncated, tied, hidden_uncontended, hidden_low_relevance,
+    hidden_resolved, hidden_connected); a hidden contig counts once for each shown rival that has it.
+    """
+    count = lambda c, name: F.count_if(c).alias(name)
+    fate = F.col("fate")
+    hidden = found.groupBy("mag_id").agg(
+        count((fate == "uncontended") & F.lit(not view.uncontended), "hidden_uncontended"),
+        count(fate == "low", "hidden_low_relevance"),
+        count((fate == "resolved") & F.lit(not view.resolved), "hidden_resolved"),
+        F.sum(F.when(~_own(view) & F.lit(not view.connected), F.col("connected")).otherwise(0)).alias("hidden_connected"),
+    )
+    some = viewed(found, view)
+    every = some.groupBy("mag_id").agg(F.count(F.lit(1)).alias("all_leaves"))
+    tied = limited(some, most).groupBy("mag_id").agg(count(F.col("state") == "tied", "tied"))
+    hubs_ = contenders.groupBy("mag_id").agg(F.count(F.lit(1)).alias("all_hubs"))
+    out = mags.select("mag_id")
+    for part in (hubs_, every, tied, hidden):
+        out = out.join(part, "mag_id", "left")
+    out = out.fillna(0)
+    return out.select(
+        "mag_id", F.least("all_hubs", F.lit(most_hubs)).alias("hubs"), "all_hubs", F.greatest(F.col("all_hubs") - most_hubs, F.lit(0)).alias("hidden_hubs"),
+        F.least("all_leaves", F.lit(most)).alias("leaves"), "all_leaves", (F.col("all_leaves") > most).alias("truncated"), "tied",
+        "hidden_uncontended", "hidden_low_relevance", "hidden_resolved", "hidden_connected",
+    )
 
 
 def limited(rows: DataFrame, most: int = NODES) -> DataFrame:
@@ -172,65 +225,7 @@ def petal_layout(shown: DataFrame, links: DataFrame, around: DataFrame, c: Canva
     return rows.withColumn("a", angle).withColumns(_round(F.col("a"), F.lit(c.radius), c)).select("mag_id", "contig_id", "angle", "x", "y")
 
 
-@dataclass(frozen=True)
-class Springs:
-    # Rounds, spring length, cooling, pull to the centre and border of the embedder.
-    rounds: int = 150
-    length: float = 0.9
-    start: float = 0.1
-    cooling: float = 0.97
-    pull: float = 0.01
-    border: float = 10
-
-
-def settled(places, links, c: Canvas, s: Springs):
-    """Places of nodes after all rounds: all repel each other, linked ones attract, all are drawn to the centre."""
-    import numpy as np
-
-    p, least, centre = places.astype(float), 0.01, np.array([c.width / 2, c.height / 2])
-    k = np.sqrt(c.width * c.height / max(1, len(p))) * s.length
-    heat = min(c.width, c.height) * s.start
-    for _ in range(s.rounds):
-        d = p[:, None] - p[None]
-        dist = np.hypot(d[..., 0], d[..., 1])
-        dist[dist == 0] = least
-        move = (d * (k * k / dist**2)[..., None]).sum(1)
-        if len(links):
-            d = p[links[:, 0]] - p[links[:, 1]]
-            pull = d * (np.hypot(d[:, 0], d[:, 1]) / k)[:, None]
-            np.add.at(move, links[:, 0], -pull)
-            np.add.at(move, links[:, 1], pull)
-        size = np.hypot(move[:, 0], move[:, 1])
-        size[size == 0] = least
-        p = p + move * (np.minimum(size, heat) / size)[:, None]
-        p = np.clip(p + (centre - p) * s.pull, s.border, np.array([c.width, c.height]) - s.border)
-        heat *= s.cooling
-    return p
-
-
-def force_layout(shown: DataFrame, links: DataFrame, around: DataFrame, c: Canvas = Canvas(), s: Springs = Springs()) -> DataFrame:
-    """Springs from the ring on: at most NODES leaves and HUBS hubs of one MAG in a group. Same input, same places."""
-
-    def settle(key, node, link):
-        import numpy as np
-        import pandas as pd
-
-        node = node.sort_values(["leaf", "name_"], kind="stable").reset_index(drop=True)
-        at = {(leaf, n): i for i, (leaf, n) in enumerate(zip(node.leaf, node.name_, strict=True))}
-        link = link.sort_values(["contig_id", "hub"])
-        pairs = np.array([(at[True, a], at[False, b]) for a, b in zip(link.contig_id, link.hub, strict=True)], dtype=int).reshape(-1, 2)
-        p = settled(node[["x", "y"]].to_numpy(), pairs, c, s)
-        out = pd.DataFrame({"mag_id": key[0], "contig_id": node.name_, "x": p[:, 0], "y": p[:, 1]})
-        return out[node.leaf.to_numpy()]
-
-    leaf = ring_layout(shown, links, around, c).select("mag_id", F.lit(True).alias("leaf"), F.col("contig_id").alias("name_"), "x", "y")
-    nodes = leaf.unionByName(ring_hubs(around, c).select("mag_id", F.lit(False).alias("leaf"), F.col("hub").alias("name_"), "x", "y"))
-    a = nodes.groupBy("mag_id")
-    b = _linked(shown, links, around).select("mag_id", "contig_id", "hub").toDF("mag_id", "contig_id", "hub").groupBy("mag_id")
-    return a.cogroup(b).applyInPandas(settle, "mag_id string, contig_id string, x double, y double")
-
-
-LAYOUTS = {"ring": ring_layout, "petal": petal_layout, "force": force_layout}
+LAYOUTS = {"ring": ring_layout, "petal": petal_layout}
 
 
 def layout(name: str, shown: DataFrame, links: DataFrame, around: DataFrame, c: Canvas = Canvas()) -> DataFrame:

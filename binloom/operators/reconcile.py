@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import checkpointed, components
+from .graph import checkpointed
 from .ranks import ranked
 
 # Labels that say a contig has no bin.
@@ -44,31 +44,31 @@ def reciprocal_best(pairs: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataF
 
 
 def groups(cast: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tool, bin_id, grp): bins joined by edges, never two of one tool.
+    """(tool, bin_id, grp): bins joined by edges, the best first, never two of one tool.
 
-    Components are found over all bins; within each, edges join from the best down, where no tool would be twice.
-    A component holds at most as many bins as edges reach, each bin having one partner in each other tool.
+    Edges are ranked once. In each round an edge joins two groups if no better edge between groups without a common
+    tool touches either of them: what comes before it in the order then leaves both as they are, so that the rounds
+    give what taking edge after edge gives. Edges between groups that share a tool are dropped; they stay dead.
     """
     key = lambda t, b: F.concat(F.col(t), F.lit("\x1f"), F.col(b))
     nodes = cast.select("tool", "bin_id").distinct().withColumn("node", key("tool", "bin_id"))
-    keyed = edges.select(key("tool_a", "bin_a").alias("a"), key("tool_b", "bin_b").alias("b"), "jaccard")
-    label = components(nodes, keyed)
-    rows = keyed.join(label, keyed.a == label.node).select("component", "a", "b", "jaccard")
-
-    def join_up(pdf):
-        import pandas as pd
-
-        group = {n: {n} for n in {*pdf.a, *pdf.b}}
-        for a, b in pdf.sort_values(["jaccard", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-            x, y = group[a], group[b]
-            if x is not y and not {n.split("\x1f")[0] for n in x} & {n.split("\x1f")[0] for n in y}:
-                x |= y
-                for n in y:
-                    group[n] = x
-        return pd.DataFrame([(n, min(g)) for n, g in group.items()], columns=["node", "grp"])
-
-    joined = rows.groupBy("component").applyInPandas(join_up, "node string, grp string")
-    return nodes.join(joined, "node", "left").select("tool", "bin_id", F.coalesce("grp", "node").alias("grp"))
+    keyed = edges.select(key("tool_a", "bin_a").alias("a"), key("tool_b", "bin_b").alias("b"), F.array("tool_a").alias("tools_a"), F.array("tool_b").alias("tools_b"), "jaccard")
+    # Joined bins only: (node, grp), and open edges between their groups with the tools of both.
+    label = checkpointed(keyed.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("grp", F.col("node")))
+    open_ = ranked(keyed, F.desc("jaccard"), "a", "b").drop("jaccard")
+    open_ = checkpointed(open_.where(~F.arrays_overlap("tools_a", "tools_b")))
+    while not open_.isEmpty():
+        best = open_.select(F.explode(F.array("a", "b")).alias("g"), "rank").groupBy("g").agg(F.min("rank").alias("rank"))
+        taken = open_.join(best.withColumnRenamed("g", "a"), ["a", "rank"], "left_semi").join(best.withColumnRenamed("g", "b"), ["b", "rank"], "left_semi")
+        # A group is in one taken edge at most.
+        pairs = taken.select(F.least("a", "b").alias("to"), F.greatest("a", "b").alias("from"), F.array_sort(F.concat("tools_a", "tools_b")).alias("tools"))
+        moves = checkpointed(pairs.select(F.explode(F.array("to", "from")).alias("grp"), "to", "tools"))
+        label = checkpointed(label.join(moves.select("grp", "to"), "grp", "left").select("node", F.coalesce("to", "grp").alias("grp")))
+        for side in ("a", "b"):
+            moved = moves.select(F.col("grp").alias(side), "to", "tools")
+            open_ = open_.join(moved, side, "left").withColumns({side: F.coalesce("to", side), f"tools_{side}": F.coalesce("tools", f"tools_{side}")}).drop("to", "tools")
+        open_ = checkpointed(open_.where(~F.arrays_overlap("tools_a", "tools_b")).select("rank", "a", "b", "tools_a", "tools_b"))
+    return nodes.join(label, "node", "left").select("tool", "bin_id", F.coalesce("grp", "node").alias("grp"))
 
 
 def mags(cast: DataFrame, grouped: DataFrame) -> DataFrame:

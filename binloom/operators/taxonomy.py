@@ -26,20 +26,59 @@ def scientific_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("kind = 'scientific name'").select(F.col("tax_id").cast("long"), "name")
 
 
+def merged_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(old, new): ids that stand for another now."""
+    return read_dump(spark, path, "old", "new").select(F.col("old").cast("long"), F.col("new").cast("long"))
+
+
+def deleted_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(tax_id): ids that stand for nothing any more."""
+    return read_dump(spark, path, "tax_id").select(F.col("tax_id").cast("long"))
+
+
+def resolved_ids(ids: DataFrame, tree: DataFrame, merged: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """(tax_id, current, status): 'merged' ids with what they stand for, 'deleted' and 'unknown' ones without any, and
+    'current' ones with themselves. An id that is merged into one without a node has none."""
+    rows = ids.select("tax_id").where("tax_id is not null").distinct()
+    no_merged, no_deleted = tree.where("false").select(F.col("tax_id").alias("old"), F.col("parent").alias("new")), tree.where("false").select("tax_id")
+    rows = rows.join((no_merged if merged is None else merged).select(F.col("old").alias("tax_id"), "new"), "tax_id", "left")
+    rows = rows.join((no_deleted if deleted is None else deleted).select("tax_id", F.lit(True).alias("gone")), "tax_id", "left")
+    rows = rows.withColumn("at", F.coalesce("new", "tax_id")).join(tree.select(F.col("tax_id").alias("at"), F.lit(True).alias("known")), "at", "left")
+    status = F.when(F.col("known") & F.col("new").isNotNull(), "merged").when(F.col("known"), "current").when(F.col("gone"), "deleted").otherwise("unknown")
+    return rows.select("tax_id", F.when(F.col("known"), F.col("at")).alias("current"), status.alias("status"))
+
+
+def id_counts(resolved: DataFrame) -> DataFrame:
+    """(status, n) of ``resolved_ids``: how many ids are current, merged, deleted and unknown."""
+    return resolved.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def needed_nodes(chains: DataFrame, tree: DataFrame) -> DataFrame:
+    """The nodes that some chain holds."""
+    return tree.join(chains.select(F.col("ancestor").alias("tax_id")).distinct(), "tax_id", "left_semi")
+
+
 def lineage(ids: DataFrame, tree: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """(tax_id, depth, ancestor): each id's chain to the root, itself at depth 0. Merged ids are followed first,
-    unknown ones give nothing, a node that is its own parent ends the chain."""
-    start = ids.select("tax_id").distinct().withColumn("at", F.col("tax_id"))
-    if merged is not None:
-        start = start.join(merged.select(F.col("old").alias("tax_id"), "new"), "tax_id", "left").select("tax_id", F.coalesce("new", "at").alias("at"))
-    step = start.join(tree.select(F.col("tax_id").alias("at")), "at", "left_semi").select("tax_id", F.lit(0).alias("depth"), F.col("at").alias("ancestor"))
-    out = step = checkpointed(step)
-    up = tree.where("parent <> tax_id").select(F.col("tax_id").alias("ancestor"), "parent")
-    while True:
-        step = checkpointed(step.join(up, "ancestor").select("tax_id", (F.col("depth") + 1).alias("depth"), F.col("parent").alias("ancestor")))
-        if step.isEmpty():
-            return out
-        out = out.unionAll(step)
+    unknown ones give nothing, a node that is its own parent ends the chain.
+
+    Chains double: a table of ancestors 1, 2, 4 ... steps up is joined with itself until no node has one, and each of
+    them lengthens the chains to twice their size. Nodes that come round to themselves would have one for ever; then
+    it is an error, found by the tables alone.
+    """
+    nodes_, jumps = tree.count(), []
+    jump = checkpointed(tree.where("parent <> tax_id").select("tax_id", F.col("parent").alias("up")))
+    while not jump.isEmpty():
+        if 1 << len(jumps) > nodes_:
+            raise ValueError("the taxonomy has nodes that are their own ancestors")
+        jumps.append(jump)
+        jump = checkpointed(jump.join(jump.toDF("up", "further"), "up").select("tax_id", F.col("further").alias("up")))
+    chains = resolved_ids(ids, tree, merged).where("current is not null").select("tax_id", F.lit(0).alias("depth"), F.col("current").alias("ancestor"))
+    for k, step in enumerate(jumps):
+        longer = chains.join(step.toDF("ancestor", "up"), "ancestor").select("tax_id", (F.col("depth") + (1 << k)).alias("depth"), F.col("up").alias("ancestor"))
+        # Each table is read twice by the next step, so that the chains are written now and then.
+        chains = chains.unionAll(longer) if k % 3 else checkpointed(chains.unionAll(longer))
+    return chains
 
 
 def common_ancestor(groups: DataFrame, chains: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -418,6 +420,36 @@ def _state(spark, sf, rec):
     return assignment.fold(base, d.edit_targets(d.edits(spark, sf)))
 
 
+_BEST_ANY = d.BEST.replace("jaccard >= 0.1", "jaccard >= 0.0")
+
+
+@query(f"WITH RECURSIVE {_BEST_ANY}, {d.GROUPED} SELECT s.tool, s.bin_id, g.grp FROM sizes s JOIN grouped g ON g.node = s.tool || chr(31) || s.bin_id")
+def constrained_groups(spark, sf):
+    """Groups of all best matches, however weak: languages match sources, so that tools would come twice without the rule."""
+    cast = reconcile.votes_cast(d.assignments(spark, sf))
+    return reconcile.groups(cast, checkpointed(reconcile.reciprocal_best(reconcile.overlaps(cast), 0.0)))
+
+
+# Clicks merge the bin of one's own number into another; other events move a contig.
+_LOG = """log AS (SELECT event_id AS seq, CASE WHEN event_type <> 'click' THEN 'contig_' || user_id END AS contig_id, CASE WHEN event_type = 'click' THEN 'src' || (user_id % 23) END AS source, 'src' || (event_id % 23) AS target FROM events)"""
+
+
+def edit_log(spark, sf):
+    click, to = F.col("event_type") == "click", F.concat(F.lit("src"), F.col("event_id") % 23)
+    return d.table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), F.when(~click, F.concat(F.lit("contig_"), "user_id")).alias("contig_id"), F.when(click, F.concat(F.lit("src"), F.col("user_id") % 23)).alias("source"), to.alias("target")
+    )
+
+
+@query(f"""WITH RECURSIVE {d.ASSIGNMENTS}, {_LOG}, merges AS (SELECT seq, source, target FROM log WHERE contig_id IS NULL AND source <> target),
+start AS (SELECT contig_id, arg_max(bin_id, seq) AS bin_id, max(seq) AS seq FROM (SELECT contig_id, bin_id, -1 AS seq FROM assignments WHERE tool = 'A' UNION ALL SELECT contig_id, target, seq FROM log WHERE contig_id IS NOT NULL) GROUP BY contig_id),
+way AS (SELECT contig_id, bin_id, seq FROM start
+  UNION ALL SELECT w.contig_id, m.target, m.seq FROM way w, LATERAL (SELECT seq, target FROM merges WHERE source = w.bin_id AND seq > w.seq ORDER BY seq LIMIT 1) m)
+SELECT contig_id, arg_max(bin_id, seq) AS bin_id FROM way GROUP BY contig_id""")
+def edit_replay(spark, sf):
+    return assignment.replay(_tool_a(spark, sf).select("contig_id", "bin_id"), edit_log(spark, sf))
+
+
 @query(f"WITH RECURSIVE {d.STATE} SELECT contig_id, bin_id FROM state")
 def assignment_fold(spark, sf):
     return _state(spark, sf, reconcile.Reconciliation(d.assignments(spark, sf)))
@@ -438,8 +470,9 @@ def edit_stream_latest(spark, sf):
 
 
 def _stream_path(sf: str, name: str) -> str:
-    """A folder for the stream's file source: the table may be one file or a folder of parts."""
-    return f"{sf}/{name}.parquet*"
+    """A path for the stream's file source: the table may be one file or a folder of parts. The brackets make a pattern
+    of a file's name, which the source asks for, and match the name alone."""
+    return f"{sf}/{name}.parque[t]"
 
 
 @query(f"WITH {d.ASSIGNMENTS} SELECT contig_id, CASE bin_id WHEN 'src1' THEN 'src2' ELSE bin_id END AS bin_id FROM assignments WHERE tool = 'A'")
@@ -683,9 +716,44 @@ def petal_layout(spark, sf):
     return network.layout("petal", *_network(spark, sf)).withColumns({c: F.round(c, 4) for c in "xy"})
 
 
-@query()
-def force_layout(spark, sf):
-    return network.layout("force", *_network(spark, sf))
+_VIEWS = "views AS (SELECT u AS uncontended, r AS resolved, c AS connected FROM (VALUES (true), (false)) a(u), (VALUES (true), (false)) b(r), (VALUES (true), (false)) d(c))"
+_AROUND = f"""{_LEAVES.replace("place <= 40", "place <= 2")}, {_VIEWS},
+held AS (SELECT s.mag_id, h.contig_id, count(*) AS n_hubs, count(*) FILTER (WHERE s.hub = s.mag_id) AS own, count(*) FILTER (WHERE s.hub <> s.mag_id) AS others
+  FROM shown s JOIN (SELECT DISTINCT contig_id, mag_id AS hub FROM votes) h USING (hub) GROUP BY ALL),
+told AS (SELECT held.*, t.bin_id, distinct_groups FROM held JOIN agreed USING (contig_id) LEFT JOIN state t USING (contig_id)),
+seen AS (SELECT *, own > 0 AND CASE WHEN distinct_groups <= 1 THEN uncontended WHEN n_hubs = 1 THEN false WHEN bin_id IS NULL THEN true ELSE resolved END AS is_own FROM told, views)"""
+_VIEW_COLUMNS = ("uncontended", "resolved", "connected")
+
+
+def _in_all_views(spark, sf, per_view):
+    """What ``per_view(around, rivals, mags, view)`` gives for each set of toggles, with two hubs at most."""
+    rec = reconcile.Reconciliation(d.assignments(spark, sf))
+    found = checkpointed(network.around(rec.votes, rec.mags, rec.agreement, _state(spark, sf, rec), 2))
+    contenders = checkpointed(network.rivals(rec.votes, rec.mags, rec.agreement))
+    parts = []
+    for flags in product((True, False), repeat=3):
+        rows = per_view(found, contenders, rec.mags, network.View(*flags))
+        parts.append(rows.withColumns({c: F.lit(f) for c, f in zip(_VIEW_COLUMNS, flags, strict=True)}))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""WITH RECURSIVE {_AROUND} SELECT uncontended, resolved, connected, mag_id, contig_id, n_hubs, CASE WHEN n_hubs = 1 THEN 'core' WHEN bin_id IS NULL THEN 'tied' WHEN bin_id = 'excluded' THEN 'excluded'
+  WHEN bin_id = mag_id THEN 'held-here' ELSE 'held-elsewhere' END AS state FROM seen WHERE is_own OR (connected AND others > 0)""")
+def neighbourhood_views(spark, sf):
+    return _in_all_views(spark, sf, lambda found, _, __, view: network.viewed(found, view))
+
+
+@query(f"""WITH RECURSIVE {_AROUND}, shown_leaves AS (SELECT *, row_number() OVER (PARTITION BY uncontended, resolved, connected, mag_id ORDER BY contig_id) AS k FROM seen WHERE is_own OR (connected AND others > 0)),
+counted AS (SELECT uncontended, resolved, connected, mag_id, count(*) AS n, count(*) FILTER (WHERE k <= 50 AND n_hubs > 1 AND bin_id IS NULL) AS tied FROM shown_leaves GROUP BY ALL),
+lost AS (SELECT uncontended, resolved, connected, mag_id, count(*) FILTER (WHERE own > 0 AND distinct_groups <= 1 AND NOT uncontended) AS hidden_uncontended, count(*) FILTER (WHERE own > 0 AND distinct_groups > 1 AND n_hubs = 1) AS hidden_low_relevance,
+  count(*) FILTER (WHERE own > 0 AND distinct_groups > 1 AND n_hubs > 1 AND bin_id IS NOT NULL AND NOT resolved) AS hidden_resolved, coalesce(sum(others) FILTER (WHERE NOT is_own AND NOT connected), 0)::BIGINT AS hidden_connected FROM seen GROUP BY ALL),
+r AS (SELECT mag_id, count(*) AS n FROM placed GROUP BY mag_id)
+SELECT v.uncontended, v.resolved, v.connected, m.mag_id, least(coalesce(r.n, 0), 2)::BIGINT AS hubs, coalesce(r.n, 0)::BIGINT AS all_hubs, greatest(coalesce(r.n, 0) - 2, 0)::BIGINT AS hidden_hubs, least(coalesce(counted.n, 0), 50)::BIGINT AS leaves,
+  coalesce(counted.n, 0)::BIGINT AS all_leaves, coalesce(counted.n, 0) > 50 AS truncated, coalesce(counted.tied, 0)::BIGINT AS tied, coalesce(hidden_uncontended, 0)::BIGINT AS hidden_uncontended, coalesce(hidden_low_relevance, 0)::BIGINT AS hidden_low_relevance,
+  coalesce(hidden_resolved, 0)::BIGINT AS hidden_resolved, coalesce(hidden_connected, 0)::BIGINT AS hidden_connected
+FROM mags m CROSS JOIN views v LEFT JOIN r USING (mag_id) LEFT JOIN counted USING (uncontended, resolved, connected, mag_id) LEFT JOIN lost USING (uncontended, resolved, connected, mag_id)""")
+def neighbourhood_totals(spark, sf):
+    return _in_all_views(spark, sf, lambda found, contenders, mags, view: network.view_totals(found, contenders, mags, view, 2, 50))
 
 
 @query(f"""WITH RECURSIVE {_LEAVES}, every AS (SELECT mag_id, count(*) AS n FROM linked JOIN agreed a USING (contig_id) WHERE a.distinct_groups = 1 OR n_hubs > 1 GROUP BY mag_id), r AS (SELECT mag_id, count(*) AS n FROM placed GROUP BY mag_id)
@@ -942,6 +1010,20 @@ def lineage_closure(spark, sf):
     return taxonomy.lineage(tree.select("tax_id"), tree)
 
 
+@query("""WITH tree AS (SELECT p_partkey AS tax_id FROM part), merged AS (SELECT -l_partkey AS old, max(l_partkey + l_suppkey) AS new FROM lineitem WHERE l_partkey > 0 GROUP BY l_partkey), ids AS (SELECT tax_id FROM tree UNION SELECT DISTINCT -ps FROM (SELECT l_partkey + 7 AS ps FROM lineitem)),
+gone AS (SELECT -p_partkey * 1 AS tax_id FROM part WHERE p_size > 25)
+SELECT CASE WHEN t.tax_id IS NOT NULL THEN CASE WHEN m.new IS NOT NULL THEN 'merged' ELSE 'current' END WHEN g.tax_id IS NOT NULL THEN 'deleted' ELSE 'unknown' END AS status, count(*) AS n
+FROM ids i LEFT JOIN merged m ON m.old = i.tax_id LEFT JOIN gone g ON g.tax_id = i.tax_id LEFT JOIN tree t ON t.tax_id = coalesce(m.new, i.tax_id) GROUP BY ALL""")
+def taxon_statuses(spark, sf):
+    """Ids that orders name, negative where they are old ones: merged into others, deleted, or unknown."""
+    lines, parts = d.table(spark, sf, "lineitem"), d.table(spark, sf, "part")
+    merged = lines.where("l_partkey > 0").groupBy((-F.col("l_partkey")).alias("old")).agg(F.max(F.col("l_partkey") + F.col("l_suppkey")).alias("new"))
+    tree = _tree(spark, sf)
+    ids = tree.select("tax_id").unionAll(lines.select(-(F.col("l_partkey") + 7))).distinct()
+    gone = parts.where("p_size > 25").select((-F.col("p_partkey")).alias("tax_id"))
+    return taxonomy.id_counts(taxonomy.resolved_ids(ids, tree, merged, gone))
+
+
 _GROUPED = "groups AS (SELECT p_brand AS grp, p_partkey AS tax_id FROM part)"
 
 

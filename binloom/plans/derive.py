@@ -97,7 +97,7 @@ def edits(spark: SparkSession, sf: str) -> DataFrame:
 
 EDITS = "edits AS (SELECT event_id AS seq, 'contig_' || user_id AS contig_id, event_type AS bin_id FROM events)"
 
-# Reconciliation in SQL. Components are found without the one-bin-of-a-tool rule, which these tables never break.
+# Reconciliation in SQL.
 CAST = f"""{ASSIGNMENTS}, cast_votes AS (
   SELECT tool, contig_id, arg_max(bin_id, row_idx) AS bin_id FROM assignments
   WHERE lower(trim(bin_id)) NOT IN ('unbinned', 'none', 'na', 'n/a', 'unassigned', 'unclustered') GROUP BY tool, contig_id
@@ -116,12 +116,17 @@ BEST = f"""{PAIRS}, best AS (
            row_number() OVER (PARTITION BY tool_b, bin_b, tool_a ORDER BY jaccard DESC, bin_a) AS up FROM pairs)
   WHERE down = 1 AND up = 1 AND jaccard >= 0.1
 )"""
-MAGS = f"""{BEST}, links AS (
-  SELECT tool_a || chr(31) || bin_a AS u, tool_b || chr(31) || bin_b AS v FROM best UNION SELECT tool_b || chr(31) || bin_b, tool_a || chr(31) || bin_a FROM best
-), reach AS (
-  SELECT tool || chr(31) || bin_id AS node, tool || chr(31) || bin_id AS seen FROM sizes
-  UNION SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.seen
-), grouped AS (SELECT node, min(seen) AS grp FROM reach GROUP BY node),
+# Edge after edge from the best down: all bins with their groups are one list, relabelled where no tool would be twice.
+GROUPED = """edges AS (
+  SELECT row_number() OVER (ORDER BY jaccard DESC, tool_a || chr(31) || bin_a, tool_b || chr(31) || bin_b) AS e, tool_a || chr(31) || bin_a AS u, tool_b || chr(31) || bin_b AS v FROM best
+), steps AS (
+  SELECT 0::BIGINT AS e, (SELECT list({'node': tool || chr(31) || bin_id, 'tool': tool, 'grp': tool || chr(31) || bin_id}) FROM sizes) AS m
+  UNION ALL
+  SELECT e, CASE WHEN x <> y AND NOT list_has_any(list_transform(list_filter(m, lambda n: n.grp = x), lambda n: n.tool), list_transform(list_filter(m, lambda n: n.grp = y), lambda n: n.tool))
+    THEN list_transform(m, lambda n: {'node': n.node, 'tool': n.tool, 'grp': CASE WHEN n.grp IN (x, y) THEN least(x, y) ELSE n.grp END}) ELSE m END
+  FROM (SELECT edges.e, m, list_filter(m, lambda n: n.node = u)[1].grp AS x, list_filter(m, lambda n: n.node = v)[1].grp AS y FROM steps JOIN edges ON edges.e = steps.e + 1)
+), grouped AS (SELECT r.node AS node, r.grp AS grp FROM (SELECT unnest(m) AS r FROM steps WHERE e = (SELECT max(e) FROM steps)))"""
+MAGS = f"""{BEST}, {GROUPED},
 members AS (SELECT c.tool, c.bin_id, c.contig_id, g.grp FROM cast_votes c JOIN grouped g ON g.node = c.tool || chr(31) || c.bin_id),
 named AS (SELECT grp, 'MAG_' || row_number() OVER (ORDER BY count(DISTINCT contig_id) DESC, grp) AS mag_id FROM members GROUP BY grp),
 mag_bins AS (SELECT mag_id, tool, bin_id, count(*) AS contig_count FROM members JOIN named USING (grp) GROUP BY ALL),

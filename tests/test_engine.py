@@ -433,38 +433,75 @@ def test_ring_and_petal(spark):
     assert network.layout("nonsense", shown, links, hubs).orderBy("contig_id").collect() == network.layout("ring", shown, links, hubs).orderBy("contig_id").collect()
 
 
-def test_springs_match_a_plain_loop(spark):
-    import math
-
-    shown, links, hubs = _around(spark)
-    c, s = network.Canvas(), network.Springs(rounds=7)
-    at = {("h", r.hub): [r.x, r.y] for r in network.ring_hubs(hubs).collect()} | {("l", r.contig_id): [r.x, r.y] for r in network.ring_layout(shown, links, hubs).collect()}
-    ties = [(("l", r.contig_id), ("h", r.hub)) for r in links.collect()]
-    k, heat = math.sqrt(400 * 400 / len(at)) * 0.9, 40.0
-    for _ in range(7):
-        move = {n: [0.0, 0.0] for n in at}
-        for n in at:
-            for o in at:
-                if n != o:
-                    d = [at[n][i] - at[o][i] for i in (0, 1)]
-                    dist = math.hypot(*d) or 0.01
-                    for i in (0, 1):
-                        move[n][i] += d[i] / dist * k * k / dist
-        for a, b in ties:
-            d = [at[a][i] - at[b][i] for i in (0, 1)]
-            for i in (0, 1):
-                move[a][i] -= d[i] * math.hypot(*d) / k
-                move[b][i] += d[i] * math.hypot(*d) / k
-        for n, m in move.items():
-            size = math.hypot(*m) or 0.01
-            for i in (0, 1):
-                x = at[n][i] + m[i] / size * min(size, heat)
-                at[n][i] = min(390, max(10, x + (200 - x) * 0.01))
-        heat *= 0.97
-    got = {r.contig_id: (r.x, r.y) for r in network.force_layout(shown, links, hubs, c, s).collect()}
-    assert set(got) == {n for kind, n in at if kind == "l"}
-    assert all(got[n] == pytest.approx(at["l", n], abs=1e-6) for n in got)
-    assert all(10 <= v <= 390 for p in got.values() for v in p)
+def neighbourhood_by_hand(votes, mags, agreed, state, view, hubs, most):
+    """Leaves and totals of each MAG, contig by contig."""
+    by_mag, by_contig = {}, {}
+    for c, _, m in votes:
+        by_mag.setdefault(m, set()).add(c)
+        by_contig.setdefault(c, []).append(m)
+    out = {}
+    for sel in mags:
+        weight = {}
+        for c in by_mag.get(sel, ()):
+            if agreed[c] > 1:
+                for m in by_contig[c]:
+                    if m != sel and m in mags:
+                        weight[m] = weight.get(m, 0) + 1
+        second = sorted(weight, key=lambda m: (-weight[m], m))[:hubs]
+        shown, ids, hidden = {sel, *second}, set(), dict.fromkeys(("uncontended", "low", "resolved", "connected"), 0)
+        for c in by_mag.get(sel, ()):
+            if agreed[c] <= 1:
+                why = None if view.uncontended else "uncontended"
+            elif not any(m != sel and m in shown for m in by_contig[c]):
+                why = "low"
+            else:
+                why = "resolved" if c in state and not view.resolved else None
+            if why:
+                hidden[why] += 1
+            else:
+                ids.add(c)
+        for m in second:
+            for c in by_mag.get(m, ()):
+                if c not in ids:
+                    if view.connected:
+                        ids.add(c)
+                    else:
+                        hidden["connected"] += 1
+        leaves = {}
+        for c in ids:
+            n = len(set(by_contig[c]) & shown)
+            leaves[c] = ("core" if n == 1 else "tied" if c not in state else "excluded" if state[c] == "excluded" else "held-here" if state[c] == sel else "held-elsewhere", n)
+        first = sorted(ids)[:most]
+        tied = sum(leaves[c][0] == "tied" for c in first)
+        out[sel] = leaves, (len(second), len(weight), len(weight) - len(second), len(first), len(ids), len(ids) > most, tied, hidden["uncontended"], hidden["low"], hidden["resolved"], hidden["connected"])
+    return out
+
+
+def test_views_of_a_neighbourhood(spark):
+    from itertools import product
+
+    rng = random.Random(8)
+    votes = [(f"c{i}", t, f"M{rng.choice([1, 1, 2, 3, 4, 5, 6])}") for i in range(60) for t in "ABC" if rng.random() < 0.8]
+    per = {}
+    for c, _, m in votes:
+        per.setdefault(c, set()).add(m)
+    mags, agreed = [f"M{i}" for i in range(1, 6)], {c: len(m) for c, m in per.items()}  # M6 is no MAG
+    state = {c: rng.choice([*mags, "excluded"]) for c in per if rng.random() < 0.6}
+    frames = (
+        spark.createDataFrame(votes, "contig_id string, tool string, mag_id string"), spark.createDataFrame([(m,) for m in mags], "mag_id string"),
+        spark.createDataFrame(list(agreed.items()), "contig_id string, distinct_groups int"), spark.createDataFrame(list(state.items()), "contig_id string, bin_id string"),
+    )
+    for hubs, most in ((2, 5), (40, 300)):
+        found, contenders = network.around(*frames, hubs).cache(), network.rivals(*frames[:3]).cache()
+        for flags in product([False, True], repeat=3):
+            view = network.View(*flags)
+            want = neighbourhood_by_hand(votes, mags, agreed, state, view, hubs, most)
+            got = {m: {} for m in mags}
+            for r in network.viewed(found, view).collect():
+                got[r.mag_id][r.contig_id] = (r.state, r.n_hubs)
+            assert got == {m: w[0] for m, w in want.items()}
+            totals = network.view_totals(found, contenders, frames[1], view, hubs, most).collect()
+            assert {r.mag_id: tuple(r)[1:] for r in totals} == {m: w[1] for m, w in want.items()}
 
 
 def test_ranks_over_partitions(spark):
