@@ -172,56 +172,113 @@ def _digit_table() -> np.ndarray:
     return out
 
 
-def _best_run(line: np.ndarray, floor: int | None, drop: int) -> tuple[int, int]:
-    """Best sum of a prefix of ``line`` and its length. ``floor``: the score of taking nothing, None if one must be taken."""
-    run = np.cumsum(line)
-    top = np.maximum.accumulate(run) if floor is None else np.maximum(np.maximum.accumulate(run), floor)
-    over = np.flatnonzero(top - run > drop)
-    run = run[: over[0]] if len(over) else run
-    k = int(run.argmax()) if len(run) else -1
-    return (int(run[k]), k + 1) if k >= 0 and (floor is None or run[k] > floor) else (floor or 0, 0)
+#: Columns that are scored at once.
+COLUMNS = 64
 
 
-def extend_ungapped(query: str, ref: str, at: int, ref_at: int, drop: int = 15) -> tuple[int, int, int, int]:
-    """score, query start, query end (inclusive), aligned length of the best run through the anchor.
+class Residues:
+    """Many texts as one array of codes, with where each begins and its size."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        self.codes = np.frombuffer(b"".join(raw) or b"\0", np.uint8)
+        self.size = np.array([len(t) for t in raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def at(self, places):
+        return self.codes[np.clip(places, 0, len(self.codes) - 1)]
+
+
+def _runs(q: Residues, r: Residues, q_at, r_at, size, way: int, floor: int | None, drop: int):
+    """For each pair, the best sum of a run of up to ``size`` residues from both places on, and its length.
+
+    ``floor``: the score of taking nothing; None if one must be taken. All pairs go on together, some columns at a time,
+    until their score is more than ``drop`` below its best.
+    """
+    table, n = scores(), len(size)
+    low = np.int64(-(10**9))
+    best, length = np.full(n, low if floor is None else floor), np.zeros(n, np.int64)
+    run, live, column = np.zeros(n, np.int64), np.flatnonzero(size > 0), 0
+    while len(live):
+        steps = column + np.arange(COLUMNS)
+        inside = steps[None, :] < size[live, None]
+        a, b = q.at(q_at[live, None] + way * steps), r.at(r_at[live, None] + way * steps)
+        sums = run[live, None] + np.cumsum(np.where(inside, table[a, b], 0), axis=1)
+        sums[~inside] = low
+        top = np.maximum(np.maximum.accumulate(sums, axis=1), best[live, None])
+        over = (top - sums > drop) | ~inside
+        ended = over.any(1)
+        stop = np.where(ended, over.argmax(1), COLUMNS)
+        sums[np.arange(COLUMNS)[None, :] >= stop[:, None]] = low
+        k = sums.argmax(1)
+        found = sums[np.arange(len(live)), k]
+        better = found > best[live]
+        best[live[better]], length[live[better]] = found[better], column + k[better] + 1
+        run[live] = sums[:, -1]
+        live, column = live[~ended], column + COLUMNS
+    return best, length
+
+
+def extend_ungapped_all(queries: list[str], refs: list[str], at, ref_at, drop: int = 15):
+    """(score, query start, query end (inclusive), aligned length) of the best run through each pair's anchor.
 
     The anchor is always taken. To each side, growth ends once the score is more than ``drop`` below its best.
     """
-    s, q, r = scores(), np.frombuffer(query.encode(), np.uint8), np.frombuffer(ref.encode(), np.uint8)
-    n, m = min(len(q) - at, len(r) - ref_at), min(at, ref_at)
-    right, steps = _best_run(s[q[at : at + n], r[ref_at : ref_at + n]], None, drop)
-    left, back = _best_run(s[q[at - m : at][::-1], r[ref_at - m : ref_at][::-1]], 0, drop)
+    q, r = Residues(queries), Residues(refs)
+    at, ref_at = np.asarray(at, np.int64), np.asarray(ref_at, np.int64)
+    right, steps = _runs(q, r, q.start + at, r.start + ref_at, np.minimum(q.size - at, r.size - ref_at), 1, None, drop)
+    left, back = _runs(q, r, q.start + at - 1, r.start + ref_at - 1, np.minimum(at, ref_at), -1, 0, drop)
     return right + left, at - back, at + steps - 1, steps + back
 
 
-def _banded(q: np.ndarray, r: np.ndarray, drop: int, gap: int, band: int) -> tuple[int, int]:
-    """Best score of a prefix pair in the band, and how much of ``r`` it takes. One row for each query residue."""
-    s, low = scores(), -(10**9)
+def extend_ungapped(query: str, ref: str, at: int, ref_at: int, drop: int = 15) -> tuple[int, int, int, int]:
+    """``extend_ungapped_all`` of one pair."""
+    return tuple(int(x[0]) for x in extend_ungapped_all([query], [ref], [at], [ref_at], drop))
+
+
+def _banded(q: Residues, r: Residues, q_at, r_at, q_size, r_size, way: int, drop: int, gap: int, band: int):
+    """For each pair, the best score of a prefix pair in the band, and how much of the reference it takes.
+
+    The cells of one row, a query residue, are a band for all pairs at once; a pair ends when all of its row is more
+    than ``drop`` below its best.
+    """
+    table, low = scores(), np.int64(-(10**9))
     offset = np.arange(-band, band + 1)
     ramp = gap * offset
-    row = np.where(offset == 0, 0, low)
-    best, taken = 0, 0
-    for i in range(1, len(q) + 1):
-        j = i + offset
-        inside = (j >= 1) & (j <= len(r))
-        sub = np.full(len(offset), low)
-        sub[inside] = s[q[i - 1], r[j[inside] - 1]]
-        stay = np.append(row[1:], low) - gap
-        cell = np.where((j >= 0) & (j <= len(r)), np.maximum(row + sub, stay), low)
+    n = len(q_at)
+    best, taken = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live = np.flatnonzero(q_size > 0)
+    row = np.where(offset == 0, 0, low)[None, :].repeat(len(live), 0)
+    i = 0
+    while len(live):
+        i += 1
+        j = i + offset[None, :]
+        valid = (j >= 0) & (j <= r_size[live, None])
+        a, b = q.at(q_at[live] + way * (i - 1)), r.at(r_at[live, None] + way * (j - 1))
+        sub = np.where(valid & (j >= 1), table[a[:, None], b], low)
+        stay = np.concatenate((row[:, 1:], np.full((len(live), 1), low)), axis=1) - gap
+        cell = np.where(valid, np.maximum(row + sub, stay), low)
         # A gap in the query takes the cell to the left: a running maximum along the row.
-        cell = np.where((j >= 0) & (j <= len(r)), np.maximum.accumulate(cell + ramp) - ramp, low)
-        k = int(cell.argmax())
-        if cell[k] > best:
-            best, taken = int(cell[k]), int(j[k])
-        if cell[k] < best - drop:
-            break
-        row = np.maximum(cell, low)
+        cell = np.where(valid, np.maximum.accumulate(cell + ramp, axis=1) - ramp, low)
+        k = cell.argmax(1)
+        top = cell[np.arange(len(live)), k]
+        better = top > best[live]
+        best[live[better]], taken[live[better]] = top[better], i + offset[k[better]]
+        go = (top >= best[live] - drop) & (q_size[live] > i)
+        live, row = live[go], np.maximum(cell[go], low)
     return best, taken
 
 
+def extend_gapped_all(queries: list[str], refs: list[str], at, ref_at, drop: int = 15, gap: int = 8, band: int = 16):
+    """(score, aligned reference length) of a banded extension both ways from each anchor, with linear gaps."""
+    q, r = Residues(queries), Residues(refs)
+    at, ref_at = np.asarray(at, np.int64), np.asarray(ref_at, np.int64)
+    right, n = _banded(q, r, q.start + at + 1, r.start + ref_at + 1, q.size - at - 1, r.size - ref_at - 1, 1, drop, gap, band)
+    left, m = _banded(q, r, q.start + at - 1, r.start + ref_at - 1, at, ref_at, -1, drop, gap, band)
+    anchor = scores()[q.at(q.start + at), r.at(r.start + ref_at)]
+    return anchor.astype(np.int64) + right + left, m + 1 + n
+
+
 def extend_gapped(query: str, ref: str, at: int, ref_at: int, drop: int = 15, gap: int = 8, band: int = 16) -> tuple[int, int]:
-    """score and aligned reference length of a banded extension both ways from the anchor, with linear gaps."""
-    q, r = np.frombuffer(query.encode(), np.uint8), np.frombuffer(ref.encode(), np.uint8)
-    right, n = _banded(q[at + 1 :], r[ref_at + 1 :], drop, gap, band)
-    left, m = _banded(q[:at][::-1], r[:ref_at][::-1], drop, gap, band)
-    return int(scores()[q[at], r[ref_at]]) + right + left, m + 1 + n
+    """``extend_gapped_all`` of one pair."""
+    return tuple(int(x[0]) for x in extend_gapped_all([query], [ref], [at], [ref_at], drop, gap, band))

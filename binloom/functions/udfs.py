@@ -66,22 +66,29 @@ EXTENSION = StructType().add("score", IntegerType()).add("start", IntegerType())
 
 @F.pandas_udf(EXTENSION)
 def extend_ungapped(query, ref, at, ref_at, drop):
+    """All pairs of a batch in step; pairs of one ``drop`` together."""
     import pandas as pd
 
-    from .kernels import extend_ungapped as run
+    from .kernels import extend_ungapped_all as run
 
-    rows = [run(q, r, int(a), int(b), int(d)) for q, r, a, b, d in zip(query, ref, at, ref_at, drop, strict=True)]
-    return pd.DataFrame(rows, columns=["score", "start", "stop", "aligned"])
+    out = pd.DataFrame(0, index=query.index, columns=["score", "start", "stop", "aligned"])
+    for d in drop.unique():
+        some = drop.index[drop == d]
+        out.loc[some] = list(zip(*run(list(query[some]), list(ref[some]), at[some], ref_at[some], int(d)), strict=True))
+    return out
 
 
 @F.pandas_udf(GAPPED)
 def extend_gapped(query, ref, at, ref_at, drop, gap, band):
+    """All pairs of a batch in step; pairs of the same parameters together."""
     import pandas as pd
 
-    from .kernels import extend_gapped as run
+    from .kernels import extend_gapped_all as run
 
-    rows = [run(q, r, *map(int, rest)) for q, r, *rest in zip(query, ref, at, ref_at, drop, gap, band, strict=True)]
-    return pd.DataFrame(rows, columns=["score", "aligned"])
+    out = pd.DataFrame(0, index=query.index, columns=["score", "aligned"])
+    for (d, g, b), some in pd.DataFrame({"d": drop, "g": gap, "b": band}).groupby(["d", "g", "b"]).groups.items():
+        out.loc[some] = list(zip(*run(list(query[some]), list(ref[some]), at[some], ref_at[some], int(d), int(g), int(b)), strict=True))
+    return out
 
 
 def register(spark: SparkSession) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import header_family, header_taxon
 from ..functions.udfs import extend_gapped, extend_ungapped, six_frames
+from .graph import checkpointed
 from .ranks import ranked
 
 
@@ -29,12 +30,37 @@ class Search:
     # Families whose override beats the caller's own values.
     overrides: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SINGLE_REPRESENTATIVE, 1))
     margins: dict[str, int] = field(default_factory=dict)  # of families, in place of min_margin
+    # Of families, any of FAMILY_FIELDS; they come after the two above.
+    families: dict[str, dict[str, float]] = field(default_factory=dict)
 
 
 # Families that one representative is enough for.
 SINGLE_REPRESENTATIVE = ("COG0495", "COG0525", "COG0012", "COG0016", "COG0018", "COG0085", "COG0124", "COG0201", "COG0202", "COG0215", "COG0552")
 
 
+#: What a family can have a value of its own for: the rest is decided before hits have a family.
+FAMILY_FIELDS = {"min_score": "double", "min_coverage": "double", "min_margin": "double", "min_representatives": "int"}
+PARAMETERS = ", ".join(["family string", *(f"{k} {t}" for k, t in FAMILY_FIELDS.items())])
+
+
+def parameters(spark: SparkSession, s: Search) -> DataFrame:
+    """(family, min_score, min_coverage, min_margin, min_representatives) of the families that have any of their own."""
+    rows = {}
+    for name, values in (("min_representatives", s.overrides), ("min_margin", s.margins)):
+        for f, v in values.items():
+            rows.setdefault(f, {})[name] = v
+    for f, values in s.families.items():
+        rows.setdefault(f, {}).update({k: v for k, v in values.items() if k in FAMILY_FIELDS})
+    cast = lambda k, v: None if v is None else int(v) if FAMILY_FIELDS[k] == "int" else float(v)
+    return spark.createDataFrame([(f, *(cast(k, r.get(k)) for k in FAMILY_FIELDS)) for f, r in sorted(rows.items())], PARAMETERS)
+
+
+def with_parameters(rows: DataFrame, given: DataFrame, s: Search) -> DataFrame:
+    """Rows with a family, and the value that holds for it in each of FAMILY_FIELDS; ``given`` has a row a family."""
+    own = given.select("family", *[F.col(k).alias(f"_{k}") for k in FAMILY_FIELDS])
+    return rows.join(own, "family", "left").withColumns({k: F.coalesce(f"_{k}", F.lit(getattr(s, k))) for k in FAMILY_FIELDS}).drop(*[f"_{k}" for k in FAMILY_FIELDS])
+
+
 def ref_seqs(records: DataFrame) -> DataFrame:
     """(ref_id, family, tax_id, residues, len) from (header, seq); ids in header order."""
     rows = records.select(header_family(F.col("header")).alias("family"), header_taxon(F.col("header")).alias("tax_id"), F.col("seq").alias("residues"), "header")
@@ -122,25 +148,48 @@ def extensions(found: DataFrame, frames: DataFrame, refs: DataFrame, s: Search =
     return best.select("contig_id", "ref_id", "family", "tax_id", "b.score", (F.col("b.aligned") / F.col("len")).alias("coverage"), "b.frame")
 
 
-def calls(extended: DataFrame, s: Search = Search()) -> DataFrame:
-    """(contig_id, family, representatives, score, tax_id) that pass score, coverage, margin and agreement."""
-    ok = extended.where((F.col("score") >= s.min_score) & (F.col("coverage") >= s.min_coverage))
-    fam = ok.groupBy("contig_id", "family").agg(F.count(F.lit(1)).alias("representatives"), F.max("score").alias("score"), F.max_by("tax_id", F.struct("score", -F.col("ref_id"))).alias("tax_id"))
+def calls(extended: DataFrame, s: Search = Search(), given: DataFrame | None = None) -> DataFrame:
+    """(contig_id, family, representatives, score, tax_id) that pass score, coverage, margin and agreement.
+
+    ``given`` has the families' own values, as ``parameters`` makes them of ``s``. The best representative names the
+    taxon; of equal ones the least ref_id is taken.
+    """
+    given = parameters(extended.sparkSession, s) if given is None else given
+    ok = with_parameters(extended, given, s).where((F.col("score") >= F.col("min_score")) & (F.col("coverage") >= F.col("min_coverage")))
+    fam = ok.groupBy("contig_id", "family").agg(
+        F.count(F.lit(1)).alias("representatives"), F.max("score").alias("score"), F.max_by("tax_id", F.struct("score", -F.col("ref_id"))).alias("tax_id"),
+        F.first("min_margin").alias("min_margin"), F.first("min_representatives").alias("min_representatives"),
+    )
     w = W.partitionBy("contig_id").orderBy(F.desc("score"), "family")
     top = F.first("score").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     second = F.coalesce(F.nth_value("score", 2).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(0))
-    rival = F.when(F.row_number().over(w) == 1, second).otherwise(top)
-    rows = fam.withColumn("rival", F.greatest(rival, F.lit(0)))
-    over = F.create_map(*[F.lit(x) for kv in s.overrides.items() for x in kv]) if s.overrides else None
-    least = F.coalesce(F.try_element_at(over, F.col("family")), F.lit(s.min_representatives)) if over is not None else F.lit(s.min_representatives)
-    gaps = F.create_map(*[F.lit(x) for kv in s.margins.items() for x in kv]) if s.margins else None
-    margin = F.coalesce(F.try_element_at(gaps, F.col("family")), F.lit(s.min_margin)) if gaps is not None else F.lit(s.min_margin)
-    return rows.where((F.col("score") - F.col("rival") >= margin) & (F.col("representatives") >= least)).drop("rival")
+    rival = F.greatest(F.when(F.row_number().over(w) == 1, second).otherwise(top), F.lit(0))
+    rows = fam.withColumn("rival", rival).where((F.col("score") - F.col("rival") >= F.col("min_margin")) & (F.col("representatives") >= F.col("min_representatives")))
+    return rows.select("contig_id", "family", "representatives", "score", "tax_id")
+
+
+def extended(contigs: DataFrame, refs: DataFrame, index: DataFrame, s: Search = Search()) -> DataFrame:
+    """``extensions`` of contigs (contig_id, seq). Only contigs with a diagonal are translated again."""
+    found = checkpointed(diagonals(seeds(frames_of(contigs), s), index))
+    hit = contigs.join(found.select("contig_id").distinct(), "contig_id", "left_semi")
+    return extensions(found, frames_of(hit), refs, s)
+
+
+def search(contigs: DataFrame, refs: DataFrame, index: DataFrame, s: Search = Search(), given: DataFrame | None = None) -> DataFrame:
+    return calls(extended(contigs, refs, index, s), s, given)
+
+
+def tuned_search(contigs: DataFrame, held: DataFrame, refs: DataFrame, index: DataFrame, s: Search = Search()) -> DataFrame:
+    """``search`` with what ``calibration`` finds on held-out sequences (header, family, seq): one plan, nothing collected."""
+    found = calibration(held_out_margins(held, refs, index, s), s)
+    return search(contigs, refs, index, s, merged_parameters(parameters(contigs.sparkSession, s), found))
 
 
-def search(contigs: DataFrame, refs: DataFrame, index: DataFrame, s: Search = Search()) -> DataFrame:
-    frames = frames_of(contigs)
-    return calls(extensions(diagonals(seeds(frames, s), index), frames, refs, s), s)
+def merged_parameters(given: DataFrame, found: DataFrame) -> DataFrame:
+    """Parameters with those that a calibration found in place of their own."""
+    new = found.select("family", F.col("min_margin").cast("double").alias("_margin"), F.col("min_representatives").alias("_least"))
+    both = given.join(new, "family", "full")
+    return both.select("family", "min_score", "min_coverage", F.coalesce("_margin", "min_margin").alias("min_margin"), F.coalesce("_least", "min_representatives").cast("int").alias("min_representatives"))
 
 
 def resolved(defaults: Search, shipped: dict | None = None, caller: dict | None = None) -> Search:
@@ -160,10 +209,11 @@ def read_thresholds(spark: SparkSession, path: str, defaults: Search = Search())
     import json
 
     found = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small file
-    families = found.get("familyOverrides") or {}
-    values = {THRESHOLD_NAMES[k]: v for k, v in (found.get("defaultParams") or {}).items() if k in THRESHOLD_NAMES}
-    least = {f: v["minRepresentatives"] for f, v in families.items() if "minRepresentatives" in v}
-    return replace(defaults, **values, overrides=least, margins={f: v["minMargin"] for f, v in families.items() if "minMargin" in v})
+    named = lambda values: {THRESHOLD_NAMES[k]: v for k, v in values.items() if k in THRESHOLD_NAMES}
+    families = {f: named(v) for f, v in (found.get("familyOverrides") or {}).items()}
+    least = {f: v.pop("min_representatives") for f, v in families.items() if "min_representatives" in v}
+    margins = {f: v.pop("min_margin") for f, v in families.items() if "min_margin" in v}
+    return replace(defaults, **named(found.get("defaultParams") or {}), overrides=least, margins=margins, families={f: v for f, v in families.items() if v})
 
 
 def calibrated(s: Search, found: DataFrame) -> Search:
@@ -171,18 +221,20 @@ def calibrated(s: Search, found: DataFrame) -> Search:
     rows = found.collect()
     least = {r.family: int(r.min_representatives) for r in rows if r.min_representatives is not None}
     gaps = {r.family: int(r.min_margin) for r in rows if r.min_margin is not None}
-    return replace(s, overrides=s.overrides | least, margins=s.margins | gaps)
+    beaten = lambda f, k: (k == "min_representatives" and f in least) or (k == "min_margin" and f in gaps)
+    families = {f: {k: v for k, v in values.items() if not beaten(f, k)} for f, values in s.families.items()}
+    return replace(s, overrides=s.overrides | least, margins=s.margins | gaps, families=families)
 
 
 def held_out_margins(held: DataFrame, refs: DataFrame, index: DataFrame, s: Search = Search(), size: int = 150) -> DataFrame:
     """(family, representatives, margin) of held-out sequences (header, family, seq of bases), ``size`` a family at most."""
     sample = even_sample(held.select("header", "family", "seq"), "family", ("header",), size)
     contigs = sample.select(F.col("header").alias("contig_id"), "seq")
-    frames = frames_of(contigs)
-    open_ = replace(s, min_margin=-(10**9), min_representatives=1, overrides={}, margins={})
-    extended = extensions(diagonals(seeds(frames, s), index), frames, refs, s)
-    called = calls(extended, open_).select(F.col("contig_id").alias("header"), "family", "representatives", "score")
-    ok = extended.where((F.col("score") >= s.min_score) & (F.col("coverage") >= s.min_coverage)).select(F.col("contig_id").alias("header"), F.col("family").alias("other"), F.col("score").alias("rival"))
+    open_ = replace(s, min_margin=-(10**9), min_representatives=1, overrides={}, margins={}, families={f: {k: v for k, v in x.items() if k in ("min_score", "min_coverage")} for f, x in s.families.items()})
+    found = checkpointed(extended(contigs, refs, index, s))
+    called = calls(found, open_).select(F.col("contig_id").alias("header"), "family", "representatives", "score")
+    ok = with_parameters(found, parameters(found.sparkSession, open_), open_).where((F.col("score") >= F.col("min_score")) & (F.col("coverage") >= F.col("min_coverage")))
+    ok = ok.select(F.col("contig_id").alias("header"), F.col("family").alias("other"), F.col("score").alias("rival"))
     own = sample.select("header", "family").join(called, ["header", "family"])
     rival = own.select("header", "family").join(ok, "header").where("other <> family").groupBy("header", "family").agg(F.max("rival").alias("rival"))
     out = own.join(rival, ["header", "family"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import sequence, text, udfs
+from ..functions import kernels, sequence, text, udfs
 from ..operators.graph import checkpointed, shared_folder
 from ..operators import assignment, bins, clusters, evidence, filters, idmatch, markers, network, reconcile, taxonomy
 from ..sources import export, fasta, indexed, tables
@@ -820,20 +820,101 @@ def diagonal_two_hit(spark, sf):
     return markers.diagonals(markers.seeds(frames), markers.seed_index(refs, min_hits=1, max_hits=2))
 
 
-@query()
+_AMINO = "ARNDCQEGHILKMFPSTWYVX*"
+_BLOSUM = ", ".join(f"('{a}', '{b}', {int(kernels.scores()[ord(a), ord(b)])})" for a in _AMINO for b in _AMINO)
+# To both sides of the anchor: running sums, where they first fall too far below their best, and the best before that.
+_EXTENDED = f"""{_SEEDS}, {_REFS}, {_THINNED.format(least=1, most=20)},
+diagonals AS (SELECT contig_id, frame, ref_id, frame_pos - ref_pos AS diagonal, min(frame_pos) AS frame_pos FROM seeds JOIN kept USING (code) GROUP BY ALL HAVING count(*) >= 2),
+blosum(a, b, s) AS (VALUES {_BLOSUM}),
+sides AS (SELECT d.*, f.aa AS q, r.aa AS ref, length(r.aa) AS len, frame_pos - diagonal AS ref_pos FROM diagonals d JOIN frames f USING (contig_id, frame) JOIN refaa r USING (ref_id)),
+walk AS (
+  SELECT *, 1 AS way FROM (SELECT *, unnest(range(0, least(length(q) - frame_pos, len - ref_pos))) AS i FROM sides)
+  UNION ALL SELECT *, -1 FROM (SELECT *, unnest(range(1, least(frame_pos, ref_pos) + 1)) AS i FROM sides)
+), scored AS (SELECT w.contig_id, w.frame, w.ref_id, w.diagonal, w.way, w.i, b.s FROM walk w JOIN blosum b ON b.a = substr(q, frame_pos + 1 + way * i, 1) AND b.b = substr(ref, ref_pos + 1 + way * i, 1)),
+runs AS (SELECT *, sum(s) OVER (PARTITION BY contig_id, frame, ref_id, diagonal, way ORDER BY i) AS run FROM scored),
+tops AS (SELECT *, greatest(max(run) OVER (PARTITION BY contig_id, frame, ref_id, diagonal, way ORDER BY i), CASE way WHEN -1 THEN 0 ELSE run END) AS top FROM runs),
+stops AS (SELECT contig_id, frame, ref_id, diagonal, way, min(i) FILTER (WHERE top - run > 15) AS stop FROM tops GROUP BY ALL),
+bests AS (SELECT contig_id, frame, ref_id, diagonal, way, i, run FROM tops JOIN stops USING (contig_id, frame, ref_id, diagonal, way) WHERE (stop IS NULL OR i < stop) AND (way = 1 OR run > 0)
+  QUALIFY row_number() OVER (PARTITION BY contig_id, frame, ref_id, diagonal, way ORDER BY run DESC, i) = 1),
+grown AS (SELECT s.contig_id, s.ref_id, s.frame, s.len, s.frame_pos, s.diagonal, x.run + coalesce(y.run, 0) AS score, x.i + 1 + coalesce(y.i, 0) AS aligned FROM sides s
+  JOIN bests x ON x.way = 1 AND (x.contig_id, x.frame, x.ref_id, x.diagonal) = (s.contig_id, s.frame, s.ref_id, s.diagonal)
+  LEFT JOIN bests y ON y.way = -1 AND (y.contig_id, y.frame, y.ref_id, y.diagonal) = (s.contig_id, s.frame, s.ref_id, s.diagonal)),
+extended AS (SELECT contig_id, ref_id, 'COG' || lpad((ref_id % 40)::VARCHAR, 4, '0') AS family, ref_id AS tax_id, score::INT AS score, aligned / len::DOUBLE AS coverage, frame FROM grown
+  QUALIFY row_number() OVER (PARTITION BY contig_id, ref_id ORDER BY score DESC, frame, frame_pos, diagonal) = 1)"""
+# Of extended(contig_id, family, ref_id, tax_id, score, coverage) and own(family, min_score, min_coverage, min_margin, min_representatives).
+_CALLED = """ok AS (SELECT e.*, coalesce(min_margin, {margin}) AS margin, coalesce(min_representatives, {least}) AS least FROM extended e LEFT JOIN own USING (family)
+  WHERE score >= coalesce(min_score, 50) AND coverage >= coalesce(min_coverage, 0.3)),
+fam AS (SELECT contig_id, family, count(*) AS representatives, max(score) AS score, arg_max(tax_id, (score, -ref_id)) AS tax_id, any_value(margin) AS margin, any_value(least) AS least FROM ok GROUP BY ALL),
+called AS (SELECT f.contig_id, f.family, f.representatives, f.score, f.tax_id FROM fam f
+  WHERE f.representatives >= f.least AND f.score - greatest(0, coalesce((SELECT max(o.score) FROM fam o WHERE o.contig_id = f.contig_id AND o.family <> f.family), 0)) >= f.margin)"""
+
+
+@query(f"WITH {_EXTENDED} SELECT contig_id, ref_id, family, tax_id, score, coverage, frame FROM extended")
 def marker_extensions(spark, sf):
     refs = _refs(spark, sf)
-    frames = markers.frames_of(d.sequences(spark, sf))
-    found = markers.diagonals(markers.seeds(frames), markers.seed_index(refs, min_hits=1))
-    return markers.extensions(found, frames, refs)
+    return markers.extended(d.sequences(spark, sf), refs, markers.seed_index(refs, min_hits=1))
 
 
-@query()
+@query(f"""WITH {_EXTENDED}, own AS (SELECT NULL::VARCHAR AS family, NULL::DOUBLE AS min_score, NULL::DOUBLE AS min_coverage, NULL::DOUBLE AS min_margin, NULL::INT AS min_representatives WHERE false),
+{_CALLED.format(margin=10, least=1)} SELECT contig_id, family, representatives, score, tax_id FROM called""")
 def marker_calls(spark, sf):
     refs = _refs(spark, sf)
     return markers.search(d.sequences(spark, sf), refs, markers.seed_index(refs, min_hits=1), markers.Search(min_representatives=1))
 
 
+@query(f"""WITH extended AS (SELECT l_orderkey AS contig_id, 'COG' || (l_suppkey % 40) AS family, l_linenumber AS ref_id, l_partkey AS tax_id, (l_quantity * 3)::INT AS score, l_discount * 10 AS coverage FROM lineitem),
+own AS (SELECT 'COG' || n_nationkey AS family, CASE WHEN n_nationkey % 3 = 0 THEN 20.0 + n_nationkey END AS min_score, CASE WHEN n_nationkey % 4 = 0 THEN 0.1 END AS min_coverage,
+  CASE WHEN n_nationkey % 5 < 2 THEN n_nationkey::DOUBLE END AS min_margin, CASE WHEN n_nationkey % 2 = 0 THEN 1 END AS min_representatives FROM nation),
+{_CALLED.format(margin=10, least=2)} SELECT contig_id, family, representatives, score, tax_id FROM called""")
+def calls_by_family(spark, sf):
+    """Calls among given extensions, with a table of what families have of their own."""
+    rows = d.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("contig_id"), F.concat(F.lit("COG"), F.col("l_suppkey") % 40).alias("family"), F.col("l_linenumber").alias("ref_id"), F.col("l_partkey").alias("tax_id"),
+        (F.col("l_quantity") * 3).cast("int").alias("score"), (F.col("l_discount") * 10).alias("coverage"),
+    )
+    k = F.col("n_nationkey")
+    own = d.table(spark, sf, "nation").select(
+        F.concat(F.lit("COG"), k).alias("family"), F.when(k % 3 == 0, k + 20.0).alias("min_score"), F.when(k % 4 == 0, 0.1).alias("min_coverage"),
+        F.when(k % 5 < 2, k.cast("double")).alias("min_margin"), F.when(k % 2 == 0, 1).alias("min_representatives"),
+    )
+    return markers.calls(rows, markers.Search(), own)
+
+
+@query("""WITH r AS (SELECT 'COG' || (l_suppkey % 40) AS family, list_sort(list(l_linenumber)) AS reps, list_sort(list(l_quantity::INT)) AS gaps, count(*) AS n FROM lineitem GROUP BY ALL),
+v AS (SELECT family, greatest(1, floor(reps[least(n - 1, floor(n * 0.1)::BIGINT) + 1] * 0.8))::BIGINT AS r, greatest(0, floor(gaps[least(n - 1, floor(n * 0.1)::BIGINT) + 1] * 0.8))::BIGINT AS m FROM r)
+SELECT family, CASE WHEN r < 2 THEN r END AS min_representatives, CASE WHEN m < 10 THEN m END AS min_margin FROM v WHERE r < 2 OR m < 10""")
+def calibration(spark, sf):
+    rows = d.table(spark, sf, "lineitem").select(F.concat(F.lit("COG"), F.col("l_suppkey") % 40).alias("family"), F.col("l_linenumber").alias("representatives"), F.col("l_quantity").cast("int").alias("margin"))
+    found = markers.calibration(rows)
+    return found.select("family", F.col("min_representatives").cast("long"), F.col("min_margin").cast("long"))
+
+
+_NAMED = "ARNDCQEGHILKMFPSTWYVARNDCQ"
+_SCORE_LIST = ", ".join(str(int(kernels.scores()[ord(a), ord(b)])) for a in _AMINO for b in _AMINO)
+
+
+@query(f"""WITH RECURSIVE texts AS (SELECT p_partkey, translate(upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), '{d.LETTERS}', '{_NAMED}') AS q, translate(upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')), '{d.LETTERS}', '{_NAMED}') AS r FROM part),
+s AS (SELECT [{_SCORE_LIST}] AS s),
+sides AS (SELECT p_partkey, 1 AS way, substr(q, 3) AS q, substr(r, 4) AS r FROM texts UNION ALL SELECT p_partkey, -1, reverse(substr(q, 1, 1)), reverse(substr(r, 1, 2)) FROM texts),
+rows_ AS (
+  SELECT p_partkey, way, q, r, 0 AS i, list_transform(range(1, 8), lambda k: CASE WHEN k = 4 THEN 0 ELSE -1000000000 END) AS row_, 0 AS best, 0 AS taken, length(q) > 0 AS go FROM sides
+  UNION ALL
+  SELECT p_partkey, way, q, r, i, cell, greatest(best, list_max(cell)), CASE WHEN list_max(cell) > best THEN i + list_position(cell, list_max(cell)) - 4 ELSE taken END, list_max(cell) >= greatest(best, list_max(cell)) - 15 AND i < length(q)
+  FROM (SELECT p_partkey, way, q, r, i, best, taken, list_transform(range(1, 8), lambda k: CASE WHEN i + k - 4 BETWEEN 0 AND length(r) THEN list_max(list_transform(range(1, k + 1), lambda h: base[h] - 8 * (k - h))) ELSE -1000000000 END) AS cell
+    FROM (SELECT p_partkey, way, q, r, w.i + 1 AS i, best, taken, list_transform(range(1, 8), lambda k: CASE WHEN w.i + k - 3 BETWEEN 0 AND length(r) THEN greatest(
+        CASE WHEN w.i + k - 3 >= 1 THEN row_[k] + s.s[22 * (instr('{_AMINO}', substr(q, (w.i + 1)::BIGINT, 1)) - 1) + instr('{_AMINO}', substr(r, (w.i + k - 3)::BIGINT, 1))] ELSE -1000000000 END,
+        coalesce(row_[k + 1], -1000000000) - 8) ELSE -1000000000 END) AS base FROM rows_ w, s WHERE go))
+), last AS (SELECT p_partkey, way, arg_max(best, i) AS best, arg_max(taken, i) AS taken FROM rows_ GROUP BY ALL)
+SELECT p_partkey, (s.s[22 * (instr('{_AMINO}', substr(q, 2, 1)) - 1) + instr('{_AMINO}', substr(r, 3, 1))] + a.best + b.best)::INT AS score, (1 + a.taken + b.taken)::INT AS aligned
+FROM texts JOIN last a USING (p_partkey) JOIN last b USING (p_partkey), s WHERE a.way = 1 AND b.way = -1""")
+def gapped_extensions(spark, sf):
+    """Names of parts aligned with their types, anchored at the second and third letter, with gaps in a narrow band."""
+    told = lambda c: F.translate(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), d.LETTERS, _NAMED)
+    rows = d.spread(d.table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "p_partkey")
+    ext = udfs.extend_gapped(told("p_name"), told("p_type"), F.lit(1), F.lit(2), F.lit(15), F.lit(8), F.lit(3))
+    return rows.select("p_partkey", ext.alias("e")).select("p_partkey", "e.score", "e.aligned")
+
+
 @query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
 picks AS (SELECT DISTINCT l_suppkey, floor(j * (n / 20::DOUBLE))::BIGINT AS i FROM (SELECT DISTINCT l_suppkey, n FROM r WHERE n > 20), range(20) t(j))
 SELECT l_suppkey, l_orderkey, l_linenumber FROM r WHERE n >= 3 AND (n <= 20 OR (l_suppkey, i) IN (SELECT (l_suppkey, i) FROM picks))""")

@@ -99,6 +99,56 @@ def test_ungapped_extension(seed):
     assert kernels.extend_ungapped(q, r, at, at - 5) == ungapped_by_hand(q, r, at, at - 5, 15)
 
 
+def gapped_by_hand(q, r, at, ref_at, drop, gap, band):
+    """Cell by cell, as a table over both sequences."""
+    s = kernels.scores()
+
+    def side(q, r):
+        prev, best, taken = {0: 0}, 0, 0
+        for i in range(1, len(q) + 1):
+            row = {}
+            for b in range(-band, band + 1):
+                j = i + b
+                if 0 <= j <= len(r):
+                    options = []
+                    if j >= 1 and b in prev:
+                        options.append(prev[b] + int(s[ord(q[i - 1]), ord(r[j - 1])]))
+                    if b + 1 in prev:
+                        options.append(prev[b + 1] - gap)
+                    if j >= 1 and b - 1 in row:
+                        options.append(row[b - 1] - gap)
+                    if options:
+                        row[b] = max(options)
+                        if row[b] > best:
+                            best, taken = row[b], j
+            if max(row.values(), default=-(10**9)) < best - drop:
+                break
+            prev = row
+        return best, taken
+
+    right, n = side(q[at + 1 :], r[ref_at + 1 :])
+    left, m = side(q[:at][::-1], r[:ref_at][::-1])
+    return int(s[ord(q[at]), ord(r[ref_at])]) + right + left, m + 1 + n
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_extensions_of_many_pairs_at_once(seed):
+    rng = random.Random(seed)
+    pairs = []
+    for _ in range(40):
+        q = "".join(rng.choice("ARNDCQEGHILKMFPSTWYVX*") for _ in range(rng.choice([1, 3, 20, 70, 200])))
+        r = "".join(c if rng.random() < 0.8 else rng.choice(["", "A", "RN", "X"]) for c in q) or "A"
+        at = rng.randrange(len(q))
+        pairs.append((q, r, at, min(at, len(r) - 1)))
+    columns = [list(c) for c in zip(*pairs, strict=True)]
+    for drop in (0, 15, 40):
+        got = list(zip(*kernels.extend_ungapped_all(*columns, drop), strict=True))
+        assert [tuple(map(int, g)) for g in got] == [ungapped_by_hand(*p, drop) for p in pairs]
+        for gap, band in ((8, 16), (3, 2)):
+            got = list(zip(*kernels.extend_gapped_all(*columns, drop, gap, band), strict=True))
+            assert [tuple(map(int, g)) for g in got] == [gapped_by_hand(*p, drop, gap, band) for p in pairs]
+
+
 def test_gapped_extension_crosses_a_gap():
     core = "MSLKCGIVGLPNVGKSTLFNALTKAGIAAENYPFCTIEPNVGIVEV"
     cut = core[:20] + core[22:]
@@ -526,6 +576,35 @@ def test_thresholds_and_calibration(spark, tmp_path):
     assert (c.overrides, c.margins) == ({"F3": 1}, {"F3": 3})
 
 
+def test_families_with_values_of_their_own(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"familyOverrides": {"F1": {"minScore": 80, "xDrop": 3}, "F2": {"minCoverage": 0.95, "minRepresentatives": 1}, "F3": {"minScore": 10, "minCoverage": 0.1, "minRepresentatives": 1, "minMargin": -100}}}')
+    s = markers.read_thresholds(spark, str(tmp_path / "t.json"))
+    assert {r.family: tuple(r)[1:] for r in markers.parameters(spark, s).collect()} == {"F1": (80.0, None, None, None), "F2": (None, 0.95, None, 1), "F3": (10.0, 0.1, -100.0, 1)}
+    rows = [("c", "F1", 1, 70), ("c", "F1", 2, 90), ("c", "F2", 3, 200), ("c", "F3", 4, 20)]
+    ext = spark.createDataFrame([(c, f, i, i, v, 0.9 if f != "F3" else 0.2, 0) for c, f, i, v in rows], "contig_id string, family string, ref_id int, tax_id int, score int, coverage double, frame int")
+    assert sorted((r.family, r.representatives, r.score) for r in markers.calls(ext, s).collect()) == [("F3", 1, 20)]  # F1 has one left, F2 covers too little
+    loose = markers.calibrated(s, spark.createDataFrame([("F1", 1, 0)], "family string, min_representatives int, min_margin int"))
+    assert sorted(r.family for r in markers.calls(ext, loose).collect()) == ["F1", "F3"]
+    found = spark.createDataFrame([("F1", 1, 0)], "family string, min_representatives int, min_margin int")
+    merged = markers.merged_parameters(markers.parameters(spark, s), found)
+    assert sorted(r.family for r in markers.calls(ext, s, merged).collect()) == ["F1", "F3"]
+
+
+def test_tuned_search_equals_its_steps(spark):
+    rng = random.Random(2)
+    proteins = ["".join(rng.choice("ARNDCQEGHILKMFPSTWYV") for _ in range(80)) for _ in range(3)]
+    codon = {a: c for c, a in sequence.codons().items()}
+    told = ["".join(codon[a] for a in p) for p in proteins]
+    refs = spark.createDataFrame([(i, f"F{i % 2}", i, p, len(p)) for i, p in enumerate(proteins)], "ref_id int, family string, tax_id int, residues string, len int")
+    held = spark.createDataFrame([(f"h{i}", f"F{i % 2}", t) for i, t in enumerate(told)], "header string, family string, seq string")
+    contigs = spark.createDataFrame([(f"c{i}", "ACGT" * 20 + t) for i, t in enumerate(told)], "contig_id string, seq string")
+    index, s = markers.seed_index(refs, min_hits=1), markers.Search(overrides={})
+    got = sorted(map(tuple, markers.tuned_search(contigs, held, refs, index, s).collect()))
+    by_hand = markers.calibrated(s, markers.calibration(markers.held_out_margins(held, refs, index, s), s))
+    assert got == sorted(map(tuple, markers.search(contigs, refs, index, by_hand).collect()))
+    assert {r[0] for r in got} == {"c0", "c1", "c2"} and not markers.search(contigs, refs, index, s).count()
+
+
 def test_supplied_hits_and_raw_table(spark):
     built = spark.createDataFrame([("a", "F1"), ("b", "F2")], "contig_id string, family string")
     given = spark.createDataFrame([("b", "F9"), ("c", "F3")], "contig_id string, family string")
