@@ -75,18 +75,31 @@ def codes(seq: str) -> np.ndarray:
     return _base_table()[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
-def _frame(c: np.ndarray, offset: int) -> str:
-    n = max(0, (len(c) - offset) // 3)
-    t = c[offset : offset + 3 * n].reshape(n, 3).astype(np.int16)
-    amino = _codon_table()[np.where((t < 0).any(1), 0, 16 * t[:, 0] + 4 * t[:, 1] + t[:, 2])].copy()
-    amino[(t < 0).any(1)] = ord("X")
-    return amino.tobytes().decode()
+@lru_cache(1)
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The amino acid of each of the 64 codons, read forward and as its reverse complement; X at 64."""
+    forward = _codon_table()
+    k = np.arange(64)
+    turned = 16 * (3 - k % 4) + 4 * (3 - k // 4 % 4) + (3 - k // 16)
+    return np.append(forward, np.uint8(ord("X"))), np.append(forward[turned], np.uint8(ord("X")))
+
+
+def frame_letters(c: np.ndarray) -> list[np.ndarray]:
+    """Letters of the six frames: every codon is looked up once for each strand, and frames are every third of them."""
+    n = len(c)
+    if n < 3:
+        return [np.zeros(0, np.uint8)] * 6
+    x = c.astype(np.int8)
+    # An unknown base takes the sum to 64 or more, which stands for all of these.
+    known = np.where(x < 0, np.int8(64), x).astype(np.int16)
+    codon = np.minimum(16 * known[:-2] + 4 * known[1:-1] + known[2:], 64)
+    forward, turned = (t[codon] for t in _letter_tables())
+    back = turned[::-1]
+    return [forward[k::3] for k in range(3)] + [back[k::3] for k in range(3)]
 
 
 def frames(seq: str) -> list[str]:
-    c = codes(seq)
-    back = np.where(c < 0, -1, 3 - c)[::-1].astype(np.int8)
-    return [_frame(x, k) for x in (c, back) for k in range(3)]
+    return [x.tobytes().decode() for x in frame_letters(codes(seq))]
 
 
 def composition(c: np.ndarray) -> np.ndarray:
@@ -101,10 +114,14 @@ def composition(c: np.ndarray) -> np.ndarray:
     return n / max(1, n.sum())
 
 
-def density(amino: list[str], shortest: int = 20) -> float:
-    lengths = [len(s) for f in amino for s in f.split("*")]
-    total = sum(lengths)
-    return sum(n for n in lengths if n >= shortest) / total if total else 0.0
+def density(letters: list[np.ndarray], shortest: int = 20) -> float:
+    """Share of residues in stop-free parts of ``shortest`` at least."""
+    end = np.full(1, ord("*"), np.uint8)
+    line = np.concatenate([x for f in letters for x in (f, end)])
+    stops = np.flatnonzero(line == ord("*"))
+    lengths = np.diff(stops, prepend=-1) - 1
+    total = int(lengths.sum())
+    return int(lengths[lengths >= shortest].sum()) / total if total else 0.0
 
 
 def stats(seq: str) -> tuple:
@@ -112,7 +129,7 @@ def stats(seq: str) -> tuple:
     c = codes(seq)
     n = np.bincount(c[c >= 0], minlength=4)
     gc = int(n[1] + n[2])
-    return len(c), gc / len(c) if len(c) else 0.0, (int(n[2]) - int(n[1])) / gc if gc else 0.0, int(len(c) - n.sum()), density(frames(seq)), composition(c).tolist()
+    return len(c), gc / len(c) if len(c) else 0.0, (int(n[2]) - int(n[1])) / gc if gc else 0.0, int(len(c) - n.sum()), density(frame_letters(c)), composition(c).tolist()
 
 
 def orfs(seq: str, shortest: int = 100) -> list[tuple[str, int, int, int]]:

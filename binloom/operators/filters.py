@@ -120,6 +120,8 @@ def sort_column(rows: DataFrame, column: str, descending: bool = False) -> DataF
     text = full_trim(F.coalesce(F.col(column).cast("string"), F.lit("")))
     blank = F.lower(text).isin("", "n/a", "-", "–", "none")
     number = F.regexp_replace(text, "[,%]", "").try_cast("double")
-    share = rows.agg(F.avg(F.when(~blank, number.isNotNull().cast("int")))).first()[0] or 0
-    key = F.when(~blank, number if share >= 0.5 else F.lower(text))
-    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
+    share = rows.agg(F.coalesce(F.avg(F.when(~blank, number.isNotNull().cast("int"))) >= 0.5, F.lit(False)).alias("_numeric"))
+    told = rows.crossJoin(F.broadcast(share))  # one row
+    by_number, by_text = F.when(~blank & F.col("_numeric"), number), F.when(~blank & ~F.col("_numeric"), F.lower(text))
+    order = [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in (by_number, by_text)]
+    return told.orderBy(*order).drop("_numeric")

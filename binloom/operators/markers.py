@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import header_family, header_taxon
 from ..functions.udfs import extend_gapped, extend_ungapped, six_frames
 from .graph import checkpointed
-from .ranks import ranked
+from .ranks import ranked, ranked_within
 
 
 @dataclass(frozen=True)
@@ -95,12 +95,11 @@ def _seeded(rows: DataFrame, k: int, cap: int, stride: int) -> DataFrame:
 
 def thinned(rows: DataFrame, key: str, order: tuple[str, ...], least: int, most: int) -> DataFrame:
     """Keys with ``least`` rows or more; of more than ``most`` rows, those at floor(j * total / most) in order."""
-    w = W.partitionBy(key)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") >= least)
+    placed = ranked_within(rows, key, *order).where(F.col("_n") >= least).withColumn("_i", F.col("_rank") - 1)
     # Row i is taken if some j below ``most`` has floor(j * n / most) = i.
     j = F.ceil(F.col("_i") * most / F.col("_n"))
     taken = (F.col("_n") <= most) | ((j < most) & (F.floor(j * (F.col("_n") / most)) == F.col("_i")))
-    return ranked.where(taken).drop("_i", "_n")
+    return placed.where(taken).select(*rows.columns)
 
 
 def even_sample(rows: DataFrame, key: str, order: tuple[str, ...], size: int) -> DataFrame:
@@ -110,9 +109,8 @@ def even_sample(rows: DataFrame, key: str, order: tuple[str, ...], size: int) ->
 
 def percentile_floor(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
     """(key, value): the value at floor(p * n) of each key's ascending values."""
-    w = W.partitionBy(key)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))).select(key, value)
+    placed = ranked_within(rows.select(key, value), key, value)
+    return placed.where(F.col("_rank") - 1 == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))).select(key, value)
 
 
 def frames_of(contigs: DataFrame) -> DataFrame:

@@ -57,13 +57,16 @@ def groups(cast: DataFrame, edges: DataFrame) -> DataFrame:
     label = checkpointed(keyed.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("grp", F.col("node")))
     open_ = ranked(keyed, F.desc("jaccard"), "a", "b").drop("jaccard")
     open_ = checkpointed(open_.where(~F.arrays_overlap("tools_a", "tools_b")))
+    rounds = 0
     while not open_.isEmpty():
         best = open_.select(F.explode(F.array("a", "b")).alias("g"), "rank").groupBy("g").agg(F.min("rank").alias("rank"))
         taken = open_.join(best.withColumnRenamed("g", "a"), ["a", "rank"], "left_semi").join(best.withColumnRenamed("g", "b"), ["b", "rank"], "left_semi")
         # A group is in one taken edge at most.
         pairs = taken.select(F.least("a", "b").alias("to"), F.greatest("a", "b").alias("from"), F.array_sort(F.concat("tools_a", "tools_b")).alias("tools"))
         moves = checkpointed(pairs.select(F.explode(F.array("to", "from")).alias("grp"), "to", "tools"))
-        label = checkpointed(label.join(moves.select("grp", "to"), "grp", "left").select("node", F.coalesce("to", "grp").alias("grp")))
+        label = label.join(moves.select("grp", "to"), "grp", "left").select("node", F.coalesce("to", "grp").alias("grp"))
+        rounds += 1
+        label = label if rounds % 4 else checkpointed(label)
         for side in ("a", "b"):
             moved = moves.select(F.col("grp").alias(side), "to", "tools")
             open_ = open_.join(moved, side, "left").withColumns({side: F.coalesce("to", side), f"tools_{side}": F.coalesce("tools", f"tools_{side}")}).drop("to", "tools")

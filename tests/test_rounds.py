@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from binloom.operators import assignment, clusters, reconcile, taxonomy
+from binloom.operators import assignment, clusters, filters, markers, reconcile, taxonomy
 
 
 def greedy_by_hand(rows, threshold=0.5):
@@ -138,3 +138,34 @@ def test_merged_and_deleted_files(spark, tmp_path):
     (tmp_path / "delnodes.dmp").write_text("3\t|\n4\t|\n")
     assert sorted(map(tuple, taxonomy.merged_ids(spark, str(tmp_path / "merged.dmp")).collect())) == [(12, 74109), (30, 29)]
     assert sorted(r.tax_id for r in taxonomy.deleted_ids(spark, str(tmp_path / "delnodes.dmp")).collect()) == [3, 4]
+
+
+def test_ranks_of_a_key_in_many_tasks(spark):
+    rng = random.Random(3)
+    rows = [("hot", i, rng.randrange(50)) for i in range(900)] + [(f"k{i % 40}", i, rng.randrange(9)) for i in range(300)] + [(None, 1, 2), (None, 2, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for least, most in ((1, 20), (3, 7), (1, 1000)):
+            got = sorted((r.k or "", r.v, r.i) for r in markers.thinned(df, "k", ("v", "i"), least, most).collect())
+            want = []
+            for key in {k for k, *_ in rows}:
+                own = sorted((v, i) for k, i, v in rows if k == key)
+                if len(own) >= least:
+                    want += [(key or "", *own[j]) for j in (range(len(own)) if len(own) <= most else [int(j * (len(own) / most)) for j in range(most)])]
+            assert got == sorted(want)
+        values = {r.k: r.v for r in markers.percentile_floor(df, "k", "v", 0.1).collect()}
+        assert values["hot"] == sorted(v for k, _, v in rows if k == "hot")[90] and len(values) == 42
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sorting_a_column_plans_no_job(spark):
+    rows = spark.createDataFrame([("10",), ("9%",), ("1,000",), ("n/a",), ("",), (None,), ("x",)], "c string")
+    assert [r.c for r in filters.sort_column(rows, "c").collect()][:3] == ["9%", "10", "1,000"]
+    assert [r.c for r in filters.sort_column(rows, "c", True).collect()][:3] == ["1,000", "10", "9%"]
+    words = spark.createDataFrame([("b",), ("A",), ("2",), ("-",), ("c",)], "c string")
+    assert [r.c for r in filters.sort_column(words, "c").collect()] == ["2", "A", "b", "c", "-"]
+    assert filters.sort_column(rows.limit(0), "c").count() == 0
