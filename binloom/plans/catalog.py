@@ -434,9 +434,9 @@ def constrained_groups(spark, sf):
 _LOG = """log AS (SELECT event_id AS seq, CASE WHEN event_type <> 'click' THEN 'contig_' || user_id END AS contig_id, CASE WHEN event_type = 'click' THEN 'src' || (user_id % 23) END AS source, 'src' || (event_id % 23) AS target FROM events)"""
 
 
-def edit_log(spark, sf):
+def _edit_log(events):
     click, to = F.col("event_type") == "click", F.concat(F.lit("src"), F.col("event_id") % 23)
-    return d.table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), F.when(~click, F.concat(F.lit("contig_"), "user_id")).alias("contig_id"), F.when(click, F.concat(F.lit("src"), F.col("user_id") % 23)).alias("source"), to.alias("target")
     )
 
@@ -447,7 +447,22 @@ way AS (SELECT contig_id, bin_id, seq FROM start
   UNION ALL SELECT w.contig_id, m.target, m.seq FROM way w, LATERAL (SELECT seq, target FROM merges WHERE source = w.bin_id AND seq > w.seq ORDER BY seq LIMIT 1) m)
 SELECT contig_id, arg_max(bin_id, seq) AS bin_id FROM way GROUP BY contig_id""")
 def edit_replay(spark, sf):
-    return assignment.replay(_tool_a(spark, sf).select("contig_id", "bin_id"), edit_log(spark, sf))
+    return assignment.replay(_tool_a(spark, sf).select("contig_id", "bin_id"), _edit_log(d.table(spark, sf, "events")))
+
+
+@query(f"""WITH RECURSIVE {d.ASSIGNMENTS}, {_LOG}, merges AS (SELECT seq, source, target FROM log WHERE contig_id IS NULL AND source <> target),
+start AS (SELECT contig_id, arg_max(bin_id, seq) AS bin_id, max(seq) AS seq FROM (SELECT contig_id, bin_id, -1 AS seq FROM assignments WHERE tool = 'B' UNION ALL SELECT contig_id, target, seq FROM log WHERE contig_id IS NOT NULL) GROUP BY contig_id),
+way AS (SELECT contig_id, bin_id, seq FROM start
+  UNION ALL SELECT w.contig_id, m.target, m.seq FROM way w, LATERAL (SELECT seq, target FROM merges WHERE source = w.bin_id AND seq > w.seq ORDER BY seq LIMIT 1) m)
+SELECT contig_id, arg_max(bin_id, seq) AS bin_id FROM way GROUP BY contig_id""")
+def edit_stream_replay(spark, sf):
+    """The log as a stream, into the bins of another tool."""
+    from ..streaming import edits as stream
+
+    rows = spark.readStream.schema(d.table(spark, sf, "events").schema).parquet(_stream_path(sf, "events"))
+    base = d.assignments(spark, sf).where("tool = 'B'").select("contig_id", "bin_id")
+    folder = _new_folder(spark, "replay")
+    return stream.keep_replayed(_edit_log(rows), base, folder, f"{folder}-log")
 
 
 @query(f"WITH RECURSIVE {d.STATE} SELECT contig_id, bin_id FROM state")

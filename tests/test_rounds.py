@@ -7,6 +7,7 @@ import random
 import pytest
 
 from binloom.operators import assignment, clusters, filters, markers, reconcile, taxonomy
+from binloom.streaming import edits
 
 
 def greedy_by_hand(rows, threshold=0.5):
@@ -99,6 +100,22 @@ def test_replay_equals_edit_after_edit(spark, seed):
     assert {r.contig_id: r.bin_id for r in got.collect()} == replay_by_hand(base, log)
 
 
+def test_replayed_stream_equals_edit_after_edit(spark, tmp_path):
+    rng = random.Random(9)
+    base = [(f"c{i}", rng.choice("ABC")) for i in range(12)]
+    log = [(seq, f"c{rng.randrange(14)}", None, rng.choice("ABCD")) if rng.random() < 0.5 else (seq, None, rng.choice("ABCD"), rng.choice("ABCD")) for seq in range(60)]
+    schema = "seq long, contig_id string, source string, target string"
+    # The third batch is late: some of its events are of before the second one's.
+    batches = [log[:20], log[25:45], log[20:25] + log[45:50], log[50:]]
+    start = spark.createDataFrame(base, "contig_id string, bin_id string")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        state = edits.keep_replayed(stream, start, f"{tmp_path}/out", f"{tmp_path}/log")
+        done = [r for b in batches[: k + 1] for r in b]
+        assert {r.contig_id: r.bin_id for r in state.collect()} == replay_by_hand(base, done)
+
+
 def test_replay_without_merges_or_base(spark):
     log = spark.createDataFrame([(1, "c", None, "A"), (2, "c", None, "B")], "seq long, contig_id string, source string, target string")
     none = spark.createDataFrame([], "contig_id string, bin_id string")
