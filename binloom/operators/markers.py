@@ -38,6 +38,9 @@ class Search:
 SINGLE_REPRESENTATIVE = ("COG0495", "COG0525", "COG0012", "COG0016", "COG0018", "COG0085", "COG0124", "COG0201", "COG0202", "COG0215", "COG0552")
 
 
+#: An index of at most so many bytes is sent to the tasks; a larger one is joined as Spark sees fit.
+INDEX_SENT_BYTES, INDEX_ROW_BYTES = 64 << 20, 48
+
 #: What a family can have a value of its own for: the rest is decided before hits have a family.
 FAMILY_FIELDS = {"min_score": "double", "min_coverage": "double", "min_margin": "double", "min_representatives": "int"}
 PARAMETERS = ", ".join(["family string", *(f"{k} {t}" for k, t in FAMILY_FIELDS.items())])
@@ -70,7 +73,9 @@ def ref_seqs(records: DataFrame) -> DataFrame:
 def seed_index(refs: DataFrame, k: int = 9, min_hits: int = 3, max_hits: int = 20) -> DataFrame:
     """(code, ref_id, ref_pos): windows of the references; rare codes go, frequent ones are thinned evenly."""
     hits = _seeded(refs.select("ref_id", "residues"), k, 0, 1).select("code", "ref_id", F.col("pos").alias("ref_pos"))
-    return thinned(hits, "code", ("ref_id", "ref_pos"), min_hits, max_hits)
+    index = checkpointed(thinned(hits, "code", ("ref_id", "ref_pos"), min_hits, max_hits))
+    # It grows with the references: sent to the tasks only if its count shows that it is small.
+    return F.broadcast(index) if index.count() * INDEX_ROW_BYTES <= INDEX_SENT_BYTES else index
 
 
 def _seeded(rows: DataFrame, k: int, cap: int, stride: int) -> DataFrame:
@@ -126,7 +131,7 @@ def seeds(frames: DataFrame, s: Search = Search()) -> DataFrame:
 def diagonals(seeded: DataFrame, index: DataFrame) -> DataFrame:
     """(contig_id, frame, ref_id, diagonal, n, frame_pos): two seeds at least, anchored at the first.
 
-    The index is not broadcast by hand: it grows with the references, and Spark knows its size.
+    Whether the index is broadcast, ``seed_index`` says; of a stored one, Spark knows the size.
     """
     joined = seeded.join(index, "code").withColumn("diagonal", F.col("frame_pos") - F.col("ref_pos"))
     counted = joined.groupBy("contig_id", "frame", "ref_id", "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("frame_pos").alias("frame_pos"))
