@@ -276,10 +276,8 @@ def labelled_words(texts: list[str | None], m: Model):
     import numpy as np
 
     w = words_of(texts)
-    if not len(w.first):
-        return w, np.zeros((0, len(m.langs)))
-    if len(m.langs) == 1:
-        return w, np.ones((len(w.first), 1))
+    if len(m.langs) < 2 or not len(w.first):
+        return w, np.ones((len(w.first), len(m.langs)))
     _, many = np.unique(w.text, return_counts=True)
     return w, marginals(emissions(w, m), many, m.moves, m.start)
 
