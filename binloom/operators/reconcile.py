@@ -125,7 +125,8 @@ class Reconciliation:
     """All results for one set of tables."""
 
     def __init__(self, assignment: DataFrame, min_jaccard: float = MIN_JACCARD):
-        self.cast = votes_cast(assignment)
+        # Every later step reads it, some more than once: it is shuffled once.
+        self.cast = checkpointed(votes_cast(assignment))
         self.edges = checkpointed(reciprocal_best(overlaps(self.cast), min_jaccard))
         self.members = checkpointed(mags(self.cast, groups(self.cast, self.edges)))
         self.votes = contig_votes(self.cast, self.members)
