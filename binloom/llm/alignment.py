@@ -298,7 +298,10 @@ def scored(docs: DataFrame, a_path: str, b_path: str, limit: int = BROADCAST_LIM
         parts.append(held.join(pairs.where(F.col("n") < floor).hint("shuffle_hash"), "pair").groupBy("row").agg(*sums))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("row").agg(F.sum("links").alias("links"), F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     out = rows.drop("pairs").join(both, "row", "left")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
+    out = out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
+    out = stored(out, "aligned")
+    discard(rows, pairs)
+    return out
 
 
 @lru_cache(maxsize=4)

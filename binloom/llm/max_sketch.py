@@ -286,9 +286,10 @@ def _blocks(items: DataFrame, s: Settings):
 
 def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 20, s: Settings = Settings(), indexed: DataFrame | None = None) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each item. ``indexed`` is a stored index of ``docs``."""
-    out = []
+    out, own = [], None
     with small_batches(spark, 256):
-        indexed = stored(index(docs, s), "sketches", compression="zstd") if indexed is None else indexed
+        if indexed is None:
+            indexed = own = stored(index(docs, s), "sketches", compression="zstd")
         total, documents = indexed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
         for block in _blocks(items, s) if total else ():
             wanted = sorted({t for _, found in block for t in found})
@@ -303,6 +304,8 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 20,
             discard(first)
             ids = spark.createDataFrame(list(enumerate(q.ids)), "item int, item_id long")
             out.append(found.join(F.broadcast(ids), "item").select("item_id", "rank", "doc_id", "score"))
+    if own is not None:
+        discard(own)  # the scores are stored
     if not out:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     return reduce(DataFrame.unionByName, out)
