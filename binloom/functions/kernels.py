@@ -99,7 +99,11 @@ def frame_letters(c: np.ndarray) -> list[np.ndarray]:
 
 
 def frames(seq: str) -> list[str]:
-    return [x.tobytes().decode() for x in frame_letters(codes(seq))]
+    return _told(codes(seq))
+
+
+def _told(c: np.ndarray) -> list[str]:
+    return [x.tobytes().decode() for x in frame_letters(c)]
 
 
 def composition(c: np.ndarray) -> np.ndarray:
@@ -114,10 +118,9 @@ def composition(c: np.ndarray) -> np.ndarray:
     return n / max(1, n.sum())
 
 
-def density(letters: list[np.ndarray], shortest: int = 20) -> float:
+def density(amino: list[str], shortest: int = 20) -> float:
     """Share of residues in stop-free parts of ``shortest`` at least."""
-    end = np.full(1, ord("*"), np.uint8)
-    line = np.concatenate([x for f in letters for x in (f, end)])
+    line = np.frombuffer(("*".join(amino) + "*").encode(), np.uint8)
     stops = np.flatnonzero(line == ord("*"))
     lengths = np.diff(stops, prepend=-1) - 1
     total = int(lengths.sum())
@@ -129,7 +132,7 @@ def stats(seq: str) -> tuple:
     c = codes(seq)
     n = np.bincount(c[c >= 0], minlength=4)
     gc = int(n[1] + n[2])
-    return len(c), gc / len(c) if len(c) else 0.0, (int(n[2]) - int(n[1])) / gc if gc else 0.0, int(len(c) - n.sum()), density(frame_letters(c)), composition(c).tolist()
+    return len(c), gc / len(c) if len(c) else 0.0, (int(n[2]) - int(n[1])) / gc if gc else 0.0, int(len(c) - n.sum()), density(_told(c)), composition(c).tolist()
 
 
 def orfs(seq: str, shortest: int = 100) -> list[tuple[str, int, int, int]]:

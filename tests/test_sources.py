@@ -130,7 +130,7 @@ def test_index_groups_without_wanted_ids_are_left_out(spark, tmp_path):
 def test_split_tables_equal_whole_ones(spark, tmp_path, split):
     rng = random.Random(7)
     texts = {
-        "one.tsv": "contig\tbin\r\n" + "".join(f"c{i}\tb{rng.randint(0, 3)}\r\n" + "\n \t\n" * (i % 5 == 0) for i in range(8)) + "short\nx\t\n\ty\nlast\tb9",
+        "one.tsv": "contig\tbin\r\n" + "".join(f"c{i}\tb{rng.randint(0, 3)}\r\n" + "\n \t\n" * (i % 5 == 0) for i in range(22)) + "short\nx\t\n\ty\nlast\tb9",
         "two.csv": "".join(f"k{i},b,extra,{i}\n" for i in range(5)),
         "cov.txt": "contigName,contigLen,totalAvgDepth,s1.bam,s1.bam-var,s2.bam\n" + "".join(f"c{i},9,7,{i / 2},1,0x1F\n" for i in range(4)) + "c99,1,2\n",
         "plain.cov": "".join(f"c{i}\t{i}e1\t\t\n" for i in range(22)),
