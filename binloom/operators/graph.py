@@ -1,4 +1,4 @@
-"""Connected components of small-degree graphs as DataFrames."""
+"""Checkpoints in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,17 +23,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that edges (a, b) reach. Nodes without edges are their own."""
-    both = checkpointed(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a")).distinct())
-    label = checkpointed(nodes.select("node").distinct().select("node", F.col("node").alias("component")))
-    while True:
-        near = both.join(label, both.v == label.node).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        pulled = label.join(near, "node", "left").select("node", F.least("component", "near").alias("next"), F.col("component").alias("old"))
-        up = label.select(F.col("node").alias("next"), F.col("component").alias("above"))
-        moved = checkpointed(pulled.join(up, "next", "left").select("node", F.least("next", "above").alias("component"), "old"))
-        label = moved.select("node", "component")
-        if moved.where("component <> old").isEmpty():
-            return label
