@@ -80,16 +80,22 @@ OP6 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
 ds AS ({_mask_rows("d", "doc_id")}),
-bs AS ({_mask_rows("b", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS g FROM ds JOIN bs USING (mask, seed)),
+bl AS (SELECT * FROM b WHERE len(w) >= {_SEEDS.min_words}),
+bs AS ({_mask_rows("bl", "item_id")}),
+short AS (SELECT item_id, w, len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {_SEEDS.min_words - 1}),
+runs AS (SELECT doc_id, n, p, w[p : p + n - 1] AS w FROM (
+  SELECT doc_id, d.w, n, unnest(range(1, len(d.w) - n + 2)) AS p FROM d JOIN (SELECT DISTINCT n FROM short) ON len(d.w) >= n)),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS g FROM ds JOIN bs USING (mask, seed)
+  UNION SELECT doc_id, item_id, p - 1 FROM runs JOIN short USING (n, w)),
 same AS (
-  SELECT doc_id, item_id, g, least(len(b.w), {_SEEDS.window}) AS span,
+  SELECT doc_id, item_id, g, CASE WHEN len(b.w) < {_SEEDS.min_words} THEN 1.0 ELSE {_SEEDS.min_match} END AS low, least(len(b.w), {_SEEDS.window}) AS span,
          list_transform(range(1, len(b.w) + 1), lambda q: CASE WHEN q + g >= 1 AND d.w[q + g] = b.w[q] THEN 1 ELSE 0 END) AS m
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
 ), shares AS (
   SELECT doc_id, item_id, max(list_max(list_transform(range(1, len(m) - span + 2), lambda q: list_sum(m[q : q + span - 1]))) / span::DOUBLE) AS share
+       , any_value(low) AS low
   FROM same GROUP BY doc_id, item_id
-), found AS (SELECT doc_id, count(*) AS n_items, max(share) AS best_share FROM shares WHERE share >= {_SEEDS.min_match} GROUP BY doc_id)
+), found AS (SELECT doc_id, count(*) AS n_items, max(share) AS best_share FROM shares WHERE share >= low GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(best_share, 0.0) AS best_share
 FROM documents LEFT JOIN found USING (doc_id)
 """

@@ -356,18 +356,20 @@ def test_masks_meet_every_accepted_overlap():
 
 
 def overlaps_by_hand(text, item, window=16, share=0.75, least=8):
-    """The best share over every window of the item on every diagonal; 0 below the threshold."""
+    """The best share over every window of the item on every diagonal; 0 below the threshold, which is all of a short item."""
     w, x = (t.lower().split() for t in (text or "", item or ""))
     span, best = min(len(x), window), 0.0
-    for d in range(-len(x) + 1, len(w)) if len(x) >= least else ():
+    share = share if len(x) >= least else 1.0
+    for d in range(-len(x) + 1, len(w)) if x else ():
         same = [0 <= i + d < len(w) and w[i + d] == y for i, y in enumerate(x)]
         best = max(best, max(sum(same[q : q + span]) for q in range(len(x) - span + 1)) / span)
     return best if best >= share else 0.0
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("send", [1 << 26, 0])
+def test_decontamination_matches_brute_force(spark, send):
     rng = random.Random(17)
-    items = {i: prose(rng, n) for i, n in enumerate([7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 24, 30, 8, 12, 16, 16])}
+    items = {i: prose(rng, n) for i, n in enumerate([3, 6, 7, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 24, 30, 8, 12, 16, 16])}
     texts = []
     for x in items.values():
         w = x.split()
@@ -379,7 +381,8 @@ def test_decontamination_matches_brute_force(spark):
         texts += [w[2:], w[:-3], w[4:], w[:12] + ["changed"] * 4]  # text that ends inside the item
     rows = [(i, " ".join([*prose(rng, i % 5 * 3).split(), *t, *prose(rng, i % 3 * 4).split()])) for i, t in enumerate(texts)]
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = {r.doc_id: (r.n_items, r.best_share) for r in decontaminate.verdicts(documents(spark, rows), bench).collect()}
+    rows.append((len(rows), " ".join([*texts[0], *(prose(rng, 30_000) + " " + items[1]).split()])))  # a very long text
+    got = {r.doc_id: (r.n_items, r.best_share) for r in decontaminate.verdicts(documents(spark, rows), bench, send=send).collect()}
     shares = {i: [s for x in items.values() if (s := overlaps_by_hand(t, x))] for i, t in rows}
     assert got == {i: (len(s), max(s, default=0.0)) for i, s in shares.items()}
     assert {sum(bool(s) for s in shares.values()) > 150, any(not s for s in shares.values())} == {True}
