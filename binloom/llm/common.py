@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is broadcast only when a count shows it under this many bytes.
 BROADCAST_LIMIT = 64 << 20
 
+#: Paths given out within ``fleeting``.
+_given: ContextVar[list[str] | None] = ContextVar("given", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +38,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="binloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if (given := _given.get()) is not None:
+        given.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -49,8 +56,34 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete what ``stored`` wrote for these frames, once nothing reads them any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def fleeting(spark: SparkSession):
+    """All that is written to the shared folder within is deleted at the end, also after an error. The function it yields
+    takes a stored frame and returns it; such a frame stays."""
+    given, kept = [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
+
+    token = _given.set(given)
+    try:
+        yield keep
+    finally:
+        _given.reset(token)
+        for path in given:
+            if path not in kept:
+                _delete(spark, path)
+        if (outer := _given.get()) is not None:
+            outer.extend(kept)
 
 
 @contextmanager
