@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from binloom.llm.common import discard, stored, table
+from binloom.llm.common import discard, fleeting, stored, table
 from binloom.llm.queries import word_tokenizer
 
 #: The near-duplicate stage works on five-word shingles at a similarity of 0.8.
@@ -65,7 +65,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        # A stage's own tables go once its result is written.
+        with fleeting(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
         discard(*read)
         read = [docs]
     return docs
