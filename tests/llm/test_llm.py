@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -583,6 +584,22 @@ def test_chat_markers_and_edges(spark):
 # Pipeline
 
 
+def test_fleeting_tables_go(spark):
+    from binloom.llm.common import fleeting, stored
+
+    made = []
+    with fleeting(spark) as keep:
+        with fleeting(spark) as keep_inner:
+            made += [stored(spark.range(3), "a"), keep_inner(stored(spark.range(4), "b"))]
+        assert made[1].count() == 4
+        made += [keep(stored(spark.range(5), "c"))]
+    with pytest.raises(ZeroDivisionError), fleeting(spark):
+        made += [stored(spark.range(6), "d")]
+        raise ZeroDivisionError
+    assert [Path(df.stored_at).exists() for df in made] == [False, False, True, False]
+    assert made[2].count() == 5
+
+
 def test_pipeline_stages_keep_odd_rows(spark, tmp_path):
     """Nulls in any column, empty texts, repeated rows, an empty table and columns of clashing names in each stage."""
     import corpus_pipeline as cp
@@ -620,7 +637,10 @@ def test_pipeline_stages(spark):
         assert 0 < now <= left
         left = now
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
     packed = cp.run(spark, SF)
+    assert [p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before] == ["stage-packing"]
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
     check_packing(packed.collect(), 2048)
 
