@@ -151,16 +151,17 @@ def extensions(found: DataFrame, frames: DataFrame, refs: DataFrame, s: Search =
     return best.select("contig_id", "ref_id", "family", "tax_id", "b.score", (F.col("b.aligned") / F.col("len")).alias("coverage"), "b.frame")
 
 
-def calls(extended: DataFrame, s: Search = Search(), given: DataFrame | None = None) -> DataFrame:
+def calls(extended: DataFrame, s: Search = Search(), given: DataFrame | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """(contig_id, family, representatives, score, tax_id) that pass score, coverage, margin and agreement.
 
     ``given`` has the families' own values, as ``parameters`` makes them of ``s``. The best representative names the
-    taxon; of equal ones the least ref_id is taken.
+    taxon; of equal ones the least ref_id is taken, and of equal rows of one ref_id the first by ``order``, then the one
+    of the least taxon.
     """
     given = parameters(extended.sparkSession, s) if given is None else given
     ok = with_parameters(extended, given, s).where((F.col("score") >= F.col("min_score")) & (F.col("coverage") >= F.col("min_coverage")))
     fam = ok.groupBy("contig_id", "family").agg(
-        F.count(F.lit(1)).alias("representatives"), F.max("score").alias("score"), F.max_by("tax_id", F.struct("score", -F.col("ref_id"))).alias("tax_id"),
+        F.count(F.lit(1)).alias("representatives"), F.max("score").alias("score"), F.min_by("tax_id", F.struct((-F.col("score")).alias("_s"), "ref_id", *order, "tax_id")).alias("tax_id"),
         F.first("min_margin").alias("min_margin"), F.first("min_representatives").alias("min_representatives"),
     )
     w = W.partitionBy("contig_id").orderBy(F.desc("score"), "family")

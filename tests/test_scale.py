@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from binloom.operators import markers
 from binloom.sources import fasta, indexed
 
 
@@ -21,3 +22,15 @@ def test_texts_of_spans_meet_no_exchange(spark, tmp_path):
     assert sorted((r.grp, r.id, r.pos) for r in texts.collect()) == [("g", "c1", 0), ("h", "c1", 3), ("h", "c1", 3), ("h", "c2", 1)]
     assert {r.value for r in texts.where("id = 'c1'").collect()} == {">c1 x\nACGT\nAC\n"}
     assert sorted((r.id or "", r.pos) for r in skipped.collect()) == [("", 4), ("odd", 2)]
+
+
+# Calls
+
+
+def test_equal_rows_of_one_representative_are_told_by_their_order(spark):
+    rows = [(1, "COG1", 5, tax, 60, 0.9, at) for at, tax in ((3, 7), (1, 9), (2, 8))] + [(1, "COG1", 6, 4, 60, 0.9, 0)]
+    given = markers.parameters(spark, markers.Search())
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "contig_id int, family string, ref_id int, tax_id int, score int, coverage double, at int").coalesce(1)
+        assert [r.tax_id for r in markers.calls(df, markers.Search(), given, ("at",)).collect()] == [9]
+        assert [r.tax_id for r in markers.calls(df, markers.Search(), given).collect()] == [7]
