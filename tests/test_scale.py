@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from binloom.functions import sequence, udfs
 from binloom.operators import markers
 from binloom.sources import fasta, indexed
 
@@ -34,3 +40,22 @@ def test_equal_rows_of_one_representative_are_told_by_their_order(spark):
         df = spark.createDataFrame(part, "contig_id int, family string, ref_id int, tax_id int, score int, coverage double, at int").coalesce(1)
         assert [r.tax_id for r in markers.calls(df, markers.Search(), given, ("at",)).collect()] == [9]
         assert [r.tax_id for r in markers.calls(df, markers.Search(), given).collect()] == [7]
+
+
+# Sequences
+
+
+def test_kmers_are_counted_without_a_row_for_each_window(spark):
+    rng = random.Random(5)
+    seqs = ["", None, "ACG", "acgt", "NNNNN"] + ["".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    windows, contigs = Counter(), Counter()
+    turn = str.maketrans("ACGT", "TGCA")
+    for s in seqs:
+        words = [s.upper()[i : i + 4] for i in range(len(s) - 3)] if s else []
+        here = Counter(min(w, w.translate(turn)[::-1]) for w in words if "N" not in w)
+        windows, contigs = windows + here, contigs + Counter(here.keys())
+    rows = udfs.kmer_totals(spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(3))
+    assert "Generate" not in plan_of(rows)
+    got = rows.groupBy("k").agg(F.sum("windows").alias("w"), F.sum("contigs").alias("c")).collect()
+    names = sequence.canonical_kmers()
+    assert {names[r.k]: (r.w, r.c) for r in got} == {k: (n, contigs[k]) for k, n in windows.items()}
