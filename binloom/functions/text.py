@@ -14,6 +14,20 @@ def full_trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{TRIMMED}|{TRIMMED}$", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Whether a trim leaves nothing."""
+    return ~c.rlike(f"[^{TRIMMED[1:-2]}]")
+
+
+#: What ``to_number`` reads of a trimmed cell.
+NUMBER = r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|0[xX][0-9a-fA-F]+)$|^([+-]?Infinity)?\z"
+
+
+def is_number(c: Column) -> Column:
+    """Whether ``to_number`` gives a number, blank cells included; one pattern, without the value."""
+    return full_trim(c).rlike(NUMBER)
+
+
 def to_number(c: Column) -> Column:
     """A cell as a double: blank is 0, hexadecimal and Infinity are read, what is no number is NaN."""
     t = full_trim(c)

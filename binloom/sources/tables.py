@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import file_label, full_trim, to_number
+from ..functions.text import file_label, full_trim, is_blank, is_number, to_number
 from .blocks import from_splits, placed
 
 # Names of the first column that mark a header.
@@ -19,7 +19,13 @@ NOT_SAMPLES = ("contigname", "contig", "contig_id", "contiglen", "totalavgdepth"
 
 def lines_of(text: Column) -> Column:
     """Lines that are not blank."""
-    return F.filter(F.split(text, "\r?\n"), lambda x: full_trim(x) != "")
+    return F.filter(F.split(text, "\r?\n"), lambda x: ~is_blank(x))
+
+
+def _with(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once: an expression that is named again would be computed again, in a
+    lambda for each of its elements."""
+    return F.transform(F.array(value), then)[0]
 
 
 def delimiter(lines: Column) -> Column:
@@ -31,6 +37,10 @@ def _cells(lines: Column, mark: Column) -> Column:
     return F.transform(lines, lambda x: F.when(mark == "\t", F.split(x, "\t")).otherwise(F.split(x, ",")))
 
 
+def _split_lines(lines: Column) -> Column:
+    return _with(delimiter(lines), lambda mark: _cells(lines, mark))
+
+
 def read_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, label, text) of each file, whole; for files of any size there is ``read_lines``."""
     rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -40,7 +50,7 @@ def read_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def parse_bins(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, row_idx, contig_id, bin_id) from ``text``; short and blank rows and a header are dropped."""
     rows = texts.select(*keys, lines_of(F.col("text")).alias("lines"))
-    return _bin_rows(rows.select(*keys, F.posexplode(_cells(F.col("lines"), delimiter(F.col("lines")))).alias("row_idx", "cells")), *keys)
+    return _bin_rows(rows.select(*keys, F.posexplode(_with(F.col("lines"), _split_lines)).alias("row_idx", "cells")), *keys)
 
 
 def _bin_rows(rows: DataFrame, *keys: str) -> DataFrame:
@@ -54,7 +64,7 @@ def _bin_rows(rows: DataFrame, *keys: str) -> DataFrame:
 def parse_coverage(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, row_idx, contig_id, sample, sample_idx, depth) from ``text``, in long form."""
     rows = texts.select(*keys, lines_of(F.col("text")).alias("lines"))
-    rows = rows.select(*keys, _cells(F.col("lines"), delimiter(F.col("lines"))).alias("rows"))
+    rows = rows.select(*keys, _with(F.col("lines"), _split_lines).alias("rows"))
     first = F.get("rows", F.lit(0))
     rows = rows.withColumn("head", first).withColumn("named", _names(first))
     return _coverage_rows(rows.select(*keys, "head", "named", F.posexplode("rows").alias("row_idx", "cells")), *keys)
@@ -122,12 +132,12 @@ def coverage_of(lines: DataFrame, told: DataFrame) -> DataFrame:
 
 def _data_rows(lines: Column, most: int) -> Column:
     """Cells of the first lines, without a header: a first line with a cell, after the first, that is no number."""
-    cells = _cells(F.slice(lines, 1, most), delimiter(lines))
-    return F.transform(F.array(cells), lambda c: F.when(_names(F.get(c, F.lit(0))), F.slice(c, 2, most)).otherwise(c))[0]
+    cells = _with(F.slice(lines, 1, most), _split_lines)
+    return _with(cells, lambda c: F.when(_names(F.get(c, F.lit(0))), F.slice(c, 2, most)).otherwise(c))
 
 
 def _names(cells: Column) -> Column:
-    return F.coalesce(F.exists(_rest(cells), lambda x: (full_trim(x) != "") & F.isnan(to_number(x))), F.lit(False))
+    return F.coalesce(F.exists(_rest(cells), lambda x: ~is_number(x)), F.lit(False))
 
 
 def _rest(cells: Column) -> Column:
@@ -136,17 +146,20 @@ def _rest(cells: Column) -> Column:
 
 def is_bin_table(lines: Column) -> Column:
     """The first 20 lines, but a header, have exactly two cells, none blank."""
-    cells = _cells(F.slice(lines, 1, 20), delimiter(lines))
-    header = F.lower(full_trim(F.get(F.get(cells, F.lit(0)), F.lit(0)))).isin(*HEADER_NAMES)
-    data = F.when(F.coalesce(header, F.lit(False)), F.slice(cells, 2, 20)).otherwise(cells)
-    return (F.size(data) > 0) & F.forall(data, lambda r: (F.size(r) == 2) & (full_trim(r[0]) != "") & (full_trim(r[1]) != ""))
+
+    def told(cells: Column) -> Column:
+        header = F.lower(full_trim(F.get(F.get(cells, F.lit(0)), F.lit(0)))).isin(*HEADER_NAMES)
+        return F.when(F.coalesce(header, F.lit(False)), F.slice(cells, 2, 20)).otherwise(cells)
+
+    cells = _with(F.slice(lines, 1, 20), _split_lines)
+    pair = lambda r: (F.size(r) == 2) & ~is_blank(r[0]) & ~is_blank(r[1])
+    return _with(_with(cells, told), lambda data: (F.size(data) > 0) & F.forall(data, pair))
 
 
 def is_coverage(lines: Column) -> Column:
     """In the first ten lines, but a header, all cells after a contig name are blank or numbers."""
-    data = _data_rows(lines, 10)
-    number = lambda x: (full_trim(x) == "") | ~F.isnan(to_number(x))
-    return (F.size(data) > 0) & F.forall(data, lambda r: (F.size(r) >= 2) & (full_trim(r[0]) != "") & F.forall(_rest(r), number))
+    row = lambda r: (F.size(r) >= 2) & ~is_blank(r[0]) & F.forall(_rest(r), is_number)
+    return _with(_data_rows(lines, 10), lambda data: (F.size(data) > 0) & F.forall(data, row))
 
 
 def sniff(text: Column) -> Column:
@@ -156,12 +169,16 @@ def sniff(text: Column) -> Column:
 
 def sniff_lines(lines: Column) -> Column:
     """``sniff`` of an array of lines that are not blank; the first 20 are enough."""
+    return _with(F.slice(lines, 1, FIRST_LINES), _sniffed)
+
+
+def _sniffed(lines: Column) -> Column:
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     columns = 1 + F.greatest(F.regexp_count(first, F.lit("\t")), F.regexp_count(first, F.lit(",")))
-    coverage = is_coverage(lines)
-    return (
-        F.when((columns >= 3) & coverage, F.lit("coverage"))
+    return _with(
+        is_coverage(lines),
+        lambda coverage: F.when((columns >= 3) & coverage, F.lit("coverage"))
         .when(is_bin_table(lines), F.lit("contig-bin"))
         .when(coverage, F.lit("coverage"))
-        .otherwise(F.lit("unknown"))
+        .otherwise(F.lit("unknown")),
     )
