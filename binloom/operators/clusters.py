@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import fnv1a
+from ..functions import udfs
 from .graph import checkpointed
 from .ranks import ranked
 
@@ -18,15 +18,7 @@ HASHES = 24
 
 def minhash(records: DataFrame, k: int = 5, hashes: int = HASHES) -> DataFrame:
     """Records with ``sig``: per hash, the least FNV-1a value over the k-mers of ``seq``."""
-    n = F.length("seq") - k + 1
-    kmers = F.array_distinct(F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("seq"), i, F.lit(k)))))
-    none = F.lit(0xFFFFFFFF)
-
-    def least(seed: int):
-        return F.coalesce(F.array_min(F.transform("kmers", lambda x: fnv1a(x, seed))), none)
-
-    sig = F.array(*[least((h * 2654435761) & 0xFFFFFFFF) for h in range(hashes)])
-    return records.withColumn("kmers", kmers).withColumn("sig", sig).drop("kmers")
+    return records.withColumn("sig", udfs.minhash(F.col("seq"), k, [(h * 2654435761) & 0xFFFFFFFF for h in range(hashes)]))
 
 
 def bands(hashes: int, least: int) -> list[tuple[int, ...]]:
